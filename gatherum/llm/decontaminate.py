@@ -187,42 +187,52 @@ def _passages(at: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _leaks_of_block(docs: DataFrame, items: Items, codes: np.ndarray, owners: list[np.ndarray], threshold: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            idents = batch.column(0).to_pylist()
-            for first, _, numbers, starts in _numbered(batch.column(1).to_pylist(), items.vocabulary):
-                at, k = _members(items.grams(numbers), codes)
-                owner = np.searchsorted(starts, at, side="right") - 1
-                for d in np.unique(owner).tolist():
-                    here = owner == d
-                    places, which = at[here] - starts[d], k[here]
-                    body = numbers[starts[d] : starts[d + 1] - 1]
-                    by_item: dict[int, list[int]] = {}
-                    for p, w in zip(places.tolist(), which.tolist()):
-                        for i in owners[w].tolist():
-                            by_item.setdefault(i, []).append(p)
-                    for i, spots in sorted(by_item.items()):
-                        item, best = items.tokens[i], (0, 0, 0)
-                        for lo, hi in _passages(np.array(spots), len(item), len(body)):
-                            part = body[lo:hi]
-                            # A word in common scores MATCH at most once for each of its places: without enough, no alignment can do.
-                            if MATCH * int(np.isin(part, item).sum()) < threshold * MATCH * len(item):
-                                continue
-                            score, s, e = align(item, part)
-                            if score > best[0]:
-                                best = (score, lo + s, lo + e)
-                        share = best[0] / (MATCH * len(item))
-                        if share >= threshold:
-                            out.append((idents[first + d], items.ids[i], round(share, 6), best[1], best[2], len(set(spots))))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _LEAK_TYPES)], names=_LEAK_NAMES)
-
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, word_start long, word_end long, seeds long")
+class Finder:
+    """Leaks of one block of items in batches of documents."""
+
+    def __init__(self, items: Items, codes: np.ndarray, owners: list[np.ndarray], threshold: float):
+        self.items, self.codes, self.owners, self.threshold = items, codes, owners, threshold
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """(number of the text, item, score, first word, one past the last word, seeds) of each leak."""
+        items, least = self.items, self.threshold
+        for first, _, numbers, starts in _numbered(texts, items.vocabulary):
+            at, k = _members(items.grams(numbers), self.codes)
+            owner = np.searchsorted(starts, at, side="right") - 1
+            bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=int)
+            for lo_row, hi_row in zip(bounds, np.r_[bounds[1:], len(owner)]):
+                d = int(owner[lo_row])
+                places, which = at[lo_row:hi_row] - starts[d], k[lo_row:hi_row]
+                body = numbers[starts[d] : starts[d + 1] - 1]
+                by_item: dict[int, list[int]] = {}
+                for p, w in zip(places.tolist(), which.tolist()):
+                    for i in self.owners[w].tolist():
+                        by_item.setdefault(i, []).append(p)
+                for i, spots in sorted(by_item.items()):
+                    item, best = items.tokens[i], (0, 0, 0)
+                    for lo, hi in _passages(np.array(spots), len(item), len(body)):
+                        part = body[lo:hi]
+                        # A word in common scores MATCH at most, once for each of its places: without enough, no alignment can do.
+                        if int(np.isin(part, item).sum()) < least * len(item):
+                            continue
+                        score, s, e = align(item, part)
+                        if score > best[0]:
+                            best = (score, lo + s, lo + e)
+                    share = best[0] / (MATCH * len(item))
+                    if share >= least:
+                        yield first + d, items.ids[i], round(share, 6), best[1], best[2], len(set(spots))
+
+
+def _finders(docs: DataFrame, benchmark: DataFrame, text_col: str, threshold: float, rare_share: float, block_chars: int) -> Iterator[Finder]:
+    texts, n_docs = docs.select(F.col(text_col).alias("text")), None
+    for items in item_blocks(benchmark, block_chars=block_chars):
+        n_docs = texts.count() if n_docs is None else n_docs
+        codes, owners = seeds(items, document_frequencies(texts, items), n_docs, rare_share)
+        yield Finder(items, codes, owners, threshold)
 
 
 _LEAK_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+_LEAK_SCHEMA = "doc_id long, item_id long, score double, word_start long, word_end long, seeds long"
 _LEAK_NAMES = ["doc_id", "item_id", "score", "word_start", "word_end", "seeds"]
 
 
@@ -233,17 +243,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     either table may be empty; other columns are ignored. Item ids that are null are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_docs, parts = None, []
-    for items in item_blocks(benchmark, block_chars=block_chars):
-        n_docs = rows.count() if n_docs is None else n_docs
-        codes, owners = seeds(items, document_frequencies(rows, items), n_docs, rare_share)
-        parts.append(_leaks_of_block(rows, items, codes, owners, threshold))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, word_start long, word_end long, seeds long")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that leak no test item (rows with a null id can't be named and stay)."""
-    bad = leaks(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+
+    def found_by(finder: Finder) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                idents = batch.column(0).to_pylist()
+                out = [(idents[i], *more) for i, *more in finder(batch.column(1).to_pylist())]
+                columns = list(zip(*out)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _LEAK_TYPES)], names=_LEAK_NAMES)
+
+        return rows.mapInArrow(run, _LEAK_SCHEMA)
+
+    parts = [found_by(finder) for finder in _finders(rows, benchmark, "text", threshold, rare_share, block_chars)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _LEAK_SCHEMA)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that leak no test item. All columns stay; no shuffle."""
+    kept, at = docs, docs.columns.index(text_col)
+
+    def without(rows: DataFrame, finder: Finder) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, *_ in finder(batch.column(at).to_pylist()):
+                    clean[i] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for finder in _finders(docs, benchmark, text_col, threshold, rare_share, block_chars):
+        kept = without(kept, finder)
+    return kept

@@ -20,6 +20,8 @@ SEED = 20240229
 #: Documents that the prototypes are learnt from at most (a sample by a hash of doc_id where more are labelled).
 TRAIN_LIMIT = 50_000
 UNKNOWN = "und"
+#: Two standard deviations of the cosine of random vectors.
+NOISE = 2 / DIMENSIONS**0.5
 _SYMBOLS = 64
 _ORDER = 3
 _CODES = _SYMBOLS**_ORDER
@@ -126,23 +128,30 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return got
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (cosine with the best prototype, 0 to 1).
+class Predictor:
+    """Prototypes as a matrix; travels to the executors (languages times DIMENSIONS floats)."""
 
-    Null texts, texts without a letter, and all texts where nothing was learnt give ``und`` with score 0. Of languages with
-    equal cosines the first by name wins. Only the text is read.
-    """
-    names = sorted(prototypes)
-    matrix = np.stack([prototypes[x] for x in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
+    def __init__(self, prototypes: dict[str, np.ndarray]):
+        self.names = sorted(prototypes)
+        self.matrix = np.stack([prototypes[x] for x in self.names]).astype(np.float32) if self.names else np.zeros((0, DIMENSIONS), np.float32)
 
-    def one(text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float]:
         codes, counts = trigram_counts(text)
-        if not len(codes) or not len(matrix):
+        if not len(codes) or not len(self.matrix):
             return UNKNOWN, 0.0
         v = encode(codes, counts)
-        cosine = matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
+        cosine = self.matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
         best = int(np.argmax(cosine))
-        return names[best], float(np.clip(cosine[best], 0.0, 1.0))
+        return self.names[best], float(np.clip(cosine[best], 0.0, 1.0))
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score (cosine with the best prototype, 0 to 1).
+
+    Null texts, texts without a letter, and all texts where nothing was learnt give ``und`` with score 0. Of languages with
+    equal cosines the first by name wins. Only the text is read.
+    """
+    one = Predictor(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +161,18 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = NOISE) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and a score that random vectors seldom reach. All columns stay; no shuffle."""
+    one, at = Predictor(prototypes), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [one(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the documents that nothing is learnt from; a null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

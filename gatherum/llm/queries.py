@@ -8,10 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import bpe, decontaminate, langid, secrets, simhash, warc
+from gatherum.llm import bpe, decontaminate, langid, licences, pii, quality, secrets, sharding, simhash, warc
 from gatherum.llm.common import scratch_path, table
 
 
+def op1_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.assess(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -42,8 +59,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_quality": op1_adaptive_quality,
     "op2_warc_transactions": op2_warc_transactions,
+    "op3_shard_placement": op3_shard_placement,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_pseudonyms": op5_pseudonyms,
+    "op6_licence_scan": op6_licence_scan,
     "op7_simhash_components": op7_simhash_components,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
