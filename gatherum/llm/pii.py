@@ -33,7 +33,9 @@ PATTERN = "|".join([
     r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     r"\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
-    r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    r"(?<!\d)\d{13,19}(?!\d)",
+    r"(?<![\d-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?![ -]?\d)",
+    r"(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![ -]?\d)",
 ])
 KINDS = ("email", "date", "ip", "phone", "ssn", "card")
 

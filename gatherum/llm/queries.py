@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import bpe, decontaminate, langid, licences, pii, quality, secrets, sharding, simhash, warc
+from gatherum.llm import bpe, decontaminate, langid, licences, oracles, pii, quality, secrets, sharding, simhash, warc
 from gatherum.llm.common import scratch_path, table
 
 
@@ -70,4 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_adaptive_quality": oracles.OP1,
+    "op2_warc_transactions": oracles.OP2,
+    "op3_shard_placement": oracles.OP3,
+    "op6_licence_scan": oracles.OP6,
+}
