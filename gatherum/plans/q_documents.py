@@ -1 +1,291 @@
-"""Queries."""
+"""Queries: lines, segments and decoding (w), documents and readers (d), joins by place (j)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gatherum.functions import text as T
+from gatherum.operators import documents as O
+from gatherum.operators import joins as J
+from gatherum.operators import readers as R
+from gatherum.operators import rules
+from gatherum.operators import sequence as Q
+from gatherum.plans.registry import LINES_SQL, query, table
+
+
+def _lines(spark, d):
+    return Q.lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _turns(spark, d):
+    return table(spark, d, "conversations")
+
+
+@query("w1_block_offsets", "SELECT conv_id, turn, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text))::BIGINT AS stop FROM conversations")
+def w1(spark, d):
+    return Q.block_offsets(_turns(spark, d), "conv_id", "turn", "text").select("conv_id", "turn", "start", "stop")
+
+
+@query("w2_line_offsets", f"SELECT doc_id, line, start, stop FROM {LINES_SQL}")
+def w2(spark, d):
+    return _lines(spark, d).select("doc_id", "line", "start", "stop")
+
+
+@query("w3_first_last_lines", f"SELECT doc_id, line FROM {LINES_SQL} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 2 OR row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) <= 2")
+def w3(spark, d):
+    return Q.ends(_lines(spark, d), "doc_id", "line", 2).select("doc_id", "line")
+
+
+@query("w4_switches", "SELECT * FROM (SELECT user_id, event_id, last_value(family IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, family FROM (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'look' WHEN event_type = 'purchase' THEN 'buy' END AS family FROM events)) WHERE family <> previous")
+def w4(spark, d):
+    family = F.when(F.col("event_type").isin("click", "view"), "look").when(F.col("event_type") == "purchase", "buy")
+    return Q.switches(table(spark, d, "events").withColumn("family", family), "user_id", "event_id", "family")
+
+
+@query("w5_runs", "SELECT user_id, run, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY ALL")
+def w5(spark, d):
+    return Q.runs(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+_MASKED = "(SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS answer FROM events)"
+
+
+@query("w6_carried_answers", f"SELECT user_id, event_id, coalesce(answer, CASE WHEN b = a THEN b END) AS carried FROM (SELECT *, last_value(answer IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(answer IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM {_MASKED})")
+def w6(spark, d):
+    masked = table(spark, d, "events").withColumn("answer", F.when(F.col("event_id") % 3 != 0, F.col("event_type")))
+    return Q.carried(masked, "user_id", "event_id", "answer").select("user_id", "event_id", "carried")
+
+
+@query("w7_forward_fill", f"SELECT user_id, event_id, last_value(answer IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM {_MASKED}")
+def w7(spark, d):
+    masked = table(spark, d, "events").withColumn("answer", F.when(F.col("event_id") % 3 != 0, F.col("event_type")))
+    return Q.forward_fill(masked, "user_id", "event_id", "answer", "filled").select("user_id", "event_id", "filled")
+
+
+@query("w8_borders", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type <> 'error') WHERE p <> event_type")
+def w8(spark, d):
+    rows = table(spark, d, "events").where("event_type <> 'error'")
+    return rows.withColumn("p", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))).where("p <> event_type").select("user_id", "event_id", "event_type")
+
+
+def _segmented(spark, d):
+    rows = table(spark, d, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    return rows.select("user_id", "pos", F.floor(F.col("pos") / 4).alias("ref"), F.floor((F.col("pos") + F.col("user_id") % 3) / 5).alias("hyp"))
+
+
+_SEG = "(SELECT user_id, pos, pos // 4 AS ref, (pos + user_id % 3) // 5 AS hyp FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events))"
+
+
+@query("w9_segment_errors", f"""WITH s AS {_SEG}, z AS (SELECT user_id, greatest(1, round_even(count(*) / (count(DISTINCT ref) * 2)::DOUBLE, 0))::INTEGER AS k FROM s GROUP BY user_id),
+  c AS (SELECT s.*, k, sum(CASE WHEN pref <> ref THEN 1 ELSE 0 END) OVER w AS cr, sum(CASE WHEN phyp <> hyp THEN 1 ELSE 0 END) OVER w AS ch FROM (SELECT *, lag(ref) OVER (PARTITION BY user_id ORDER BY pos) AS pref, lag(hyp) OVER (PARTITION BY user_id ORDER BY pos) AS phyp FROM s) s JOIN z USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+  SELECT z.user_id, z.k, round(coalesce(pk, 0.0), 9) AS pk, round(coalesce(wd, 0.0), 9) AS window_diff FROM z LEFT JOIN (SELECT a.user_id, avg(CASE WHEN (a.ref = b.ref) <> (a.hyp = b.hyp) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pk, avg(CASE WHEN b.cr - a.cr <> b.ch - a.ch THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS wd FROM c a JOIN c b ON a.user_id = b.user_id AND b.pos = a.pos + a.k GROUP BY a.user_id) USING (user_id)""")
+def w9(spark, d):
+    e = Q.segment_errors(_segmented(spark, d), "user_id", "pos", "ref", "hyp")
+    return e.select("user_id", "k", F.round("pk", 9).alias("pk"), F.round("window_diff", 9).alias("window_diff"))
+
+
+@query("w11_border_tolerance")
+def w11(spark, d):
+    s = _segmented(spark, d)
+    w = Window.partitionBy("user_id").orderBy("pos")
+    borders = lambda c, side: s.withColumn("n", F.lead(c).over(w)).where(F.col("n") != F.col(c)).select("user_id", "pos", F.lit(side).alias("side"))
+    return Q.border_matches(borders("ref", "ref").unionByName(borders("hyp", "hyp")), "user_id", "pos", "side", 1)
+
+
+@query("w12_next_number", f"SELECT doc_id, line FROM (SELECT doc_id, line, n, lag(n) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM (SELECT doc_id, line, try_cast(regexp_extract(text, '^\\s*(\\d{{1,3}})', 1) AS INTEGER) AS n FROM {LINES_SQL}) WHERE n IS NOT NULL) WHERE n = p + 1")
+def w12(spark, d):
+    n = F.regexp_extract("text", r"^\s*(\d{1,3})", 1).try_cast("int")
+    rows = _lines(spark, d).select("doc_id", "line", n.alias("n")).where("n is not null")
+    return rows.withColumn("p", F.lag("n").over(Window.partitionBy("doc_id").orderBy("line"))).where("n = p + 1").select("doc_id", "line")
+
+
+@query("w13_order_defects", "SELECT l_orderkey, l_linenumber FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM lineitem) WHERE l_shipdate < p")
+def w13(spark, d):
+    p = F.lag("l_shipdate").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    return table(spark, d, "lineitem").withColumn("p", p).where("l_shipdate < p").select("l_orderkey", "l_linenumber")
+
+
+_STATES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _emissions(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", F.array(*[F.when(F.col("event_type") == s, 0.8).otherwise(0.05) for s in _STATES]).alias("p"))
+
+
+@query("w14_markov_decoding")
+def w14(spark, d):
+    n = len(_STATES)
+    step = [[0.6 if i == j else 0.1 for j in range(n)] for i in range(n)]
+    return Q.decode(_emissions(spark, d), "user_id", "event_id", "p", [1 / n] * n, step).withColumn("p_change", F.round("p_change", 9))
+
+
+@query("w17_transitions", "SELECT previous, event_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) WHERE previous IS NOT NULL GROUP BY ALL")
+def w17(spark, d):
+    return Q.transitions(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@query("w18_first_candidate", "SELECT o_custkey, o_orderkey, tier_rank, n_others FROM (SELECT o_custkey, o_orderkey, tier_rank, row_number() OVER (PARTITION BY o_custkey ORDER BY tier_rank, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) - 1 AS n_others FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS tier_rank FROM orders)) WHERE r = 1")
+def w18(spark, d):
+    rank = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    rows = table(spark, d, "orders").withColumn("tier_rank", rank)
+    return rules.first_candidate(rows, ["o_custkey"], order=("o_orderkey",)).select("o_custkey", "o_orderkey", "tier_rank", "n_others")
+
+
+@query("a19_mode_option", "SELECT conv_id, role, mixed, atoms FROM (SELECT conv_id, role, count(*) OVER (PARTITION BY conv_id) > 1 AS mixed, sum(n) OVER (PARTITION BY conv_id)::BIGINT AS atoms, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, c DESC, role) AS r FROM (SELECT conv_id, role, count(*) AS n, sum(length(text)) AS c FROM conversations GROUP BY ALL)) WHERE r = 1")
+def a19(spark, d):
+    rows = _turns(spark, d).withColumn("chars", F.length("text"))
+    rank = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "system", 1).when(F.col("role") == "tool", 2).otherwise(3)
+    return Q.mode_option(rows, ["conv_id"], "role", "chars", rank)
+
+
+# ---- joins by place
+
+
+@query("j8_position_to_line", f"SELECT p.doc_id, p.at, line FROM (SELECT doc_id, (length(text) // 2)::BIGINT AS at FROM documents UNION ALL SELECT doc_id, (length(text) // 5)::BIGINT FROM documents) p JOIN {LINES_SQL} l ON p.doc_id = l.doc_id AND l.start <= p.at AND p.at < l.stop + 1")
+def j8(spark, d):
+    docs = table(spark, d, "documents")
+    points = docs.select("doc_id", F.explode(F.array(F.floor(F.length("text") / 2), F.floor(F.length("text") / 5))).alias("at"))
+    return J.interval_lookup(points, _lines(spark, d).select("doc_id", "line", "start", (F.col("stop") + 1).alias("stop")), "doc_id", "at").select("doc_id", "at", "line")
+
+
+_SPANS = "(SELECT doc_id, k, (length(text) * k // 7)::BIGINT AS a, (length(text) * k // 7 + 50)::BIGINT AS b FROM documents, (SELECT unnest([1, 3, 5])) s(k))"
+
+
+@query("j9_span_overlap", f"SELECT s.doc_id, k, line FROM {_SPANS} s JOIN {LINES_SQL} l ON s.doc_id = l.doc_id AND a < l.stop AND b > l.start")
+def j9(spark, d):
+    k = F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("k")
+    spans = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), k).select("doc_id", "k", F.floor(F.col("n") * F.col("k") / 7).alias("a"), (F.floor(F.col("n") * F.col("k") / 7) + 50).alias("b"))
+    return J.interval_overlap(spans, _lines(spark, d).select("doc_id", "line", "start", "stop"), "doc_id", ("a", "b"), ("start", "stop")).select("doc_id", "k", "line")
+
+
+@query("j12_repeated_lines", rf"SELECT doc_id, line FROM (SELECT doc_id, line, letters, min(line // 5) OVER (PARTITION BY doc_id, letters) AS a, max(line // 5) OVER (PARTITION BY doc_id, letters) AS b FROM (SELECT doc_id, line, regexp_replace(regexp_replace(lower(text), '(?:seite|page|pagina|p\.)?\s*\d+\s*(?:/|von|de|di|of)\s*\d+', '', 'g'), '[^\p{{L}}]+', '', 'g') AS letters FROM {LINES_SQL}) WHERE letters <> '') WHERE a < b")
+def j12(spark, d):
+    """Five lines count as a page of the driver's texts, which have none."""
+    return J.repeated_lines(_lines(spark, d).withColumn("page", F.floor(F.col("line") / 5)), "doc_id", "page", "text").select("doc_id", "line")
+
+
+@query("j12_similar_lines")
+def j12_similar(spark, d):
+    lines = _lines(spark, d).withColumns({"page": F.floor(F.col("line") / 5), "top": (F.col("line") % 5) * 20.0})
+    return J.similar_lines(lines.select("doc_id", "page", "line", "text", "top"), "doc_id", "page", "line", "text", "top").select("doc_id", "line")
+
+
+@query("j16_word_alignment")
+def j16(spark, d):
+    return J.aligned_rows(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type")
+
+
+@query("j17_key_values", rf"SELECT doc_id, line, k AS key, v AS value FROM (SELECT doc_id, line, nullif(regexp_extract(text, '{(p := r'^\s*(\p{L}[\p{L}\p{N}./-]*(?: [\p{L}\p{N}./-]+){0,4})\s*:\s+(\S.*?)\s*$')}', 1), '') AS k, nullif(regexp_extract(text, '{p}', 2), '') AS v FROM {LINES_SQL}) WHERE k IS NOT NULL")
+def j17(spark, d):
+    return J.key_values(_lines(spark, d), "text").where("key is not null").select("doc_id", "line", "key", "value")
+
+
+@query("j20_gap_free_part", "SELECT user_id, contains(seq, ',click,view,') AS has_part FROM (SELECT user_id, ',' || string_agg(event_type, ',' ORDER BY event_id) || ',' AS seq FROM events GROUP BY user_id)")
+def j20(spark, d):
+    seq = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
+    return seq.select("user_id", T.is_part(F.array(F.lit("click"), F.lit("view")), F.col("seq")).alias("has_part"))
+
+
+# ---- documents
+
+
+@query("d3_atoms", f"SELECT doc_id, line, text, length(text)::BIGINT AS n_chars FROM {LINES_SQL} WHERE trim(text) <> ''")
+def d3(spark, d):
+    return _lines(spark, d).where(F.trim("text") != "").select("doc_id", "line", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("d4_cover_proof", "SELECT doc_id, 0::BIGINT AS overlaps FROM documents WHERE false")
+def d4(spark, d):
+    """Documents whose lines fail to cover the text once: none."""
+    docs = table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace("text", "\n", "")).cast("long").alias("expected"))
+    return Q.cover_defects(_lines(spark, d), "doc_id", "start", "stop", docs, "expected").select("doc_id", "overlaps")
+
+
+@query("d5_fixed_roles", f"SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)^\\s*(?:seite|page|pagina|p\\.|s\\.)?\\s*\\d{{1,4}}(?:\\s*(?:/|von|de|di|of)\\s*\\d{{1,4}})?\\s*$') THEN 'R1' WHEN regexp_matches(text, '^\\s*\\d{{1,2}}\\)?\\s+(?i:vgl|siehe|cf|voir|cfr)\\b') THEN 'R2' WHEN regexp_matches(text, '(?i)\\.(?:docx?|pdf|xlsx?)\\s*$|^[a-z]:\\\\|^/[\\w./-]+$') THEN 'R5' ELSE '-' END AS role FROM {LINES_SQL}) GROUP BY role")
+def d5(spark, d):
+    role = O.fixed_role(F.col("text"), F.lit("text"), F.lit(False))
+    return _lines(spark, d).select(F.coalesce(role, F.lit("-")).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("d6_page_zones", "SELECT p_partkey, CASE WHEN p_size < 50 * 0.2 THEN 'head' WHEN p_size > 50 * 0.88 THEN 'foot' ELSE 'body' END AS zone FROM part")
+def d6(spark, d):
+    return table(spark, d, "part").select("p_partkey", O.zone(F.col("p_size"), F.lit(50)).alias("zone"))
+
+
+@query("d7_document_roles", f"""SELECT doc_id, CASE WHEN att THEN 'other' WHEN prot THEN 'minutes' WHEN ans IS NOT NULL AND (dem >= 1 OR ans * 4 >= n) THEN 'combined' WHEN ans IS NOT NULL THEN 'response' WHEN spo >= 1 OR pro >= 1 THEN 'proposal' ELSE 'other' END AS role,
+  CASE WHEN att THEN 'O2' WHEN prot THEN 'M1' WHEN ans IS NOT NULL AND (dem >= 1 OR ans * 4 >= n) THEN 'A1' WHEN ans IS NOT NULL THEN 'A2' WHEN spo >= 1 THEN 'P1' WHEN pro >= 1 THEN 'P2' ELSE 'D0' END AS reason
+  FROM (SELECT doc_id, count(*) AS n, min(CASE WHEN regexp_matches(text, '{O.ANSWER.replace("(?iu)", "(?i)")}') THEN line END) AS ans, bool_or(line < 15 AND regexp_matches(text, '{O.ATTACHMENT.replace("(?iu)", "(?i)")}')) AS att, bool_or(line < 15 AND regexp_matches(text, '{O.PROTOCOL.replace("(?iu)", "(?i)")}')) AS prot,
+  count(*) FILTER (regexp_matches(text, '{O.DEMAND.replace("(?iu)", "(?i)")}')) AS dem, count(*) FILTER (regexp_matches(text, '{O.SPONSOR.replace("(?iu)", "(?i)")}')) AS spo, count(*) FILTER (regexp_matches(text, '{O.PROPOSAL.replace("(?iu)", "(?i)")}')) AS pro FROM {LINES_SQL} GROUP BY doc_id)""")
+def d7(spark, d):
+    return O.document_role(O.role_features(_lines(spark, d))).select("doc_id", "role", "reason")
+
+
+@query("d12_isolation_levels", "SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'look' WHEN 'view' THEN 'look' ELSE event_type END AS l1, CASE event_type WHEN 'error' THEN 'none' ELSE 'some' END AS l0 FROM events")
+def d12(spark, d):
+    maps = {"l1": {"click": "look", "view": "look"}, "l0": {"error": "none", "click": "some", "view": "some", "purchase": "some", "signup": "some"}}
+    return O.levels(table(spark, d, "events"), "event_type", maps).select("user_id", "event_id", "l1", "l0")
+
+
+@query("d15_last_recommendation", "SELECT conv_id, turn, CASE WHEN greatest(a, b) > 0 THEN CASE WHEN a >= b THEN 'ing' ELSE 'tion' END END AS last FROM (SELECT conv_id, turn, CASE WHEN contains(text, 'ing') THEN length(text) - strpos(reverse(text), 'gni') + 2 ELSE 0 END AS a, CASE WHEN contains(text, 'tion') THEN length(text) - strpos(reverse(text), 'noit') + 2 ELSE 0 END AS b FROM conversations)")
+def d15(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", O.last_hit(F.col("text"), [rules.Rule("ing", "ing"), rules.Rule("tion", "tion")]).alias("last"))
+
+
+@query("d20_tier_readers", rf"""SELECT doc_id, field, tier, value FROM (SELECT doc_id, 'contact' AS field, tier, value, row_number() OVER (PARTITION BY doc_id ORDER BY rank, start) AS r FROM (
+  SELECT doc_id, start + strpos(text, v) AS start, 'e_mail' AS tier, 1 AS rank, v AS value FROM (SELECT *, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1), '') AS v FROM {LINES_SQL}) WHERE v IS NOT NULL
+  UNION ALL SELECT doc_id, start + strpos(text, v), 'phone', 2, v FROM (SELECT *, nullif(regexp_extract(text, '(\+\d(?:[ .()-]{{0,2}}\d){{7,14}})', 1), '') AS v FROM {LINES_SQL}) WHERE v IS NOT NULL)) WHERE r = 1""")
+def d20(spark, d):
+    lines = _lines(spark, d)
+    sized = lines.withColumn("n_lines", F.count("*").over(Window.partitionBy("doc_id")))
+    return R.read(sized, ["contact"]).select("doc_id", "field", "tier", "value")
+
+
+@query("d25_searched_slots", "SELECT doc_id, slot, arg_min(rule_id, CASE WHEN t = '*' THEN 1 ELSE 0 END) AS rule_id FROM documents JOIN (VALUES ('en', '*', 'title', 'r1'), ('en', 'src1', 'title', 'r2'), ('fr', '*', 'number', 'r3'), ('de', 'src2', 'date', 'r4')) c(k, t, slot, rule_id) ON lang = k AND (t = '*' OR t = source) GROUP BY ALL")
+def d25(spark, d):
+    cascade = spark.createDataFrame([("en", "*", "title", "r1"), ("en", "src1", "title", "r2"), ("fr", "*", "number", "r3"), ("de", "src2", "date", "r4")], "kind string, type string, slot string, rule_id string")
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("type"))
+    return R.searched_slots(docs, cascade)
+
+
+_RULE_VALUES = "(SELECT doc_id, 'q' AS field, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS value, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'weak' ELSE 'strong' END AS tier FROM documents)"
+
+
+@query("d27_combined_reader", f"SELECT coalesce(r.doc_id, m.doc_id) AS doc_id, 'q' AS field, CASE WHEN u THEN m.value ELSE r.value END AS value, CASE WHEN u THEN m.tier ELSE r.tier END AS tier, CASE WHEN u THEN 'model' ELSE 'rule' END AS source FROM (SELECT r.*, m.value AS mv, m.value IS NOT NULL AND (r.value IS NULL OR r.tier = 'weak') AS u FROM {_RULE_VALUES} r LEFT JOIN (SELECT doc_id, quality::VARCHAR AS value, 't1' AS tier FROM labels) m USING (doc_id)) r LEFT JOIN (SELECT doc_id, quality::VARCHAR AS value, 't1' AS tier FROM labels) m ON r.doc_id = m.doc_id")
+def d27(spark, d):
+    k = F.col("doc_id") % 3
+    found = table(spark, d, "documents").select("doc_id", F.lit("q").alias("field"), F.when(k != 0, F.col("lang")).alias("value"), F.when(k == 1, "weak").when(k == 2, "strong").alias("tier"))
+    model = table(spark, d, "labels").select("doc_id", F.lit("q").alias("field"), F.col("quality").cast("string").alias("value"), F.lit("t1").alias("tier"))
+    return R.combine(found, model, spark.createDataFrame([("t1",)], "tier string"), ["weak"])
+
+
+@query("d28_entered_tiers", "SELECT tier, k, n FROM (SELECT d.source AS tier, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM labels JOIN documents d USING (doc_id) GROUP BY d.source) WHERE n >= 15 AND k * 5 >= n * 4")
+def d28(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("source").alias("tier"), (F.col("quality") == 1).alias("correct"))
+    return R.entered_tiers(rows, least=15)
+
+
+@query("d30_near_marks", "SELECT l_orderkey AS doc, abs(t[1] - 0.5) < 0.05 OR t[1] - coalesce(t[2], 0) < 0.05 AS near FROM (SELECT l_orderkey, list_reverse_sort(list(l_quantity / 50.0::DOUBLE)) AS t FROM lineitem GROUP BY l_orderkey)")
+def d30(spark, d):
+    return R.near_marks(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_quantity") / 50.0).alias("p")), "doc", "p")
+
+
+@query("d33_status", "SELECT p_partkey, CASE WHEN p_size / 50.0::DOUBLE >= 0.9 THEN 'certain' WHEN p_size / 50.0::DOUBLE >= 0.5 THEN 'unsure' ELSE 'none' END AS status FROM part")
+def d33(spark, d):
+    return table(spark, d, "part").select("p_partkey", R.status(F.col("p_size") / 50.0).alias("status"))
+
+
+@query("e13_rendered_text", "SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, CASE WHEN turn // 2 = lag(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) THEN text ELSE '[page ' || (turn // 2) || ']' || chr(10) || text END AS t FROM conversations) GROUP BY conv_id")
+def e13(spark, d):
+    return O.rendered(_turns(spark, d).withColumn("page", F.floor(F.col("turn") / 2)), "conv_id", "page", "turn", "text")
+
+
+@query("e18_head_and_tail", "SELECT doc_id, line FROM (SELECT doc_id, line, line // 5 AS page, max(line // 5) OVER (PARTITION BY doc_id) AS last FROM " + LINES_SQL + ") WHERE page < 3 OR page = last")
+def e18(spark, d):
+    return O.head_and_tail_pages(_lines(spark, d).withColumn("page", F.floor(F.col("line") / 5)), "doc_id", "page").select("doc_id", "line")
+
+
+@query("e12_long_sentences")
+def e12(spark, d):
+    return O.long_sentences(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
