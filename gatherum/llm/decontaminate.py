@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 First pass: in how many documents each n-gram of the test items occurs (counted over the whole corpus). An item's seeds are
-its rare n-grams: those in no more than a small share of the documents, and always the rarer half of the item's own, so
-that a test item that thousands of documents quote still has seeds. Second pass: documents with a seed are aligned, word by
+its rare n-grams: those in no more than a small share of the documents, and always those within a few times the median of
+the item's own, so that a test item that thousands of documents quote, whole or edited, still has seeds. Second pass: documents with a seed are aligned, word by
 word, with the items it belongs to, in the passage around the seeds. Scores are shares of a perfect alignment.
 
 The test items are the query set. They travel to the executors in blocks of at most ``BLOCK_CHARS`` characters, so what is
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 NGRAM = 3
 #: An n-gram in more than this share of the documents is rare only relative to its item.
 RARE_SHARE = 0.0005
+#: N-grams in no more documents than this are rare, and so are those in no more than this many times the item's median.
+RARE_LEAST, RARE_MEDIANS = 16, 4
 #: Least score of a leak: the alignment's score as a share of that of the item with itself.
 THRESHOLD = 0.6
 BLOCK_CHARS = 4_000_000
@@ -134,7 +136,7 @@ def seeds(items: Items, frequency: dict[int, int], n_docs: int, rare_share: floa
     for i in range(len(items.ids)):
         grams = items.item_grams(i)
         counts = np.array([frequency.get(int(g), 0) for g in grams])
-        limit = max(rare_share * n_docs, float(np.median(counts)) if len(counts) else 0.0)
+        limit = max(RARE_LEAST, rare_share * n_docs, RARE_MEDIANS * float(np.median(counts)))
         for g in grams[counts <= limit].tolist():
             owners.setdefault(g, []).append(i)
     codes = np.array(sorted(owners), dtype=np.int64)
