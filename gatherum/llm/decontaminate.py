@@ -172,6 +172,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
         k = int(np.argmax(now))
         if now[k] > best[0]:
             best = (int(now[k]), int(where[k]), d - k)
+            if best[0] == MATCH * n:  # none can score more
+                break
         prev2, prev, from2, from1 = prev, now, from1, where
     return best
 
@@ -194,6 +196,13 @@ class Finder:
 
     def __init__(self, items: Items, codes: np.ndarray, owners: list[np.ndarray], threshold: float):
         self.items, self.codes, self.owners, self.threshold = items, codes, owners, threshold
+        self.profiles = [np.unique(t, return_counts=True) for t in items.tokens]
+
+    def _in_common(self, i: int, part: np.ndarray) -> int:
+        """Words that an item and a passage share, repeats included: no alignment can match more."""
+        known, counts = self.profiles[i]
+        k = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        return int(np.minimum(np.bincount(k[known[k] == part], minlength=len(known)), counts).sum())
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(number of the text, item, score, first word, one past the last word, seeds) of each leak."""
@@ -214,8 +223,7 @@ class Finder:
                     item, best = items.tokens[i], (0, 0, 0)
                     for lo, hi in _passages(np.array(spots), len(item), len(body)):
                         part = body[lo:hi]
-                        # A word in common scores MATCH at most, once for each of its places: without enough, no alignment can do.
-                        if int(np.isin(part, item).sum()) < least * len(item):
+                        if self._in_common(i, part) < least * len(item):
                             continue
                         score, s, e = align(item, part)
                         if score > best[0]:

@@ -20,8 +20,6 @@ SEED = 20240229
 #: Documents that the prototypes are learnt from at most (a sample by a hash of doc_id where more are labelled).
 TRAIN_LIMIT = 50_000
 UNKNOWN = "und"
-#: Two standard deviations of the cosine of random vectors.
-NOISE = 2 / DIMENSIONS**0.5
 _SYMBOLS = 64
 _ORDER = 3
 _CODES = _SYMBOLS**_ORDER
@@ -161,8 +159,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = NOISE) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and a score that random vectors seldom reach. All columns stay; no shuffle."""
+def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` with a language (not ``und``) and a score of at least ``least``. All columns stay; no shuffle.
+
+    Very short clean texts have low cosines, so there is no least score unless the caller wants one.
+    """
     one, at = Predictor(prototypes), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
