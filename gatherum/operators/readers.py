@@ -5,11 +5,12 @@ A reader takes (blocks or lines of documents) and returns candidates: doc_id, fi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatherum.operators.rules import first_candidate
@@ -36,24 +37,71 @@ def fields() -> list[str]:
 
 @dataclass(frozen=True)
 class Tier:
-    """``pattern`` finds a value (its first group) in the lines that ``scope`` admits: all, head (first lines) or tail."""
+    """``pattern`` finds a value (its first group that took part) in lines that the scope, the roles and the neighbours admit.
+
+    Scopes: all, first6, head (15 lines), head25, late_head (16 to 40), page1 (60), tail (15), last3. Roles: all, proposal,
+    response, other, not_proposal, not_response. ``above`` and ``below`` are patterns of the next lines that aren't blank.
+    """
 
     name: str
     pattern: str
     scope: str = "all"
+    roles: str = "all"
+    above: str | None = None
+    below: str | None = None
+
+    def value(self) -> Column:
+        line, rest = F.col("line"), F.col("n_lines") - F.col("line")
+        scopes = {"all": None, "first6": line < 6, "head": line < 15, "head25": line < 25, "late_head": (line >= 15) & (line < 40), "page1": line < 60, "tail": rest <= 15, "last3": rest <= 3}
+        conditions = [scopes[self.scope]]
+        if self.roles != "all":
+            wanted = F.col("role") == self.roles.removeprefix("not_")
+            conditions.append(~wanted if self.roles.startswith("not_") else wanted)
+        conditions += [F.col(c).rlike(p) for c, p in (("above", self.above), ("below", self.below)) if p is not None]
+        groups = re.compile(re.sub(r"\\p\{L[ul]?\}", "x", self.pattern).replace("++", "+")).groups
+        out = F.coalesce(*[F.nullif(F.regexp_extract("text", self.pattern, g), F.lit("")) for g in range(1, groups + 1)])
+        for c in conditions:
+            out = out if c is None else F.when(c, out)
+        return out
+
+
+_TIERS: dict[str, list[Tier]] = {}
+
+
+def register_tiers(field: str, tiers: list[Tier]) -> None:
+    """A field whose reader is a ranked list of tiers."""
+    _TIERS[field] = tiers
+    register(field)(lambda lines: tier_candidates(lines, field, tiers))
+
+
+def tier_table(spark: SparkSession) -> DataFrame:
+    """(field, tier_rank, tier, scope, roles, pattern): the registered tiers as rows."""
+    rows = [(f, k, t.name, t.scope, t.roles, t.pattern) for f, ts in sorted(_TIERS.items()) for k, t in enumerate(ts, 1)]
+    return spark.createDataFrame(rows, "field string, tier_rank int, tier string, scope string, roles string, pattern string")
+
 
+def reader_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines as readers want them: with the number of lines, the role of the document and the neighbours that aren't blank.
 
-def tier_candidates(lines: DataFrame, field: str, tiers: list[Tier], head: int = 15) -> DataFrame:
+    ``documents``: doc_id, role; ``lines``: doc_id, line, text, start.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line")
+    solid = F.when(F.trim("text") != "", F.col("text"))
+    sized = lines.withColumns({
+        "above": F.last(solid, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "below": F.first(solid, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "n_lines": F.count("*").over(Window.partitionBy("doc_id")),
+    })
+    return sized.join(documents.select("doc_id", "role"), "doc_id", "left").withColumn("role", F.coalesce("role", F.lit("other")))
+
+
+def tier_candidates(lines: DataFrame, field: str, tiers: list[Tier]) -> DataFrame:
     """One row per tier and line with a match; offsets are those of the value in the document.
 
-    ``lines``: doc_id, line, text, start, n_lines. Tiers are one array per line, so lines are read once however many there are.
+    A line is read once for all tiers, and only tiers with a value become rows.
     """
-    admits = {"all": F.lit(True), "head": F.col("line") < head, "tail": F.col("line") >= F.col("n_lines") - head}
-    found = [
-        F.struct(F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), F.when(admits[t.scope], F.nullif(F.regexp_extract("text", t.pattern, 1), F.lit(""))).alias("value"))
-        for k, t in enumerate(tiers, 1)
-    ]
-    rows = lines.select("doc_id", "line", "text", "start", F.explode(F.array(*found)).alias("x")).where("x.value is not null")
+    found = F.filter(F.array(*[F.struct(F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), t.value().alias("value")) for k, t in enumerate(tiers, 1)]), lambda x: x["value"].isNotNull())
+    rows = lines.select("doc_id", "text", "start", F.explode(found).alias("x"))
     begin = F.col("start") + F.expr("locate(x.value, text)") - 1
     return rows.select("doc_id", F.lit(field).alias("field"), "x.tier", "x.tier_rank", "x.value", begin.cast("long").alias("start"), (begin + F.length("x.value")).cast("long").alias("stop"))
 
@@ -106,35 +154,7 @@ def searched_slots(documents: DataFrame, cascade: DataFrame) -> DataFrame:
     return fit.groupBy("doc_id", "slot").agg(best.alias("rule_id"))
 
 
-@register("affair_number")
-def _number(lines: DataFrame) -> DataFrame:
-    return tier_candidates(lines, "affair_number", [
-        Tier("label_line", r"(?i)(?:gesch[äa]fts?|affaire|oggetto)?\s*(?:nr|no|n°|numero|num[ée]ro)\.?\s*:?\s*(\d{2,4}[./-]\d{1,5})", "head"),
-        Tier("year_number", r"\b((?:19|20)\d{2}[./-]\d{1,5})\b", "head"),
-        Tier("short_year_number", r"\b(\d{2}\.\d{3,4})\b"),
-    ])
-
-
-@register("submission_date")
-def _submitted(lines: DataFrame) -> DataFrame:
-    return tier_candidates(lines, "submission_date", [
-        Tier("label", r"(?i)(?:eingereicht|d[ée]pos[ée]e?|presentat[oa])[^0-9]{0,40}(\d{1,2}[./]\d{1,2}[./]\d{4})"),
-        Tier("head_date", r"\b(\d{1,2}[./]\d{1,2}[./]\d{4})\b", "head"),
-        Tier("iso_date", r"\b(\d{4}-\d{2}-\d{2})\b"),
-    ])
-
-
-@register("responder")
-def _responder(lines: DataFrame) -> DataFrame:
-    return tier_candidates(lines, "responder", [
-        Tier("answer_of", r"(?i)(?:antwort|stellungnahme|r[ée]ponse|risposta)\s+(?:des|du|del|der)\s+((?:regierungsrat|gemeinderat|stadtrat|bundesrat|conseil d.[ée]tat|consiglio di stato)\w*)"),
-        Tier("organ_line", r"(?i)^\s*((?:regierungsrat|gemeinderat|stadtrat|bundesrat|conseil d.[ée]tat|consiglio di stato)\b.{0,40})$", "head"),
-    ])
-
-
-@register("contact")
-def _contact(lines: DataFrame) -> DataFrame:
-    return tier_candidates(lines, "contact", [
-        Tier("e_mail", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
-        Tier("phone", r"(\+\d(?:[ .()-]{0,2}\d){7,14})"),
-    ])
+register_tiers("contact", [
+    Tier("e_mail", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
+    Tier("phone", r"(\+\d(?:[ .()-]{0,2}\d){7,14})"),
+])

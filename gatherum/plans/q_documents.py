@@ -11,6 +11,7 @@ from gatherum.operators import joins as J
 from gatherum.operators import readers as R
 from gatherum.operators import rules
 from gatherum.operators import sequence as Q
+from gatherum.operators import tiers  # noqa: F401  registers the readers
 from gatherum.plans.registry import LINES_SQL, query, table
 
 
@@ -237,9 +238,23 @@ def d15(spark, d):
   SELECT doc_id, start + strpos(text, v) AS start, 'e_mail' AS tier, 1 AS rank, v AS value FROM (SELECT *, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1), '') AS v FROM {LINES_SQL}) WHERE v IS NOT NULL
   UNION ALL SELECT doc_id, start + strpos(text, v), 'phone', 2, v FROM (SELECT *, nullif(regexp_extract(text, '(\+\d(?:[ .()-]{{0,2}}\d){{7,14}})', 1), '') AS v FROM {LINES_SQL}) WHERE v IS NOT NULL)) WHERE r = 1""")
 def d20(spark, d):
+    return R.read(_read_lines(spark, d), ["contact"]).select("doc_id", "field", "tier", "value")
+
+
+def _read_lines(spark, d):
     lines = _lines(spark, d)
-    sized = lines.withColumn("n_lines", F.count("*").over(Window.partitionBy("doc_id")))
-    return R.read(sized, ["contact"]).select("doc_id", "field", "tier", "value")
+    return R.reader_lines(O.document_role(O.role_features(lines)), lines)
+
+
+@query("d16_read_fields")
+def d16(spark, d):
+    """All seven head values and contacts of every document; fields without a candidate give no row."""
+    return R.read(_read_lines(spark, d)).select("doc_id", "field", "tier", "value", "start", "stop", "n_others")
+
+
+@query("d16_tier_table")
+def d16_tiers(spark, d):
+    return R.tier_table(spark)
 
 
 @query("d25_searched_slots", "SELECT doc_id, slot, arg_min(rule_id, CASE WHEN t = '*' THEN 1 ELSE 0 END) AS rule_id FROM documents JOIN (VALUES ('en', '*', 'title', 'r1'), ('en', 'src1', 'title', 'r2'), ('fr', '*', 'number', 'r3'), ('de', 'src2', 'date', 'r4')) c(k, t, slot, rule_id) ON lang = k AND (t = '*' OR t = source) GROUP BY ALL")

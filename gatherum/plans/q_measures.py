@@ -11,6 +11,7 @@ from gatherum.operators import measure as M
 from gatherum.operators import models as L
 from gatherum.operators import profile as P
 from gatherum.operators import readers as R
+from gatherum.operators import tiers  # noqa: F401  registers the readers
 from gatherum.plans import sparql
 from gatherum.plans.registry import query, table
 from gatherum.streaming import jobs
@@ -323,7 +324,7 @@ def r7(spark, d):
     return jobs.sessions(table(spark, d, "events"), "ts", "6 hours", "user_id")
 
 
-@query("u1_reader_registry", "SELECT unnest(['affair_number', 'contact', 'responder', 'submission_date']) AS field")
+@query("u1_reader_registry", "SELECT unnest(['affair_number', 'affair_type', 'contact', 'first_author', 'responder', 'response_date', 'submission_date', 'title']) AS field")
 def u1(spark, d):
     return spark.createDataFrame([(f,) for f in R.fields()], "field string")
 
