@@ -347,3 +347,56 @@ def e20(spark, d):
 @query("p8_first_of_rules", "SELECT p_partkey, CASE WHEN p_retailprice > 1500 THEN 'high' WHEN p_size < 10 THEN 'small' END AS reason FROM part")
 def p8(spark, d):
     return table(spark, d, "part").select("p_partkey", P.first_reason([("high", F.col("p_retailprice") > 1500), ("small", F.col("p_size") < 10)]).alias("reason"))
+
+
+# ---- the fixed example queries over a graph of labels
+
+
+def label_graph(spark, d):
+    """Label assertions: one per label row, with value, source and kind, a probability for most, a page, a status for some; short head values in a graph of their own."""
+    iri = lambda kind, c: F.concat(F.lit(f"{V}{kind}/"), F.col(c).cast("string"))
+    k = F.col("doc_id")
+    lab = table(spark, d, "labels").select("doc_id", "quality", F.when(k % 5 != 0, k % 100 / 100.0).alias("p"), (k % 7).alias("page"), F.when(k % 3 == 0, f"{V}unsure").when(k % 3 == 1, f"{V}certain").alias("status"))
+    facts = G.to_quads(lab, f"{V}g/labels", iri("label", "doc_id"), f"{V}LabelAssertion", {f"{V}value": "quality", f"{V}probability": "p", f"{V}page": "page"}, {f"{V}valueStatus": F.col("status"), f"{V}labelSource": F.when(F.col("quality") == 1, f"{V}rule").otherwise(f"{V}model"), f"{V}labelKind": F.lit(f"{V}block"), f"{V}subject": iri("block", "doc_id")})
+    blocks = table(spark, d, "documents").select("doc_id", F.lit(1).alias("position"), F.left("text", F.lit(250)).alias("text"))
+    b = G.to_quads(blocks, f"{V}g/labels", iri("block", "doc_id"), f"{V}PdfBlock", {f"{V}position": "position", f"{V}text": "text"})
+    heads = G.to_quads(table(spark, d, "nation"), f"{V}s/ech-0295", iri("nation", "n_nationkey"), f"{V}Nation", {f"{V}name": "n_name"})
+    return facts.unionByName(b).unionByName(heads)
+
+
+_L = f"(SELECT '{V}label/' || doc_id AS label, doc_id, quality::VARCHAR AS value, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 100 / 100.0::DOUBLE END AS p, (doc_id % 7)::VARCHAR AS page, CASE doc_id % 3 WHEN 0 THEN '{V}unsure' WHEN 1 THEN '{V}certain' END AS status, CASE WHEN quality = 1 THEN '{V}rule' ELSE '{V}model' END AS source FROM labels)"
+
+
+@query("g11_labels", f"SELECT label, value, p AS probability, status, page FROM {_L}")
+def g11_labels(spark, d):
+    text = _PREFIX + "SELECT ?label ?value ?probability ?status ?page WHERE { ?label a v:LabelAssertion ; v:value ?value . OPTIONAL { ?label v:probability ?probability } OPTIONAL { ?label v:valueStatus ?status } OPTIONAL { ?label v:page ?page } } ORDER BY ?page ?label"
+    return sparql.flat(sparql.run(label_graph(spark, d), text)).withColumn("probability", F.col("probability").cast("double"))
+
+
+@query("g11_unsure", f"SELECT label, value, p AS probability, page FROM {_L} WHERE status = '{V}unsure' AND p IS NOT NULL")
+def g11_unsure(spark, d):
+    text = _PREFIX + "SELECT ?label ?value ?probability ?page WHERE { ?label a v:LabelAssertion ; v:valueStatus v:unsure ; v:value ?value ; v:probability ?probability . OPTIONAL { ?label v:page ?page } } ORDER BY ?probability"
+    return sparql.flat(sparql.run(label_graph(spark, d), text)).withColumn("probability", F.col("probability").cast("double"))
+
+
+@query("g11_sources", f"SELECT source, '{V}block' AS kind, count(*) AS labels FROM {_L} GROUP BY source")
+def g11_sources(spark, d):
+    return sparql.flat(sparql.run(label_graph(spark, d), _PREFIX + "SELECT ?source ?kind (COUNT(?label) AS ?labels) WHERE { ?label a v:LabelAssertion ; v:labelSource ?source ; v:labelKind ?kind . } GROUP BY ?source ?kind ORDER BY ?source ?kind"))
+
+
+@query("g11_block_text", f"SELECT '1' AS position, value, p AS probability, left(text, 250) AS text FROM {_L} JOIN documents USING (doc_id)")
+def g11_block_text(spark, d):
+    text = _PREFIX + "SELECT ?position ?value ?probability ?text WHERE { ?block a v:PdfBlock ; v:position ?position . OPTIONAL { ?block v:text ?text } ?label a v:LabelAssertion ; v:subject ?block ; v:value ?value . OPTIONAL { ?label v:probability ?probability } } ORDER BY ?position"
+    return sparql.flat(sparql.run(label_graph(spark, d), text)).withColumn("probability", F.col("probability").cast("double"))
+
+
+@query("g11_head_values", f"SELECT '{V}nation/' || n_nationkey AS subject, '{V}name' AS property, n_name AS value FROM nation")
+def g11_head_values(spark, d):
+    text = 'SELECT ?subject ?property ?value WHERE { GRAPH ?g { ?subject ?property ?value } FILTER(STRENDS(STR(?g), "/ech-0295")) FILTER(isLiteral(?value) && STRLEN(STR(?value)) < 200) } ORDER BY ?subject ?property'
+    return sparql.flat(sparql.run(label_graph(spark, d), text))
+
+
+@query("g10_union_and_minus", f"SELECT '{V}nation/' || n_nationkey AS x FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT '{V}region/' || r_regionkey FROM region")
+def g10_union(spark, d):
+    text = _PREFIX + f"SELECT ?x WHERE {{ {{ ?x a v:Nation }} UNION {{ ?x a v:Region }} MINUS {{ ?x v:region <{V}region/1> }} }}"
+    return sparql.flat(sparql.run(quads(spark, d), text))

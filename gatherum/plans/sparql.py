@@ -1,6 +1,6 @@
 """A subset of SPARQL as DataFrame plans over a table of quads.
 
-SELECT and ASK with basic graph patterns, OPTIONAL, GRAPH, FILTER (comparisons, &&, ||, !, STR, STRLEN, STRENDS, STRSTARTS,
+SELECT and ASK with basic graph patterns, OPTIONAL, UNION, MINUS, GRAPH, FILTER (comparisons, &&, ||, !, STR, STRLEN, STRENDS, STRSTARTS,
 CONTAINS, isLiteral, isIRI, BOUND), DISTINCT, COUNT with GROUP BY, ORDER BY and LIMIT. The default graph is the union of all
 graphs, as a bag: a triple in two graphs gives two rows. Updates and the other forms are refused by name. A pattern becomes a
 filter on the quads, and patterns join on their common variables, so Catalyst orders and pushes what it can.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +145,14 @@ class _Parser:
                 out.append(("filter", self.either()))
             elif word == "SERVICE":
                 raise Refused("evaluation", "SERVICE")
+            elif word == "MINUS":
+                self.take()
+                out.append(("minus", self.group()))
+            elif self.peek()[1] == "{":
+                parts = [self.group()]
+                while self.has("UNION"):
+                    parts.append(self.group())
+                out.append(("union", parts))
             else:
                 self.triples(out)
             self.has(".")
@@ -245,6 +254,13 @@ class _Planner:
                 rows = _join(rows, self.group(item[2], item[1]))
             elif item[0] == "optional":
                 rows = _join(rows, self.group(item[1], graph), "left")
+            elif item[0] == "union":
+                parts = [self.group(part, graph) for part in item[1]]
+                rows = _join(rows, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+            elif item[0] == "minus":
+                other = self.group(item[1], graph)
+                common = [c for c in rows.columns if c in other.columns]
+                rows = rows.join(other.select(*common).distinct(), common, "left_anti") if common else rows
             else:
                 rows = rows.where(self.truth(item[1], rows.columns))
         return rows
