@@ -34,7 +34,7 @@ LEAF_CHARS = 1024
 #: Byte strings up to this length merge at once; longer ones are halved.
 _LEAF_BYTES = 16
 #: Remembered pre-tokens of a generation; there are two.
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

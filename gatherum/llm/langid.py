@@ -21,8 +21,7 @@ SEED = 20240229
 TRAIN_LIMIT = 50_000
 UNKNOWN = "und"
 _SYMBOLS = 64
-_ORDER = 3
-_CODES = _SYMBOLS**_ORDER
+_CODES = _SYMBOLS**3
 #: Characters of a piece of text whose n-grams are counted at once; pieces overlap so that none is lost.
 _PIECE = 1 << 20
 
@@ -43,16 +42,18 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _table(name: str) -> np.ndarray:
+    """``symbols``; ``pairs``: bound vectors of the first two letters of an n-gram (4 MB); ``last``: vectors of its third.
+
+    Bipolar components are kept as sign bits (1 for -1), so that binding is an exclusive or.
+    """
     if name not in _tables:
         if name == "symbols":
             _tables[name] = _symbol_table()
         else:
-            letters = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(_SYMBOLS, DIMENSIONS))
-            turned = [np.roll(letters, _ORDER - 1 - k, axis=1) for k in range(_ORDER)]
-            bound = turned[0]
-            for more in turned[1:]:
-                bound = (bound[:, None, :] * more[None, :, :]).reshape(-1, DIMENSIONS)
-            _tables[name] = bound
+            letters = np.random.default_rng(SEED).integers(0, 2, size=(_SYMBOLS, DIMENSIONS), dtype=np.uint8)
+            first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+            _tables["pairs"] = (first[:, None, :] ^ second[None, :, :]).reshape(-1, DIMENSIONS)
+            _tables["last"] = letters
     return _tables[name]
 
 
@@ -81,11 +82,14 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bundle of n-gram vectors."""
-    vectors, out = _table("vectors"), np.zeros(DIMENSIONS, dtype=np.float32)
-    for at in range(0, len(codes), 4096):
-        out += counts[at : at + 4096].astype(np.float32) @ vectors[codes[at : at + 4096]].astype(np.float32)
-    return out
+    """The bundle of n-gram vectors. N-gram vectors are bound when they are needed: a table of all would take 268 MB a worker."""
+    pairs, last, out = _table("pairs"), _table("last"), np.zeros(DIMENSIONS, dtype=np.float64)
+    for at in range(0, len(codes), 1024):
+        part = codes[at : at + 1024]
+        bound = pairs[part // _SYMBOLS]
+        bound ^= last[part % _SYMBOLS]
+        out -= counts[at : at + 1024].astype(np.float32) @ bound.astype(np.float32)
+    return (2 * out + counts.sum()).astype(np.float32)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
