@@ -97,3 +97,44 @@ def agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(n, equal, only_a, only_b) of two coders."""
     j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key, "full_outer")
     return j.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+
+
+def nested_penalty(df: DataFrame, vector: str, label: str, fold: str, grid: list[float], classes: int) -> DataFrame:
+    """(outer, c): for each outer fold the penalty with the least loss in cross-validation over the other folds; ties go to the smaller.
+
+    The last row (outer null) is the median of the choices, which is the penalty of the final fit.
+    """
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    chosen = []
+    for k in folds:
+        inner = grouped_cv(df.where(F.col(fold) != k), vector, label, fold, grid, classes).groupBy("c").agg(F.sum("nll").alias("nll"))
+        chosen.append((int(k), float(inner.orderBy("nll", "c").first()["c"])))
+    middle = float(np.quantile([c for _, c in chosen], 0.5, method="lower")) if chosen else None
+    return df.sparkSession.createDataFrame([*chosen, (None, middle)], "outer long, c double")
+
+
+def choice_probabilities(df: DataFrame, key: str, option: str, mass: str) -> DataFrame:
+    """Adds p: the mass of each option as a share of what its options have together; an even share if they have none."""
+    total = df.groupBy(key).agg(F.sum(mass).alias("_t"), F.count("*").alias("_n"))
+    return df.join(total, key).withColumn("p", F.when(F.col("_t") > 0, F.col(mass) / F.col("_t")).otherwise(F.lit(1.0) / F.col("_n"))).drop("_t", "_n")
+
+
+def mixture_decode(emissions: np.ndarray, starts: list[np.ndarray], steps: list[np.ndarray], prior: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(best component, posterior of components, best path in it) of a mixture of masked Markov models over one document."""
+    from gatherum.operators.sequence import viterbi
+
+    weights, paths = [], []
+    for start, step in zip(starts, steps):
+        forward, log_total = start * emissions[0], 0.0
+        for t in range(len(emissions)):
+            if t:
+                forward = (forward @ step) * emissions[t]
+            scale = max(forward.sum(), 1e-300)
+            forward, log_total = forward / scale, log_total + np.log(scale)
+        weights.append(log_total)
+        with np.errstate(divide="ignore"):
+            paths.append(viterbi(np.log(start), np.log(step), np.log(np.maximum(emissions, 1e-300))))
+    score = np.log(np.maximum(prior, 1e-300)) + np.array(weights)
+    posterior = softmax_rows(score[None, :])[0]
+    best = int(posterior.argmax())
+    return best, posterior, paths[best]

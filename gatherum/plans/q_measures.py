@@ -131,6 +131,19 @@ def l1(spark, d):
     return L.grouped_cv(folds, "embedding", "y", "fold", [0.1, 1.0], 4).select("c", "fold", "n", "correct")
 
 
+@query("l3_nested_penalty")
+def l3(spark, d):
+    folds = table(spark, d, "embeddings").select("embedding", (F.col("label") % 4).alias("y"), (F.col("vec_id") % 3).alias("fold"))
+    return L.nested_penalty(folds, "embedding", "y", "fold", [0.1, 1.0], 4)
+
+
+@query("l8_choice_probabilities", "SELECT l_orderkey, l_partkey, round(l_discount / sum(l_discount) OVER (PARTITION BY l_orderkey), 9) AS p FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_discount) > 0)")
+def l8(spark, d):
+    rows = table(spark, d, "lineitem")
+    some = rows.groupBy("l_orderkey").agg(F.sum("l_discount").alias("t")).where("t > 0")
+    return L.choice_probabilities(rows.join(some, "l_orderkey", "left_semi"), "l_orderkey", "l_partkey", "l_discount").select("l_orderkey", "l_partkey", F.round("p", 9).alias("p"))
+
+
 @query("l4_scaling")
 def l4(spark, d):
     rows = _scored(spark, d).select("p", "correct").toPandas()

@@ -114,3 +114,10 @@ def test_segment_errors_of_equal_segmentations(spark):
     rows = spark.createDataFrame(pd.DataFrame({"d": ["x"] * 8, "pos": range(8), "a": [0, 0, 0, 1, 1, 1, 2, 2]}))
     r = Q.segment_errors(rows.withColumn("b", F.col("a")), "d", "pos", "a", "b").first()
     assert r["pk"] == 0 and r["window_diff"] == 0
+
+
+def test_mixture_picks_the_component_that_fits():
+    stay, move = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.1, 0.9], [0.9, 0.1]])
+    emissions = np.array([[0.9, 0.1], [0.1, 0.9]] * 4)
+    best, posterior, path = L.mixture_decode(emissions, [np.full(2, 0.5)] * 2, [stay, move], np.full(2, 0.5))
+    assert best == 1 and posterior[1] > 0.99 and path.tolist() == [0, 1] * 4
