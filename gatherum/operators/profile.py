@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,23 +90,18 @@ def latest(df: DataFrame, key: list[str], value: str, order: list[str]) -> DataF
 
 def root_allocation(sizes: dict[tuple, int], n: int, least: int = 3) -> dict[tuple, int]:
     """Places for strata: at least ``least`` each, the rest by square roots with largest remainders, capped by size."""
-    keys = sorted(sizes)
-    quota = {s: min(sizes[s], least) for s in keys}
-    rest = n - sum(quota.values())
-    while rest > 0:
-        free = [s for s in keys if quota[s] < sizes[s]]
-        if not free:
-            break
-        weight = sum(math.sqrt(sizes[s]) for s in free)
-        raw = {s: rest * math.sqrt(sizes[s]) / weight for s in free}
-        give = {s: min(int(raw[s]), sizes[s] - quota[s]) for s in free}
-        if not any(give.values()):
-            for s in sorted(free, key=lambda s: int(raw[s]) - raw[s])[:rest]:
-                give[s] = 1
-        for s in free:
-            quota[s] += give[s]
-        rest = n - sum(quota.values())
-    return quota
+    names = sorted(sizes)
+    size = np.array([sizes[s] for s in names], dtype=np.int64)
+    places = np.minimum(size, least)
+    while (open_places := n - int(places.sum())) > 0 and (room := size - places).any():
+        root = np.where(room > 0, np.sqrt(size), 0.0)
+        exact = open_places * root / root.sum()
+        step = np.minimum(exact.astype(np.int64), room)
+        if not step.any():
+            best = np.argsort(np.where(room > 0, exact.astype(np.int64) - exact, 1.0), kind="stable")
+            step[best[: min(open_places, int((room > 0).sum()))]] = 1
+        places += step
+    return dict(zip(names, places.tolist()))
 
 
 def hash_order(seed: str, column: str) -> Column:

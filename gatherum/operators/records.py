@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,31 +99,31 @@ def rich_text(text: Column) -> Column:
 
 
 def design_allocation(sizes: dict[str, int], total: int, share: float = 0.5) -> dict[str, int]:
-    """Places by square root of size, one at least, capped at a share of the stratum (strata of one row get none)."""
-    cap = {s: math.ceil(share * n) if n > 1 else 0 for s, n in sizes.items()}
-    total = min(total, sum(cap.values()))
-    out = {s: 0 for s in sizes}
-    free = {s for s in sizes if cap[s] > 0}
-    while free:
-        rest = total - sum(out.values())
-        weight = sum(math.sqrt(sizes[s]) for s in free)
-        want = {s: rest * math.sqrt(sizes[s]) / weight for s in free}
-        full = {s for s in free if want[s] >= cap[s]}
-        for s in full:
-            out[s] = cap[s]
-        free -= full
-        if not full:
-            base = {s: max(1, math.floor(want[s])) for s in free}
-            left = rest - sum(base.values())
-            by_fraction = sorted(free, key=lambda s: (-(want[s] - math.floor(want[s])), s))
-            by_size = sorted(free, key=lambda s: (want[s], s))
-            for s in by_fraction if left > 0 else by_size:
-                if left > 0 and base[s] < cap[s]:
-                    base[s], left = base[s] + 1, left - 1
-                elif left < 0 and base[s] > 0:
-                    base[s], left = base[s] - 1, left + 1
-            return out | base
-    return out
+    """Places by square root of size, one at least, capped at a share of the stratum (strata of one row get none).
+
+    Water is poured over the roots until it stands at the caps of the full strata; what is left after rounding down goes to
+    the largest fractions, and what rounding up to one has cost comes from the strata with the least water.
+    """
+    names = sorted(sizes)
+    size = np.array([sizes[s] for s in names], dtype=float)
+    cap = np.where(size > 1, np.ceil(share * size), 0)
+    total, root = min(total, int(cap.sum())), np.sqrt(size)
+    full = cap == 0
+    while not full.all():
+        level = np.where(full, 0.0, (total - cap[full].sum()) * root / root[~full].sum())
+        spills = ~full & (level >= cap)
+        if not spills.any():
+            break
+        full |= spills
+    if full.all():
+        return dict(zip(names, cap.astype(int).tolist()))
+    places = np.where(full, cap, np.maximum(1, np.floor(level))).astype(int)
+    left = total - int(places.sum())
+    order = np.argsort(np.floor(level) - level if left > 0 else level, kind="stable")
+    able = [i for i in order if not full[i] and (places[i] < cap[i] if left > 0 else places[i] > 0)]
+    for i in able[: abs(left)]:
+        places[i] += 1 if left > 0 else -1
+    return dict(zip(names, places.tolist()))
 
 
 def round_robin_groups(groups: DataFrame, group: str, stratum: str, n: int, seed: str) -> DataFrame:
