@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gatherum.functions import numbers as N
 from gatherum.functions import text as T
@@ -430,6 +431,29 @@ def x6(spark, d):
     return a.join(b, F.col("a") == F.col("b"), "full_outer").where("a is null or b is null").select(F.coalesce("a", "b").alias("doc_id"), F.col("a").isNull().alias("only_right"))
 
 
+def _json_lines(spark, d):
+    return table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("value"))
+
+
+@query("s1_prefiltered_lines", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderpriority LIKE '1%'")
+def s1(spark, d):
+    schema = StructType([StructField("id", LongType()), StructField("status", StringType())])
+    return S.parse_lines(_json_lines(spark, d), schema, contains='"priority":"1').select("id", "status")
+
+
+@query("s4_key_filtered_scan", "SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def s4(spark, d):
+    schema = StructType([StructField("id", LongType()), StructField("priority", StringType())])
+    wanted = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("id"))
+    return S.parse_wanted(_json_lines(spark, d), schema, "id", wanted)
+
+
+@query("s10_file_guards", "SELECT page_id, CASE WHEN octet_length(encode(html)) < 1000 THEN 'too_small' WHEN octet_length(encode(html)) > 20000 THEN 'too_large' WHEN NOT contains(left(html, 900), '<html') THEN 'no_mark' END AS refused FROM pages")
+def s10(spark, d):
+    files = table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return S.sound_files(files, mark="<html", head=900, least=1000, most=20_000).select("page_id", "refused")
+
+
 @query("s7_metadata_probe", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.pages') AS INTEGER), try_cast(json_extract_string(props, '$.k') AS INTEGER)) AS number FROM events")
 def s7(spark, d):
     return table(spark, d, "events").select("event_id", S.first_of_json("props", ["pages", "k"]).alias("number"))

@@ -12,7 +12,11 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType, contains: st
 
     Lines that are no object have nulls and the line itself in ``_corrupt``.
     """
-    lines = spark.read.text(path)
+    return parse_lines(spark.read.text(path), schema, contains)
+
+
+def parse_lines(lines: DataFrame, schema: StructType, contains: str | None = None) -> DataFrame:
+    """``read_ndjson`` on lines that are there (column ``value``)."""
     if contains is not None:
         lines = lines.where(F.col("value").contains(contains))
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
@@ -31,7 +35,11 @@ def parse_errors(spark: SparkSession, path: str, schema: StructType) -> DataFram
 def read_wanted(spark: SparkSession, path: str, schema: StructType, key: str, wanted: DataFrame) -> DataFrame:
     """Objects whose ``key`` is in ``wanted`` (one column of that name): the key is read from the raw line, and only lines that
     survive the semi-join are parsed, with the fields of ``schema`` only."""
-    lines = spark.read.text(path)
+    return parse_wanted(spark.read.text(path), schema, key, wanted)
+
+
+def parse_wanted(lines: DataFrame, schema: StructType, key: str, wanted: DataFrame) -> DataFrame:
+    """``read_wanted`` on lines that are there (column ``value``)."""
     found = F.coalesce(F.regexp_extract("value", rf'"{key}"\s*:\s*"?([^",}}\s]+)"?', 1), F.lit(""))
     keys = wanted.select(F.col(key).cast("string").alias("_key")).distinct()
     return lines.withColumn("_key", found).join(keys, "_key", "left_semi").select(F.from_json("value", schema).alias("x")).select("x.*")
