@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gatherum.llm import bpe, components, decontaminate, langid, licences, oracles, pii, quality, secrets, sharding, simhash, warc
+from gatherum.llm import bpe, components, decontaminate, langid, licences, oracles, pii, quality, resemblance, secrets, sharding, simhash, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, fp long, h string, row string, slot int, valid string, key string, found string, item_id long"
@@ -360,6 +360,42 @@ def test_components_of_a_chain(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Every group of five-word shingle sets at a similarity of 0.8 leaves one row, by row and not by id."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = ["", "two words", "Two  WORDS"]
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    want = {k for k in range(len(texts)) if root(k) == k}
+    assert 40 < len(want) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in cp.near_duplicate_stage(spark, df, "").collect()) == sorted(want)
+    twice = [(1, texts[3]), (2, texts[3]), (2, "a text of its own that is like no other one"), (1, texts[3]), (None, texts[3]), (None, "one more text that stays alone"), (None, "one more text that stays alone")]
+    got = cp.near_duplicate_stage(spark, spark.createDataFrame(twice, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, got)) == sorted(str(spark.createDataFrame([x], "doc_id long, text string").first()) for x in (twice[0], twice[2], twice[5]))
+
+
 # ---- secrets
 
 
