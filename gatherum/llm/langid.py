@@ -9,6 +9,7 @@ Bundling is linear, so counts of n-grams are gathered first and meet the n-gram
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ DIMENSIONS = 1024
 SEED = 20240229
 #: Documents that the prototypes are learnt from at most (a sample by a hash of doc_id where more are labelled).
 TRAIN_LIMIT = 50_000
+#: Documents that a floor of scores is learnt from: about so many at most, so many at least.
+FLOOR_LIMIT, FLOOR_ROWS = 5_000, 100
+#: So many trigrams say nothing about a language: the floor is 0 up to here and rises to its share with longer texts.
+SHORT = 6
 UNKNOWN = "und"
 _SYMBOLS = 64
 _CODES = _SYMBOLS**3
@@ -137,12 +142,20 @@ class Predictor:
         self.names = sorted(prototypes)
         self.matrix = np.stack([prototypes[x] for x in self.names]).astype(np.float32) if self.names else np.zeros((0, DIMENSIONS), np.float32)
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def cosines(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Number of trigrams (repeats count up to twice the distinct ones), and the cosine with each prototype (none where nothing can be compared)."""
         codes, counts = trigram_counts(text)
         if not len(codes) or not len(self.matrix):
-            return UNKNOWN, 0.0
+            return 0, np.zeros(0, np.float32)
         v = encode(codes, counts)
-        cosine = self.matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
+        return min(int(counts.sum()), 2 * len(codes)), self.matrix @ v / max(float(np.linalg.norm(v)), 1e-9)
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.named(self.cosines(text)[1])
+
+    def named(self, cosine: np.ndarray) -> tuple[str, float]:
+        if not len(cosine):
+            return UNKNOWN, 0.0
         best = int(np.argmax(cosine))
         return self.names[best], float(np.clip(cosine[best], 0.0, 1.0))
 
@@ -163,17 +176,65 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with a language (not ``und``) and a score of at least ``least``. All columns stay; no shuffle.
+class Floor(NamedTuple):
+    """Least score of a text of n trigrams: ``share`` of sqrt(n / (n + half)), which clean texts of that length have, less for short ones."""
+
+    half: float = 0.0
+    share: float = 0.0
+
+    def __call__(self, n: int) -> float:
+        return self.share * (n / (n + self.half)) ** 0.5 * max(0.0, 1 - SHORT / n) if n else 0.0
+
 
-    Very short clean texts have low cosines, so there is no least score unless the caller wants one.
+def learn_floor(rows: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FLOOR_LIMIT) -> Floor:
+    """The floor of labelled rows, from a sample of about ``limit`` by a hash of the id.
+
+    ``half`` is the median over the rows that are closest to their own prototype; 99.9 % of them reach ``share`` with it. No floor is
+    learnt from fewer than ``FLOOR_ROWS`` rows or a single language.
+    """
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isin(sorted(prototypes)))
+    total = rows.count()
+    if total < FLOOR_ROWS or len(prototypes) < 2:
+        return Floor()
+    if total > limit:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / total))
+    one = Predictor(prototypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, cosine = one.cosines(text)
+                if n:
+                    at = one.names.index(lang)
+                    got.append((n, float(cosine[at]), float(np.delete(cosine, at).max())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.float64()) for k in range(3)], names=["n", "own", "other"])
+
+    found = rows.select("text", "lang").mapInArrow(run, "n double, own double, other double").toArrow()
+    n, own, other = (found.column(k).to_numpy() for k in range(3))
+    clear = (own > other) & (own > 0)
+    if clear.sum() < FLOOR_ROWS:
+        return Floor()
+    n, own = n[clear], own[clear]
+    half = float(np.median(n * np.maximum(1 / own**2 - 1, 0)))
+    return Floor(half, 0.9999 * float(np.quantile(own / np.sqrt(n / (n + half)), 0.001, method="lower")))
+
+
+def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0, floor: Floor | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language (not ``und``), a score of at least ``least`` and, where given, of the floor for their length.
+
+    All columns stay; no shuffle. Very short clean texts have low cosines, so ``least`` is 0 unless the caller wants one.
     """
-    one, at = Predictor(prototypes), docs.columns.index(text_col)
+    one, at, floor = Predictor(prototypes), docs.columns.index(text_col), floor or Floor()
+
+    def known(text: str | None) -> bool:
+        n, cosine = one.cosines(text)
+        name, score = one.named(cosine)
+        return name != UNKNOWN and score >= max(least, floor(n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
+            yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -447,6 +447,20 @@ def test_languages(spark, docs, none):
     assert kept.columns == df.columns and kept.where("doc_id >= 1000").count() == 0 and kept.count() == 400
 
 
+def test_language_stage_rejects_noise_and_unlearnt_languages(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(2)
+    say = {"en": "the and of to in that with from this have which there would people other about because through little".split(), "de": "der und die das nicht mit von für über schön ist wird werden keine zwischen schon immer gegen durch".split(), "fr": "le la les des être avec pour où déjà qui dans cette toujours jamais leur nous vous très".split()}
+    rows = [(k, " ".join(rng.choice(say[lang]) for _ in range(rng.choice([2, 4, 10, 60, 200]))), lang) for k in range(600) for lang in [sorted(say)[k % 3]]]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(rng.choice([120, 600]))) for _ in range(20)]
+    noise += [" ".join(f"{rng.getrandbits(128):032x}" for _ in range(20)) for _ in range(20)]
+    noise += [" ".join(rng.choice("että joka mutta niin kuin hyvä yötä kaikki tämä ovat olisi vielä sitten jälkeen työ mikä".split()) for _ in range(80)) for _ in range(20)]
+    df = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(noise)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in cp.language_stage(spark, df, "").collect()}
+    assert len(kept & set(range(600))) >= 598 and not any(k >= 1000 for k in kept)
+
+
 def test_trigrams_of_long_texts(monkeypatch):
     text = ("Über die schöne Straße, déjà vu. " * 2000)[:50_000]
     whole = langid.trigram_counts(text)
