@@ -29,6 +29,12 @@ def f1_any(spark, d):
     return _docs(spark, d).select("doc_id", T.fold(F.left("text", F.lit(200))).alias("folded"))
 
 
+@query("f1_fold_any_script_whole", f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents")
+def f1_any_whole(spark, d):
+    """As f1_fold_any_script, over all of the text."""
+    return _docs(spark, d).select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
 @query("f2_norm_text", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal FROM documents")
 def f2(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.norm(F.col("text")).cast("binary")).alias("normal"))

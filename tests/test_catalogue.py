@@ -51,3 +51,8 @@ def test_entry_imports(spark):
 
     assert e.entry(spark).columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fold_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(k, "Éa " * 300 + end) for k, end in enumerate("xy")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r["folded"] for r in QUERIES["f1_fold_any_script_whole"](spark, str(tmp_path)).collect()}) == 2
