@@ -85,3 +85,44 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units = passages(docs, id_col, text_col).withColumn("words", words).where(F.size("words") > least)
     best = units.select("doc_id", "unit", "unit_no", F.array_min(let(_bigrams(F.col("words")), scores)).alias("best")).where("best is not null")
     return best.select("doc_id", "unit", "unit_no", "best.template", "best.licence", "best.n_bigrams", "best.n_common", "best.dice")
+
+
+def embedded_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per notice anywhere in a text: doc_id, first_word, n_words, template, licence, n_bigrams, n_common, dice.
+
+    Windows of words slide over the whole text, so lines, comment marks and the sentence around a notice don't matter. A window begins and ends
+    with a bigram of its template and has up to twice as many bigrams (repeats included); one that reaches the threshold counts
+    unless an overlapping one has a larger coefficient, or the same and begins earlier, or the same again and a template first by name. Only
+    texts that hold enough bigrams of a template anywhere get windows. Null and empty texts give no rows; repeated rows each give theirs.
+    """
+    known = [(name, licence, template_bigrams(text)) for name, licence, text in templates or TEMPLATES]
+    forms = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(x).alias("licence"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for n, x, b in known])
+    union = sorted({b for _, _, bigrams in known for b in bigrams})
+    low, high = threshold, 200 - threshold  # n_common * high >= n * low wherever the coefficient reaches the threshold
+
+    def window(words: Column, p: Column, q: Column, t: Column) -> Column:
+        def scored(mine: Column) -> Column:
+            common = F.size(F.array_intersect(mine, t["b"]))
+            row = F.struct((-F.round(common * 2.0 / (F.size(mine) + t["n"]), 6)).alias("order"), p["i"].alias("first"), t["template"].alias("template"), (q["i"] + 1).alias("last"), t["licence"].alias("licence"), F.size(mine).cast("long").alias("n_bigrams"), common.cast("long").alias("n_common"))
+            return F.when(common * 200 >= (F.size(mine) + t["n"]) * threshold, row)
+
+        return let(_bigrams(F.slice(words, p["i"] + 1, q["i"] - p["i"] + 2)), scored)
+
+    def of_template(words: Column, hits: Column, t: Column) -> Column:
+        ends = lambda mine, p: F.filter(mine, lambda q: (q["i"] >= p["i"]) & (q["i"] - p["i"] < t["n"] * 2))
+        best = lambda mine: F.transform(mine, lambda p: F.array_min(F.transform(ends(mine, p), lambda q: window(words, p, q, t))))
+        return F.filter(let(F.filter(hits, lambda h: F.array_contains(t["b"], h["b"])), best), lambda c: c.isNotNull())
+
+    def of_hits(words: Column, hits: Column) -> Column:
+        near = F.filter(forms, lambda t: F.size(F.array_intersect(F.transform(hits, lambda h: h["b"]), t["b"])) * high >= t["n"] * low)
+        found = F.flatten(F.transform(near, lambda t: of_template(words, hits, t)))
+        beaten = lambda c, x: F.exists(c, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & (y < x))
+        return let(found, lambda c: F.filter(c, lambda x: ~beaten(c, x)))
+
+    def of_words(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)).alias("b"), i.alias("i")))
+        return let(F.filter(pairs, lambda p: p["b"].isin(union)), lambda hits: of_hits(words, hits))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORDS), F.lit(0))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(let(words, of_words)).alias("w"))
+    return rows.select("doc_id", F.col("w.first").cast("long").alias("first_word"), (F.col("w.last") - F.col("w.first") + 1).cast("long").alias("n_words"), "w.template", "w.licence", "w.n_bigrams", "w.n_common", (-F.col("w.order")).alias("dice"))

@@ -29,6 +29,10 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op6_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.embedded_notices(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_licence_scan": op6_licence_scan,
+    "op6_licence_windows": op6_licence_windows,
     "op7_simhash_components": op7_simhash_components,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,

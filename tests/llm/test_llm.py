@@ -282,6 +282,17 @@ def test_licences(docs, none):
     assert licences.scan_licences(none).count() == 0
 
 
+def test_licences_inside_texts(spark, none):
+    gpl = next(text for name, _, text in licences.TEMPLATES if name == "gpl-3.0-header").split()
+    lines = [" ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)]
+    block = "/*\n * tool.c - does things\n * Copyright 2020 Some Body\n *\n" + "".join(f" * {x}\n *\n" for x in lines) + " * This program is distributed in the hope that it will be useful.\n */\nint main() {}"
+    said = "For all of it, it is Released under the MIT License. See the file for more. Later on: licensed under the Apache License, Version 2.0, they say."
+    rows = [(1, block), (2, said), (3, "nothing under the license of it"), (4, None), (5, "")]
+    got = [(r["doc_id"], r["licence"], r["dice"]) for r in licences.embedded_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, "GPL-3.0-or-later", 1.0), (2, "Apache-2.0", 1.0), (2, "MIT", 1.0)]
+    assert licences.embedded_notices(none).count() == 0
+
+
 # ---- near-duplicates
 
 
