@@ -365,13 +365,13 @@ def p8(spark, d):
 # ---- the fixed example queries over a graph of labels
 
 
-def label_graph(spark, d):
+def label_graph(spark, d, text=None):
     """Label assertions: one per label row, with value, source and kind, a probability for most, a page, a status for some; short head values in a graph of their own."""
     iri = lambda kind, c: F.concat(F.lit(f"{V}{kind}/"), F.col(c).cast("string"))
     k = F.col("doc_id")
     lab = table(spark, d, "labels").select("doc_id", "quality", F.when(k % 5 != 0, k % 100 / 100.0).alias("p"), (k % 7).alias("page"), F.when(k % 3 == 0, f"{V}unsure").when(k % 3 == 1, f"{V}certain").alias("status"))
     facts = G.to_quads(lab, f"{V}g/labels", iri("label", "doc_id"), f"{V}LabelAssertion", {f"{V}value": "quality", f"{V}probability": "p", f"{V}page": "page"}, {f"{V}valueStatus": F.col("status"), f"{V}labelSource": F.when(F.col("quality") == 1, f"{V}rule").otherwise(f"{V}model"), f"{V}labelKind": F.lit(f"{V}block"), f"{V}subject": iri("block", "doc_id")})
-    blocks = table(spark, d, "documents").select("doc_id", F.lit(1).alias("position"), F.left("text", F.lit(250)).alias("text"))
+    blocks = table(spark, d, "documents").select("doc_id", F.lit(1).alias("position"), (F.left("text", F.lit(250)) if text is None else text).alias("text"))
     b = G.to_quads(blocks, f"{V}g/labels", iri("block", "doc_id"), f"{V}PdfBlock", {f"{V}position": "position", f"{V}text": "text"})
     heads = G.to_quads(table(spark, d, "nation"), f"{V}s/ech-0295", iri("nation", "n_nationkey"), f"{V}Nation", {f"{V}name": "n_name"})
     return facts.unionByName(b).unionByName(heads)
@@ -403,6 +403,13 @@ def g11_block_text(spark, d):
     return sparql.flat(sparql.run(label_graph(spark, d), text)).withColumn("probability", F.col("probability").cast("double"))
 
 
+@query("g11_block_text_whole", f"SELECT '1' AS position, value, p AS probability, md5(text) AS text FROM {_L} JOIN documents USING (doc_id)")
+def g11_block_text_whole(spark, d):
+    """As g11_block_text, with all of the text in the graph; rows carry its md5."""
+    text = _PREFIX + "SELECT ?position ?value ?probability ?text WHERE { ?block a v:PdfBlock ; v:position ?position . OPTIONAL { ?block v:text ?text } ?label a v:LabelAssertion ; v:subject ?block ; v:value ?value . OPTIONAL { ?label v:probability ?probability } } ORDER BY ?position"
+    return sparql.flat(sparql.run(label_graph(spark, d, F.col("text")), text)).withColumn("probability", F.col("probability").cast("double")).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @query("g11_head_values", f"SELECT '{V}nation/' || n_nationkey AS subject, '{V}name' AS property, n_name AS value FROM nation")
 def g11_head_values(spark, d):
     text = 'SELECT ?subject ?property ?value WHERE { GRAPH ?g { ?subject ?property ?value } FILTER(STRENDS(STR(?g), "/ech-0295")) FILTER(isLiteral(?value) && STRLEN(STR(?value)) < 200) } ORDER BY ?subject ?property'
