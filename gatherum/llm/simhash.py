@@ -241,6 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (repeated rows of that id stay; null ids stay)."""
-    dropped = near_duplicates(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped.distinct(), id_col, "left_anti").select(*docs.columns)
+    """One row of each component: the one with the smallest id (a null id is the largest), whatever ids repeat."""
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(numbered, "simhash-docs")
+    component = near_duplicates(rows.select("row", F.col(f"doc.`{text_col}`").alias("text")), "row", "text", width, radius).select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    kept = rows.select("row", F.col(f"doc.`{id_col}`").alias("id")).join(component, "row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -371,6 +371,13 @@ def test_components_of_a_chain(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def test_repeated_ids_leave_one_row_of_a_component(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (2, a), (2, b), (1, a), (None, a), (None, b)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b)]
+
+
 def test_near_copies_of_the_pipeline(spark):
     """Every group of five-word shingle sets at a similarity of 0.8 leaves one row, by row and not by id."""
     import corpus_pipeline as cp
