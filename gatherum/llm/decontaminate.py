@@ -40,8 +40,9 @@ _WORD = re.compile(r"\w+")
 _UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]").search
 _MIXED_WORD = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
-_CHUNK_WORDS = 1 << 18
-_KNOWN_WORDS = 1 << 20
+_CHUNK_WORDS = 1 << 16
+#: Words and texts that a worker remembers.
+_KNOWN_WORDS, _SEEN_TEXTS = 1 << 17, 1 << 16
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -266,7 +267,7 @@ def _texts_with_hits(texts: DataFrame, seeds: Filter) -> DataFrame:
                 if key not in seen:
                     fresh.append(i)
                     seen.add(key)
-            if len(seen) > _KNOWN_WORDS:
+            if len(seen) > _SEEN_TEXTS:
                 seen.clear()
             part = batch.take(pa.array(fresh, pa.int64()))
             for owner, place, code in seeds.hits(part.column(2).to_pylist()):
