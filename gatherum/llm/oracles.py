@@ -13,8 +13,6 @@ _RATES = {
     "dup_line_rate": "n_dup_lines * 10000 // greatest(n_lines, 1)",
     "repeat_rate": "n_repeat_words * 10000 // greatest(n_words, 1)",
 }
-_SLACK = "CASE measure WHEN 'mean_length' THEN 2000 WHEN 'symbol_rate' THEN 1000 WHEN 'dup_line_rate' THEN 2000 ELSE 1000 END"
-
 OP1 = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '{_WORD}') AS words FROM t),
@@ -31,9 +29,14 @@ m AS (
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 r AS ({" UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS measure, {v} AS value FROM b" for k, v in _RATES.items())}),
 s AS (SELECT lang, source, measure, CASE WHEN value < 64 THEN value ELSE (value >> (len(bin(value)) - 6)::BIGINT) << (len(bin(value)) - 6)::BIGINT END AS low FROM r WHERE NOT base_failed),
-q AS (SELECT lang, source, measure, low, row_number() OVER (PARTITION BY lang, source, measure ORDER BY low) AS k, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM s),
-f AS (SELECT lang, source, measure, min(CASE WHEN k = (n * 25 + 99) // 100 THEN low END) AS q1, min(CASE WHEN k = (n * 75 + 99) // 100 THEN low END) AS q3 FROM q GROUP BY ALL),
-h AS (SELECT lang, source, measure, q1 - greatest(3 * (q3 - q1), {_SLACK}) AS low, q3 + greatest(3 * (q3 - q1), {_SLACK}) AS high FROM f),
+pooled AS (SELECT *, CASE measure WHEN 'mean_length' THEN 90 ELSE 99 END AS tail, CASE measure WHEN 'mean_length' THEN 40 ELSE 18 END AS tenths FROM (
+  SELECT 0 AS level, lang, source, measure, low FROM s UNION ALL SELECT 1, lang, NULL, measure, low FROM s UNION ALL SELECT 2, NULL, NULL, measure, low FROM s)),
+q AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS k, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM pooled),
+f AS (SELECT level, lang, source, measure, n, tail, tenths, min(CASE WHEN k = (n * 50 + 99) // 100 THEN low END) AS middle, min(CASE WHEN k = (n * (100 - tail) + 99) // 100 THEN low END) AS lower,
+  min(CASE WHEN k = (n * tail + 99) // 100 THEN low + CASE WHEN low < 64 THEN 0 ELSE (1::BIGINT << (len(bin(low)) - 6)::BIGINT) - 1 END END) AS upper FROM q GROUP BY ALL),
+e AS (SELECT level, lang, source, measure, lower - (middle - lower) * tenths // 10 AS low, upper + (upper - middle) * tenths // 10 AS high, n * (100 - tail) >= 1000 AND upper > middle AS usable FROM f),
+h AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.usable THEN a.low WHEN b.usable THEN b.low ELSE c.low END AS low, CASE WHEN a.usable THEN a.high WHEN b.usable THEN b.high ELSE c.high END AS high
+  FROM e a JOIN e b ON b.level = 1 AND a.measure = b.measure AND a.lang IS NOT DISTINCT FROM b.lang JOIN e c ON c.level = 2 AND a.measure = c.measure WHERE a.level = 0),
 v AS (SELECT rid, bool_and(value <= high AND (r.measure <> 'mean_length' OR value >= low)) AS inside
   FROM r JOIN h ON r.measure = h.measure AND r.lang IS NOT DISTINCT FROM h.lang AND r.source IS NOT DISTINCT FROM h.source GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND inside, false) AS kept FROM b LEFT JOIN v USING (rid)

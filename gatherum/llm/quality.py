@@ -2,9 +2,11 @@
 
 Each document gets counts of its words, symbols, repeated lines and repeated 8-word windows. Thresholds are not fixed: for
 every language and source a mergeable quantile sketch holds the distribution of each measure, and documents far outside the
-middle half of their own group are dropped. A sketch is a log-linear histogram (values keep their six leading bits, so the
+bulk of their own group are dropped. A sketch is a log-linear histogram (values keep their six leading bits, so the
 relative error is below 1/32): buckets merge by adding counts, in any order, so partial sketches combine before the shuffle
-and again behind it. Thresholds are joined back on (language, source).
+and again behind it, and the sketches of sources add up to those of their language and of everything. A group that has too few
+rows for its tail, or no spread, takes the fences of its language, and that in turn those of all rows. Thresholds are joined
+back on (language, source).
 
 DataFrame functions only. Measures are integers, so equal inputs give equal results everywhere.
 """
@@ -22,10 +24,11 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SYMBOLS = "[#*$%&|<>]"
-#: Measure: (unit, slack). A document is out if it is further from the quartiles than three times the interquartile range
-#: and further than the slack; slacks keep small or uniform groups from dropping what is nearly like the rest.
-MEASURES = {"mean_length": 2000, "symbol_rate": 1000, "dup_line_rate": 2000, "repeat_rate": 1000}
-FENCE = 3
+#: Measure: the percentile that its fence starts from, and how many times the way there from the median (in tenths) lies beyond it. Both
+#: fences are 6.4 standard deviations out where values are normal. Measures that are zero nearly everywhere need the further tail.
+MEASURES = {"mean_length": (90, 40), "symbol_rate": (99, 18), "dup_line_rate": (99, 18), "repeat_rate": (99, 18)}
+#: Rows that a group must have beyond the percentile.
+TAIL_ROWS = 10
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,37 +88,70 @@ def bucket(value: str) -> Column:
     return F.expr(f"CASE WHEN {value} < 64 THEN {value} ELSE shiftleft(shiftright({value}, {drop}), {drop}) END")
 
 
+#: Whose sketch: that of a language and source, of a language, of all rows.
+LEVELS = ("group", "language", "all")
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, buckets): one mergeable sketch per group, an array of (low, n) in order."""
+    """(level, lang, source, measure, buckets): one mergeable sketch per group, an array of (low, n) in order.
+
+    Languages and everything are sums over the counts of the groups, not over the rows again.
+    """
     rates = measured.where("NOT base_failed").select("lang", "source", *[c.alias(k) for k, c in _rates().items()])
     long = rates.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in MEASURES])).alias("m")).select("lang", "source", "m.*")
     counted = long.groupBy("lang", "source", "measure", bucket("value").alias("low")).agg(F.count("*").alias("n"))
-    return counted.groupBy("lang", "source", "measure").agg(F.sort_array(F.collect_list(F.struct("low", "n"))).alias("buckets"))
+    null = F.lit(None).cast("string")
+    owners = F.array(*[F.struct(F.lit(level).alias("level"), (F.col("lang") if k < 2 else null).alias("lang"), (F.col("source") if k < 1 else null).alias("source")) for k, level in enumerate(LEVELS)])
+    merged = counted.select(F.explode(owners).alias("o"), "measure", "low", "n").groupBy("o", "measure", "low").agg(F.sum("n").alias("n"))
+    return merged.groupBy("o", "measure").agg(F.sort_array(F.collect_list(F.struct("low", "n"))).alias("buckets")).select("o.*", "measure", "buckets")
 
 
-def quantile(percent: int) -> Column:
+def quantile(percent: Column | int) -> Column:
     """Lower end of the bucket with the value of rank ceil(percent / 100 * n)."""
     total = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + b["n"])
-    rank = F.expr("1") * F.floor((total * percent + 99) / 100)
+    rank = F.floor((total * percent + 99) / 100)
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
     step = lambda a, b, need: F.struct((a["seen"] + b["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + b["n"] >= need, b["low"])).alias("at"))
     return let(rank, lambda need: F.aggregate("buckets", start, lambda a, b: step(a, b, need), lambda a: a["at"]))
 
 
+def bucket_end(low: Column) -> Column:
+    """The largest value of the bucket that begins at ``low``: what a quantile may be at most."""
+    return let(low, lambda v: v + F.when(v < 64, F.lit(0).cast("long")).otherwise(F.floor(F.pow(F.lit(2.0), F.length(F.bin(v)) - 6)) - 1))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, measure, low, high, usable): fences from the quantiles of each sketch."""
+    tail = F.element_at(F.create_map(*[F.lit(x) for k, (p, _) in MEASURES.items() for x in (k, p)]), F.col("measure"))
+    tenths = F.element_at(F.create_map(*[F.lit(x) for k, (_, t) in MEASURES.items() for x in (k, t)]), F.col("measure"))
+    rows = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + b["n"])
+    points = sketch.select("level", "lang", "source", "measure", rows.alias("n"), tail.alias("tail"), tenths.alias("tenths"), quantile(50).alias("middle"), bucket_end(quantile(tail)).alias("upper"), quantile(100 - tail).alias("lower"))
+    out = lambda way: F.floor(way * F.col("tenths") / 10)
+    return points.select(
+        "level", "lang", "source", "measure",
+        (F.col("lower") - out(F.col("middle") - F.col("lower"))).alias("low"), (F.col("upper") + out(F.col("upper") - F.col("middle"))).alias("high"),
+        ((F.col("n") * (100 - F.col("tail")) >= TAIL_ROWS * 100) & (F.col("upper") > F.col("middle"))).alias("usable"),
+    )
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high): fences around the middle half of each group."""
-    quartiles = sketch.select("lang", "source", "measure", quantile(25).alias("q1"), quantile(75).alias("q3"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    reach = F.greatest((F.col("q3") - F.col("q1")) * FENCE, slack)
-    fences = quartiles.select("lang", "source", "measure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(e))).alias(f"{k}_{e}") for k in MEASURES for e in ("low", "high")])
+    """(lang, source, then <measure>_low, <measure>_high, <measure>_level): the fences that hold for each group, and whose sketch gave them."""
+    made = fences(sketch)
+    own, language, everything = (made.where(F.col("level") == level) for level in LEVELS)
+    end = lambda rows, p: rows.select("lang", "measure", F.struct("low", "high", "level").alias(p), F.col("usable").alias(f"{p}_usable"))
+    second = end(language, "second").withColumnsRenamed({"lang": "lang2", "measure": "measure2"})
+    third = end(everything, "third").select(F.col("measure").alias("measure3"), "third")
+    joined = own.join(second, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("measure2"))).join(third, F.col("measure") == F.col("measure3"))
+    chosen = joined.select("lang", "source", "measure", F.when(F.col("usable"), F.struct("low", "high", "level")).when(F.col("second_usable"), F.col("second")).otherwise(F.col("third")).alias("f"))
+    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("f")[e])).alias(f"{k}_{e}") for k in MEASURES for e in ("low", "high", "level")])
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, lang, source, the counts, base_failed, kept.
 
-    Null or empty texts have zero counts and fail the base rules. Rows with a null language or source form groups of their
-    own. Repeated rows stay and count as often as they occur; an empty table gives no rows; other columns are ignored.
+    Null or empty texts have zero counts and fail the base rules; a text of any length is read whole. Rows with a null language or
+    source form groups of their own. Repeated rows stay and count as often as they occur, values at a fence stay inside; an empty
+    table gives no rows; other columns are ignored.
     """
     measured = materialise(measure(docs, id_col, text_col, lang_col, source_col), "quality")
     limits = thresholds(sketches(measured)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
