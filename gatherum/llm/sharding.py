@@ -62,8 +62,11 @@ def shard_names(shards: int) -> list[str]:
 def place(rows: DataFrame, key_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """One row per input row: the key, its slot and its shard.
 
-    Equal keys, repeated rows included, have equal places; null keys share one place; an empty table gives no rows; other
-    columns are ignored. Keys meet the table by a broadcast join, so no row is shuffled and hot keys do no harm.
+    Equal keys, repeated rows included, have equal places; null keys share one place; keys of any length are hashed whole; an empty
+    table gives no rows; other columns are ignored, whatever their names. Keys meet the table by a broadcast join, so no row is
+    shuffled and hot keys do no harm. A key column that is itself called slot or shard keeps its name and stands first.
     """
     table = lookup_table(rows.sparkSession, shard_names(shards), slots)
-    return rows.select(F.col(key_col), slot_of(F.col(key_col), slots).alias("slot")).join(F.broadcast(table), "slot").select(key_col, "slot", "shard")
+    key = F.col(f"`{key_col}`")
+    joined = rows.select(key.alias("_key"), slot_of(key, slots).alias("slot")).join(F.broadcast(table), "slot")
+    return joined.select("_key", "slot", "shard").toDF(key_col, "slot", "shard")

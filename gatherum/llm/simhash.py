@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherum.llm.common import materialise
+from gatherum.llm.common import join_facts, materialise
 from gatherum.llm.components import connected_components
 
 SEED = 42
@@ -31,6 +31,8 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Runs up to this length compare all their pairs as lanes; longer ones compare queries with planes of the whole run.
 _SMALL_RUN = 48
 _BUFFER_ROWS = 200_000
+#: Fingerprints of a bucket that one task compares.
+MOST_IN_BUCKET = 16_384
 
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -190,61 +192,99 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning links (src > dst) between classes (fp, id) whose fingerprints differ in at most ``radius`` bits."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(_table_masks(radius))])
+def _runs_of_links(radius: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of rows (key, fp, id) that are sorted by key: (src, dst, key, fp). A bucket of more than ``most`` rows is passed on as it came, without dst.
+
+    No more than a buffer and one bucket of ``most`` rows are held.
+    """
+
+    def links(key: np.ndarray, fp: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+        parent = bucket_links(key, fp.view(np.uint64), radius)
+        at = np.flatnonzero(parent != np.arange(len(parent)))
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(ident[parent[at]]), none, none], names=["src", "dst", "key", "fp"])
+
+    def passed(key: np.ndarray, fp: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ident), pa.nulls(len(ident), pa.int64()), pa.array(key), pa.array(fp)], names=["src", "dst", "key", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+        large, fresh = None, 0  # large: the key of the bucket that is being passed on
 
-        def links(key: np.ndarray, fp: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
-            parent = bucket_links(key, fp.view(np.uint64), radius)
-            at = np.flatnonzero(parent != np.arange(len(parent)))
-            return pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(ident[parent[at]])], names=["src", "dst"])
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, large
+            key, fp, ident = (np.concatenate(x) for x in zip(*held))
+            if large is not None:
+                cut = int(np.searchsorted(key, large, side="right"))
+                if cut:
+                    yield passed(key[:cut], fp[:cut], ident[:cut])
+                key, fp, ident = key[cut:], fp[cut:], ident[cut:]
+                large = large if not len(key) else None
+            open_from = len(key) if last or not len(key) else int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            start = np.flatnonzero(np.r_[True, key[1:open_from] != key[: open_from - 1]]) if open_from else np.zeros(0, int)
+            size = np.diff(np.r_[start, open_from])
+            over = np.repeat(size > most, size)
+            if over.any():
+                yield passed(key[:open_from][over], fp[:open_from][over], ident[:open_from][over])
+            if not over.all():
+                yield links(key[:open_from][~over], fp[:open_from][~over], ident[:open_from][~over])
+            key, fp, ident = key[open_from:], fp[open_from:], ident[open_from:]
+            if len(key) > most:
+                large = int(key[0])
+                yield passed(key, fp, ident)
+                key, fp, ident = key[:0], fp[:0], ident[:0]
+            held = [(key, fp, ident)]
 
         for batch in batches:
             held.append(tuple(batch.column(c).to_numpy() for c in range(3)))
-            rows += batch.num_rows
-            if rows < _BUFFER_ROWS:
-                continue
-            key, fp, ident = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            held, rows = [(key[cut:], fp[cut:], ident[cut:])], 0
-            if cut:
-                yield links(key[:cut], fp[:cut], ident[:cut])
+            fresh += batch.num_rows
+            if fresh >= _BUFFER_ROWS:
+                yield from settled(False)
+                fresh = 0
         if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
+            yield from settled(True)
+
+    return run
+
 
-    return (
-        classes.select(F.explode(keys).alias("key"), "fp", "id")
-        .repartition("key")
-        .sortWithinPartitions("key", "id")
-        .mapInArrow(run, "src long, dst long")
-        .distinct()
-    )
+def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """Spanning links (src > dst) between classes (fp, id) whose fingerprints differ in at most ``radius`` bits; a written table.
+
+    Buckets of more than ``most`` fingerprints are dealt to blocks by a hash, and each pair of blocks is compared by a task of its own.
+    """
+    schema = "src long, dst long, key long, fp long"
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(_table_masks(radius))])
+    sorted_rows = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
+    found = materialise(sorted_rows(classes.select(F.explode(keys).alias("key"), "fp", "id")).mapInArrow(_runs_of_links(radius, most), schema).distinct(), "simhash-links")
+    links, large = found.where("dst is not null").select("src", "dst"), found.where("dst is null").select("key", "fp", F.col("src").alias("id"))
+    if large.isEmpty():
+        return links
+    blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+    dealt = join_facts(large, large.groupBy("key").agg(F.count("*").alias("n")), "key", "n", large.count()).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks).cast("int")})
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least("own", j), F.greatest("own", j)))).alias("key")
+    again = sorted_rows(dealt.select(pair, "fp", "id")).mapInArrow(_runs_of_links(radius, 1 << 62), schema).select("src", "dst")
+    return materialise(links.unionByName(again).distinct(), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
-    Null and empty texts have fingerprint zero and link like any other; repeated rows stay; a null doc_id never becomes a
-    component_id unless its whole class has none; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are read whole; repeated rows stay; a null
+    doc_id never becomes a component_id unless its whole class has none; an empty table gives no rows; other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    links = near_links(classes.where("id is not null"), radius)
-    component = connected_components(links)
-    moved = classes.join(component, classes["id"] == component["node"]).select("fp", F.col("component").alias("moved_to"))
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("moved_to", "id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-classes")
+    component = connected_components(near_links(classes.where("id is not null").select("fp", "id"), radius))
+    named = materialise(classes.join(component, classes["id"] == component["node"], "left").select("fp", "n", F.coalesce("component", "id").alias("component_id")), "simhash-named")
+    # Copies of one document share a fingerprint, however many they are.
+    return join_facts(prints, named, "fp", "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one with the smallest id (a null id is the largest), whatever ids repeat."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = materialise(numbered, "simhash-docs")
-    component = near_duplicates(rows.select("row", F.col(f"doc.`{text_col}`").alias("text")), "row", "text", width, radius).select(F.col("doc_id").alias("row"), "component_id")
+    component = near_duplicates(rows.select("row", F.col("doc")[text_col].alias("text")), "row", "text", width, radius).select(F.col("doc_id").alias("row"), "component_id")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    kept = rows.select("row", F.col(f"doc.`{id_col}`").alias("id")).join(component, "row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.row")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    kept = rows.select("row", F.col("doc")[id_col].alias("id")).join(component, "row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
