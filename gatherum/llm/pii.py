@@ -4,30 +4,46 @@ Validated numbers and dates are permuted within their format by a keyed Feistel
 pseudonyms in every document and a value of a format stays one of that format:
 
 * payment card numbers (13 to 19 digits, Luhn): all digits but the check digit, which is computed anew; separators stay;
-* phone numbers (+ and 8 to 15 digits): all digits but the first; punctuation stays;
+* bank accounts (IBAN, mod 97): letters and digits behind the check digits, which are computed anew; country and spaces stay;
+* phone numbers (+ and 8 to 15 digits): all digits behind the country code; punctuation stays;
 * US social security numbers: a permutation of the valid ones;
 * dates (calendar days of 1800 to 2199, as Y-M-D, D.M.Y or D/M/Y): a permutation of the 146,097 days of that cycle;
 * IPv4 addresses: a permutation of all addresses;
-* e-mail addresses: letters and digits of the local part, in blocks of twelve, punctuation and domain stay. Local parts with
-  letters beyond ASCII have no such alphabet; they get letters of a keyed hash.
-
-Half-blocks have mixed radices whose product is exactly the size of the domain, so no cycle walking is needed. Values that
-fail their check (a Luhn sum, a calendar day) are no personal data and stay. DataFrame functions only, no shuffle.
+* e-mail addresses: the local part, punctuation, length and domain stay. ASCII letters and digits are permuted in blocks of
+  twelve; local parts with letters beyond ASCII character by character, each within its own alphabet.
+
+Half-blocks have mixed radices whose product is exactly the size of the domain, so no cycle walking is needed. Where characters
+have alphabets of their own, the network is unbalanced: each step shifts one character by a keyed function of all others, so it
+can be undone step by step. Values that fail their check (a Luhn sum, a calendar day) are no personal data and stay.
+DataFrame functions only, no shuffle. The key is secret: who has it can undo the permutations. It is never a default of the
+library: callers give it, and queries take it from the configuration (``configured_key``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherum.llm.quality import let
 
-KEY = "gatherum"
+#: The configuration that holds the key.
+KEY_SETTING = "spark.gatherum.pii.key"
 ROUNDS = 8
+#: Times that each character is shifted in the unbalanced network.
+TURNS = 3
 _EPOCH, _DAYS = "1800-01-01", 146_097
+#: Alphabets of single characters: (first code point, size). All others are runs of 32 code points.
+ALPHABETS = [(48, 10), (65, 26), (97, 26), (0xE0, 23), (0xF8, 8), (0x3B1, 25), (0x430, 32), (0x450, 16), (0x4E00, 20_992), (0xAC00, 11_172)]
+# Country calling codes of one and two digits; all others have three.
+_CODES_OF_ONE = "17"
+_CODES_OF_TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: What may be personal data, in this order where two start at one place.
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4})(?: (?=[A-Z]*\d)[A-Z0-9]{4}){1,6}(?: \d{1,3})?)(?![\p{L}\p{N}])",
     r"(?<!\d)\d{4}-\d{2}-\d{2}(?!-?\d)",
     r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![./]?\d)",
     r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
@@ -37,7 +53,22 @@ PATTERN = "|".join([
     r"(?<![\d-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?![ -]?\d)",
     r"(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![ -]?\d)",
 ])
-KINDS = ("email", "date", "ip", "phone", "ssn", "card")
+KINDS = ("email", "date", "ip", "phone", "ssn", "card", "iban")
+
+
+_made: dict[str, str] = {}
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key of the session's configuration; where none is set, one at random that lasts as long as the application, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms link within this application only", stacklevel=2)
+        _made[app] = secrets.token_hex(32)
+    return _made[app]
 
 
 def _round(value: Column, side: Column, tweak: str, radix: int, key: str) -> Column:
@@ -45,7 +76,7 @@ def _round(value: Column, side: Column, tweak: str, radix: int, key: str) -> Col
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(radix))
 
 
-def feistel(value: Column, a: int, b: int, tweak: str, key: str = KEY) -> Column:
+def feistel(value: Column, a: int, b: int, tweak: str, key: str) -> Column:
     """A keyed permutation of the whole numbers from 0 to a * b - 1, for radices up to about 2**31."""
 
     def step(s: Column, i: Column) -> Column:
@@ -87,15 +118,72 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """A match that looks like an account number but isn't one may hold a card number behind its first four characters."""
+    head = F.regexp_extract(m, r"^(?:[A-Z]{2}\d{2} ?)?", 0)
+
     def new(d: Column) -> Column:
         body = _permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), range(12, 19), "card", key)
         return F.when(luhn_sum(d) % 10 == 0, let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
-    return let(_digits(m), lambda d: _refill(m, new(d), r"\d"))
+    def behind(rest: Column) -> Column:
+        return F.when(rest.rlike(r"^\d[\d -]*$"), F.concat(head, let(_digits(rest), lambda d: _refill(rest, new(d), r"\d"))))
+
+    return let(F.substr(m, F.length(head) + 1), behind)
 
 
 def _phone(m: Column, key: str) -> Column:
-    return let(_digits(m), lambda d: _refill(m, F.concat(F.substr(d, F.lit(1), F.lit(1)), _permute_digits(F.substr(d, F.lit(2)), range(7, 15), "phone", key)), r"\d"))
+    def new(d: Column) -> Column:
+        width = F.when(F.substr(d, F.lit(1), F.lit(1)).isin(*_CODES_OF_ONE), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(*_CODES_OF_TWO), 2).otherwise(3)
+        return let(width, lambda w: F.concat(F.substr(d, F.lit(1), w), _permute_digits(F.substr(d, w + 1), range(5, 15), "phone", key)))
+
+    return let(_digits(m), lambda d: _refill(m, new(d), r"\d"))
+
+
+def _code_point(c: Column) -> Column:
+    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+
+
+def _alphabet(point: Column) -> Column:
+    """(first, size) of the alphabet of a code point."""
+    entry = lambda first, size: F.struct(first.cast("long").alias("first"), F.lit(size).cast("long").alias("size"))
+    out = entry(F.floor(point / 32) * 32, 32)
+    for first, size in ALPHABETS:
+        out = F.when((point >= first) & (point < first + size), entry(F.lit(first), size)).otherwise(out)
+    return out
+
+
+def shift_characters(text: Column, tweak: str, key: str) -> Column:
+    """A permutation of the texts with the same alphabets at each place: TURNS times, each character moves on in its alphabet by a keyed function of all others."""
+    points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), _code_point)
+    cells = F.transform(points, lambda p: let(_alphabet(p), lambda a: F.struct((p - a["first"]).alias("at"), a["first"].alias("first"), a["size"].alias("size"))))
+
+    def step(now: Column, k: Column) -> Column:
+        place = F.pmod(k, F.size(now))
+        others = F.array_join(F.transform(now, lambda x, i: F.when(i == place, F.lit("*")).otherwise((x["first"] + x["at"]).cast("string"))), ",")
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k.cast("string"), others).cast("binary"), 256)
+        by = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        moved = lambda x, d: F.struct(F.pmod(x["at"] + d, x["size"]).alias("at"), x["first"].alias("first"), x["size"].alias("size"))
+        return let(by, lambda d: F.transform(now, lambda x, i: F.when(i == place, moved(x, d)).otherwise(x)))
+
+    shown = lambda cells: F.array_join(F.transform(cells, lambda x: F.decode(F.unhex(F.lpad(F.hex(x["first"] + x["at"]), 8, "0")), "UTF-32")), "")
+    turned = let(cells, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) * TURNS - 1), c, step, shown))
+    return F.when(F.length(text) > 0, turned).otherwise(text)
+
+
+def iban_remainder(solid: Column) -> Column:
+    """What is left modulo 97 of an account number without spaces: 1 if it is valid."""
+    turned = F.concat(F.substr(solid, F.lit(5)), F.substr(solid, F.lit(1), F.lit(4)))
+    value = lambda c: F.conv(c, 36, 10).cast("long")
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0).cast("long"), lambda a, c: F.pmod(a * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)))
+
+
+def _iban(m: Column, key: str) -> Column:
+    def new(solid: Column) -> Column:
+        country = F.substr(solid, F.lit(1), F.lit(2))
+        fresh = lambda body: F.concat(country, F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
+        return F.when(F.length(solid).between(15, 34) & (iban_remainder(solid) == 1), let(shift_characters(F.substr(solid, F.lit(5)), "iban", key), fresh))
+
+    return let(F.regexp_replace(m, " ", ""), lambda s: _refill(m, new(s), "[A-Z0-9]"))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -154,13 +242,15 @@ def _email(m: Column, key: str) -> Column:
 
     plain = F.regexp_replace(local, "[^a-z0-9]", "")
     fresh = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(".{1,12}"), F.lit(0)), block), "")
-    hashed = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), local).cast("binary"), 256), 1, 12), "0123456789", "ghijklmnop")
-    return F.concat(F.when(local.rlike(r"^[\x00-\x7f]*$"), let(fresh, lambda f: _refill(local, f, "[a-z0-9]"))).otherwise(hashed), F.lit("@"), domain)
+    letters = F.regexp_replace(local, r"[^\p{L}\p{N}]", "")
+    shifted = lambda: let(shift_characters(letters, "email", key), lambda f: _refill(local, f, r"[\p{L}\p{N}]"))
+    return F.concat(F.when(local.rlike(r"^[\x00-\x7f]*$"), let(fresh, lambda f: _refill(local, f, "[a-z0-9]"))).otherwise(shifted()), F.lit("@"), domain)
 
 
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}") & (iban_remainder(F.regexp_replace(m, " ", "")) == 1), "iban")
         .when(m.rlike(r"^\+"), "phone")
         .when(m.rlike(r"^\d{4}-\d\d-\d\d$|^\d{1,2}([./])\d{1,2}\1\d{4}$"), "date")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
@@ -169,9 +259,9 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a match of PATTERN; null if it fails its check."""
-    make = {"email": _email, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
+    make = {"email": _email, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "iban": _iban}
     out = F.lit(None).cast("string")
     for name, of in make.items():
         out = F.when(kind == name, of(m, key)).otherwise(out)
@@ -195,11 +285,11 @@ def _rewritten(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     return rows.select("row", whole.alias("text"), valid.alias("valid"))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_<kind> for each kind, n_pii.
 
-    Null texts stay null with zero counts; texts without personal data stay as they are; repeated rows stay; an empty table
-    gives no rows; other columns are ignored. ``key`` is secret: who has it can undo the permutations.
+    Null texts stay null with zero counts; texts without personal data stay as they are, texts of any length are read whole;
+    repeated rows stay, equal values have equal pseudonyms; an empty table gives no rows; other columns are ignored.
     """
 
     def number_of(kind: str) -> Column:
@@ -209,6 +299,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _rewritten(kept, text_col, key).select(F.col("row")[id_col].cast("long").alias("doc_id"), "text", *map(number_of, KINDS), F.size("valid").cast("long").alias("n_pii"))
 
 
-def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text replaced; all other columns as they came."""
     return _rewritten(docs, text_col, key).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.configured_key(spark))
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
