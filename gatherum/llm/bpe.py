@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +33,11 @@ _LOOKAHEAD = 3
 LEAF_CHARS = 1024
 #: Byte strings up to this length merge at once; longer ones are halved.
 _LEAF_BYTES = 16
+#: Longer byte strings find the next merge with a heap.
+_SCAN_BYTES = 48
 #: Remembered pre-tokens of a generation; there are two.
 _MEMO_LIMIT = 250_000
+_NO_RANK = 1 << 62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,14 +69,50 @@ class TreeBpe:
         plain = _plain_form(pattern)
         self.plain_pattern = re.compile(plain) if plain else self.any_pattern
         self.leaf_chars = max(2, leaf_chars)
-        #: Canonical tokens of a leaf or border window, without a split by the pattern.
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=self.rank, special_tokens={})._encode_single_piece
         self.pair_memo: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     # -- inside a pre-token
 
+    def merged(self, data: bytes) -> list[int]:
+        """The canonical encoding of a leaf or a border window: the pair with the lowest rank merges, the leftmost first, until none has a rank."""
+        rank = self.rank.get
+        parts = [data[i : i + 1] for i in range(len(data))]
+        if len(parts) > _SCAN_BYTES:
+            return self._merged_long(parts)
+        while len(parts) > 1:
+            least, at = _NO_RANK, -1
+            for i in range(len(parts) - 1):
+                r = rank(parts[i] + parts[i + 1], _NO_RANK)
+                if r < least:
+                    least, at = r, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.rank[p] for p in parts]
+
+    def _merged_long(self, parts: list[bytes]) -> list[int]:
+        """As ``merged``, with a heap of pairs over a doubly linked list; pairs that have changed since are passed over."""
+        n, rank = len(parts), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, b""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(both + parts[k])) is not None:
+                    heapq.heappush(heap, (r, i, both + parts[k]))
+            if (h := before[i]) >= 0 and (r := rank(parts[h] + both)) is not None:
+                heapq.heappush(heap, (r, h, parts[h] + both))
+        return [self.rank[p] for p in parts if p]
+
     def _canonical_pair(self, a: int, b: int) -> bool:
         got = self.pair_memo.get((a, b))
         if got is None:
@@ -83,7 +122,7 @@ class TreeBpe:
         return got
 
     def _window(self, ids: list[int]) -> list[int]:
-        return self.leaf(b"".join([self.token[i] for i in ids]))
+        return self.merged(b"".join([self.token[i] for i in ids]))
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """The canonical encoding of two neighbours from their canonical encodings."""
@@ -99,11 +138,8 @@ class TreeBpe:
             i, j = i - grow_left, j + grow_right
 
     def _encode_bytes(self, data: bytes) -> list[int]:
-        whole = self.rank.get(data)
-        if whole is not None:
-            return [whole]
         if len(data) <= _LEAF_BYTES:
-            return self.leaf(data)
+            return self.merged(data)
         half = len(data) // 2
         return self.join_tokens(self._encode_bytes(data[:half]), self._encode_bytes(data[half:]))
 
@@ -111,7 +147,9 @@ class TreeBpe:
         """Ids of one pre-token as little-endian 32-bit integers; short ones are remembered in two generations."""
         got = self.older.get(piece)
         if got is None:
-            got = np.array(self._encode_bytes(piece.encode("utf-8", "replace")), dtype="<u4").tobytes()
+            data = piece.encode("utf-8", "replace")
+            whole = self.rank.get(data)  # a pre-token that is a token isn't merged
+            got = np.array([whole] if whole is not None else self._encode_bytes(data), dtype="<u4").tobytes()
         if len(piece) < 100:
             if len(self.memo) >= _MEMO_LIMIT:
                 self.older, self.memo = self.memo, {}
@@ -198,8 +236,8 @@ def coder(path: str, pattern: str) -> TreeBpe:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_tokens, token_ids (unless ``ids`` is false), ids_sha256, decoded_sha256.
 
-    Null counts as empty: no tokens, hashes of nothing. Special-token strings are ordinary text. Repeated rows stay, an
-    empty table gives no rows, other columns are ignored. ``path`` must exist on every executor.
+    Null counts as empty: no tokens, hashes of nothing. A text of any length is encoded whole. Special-token strings are ordinary
+    text. Repeated rows stay, an empty table gives no rows, other columns are ignored. ``path`` must exist on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
