@@ -1,7 +1,7 @@
 """Secret scan through a trigram inverted index.
 
 Each rule's regular expression is parsed and turned into a Boolean query over trigrams of its lower-cased text: literals
-give conjunctions, alternatives disjunctions, everything else nothing. Each block of documents gets an index: for every
+give conjunctions, alternatives and small classes of characters disjunctions, everything else nothing. Each block of documents gets an index: for every
 trigram that a query names, the posting list of the documents with it. Queries intersect and unite postings; only
 candidates are verified with the expression itself. A rule without a mandatory trigram (a bare run of hex digits) scans all
 documents. An index covers one block, so nothing is shuffled and a lost block is indexed anew.
@@ -52,7 +52,7 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S]){0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -77,62 +77,74 @@ def _trigrams(text: str) -> Query:
     return _all_of([text[i : i + 3] for i in range(len(text) - 2)])
 
 
+#: Most characters of a class that is spelt out, and most texts that a part of an expression is spelt out to.
+_MOST_LETTERS, _MOST_TEXTS = 16, 64
+
+
+def _ignores_case(items) -> bool:
+    return any(str(op) == "SUBPATTERN" and (arg[1] & re.IGNORECASE or _ignores_case(arg[3])) or str(op) == "BRANCH" and any(map(_ignores_case, arg[1])) or str(op) in ("MAX_REPEAT", "MIN_REPEAT") and _ignores_case(arg[2]) for op, arg in items)
+
+
 def trigram_query(pattern: str) -> Query:
-    """The Boolean query that every text with a match satisfies; trigrams are of ASCII text in lower case."""
-
-    def letter(op, arg) -> str | None:
-        """The single ASCII character, in lower case, that an element stands for, if there is only one."""
-        if str(op) == "LITERAL":
-            return chr(arg).lower() if arg < 128 else None
-        if str(op) == "IN" and all(str(o) == "LITERAL" and a < 128 for o, a in arg):
-            folded = {chr(a).lower() for _, a in arg}
-            return folded.pop() if len(folded) == 1 else None
-        return None
+    """The Boolean query that every text with a match satisfies; trigrams are of ASCII text in lower case.
 
-    def exact(items) -> list[str] | None:
+    Neighbouring parts that stand for few texts are spelt out together, classes of characters among them; a part that stands for
+    many ends such a run, and says what is mandatory within it.
+    """
+    parsed = sre_parse.parse(pattern)
+    #: Letters that have forms beyond ASCII where case is ignored.
+    loose = "iks" if parsed.state.flags & re.IGNORECASE or _ignores_case(parsed) else ""
+
+    def letters(op: str, arg) -> list[str] | None:
+        """The ASCII characters, in lower case, that an element stands for, if they are few."""
+        out: set[str] = set()
+        for kind, x in [(op, arg)] if op == "LITERAL" else arg if op == "IN" else [("ANY", None)]:
+            low, high = (x, x) if str(kind) == "LITERAL" else x if str(kind) == "RANGE" else (0, 1 << 21)  # a category, or all but some
+            if high >= 128 or high - low > 2 * _MOST_LETTERS:
+                return None
+            out |= {chr(c).lower() for c in range(low, high + 1)}
+        return sorted(out) if len(out) <= _MOST_LETTERS and not out & set(loose) else None
+
+    def spelt(items) -> list[str] | None:
         """All texts that a part can match, if they are few."""
         texts = [""]
         for op, arg in items:
-            one = letter(op, arg)
-            if one is not None:
-                more = [one]
-            elif str(op) == "BRANCH":
-                options = [exact(x) for x in arg[1]]
-                if any(x is None for x in options):
-                    return None
-                more = [t for x in options for t in x]
-            elif str(op) == "SUBPATTERN":
-                more = exact(arg[3])
-            elif str(op) == "MAX_REPEAT" and arg[1] <= 1:
-                inner = exact(arg[2])
-                more = None if inner is None else inner + [""] * (arg[0] == 0)
-            else:
-                return None
-            if more is None or len(texts) * len(more) > 64:
+            more = options(str(op), arg)
+            if more is None or len(texts) * len(more) > _MOST_TEXTS:
                 return None
             texts = [t + m for t in texts for m in more]
-        return texts
+        return list(dict.fromkeys(texts))
+
+    def options(op: str, arg) -> list[str] | None:
+        """All texts that one element can match, if they are few."""
+        if op == "BRANCH":
+            each = [spelt(x) for x in arg[1]]
+            return None if any(x is None for x in each) else [t for x in each for t in x]
+        if op == "SUBPATTERN":
+            return spelt(arg[3])
+        if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] <= 8:
+            return options("BRANCH", (None, [list(arg[2]) * n for n in range(arg[0], arg[1] + 1)]))
+        return letters(op, arg)
 
     def walk(items) -> Query:
-        found, run = [], ""
+        found, run = [], [""]
         for op, arg in items:
-            one = letter(op, arg)
-            if one is not None:
-                run += one
+            more = options(str(op), arg)
+            if more is not None and len(run) * len(more) <= _MOST_TEXTS:
+                run = list(dict.fromkeys(t + m for t in run for m in more))
                 continue
-            found.append(_trigrams(run))
-            run = ""
-            if (texts := exact([(op, arg)])) is not None:
-                found.append(_any_of([_trigrams(t) for t in texts]))
-            elif str(op) == "SUBPATTERN":
-                found.append(walk(arg[3]))
-            elif str(op) == "BRANCH":
-                found.append(_any_of([walk(x) for x in arg[1]]))
-            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
-                found.append(walk(arg[2]))
-        return _all_of([*found, _trigrams(run)])
+            found.append(_any_of([_trigrams(t) for t in run]))
+            run = [""] if more is None or len(more) > _MOST_TEXTS else more
+            if more is None:
+                if str(op) == "SUBPATTERN":
+                    found.append(walk(arg[3]))
+                elif str(op) == "BRANCH":
+                    found.append(_any_of([walk(x) for x in arg[1]]))
+                elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                    found.append(walk(list(arg[2]) * min(arg[0], 3)))
+        return _all_of([*found, _any_of([_trigrams(t) for t in run])])
 
-    return walk(list(sre_parse.parse(pattern)))
+    return walk(list(parsed))
 
 
 def named(query: Query) -> set[str]:
@@ -155,8 +167,11 @@ class BlockIndex:
         hit = slot[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]]
         at = np.flatnonzero(hit)
         owner, which = np.searchsorted(starts, at, side="right") - 1, hit[at]
-        for k, t in enumerate(trigrams, 1):
-            self.postings[t] = np.unique(owner[which == k])
+        order = np.lexsort((owner, which))
+        owner, which = owner[order], which[order]
+        edges = np.searchsorted(which, np.arange(1, len(trigrams) + 2))
+        for k, t in enumerate(trigrams):
+            self.postings[t] = np.unique(owner[edges[k] : edges[k + 1]])
 
     def candidates(self, query: Query) -> np.ndarray:
         if isinstance(query, str):
@@ -177,9 +192,9 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = [(r, re.compile(r.pattern if r.least == 0 or r.kind != "hex" else f"[0-9a-f]{{{r.least},}}"), trigram_query(r.pattern)) for r in rules]
         self.trigrams = sorted(set().union(*(named(q) for _, _, q in self.rules)))
-        if len(self.trigrams) > 254:
+        if len(self.trigrams) >= 1 << 16:
             raise ValueError("too many trigrams for one index")
-        self.slot = np.zeros(1 << 24, dtype=np.uint8)
+        self.slot = np.zeros(1 << 24, dtype=np.uint8 if len(self.trigrams) < 256 else np.uint16)
         for k, t in enumerate(self.trigrams, 1):
             a, b, c = t.encode("ascii")
             self.slot[a << 16 | b << 8 | c] = k
@@ -214,8 +229,9 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans array<struct<kind, start, stop>> (code points, stop exclusive).
 
-    Matches of one rule don't overlap, those of different rules may. Null texts count as empty, texts without a secret have
-    an empty array, repeated rows stay, other columns are ignored.
+    Matches of one rule don't overlap, those of different rules may; spans that start together come in the order of the rules.
+    Null texts count as empty, texts without a secret have an empty array, texts of any length are read whole. Repeated rows stay,
+    an empty table gives no rows, other columns are ignored.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
