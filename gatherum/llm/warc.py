@@ -2,7 +2,7 @@
 
 A capture is three records, ``request``, ``response`` (or ``revisit``) and ``metadata``; the request and the metadata name
 the response in ``WARC-Concurrent-To``. Writing is a text sink whose line separator is the blank lines that end a record,
-so archives go to any file system that Spark can write, each file by one task. Reading walks each archive by its
+so archives go to any file system that Spark can write, each file by one task and of a bounded size. Reading walks each archive by its
 Content-Length headers. ``assemble`` joins records by their concurrent-to identifiers into one nested row per capture.
 """
 
@@ -11,16 +11,20 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatherum.llm.common import discard, materialise
+
 CRLF = "\r\n"
 #: Payloads shorter than this are stored again rather than referred to.
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 30_000
+#: Bytes of payload that a file holds at most (or one capture). Pages of more than so many times the mean go to files of their own.
+FILE_BYTES, LARGE_TIMES = 1 << 28, 16
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -34,24 +38,42 @@ def _record(headers: list[tuple[str, object]], block) -> object:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def with_roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, payload (string), digest, bytes, and refers_to: the smallest page_id with an equal payload, for the others.
+def _pages(pages: DataFrame) -> DataFrame:
+    """page, page_id, url, payload, digest, bytes. ``page`` is the id as text, never null."""
+    one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    return one.withColumns({"page": F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long")})
+
+
+def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(page, digest, refers_to, copies) from the pages without their payloads: only pages that refer to a response, or that come several times.
+
+    ``refers_to`` is the smallest page_id with an equal payload of ``least`` bytes or more, for the pages that aren't that one. A
+    page without a page_id never is what others refer to. Rows with the same page_id as the response are responses.
+    """
+    each = digests.groupBy("page", "page_id", "digest", "bytes").agg(F.count("*").alias("copies"))
+    first = each.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("pages")).where("pages > 1 and first_id is not null")
+    refers = F.when((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    return each.join(first, "digest", "left").select("page", "digest", refers.alias("refers_to"), "copies").where("refers_to is not null or copies > 1")
+
+
+def _key(page, digest):
+    """The part of a record's id that names the capture: page and payload."""
+    return F.concat_ws("-", page, F.left(digest, F.lit(16)))
+
+
+def records(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """One text per WARC record (column ``value``) and ``bytes`` of its payload, three for each row of ``pages`` (page_id, url, html).
 
-    A page that has no page_id never is what others refer to. Pages with the same page_id as the response are responses.
+    Ids are made of page and payload, so that a revisit can name the response it refers to (``facts`` are ``roles`` of the pages).
+    Rows that come several times are numbered from the second on; those without a page_id, which nothing refers to, by their place.
     """
-    one = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")
-    ).withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long")})
-    # The roles are settled on digests alone; payloads move once, by page_id, which has no hot values.
-    first = one.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
-    again = one.where(F.col("bytes") >= least).select("page_id", "digest").join(first, "digest").where("page_id <> first_id or page_id is null")
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first_id").alias("refers_to")).distinct()
-    return one.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").drop("again_id", "again_digest")
-
-
-def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """One text per WARC record (column ``value``), three for each row of ``pages`` (page_id, url, html)."""
-    rows = with_roles(pages, least).withColumn("key", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.hex(F.monotonically_increasing_id())))
+    known = _pages(pages).join(facts, ["page", "digest"], "left")
+    base = _key(F.col("page"), F.col("digest"))
+    once = known.where("copies is null or copies = 1").withColumn("key", base)
+    turn = F.row_number().over(Window.partitionBy("page", "digest").orderBy("url"))
+    again = known.where("copies > 1 and page_id is not null").withColumn("_turn", turn).withColumn("key", F.when(F.col("_turn") == 1, base).otherwise(F.concat_ws("-", base, "_turn"))).drop("_turn")
+    nameless = known.where("copies > 1 and page_id is null").withColumn("key", F.concat_ws("-", base, F.hex(F.monotonically_increasing_id())))
+    rows = once.unionByName(again).unionByName(nameless)
     urn = lambda kind, key: F.concat(F.lit(f"<urn:gatherum:{kind}:"), key, F.lit(">"))
     common = [("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")), ("WARC-Date", DATE), ("X-Page-Id", F.col("page_id"))]
     answer = urn("response", F.col("key"))
@@ -63,7 +85,7 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
             ("WARC-Record-ID", answer),
             *common,
             ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-            ("WARC-Refers-To", F.when(revisit, urn("page", F.col("refers_to").cast("string")))),
+            ("WARC-Refers-To", F.when(revisit, urn("response", _key(F.col("refers_to").cast("string"), F.col("digest"))))),
             ("WARC-Profile", F.when(revisit, F.lit(_REVISIT_PROFILE))),
             ("Content-Type", "application/http; msgtype=response"),
         ],
@@ -77,42 +99,66 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         [("WARC-Type", "metadata"), ("WARC-Record-ID", urn("metadata", F.col("key"))), ("WARC-Concurrent-To", answer), *common, ("Content-Type", "application/warc-fields")],
         F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(CRLF)),
     )
-    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    return rows.select("bytes", F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, per_file: int = RECORDS_PER_FILE) -> None:
-    """Archives (gzip) of all captures under ``path``; a file holds ``per_file`` records at most."""
-    records(pages, least).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    """Archives (gzip) of all captures, in folders under ``path``; a file holds at most ``file_bytes`` of payloads, or one capture.
+
+    Payloads of any length are written whole. Null html counts as empty, rows that come several times are all written, other
+    columns are ignored; an empty table gives no record. Each file is one gzip member.
+    """
+    digests = materialise(_pages(pages).select("page", "page_id", "digest", "bytes"), "warc-digests")
+    size = digests.agg(F.avg("bytes").alias("mean"), F.max("bytes").alias("most")).first()
+    facts = materialise(roles(digests, least), "warc-roles")
+    limit = max(1 << 16, int(LARGE_TIMES * (size["mean"] or 0)))
+    parts = [("pages", F.octet_length("html") <= limit, limit), ("large", F.octet_length("html") > limit, size["most"] or 0)]
+    for name, kept, most in parts[: 1 + ((size["most"] or 0) > limit)]:
+        rows = records(pages.where(F.coalesce(kept, F.lit(name == "pages"))), facts).select("value")
+        rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, file_bytes // max(1, most))).text(f"{path}/{name}")
+    discard(digests, facts)
 
 
 _FIELDS = {b"warc-type": 0, b"warc-record-id": 1, b"warc-concurrent-to": 2, b"warc-target-uri": 3, b"warc-payload-digest": 4, b"warc-refers-to": 5, b"x-page-id": 6}
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[list[str | None], bytes]]:
-    """(the seven fields, block) of each record; a record that breaks off ends the archive."""
+    """(the seven fields, block) of each record; a record that breaks off ends the archive.
+
+    A record whose Content-Length is missing or no number has type ``bad`` and an empty block; reading goes on at the next line that begins a record.
+    """
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         fields: list[str | None] = [None] * 7
-        length = 0
+        length = -1
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.partition(b":")
-            name = name.strip().lower()
+            name, value = name.strip().lower(), value.strip()
             if name == b"content-length":
-                length = int(value)
+                length = int(value) if value.isdigit() else -1
             elif name in _FIELDS:
-                fields[_FIELDS[name]] = value.strip().decode("utf-8", "replace")
+                fields[_FIELDS[name]] = value.decode("utf-8", "replace")
+        if length < 0:
+            fields[0] = "bad"
+            yield fields, b""
+            continue
         block = stream.read(length)
         if len(block) < length:
             return
         yield fields, block
 
 
+def _page_number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[+-]?[0-9]{1,18}", text) else None
+
+
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row per record: type, record_id, concurrent_to, uri, declared_digest, refers_to, page_id, payload_bytes, payload_digest.
 
     ``payload`` adds the payload itself (the block behind the HTTP header of requests and responses). Bytes and digest are
-    taken from what was read; for revisits, which hold no payload, they are null.
+    taken from what was read; for revisits, which hold no payload, they are null. A record with a bad header has type ``bad``, a page
+    number that is none is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +172,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 for fields, block in parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if packed else raw):
                     body = block if fields[0] == "metadata" else block.partition(b"\r\n\r\n")[2]
                     full = fields[0] == "response"
-                    page = int(fields[6]) if fields[6] else None
+                    page = _page_number(fields[6])
                     rows.append((*fields[:6], page, len(body) if full else None, hashlib.sha256(body).hexdigest() if full else None, body if payload else None))
                     size += len(body) if payload else 200
                     if size > 4_000_000:
@@ -136,7 +182,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                     yield _batch(rows, payload)
 
     schema = "type string, record_id string, concurrent_to string, uri string, declared_digest string, refers_to string, page_id long, payload_bytes long, payload_digest string"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, schema + ", payload binary" * payload)
 
 
@@ -169,16 +215,16 @@ def assemble(parsed: DataFrame) -> DataFrame:
 def capture_table(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, has_request, has_metadata of assembled captures.
 
-    A revisit takes bytes and digest of the response that it refers to, which are those of the full payload.
+    A revisit takes bytes and digest of the response that it refers to by id, which are those of the full payload, and in
+    ``refers_to`` that response's page_id; all three are null if there is no such response.
     """
-    refers = F.regexp_extract("response.refers_to", r"(-?\d+)>$", 1).try_cast("long")
     flat = captures.where("response is not null").select(
-        "page_id", F.col("response.type").alias("record_type"), refers.alias("refers_to"), F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("own_digest"),
-        F.regexp_extract("response.declared_digest", r"sha256:([0-9a-f]+)", 1).alias("declared"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"),
+        "page_id", F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("named"),
+        F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("own_digest"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"),
     )
-    known = flat.where("record_type = 'response'").groupBy(F.col("page_id").alias("first_id"), F.col("own_digest").alias("first_digest")).agg(F.max("own_bytes").alias("first_bytes"))
-    wanted = F.when(F.col("record_type") == "revisit", F.col("refers_to"))
-    joined = flat.join(known, (wanted == F.col("first_id")) & (F.col("declared") == F.col("first_digest")), "left")
-    return joined.select(
-        "page_id", F.coalesce("own_bytes", "first_bytes").alias("payload_bytes"), F.coalesce("own_digest", "first_digest").alias("payload_digest"), "record_type", "refers_to", "has_request", "has_metadata"
-    )
+    ends = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "has_request", "has_metadata"]
+    full = flat.where("record_type = 'response'")
+    first = full.select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"))
+    # Only responses that some revisit names take part in the join, and those whose payload many share are few against the revisits.
+    again = flat.where("record_type = 'revisit'").select("page_id", "record_type", "named", "has_request", "has_metadata").join(first, "named", "left")
+    return full.withColumnsRenamed({"own_bytes": "payload_bytes", "own_digest": "payload_digest"}).withColumn("refers_to", F.lit(None).cast("long")).select(*ends).unionByName(again.select(*ends))
