@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +39,8 @@ _WORD = re.compile(r"\w+")
 _UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]").search
 _MIXED_WORD = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
-_CHUNK_WORDS = 1 << 16
-#: Words and texts that a worker remembers.
-_KNOWN_WORDS, _SEEN_TEXTS = 1 << 17, 1 << 16
+#: Characters that are hashed at once (or one text), and texts that a worker remembers.
+_CHUNK_CHARS, _SEEN_TEXTS = 1 << 18, 1 << 16
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -51,22 +49,52 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(low) if low.isascii() or not _ANY_UNSPACED(low) else _MIXED_WORD.findall(low)
 
 
-class _Numbers(dict):
-    """Words as 60-bit hashes, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 4
-        return got
-
-
-_numbers = _Numbers()
+#: Unicode has no letters or digits from here on.
+_WORDS_END = 0x40000
+#: A word is the sum of its code points times powers of this, which is odd and so has an inverse.
+_BASE = 0x9E3779B97F4A7C15
+_tables: dict[str, np.ndarray] = {}
+
+
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 in words, 2 a word of its own, 0 in none."""
+    if "kinds" not in _tables:
+        _tables["kinds"] = np.array([(chr(c) == "_" or chr(c).isalnum()) * (2 if _ANY_UNSPACED(chr(c)) else 1) for c in range(_WORDS_END)], dtype=np.uint8)
+    return _tables["kinds"]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least the first ``n`` powers, modulo 2**64."""
+    name = f"powers {base}"
+    if name not in _tables or len(_tables[name]) < n:
+        steps = np.full(max(n, 4 * _CHUNK_CHARS), base, dtype=np.uint64)
+        steps[0] = 1
+        _tables[name] = np.multiply.accumulate(steps)
+    return _tables[name]
+
+
+def numbered_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in order, number of words up to the end of each text): ``words`` of each, by array operations."""
+    parts = [(t or "").lower().encode("utf-32-le", "surrogatepass") for t in texts]
+    points = np.frombuffer(b"\n\0\0\0".join([*parts, b""]), dtype="<u4")  # a character in no word behind each text
+    stops = np.cumsum([len(p) // 4 + 1 for p in parts])
+    kind = _kinds()[np.minimum(points, _WORDS_END - 1)]
+    inside, single = kind > 0, kind == 2
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | single[1:] | single[:-1]
+    start = np.flatnonzero(begins)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(points))[: len(points)], out=sums[1:])
+    code = (sums[np.flatnonzero(ends) + 1] - sums[start]) * _powers(pow(_BASE, -1, 1 << 64), len(points))[start]
+    code ^= code >> np.uint64(32)
+    code *= _MIX
+    return code, np.searchsorted(start, stops)
 
 
 def numbered(text: str | None) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(_numbers.__getitem__, found), dtype=np.uint64, count=len(found))
+    return numbered_all([text])[0]
 
 
 def codes(numbers: np.ndarray, size: int) -> np.ndarray:
@@ -93,17 +121,15 @@ class Filter:
 
     def hits(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(number of the text, place, code) of n-grams that may be known, for a run of texts at a time, by text and place."""
-        first, parts, held = 0, [], 0
+        first = held = 0
         for i, text in enumerate(texts):
-            parts.append(numbered(text))
-            held += len(parts[-1])
-            if held >= _CHUNK_WORDS or i + 1 == len(texts):
-                yield self._of_run(first, parts)
-                first, parts, held = i + 1, [], 0
-
-    def _of_run(self, first: int, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        numbers = np.concatenate(parts)
-        stops = np.cumsum([len(p) for p in parts])
+            held += len(text or "")
+            if held >= _CHUNK_CHARS or i + 1 == len(texts):
+                yield self._of_run(first, texts[first : i + 1])
+                first, held = i + 1, 0
+
+    def _of_run(self, first: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, stops = numbered_all(texts)
         owners, places, found = [], [], []
         for size in self.sizes:
             code = codes(numbers, size)

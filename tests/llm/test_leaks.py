@@ -43,6 +43,18 @@ def test_wide_alignments_short_items_and_scripts_without_spaces(spark):
     assert pairs(D.leaks(docs, bench.where("item_id = 4"))) == set()
 
 
+def test_numbers_are_those_of_the_words():
+    texts = ["", None, "a", "Ein Wort, ein WORT; ein_wort x2", "中文 字符abc中", "ΣΊΣΥΦΟΣ İstanbul ﬁn ß", "e\u0301 ไทย \U00020000\U00020001 \ud800", " \n", "x" * 5000 + " y"]
+    codes, stops = D.numbered_all(texts)
+    per_text = [codes[a:b] for a, b in zip([0, *stops], stops)]
+    seen = {}
+    for t, found in zip(texts, per_text):
+        assert len(found) == len(D.words(t)) and np.array_equal(found, D.numbered(t))
+        for w, c in zip(D.words(t), found.tolist()):
+            assert seen.setdefault(w, c) == c
+    assert len(set(seen.values())) == len(seen)
+
+
 def edited(rng, words, vocabulary, edits):
     out = list(words)
     for _ in range(edits):

@@ -124,7 +124,7 @@ def test_warc_round_trip(spark, tmp_path):
     body = "<html>" + "é" * 60 + "\r\n\r\nmore</html>"
     pages = [(1, "http://a/1", body), (2, "http://a/2\n", body), (0, None, "x" * 99), (5, "http://a/5", "x" * 99), (7, "u", None), (8, "u", ""), (9, "u", "z" * 100), (4, "u", "z" * 100), (None, "u", body), (9, "u", "z" * 100)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    warc.write_archives(df.repartition(3), str(tmp_path / "w"), per_file=5)
+    warc.write_archives(df.repartition(3), str(tmp_path / "w"), file_bytes=300)
     parsed = warc.read_archives(spark, str(tmp_path / "w"))
     assert parsed.count() == 3 * len(pages) and parsed.where("type = 'response'").where("decode(payload, 'UTF-8') is null").count() == 0
     captures = warc.assemble(parsed)
@@ -227,7 +227,7 @@ def test_leaks(spark, docs, none):
 
 
 def test_feistel_permutes(spark):
-    df = spark.range(189 * 7).select(pii.feistel(F.col("id"), 189, 7, "t").alias("x"))
+    df = spark.range(189 * 7).select(pii.feistel(F.col("id"), 189, 7, "t", "key").alias("x"))
     assert sorted(r["x"] for r in df.collect()) == list(range(189 * 7))
 
 
@@ -236,7 +236,7 @@ def luhn(digits):
 
 
 def test_pseudonyms(spark, docs, none):
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "key").collect()}
     assert got[0]["text"] is None and got[1]["text"] == "" and got[7]["text"] == LONG
     r = got[15]
     assert (r["n_email"], r["n_phone"], r["n_card"]) == (1, 1, 2)
@@ -247,8 +247,8 @@ def test_pseudonyms(spark, docs, none):
     m = re.match(r"Born (\d\d)\.(\d\d)\.(\d{4}), 2001-02-30, (\d{4}-\d\d-\d\d)\. IP (\d+)\.(\d+)\.(\d+)\.(\d+)\. .*SSN (\d{3}-\d\d-\d{4})", r["text"])
     dt.date(int(m[3]), int(m[2]), int(m[1])), dt.date.fromisoformat(m[4])
     assert all(int(m[k]) < 256 for k in (5, 6, 7, 8)) and m[9] != "123-45-6789"
-    assert pii.pseudonymise(none).count() == 0
-    kept = pii.with_pseudonyms(docs)
+    assert pii.pseudonymise(none, "key").count() == 0
+    kept = pii.with_pseudonyms(docs, "key")
     assert kept.columns == docs.columns and collected(kept.drop("text")) == collected(docs.drop("text"))
 
 
@@ -262,7 +262,7 @@ def test_pseudonyms_link_and_stay_distinct(spark):
     values = days + cards + [f"p{k}x@a.org" for k in range(300)] + [f"10.0.{k // 256}.{k % 256}" for k in range(300)]
     df = spark.createDataFrame([(k, f"<{v}> {v}") for k, v in enumerate(values)], "doc_id long, text string")
     new = {}
-    for r in pii.pseudonymise(df).collect():
+    for r in pii.pseudonymise(df, "key").collect():
         a, b = re.fullmatch(r"<(.*)> (.*)", r["text"]).groups()
         assert a == b != values[r["doc_id"]]
         new[r["doc_id"]] = a
@@ -490,7 +490,8 @@ def test_trigrams_of_long_texts(monkeypatch):
     want = {}
     for a, b, c in zip(packed, packed[1:], packed[2:]):
         if b:
-            want[(a * 64 + b) * 64 + c] = want.get((a * 64 + b) * 64 + c, 0) + 1
+            code = (a * langid._SYMBOLS + b) * langid._SYMBOLS + c
+            want[code] = want.get(code, 0) + 1
     assert dict(zip(whole[0].tolist(), whole[1].tolist())) == want
 
 
