@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from urllib.parse import quote
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,53 +60,80 @@ def fold_latin(c: Column) -> Column:
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
+def _is_mark(c: str) -> bool:
+    return unicodedata.category(c) == "Mn"
+
+
+def _folded(texts: pd.Series) -> pd.Series:
+    """The comparison form of texts in any script, a whole batch at a time: compatibility composition, then as ``fold_latin`` for all marks."""
+    low = texts.fillna("").str.normalize("NFKC").str.replace("\u00ad", "", regex=False).str.replace("ß", "ss", regex=False).str.lower()
+    bare = low.where(low.map(str.isascii), low.str.normalize("NFD").map(lambda t: "".join(itertools.filterfalse(_is_mark, t))))
+    return bare.str.findall("[a-z0-9]+").str.join(" ")
+
+
 def fold_value(s: str | None) -> str:
-    """The comparison form of any text: compatibility composition, then as ``fold_latin`` for all marks."""
-    s = unicodedata.normalize("NFKC", s or "").replace("\u00ad", "").replace("ß", "ss").lower()
-    bare = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
-    return " ".join(re.findall("[a-z0-9]+", bare))
+    return _folded(pd.Series([s], dtype="object")).iloc[0]
 
 
 @F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_value)
+    return _folded(texts)
 
 
-def norm_value(s: str | None, join_lines: bool = True) -> str:
-    """Compatibility composition, plain quotes and dashes, words joined over line ends, single spaces; case and marks stay."""
-    s = "".join(PLAIN.get(c, c) for c in unicodedata.normalize("NFKC", s or "") if c not in NO_WIDTH)
-    if join_lines:
-        s = re.sub(r"([^\W\d_])-[ \t]*\n[ \t]*([a-zà-ÿ])", r"\1\2", s)
-    return " ".join(s.split())
+_PLAIN_TABLE = str.maketrans(PLAIN | dict.fromkeys(NO_WIDTH))
 
 
 @F.pandas_udf(StringType())
 def norm(texts: pd.Series) -> pd.Series:
-    return texts.map(norm_value)
+    """Compatibility composition, plain quotes and dashes, words joined over line ends, single spaces; case and marks stay."""
+    plain = texts.fillna("").str.normalize("NFKC").str.translate(_PLAIN_TABLE)
+    joined = plain.str.replace(r"([^\W\d_])-[ \t]*\n[ \t]*([a-zà-ÿ])", r"\1\2", regex=True)
+    return joined.str.split().str.join(" ")
+
+
+@lru_cache(maxsize=1 << 16)
+def _searched_as(point: int) -> tuple[int, ...]:
+    """What a character is in a form for searches: code points in lower case without marks, one space for white space, nothing for what has no width."""
+    c = chr(point)
+    if c in NO_WIDTH:
+        return ()
+    parts = "ss" if c == "ß" else itertools.filterfalse(_is_mark, unicodedata.normalize("NFKD", PLAIN.get(c, c)))
+    return tuple(32 if x.isspace() else ord(x) for x in "".join(parts).lower())
+
+
+def search_forms(texts: list[str]) -> list[tuple[str, np.ndarray]]:
+    """For each text a form for searches (lower case, no marks, runs of white space as one space; punctuation stays) and the source offset of each of its characters.
+
+    The characters of a batch are looked up once each; forms and offsets are built by array operations.
+    """
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
+    known = np.unique(np.concatenate(points)) if points else np.zeros(0, dtype="<u4")
+    forms = [_searched_as(int(c)) for c in known]
+    width = np.array([len(f) for f in forms], dtype=np.int64)
+    letters = np.array([x for f in forms for x in f], dtype="<u4")
+    begin = np.cumsum(width) - width
+    out = []
+    for p in points:
+        kind = np.searchsorted(known, p)
+        n = width[kind]
+        source = np.repeat(np.arange(len(p)), n)
+        inner = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
+        form = letters[np.repeat(begin[kind], n) + inner] if len(source) else letters[:0]
+        blank = form == 32
+        kept = ~(blank & np.r_[False, blank[:-1]])
+        out.append((form[kept].tobytes().decode("utf-32-le", "surrogatepass"), source[kept]))
+    return out
 
 
 def search_form(s: str) -> tuple[str, list[int]]:
-    """A form for searches (lower case, no marks, punctuation stays) and, for each of its characters, the source offset."""
-    out: list[str] = []
-    at: list[int] = []
-    for i, c in enumerate(s):
-        if c in NO_WIDTH:
-            continue
-        c = PLAIN.get(c, c)
-        form = "ss" if c == "ß" else "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").lower()
-        for x in form:
-            x = " " if x.isspace() else x
-            if x == " " and out and out[-1] == " ":
-                continue
-            out.append(x)
-            at.append(i)
-    return "".join(out), at
+    form, offsets = search_forms([s])[0]
+    return form, offsets.tolist()
 
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("offsets", ArrayType(IntegerType()))]))
 def search_map(texts: pd.Series) -> pd.DataFrame:
-    forms = [search_form(t or "") for t in texts]
-    return pd.DataFrame({"text": [f[0] for f in forms], "offsets": [f[1] for f in forms]})
+    forms = search_forms([t or "" for t in texts])
+    return pd.DataFrame({"text": [f[0] for f in forms], "offsets": [f[1].astype(np.int32) for f in forms]})
 
 
 def words_of(c: Column) -> Column:
@@ -210,6 +239,20 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(c, ends), lambda s: F.trim(s) != "")
 
 
+#: A token that is an address, a path, a file or a query, in which an end mark before a capital ends no sentence.
+_ADDRESS = r"@|://|www\.|/\w+/|\.(?:ch|com|de|fr|it|org|net|pdf|docx?)\b|[?&]\w+="
+
+
+def sentences_without_space(c: Column) -> Column:
+    """A text cut where a sentence ends and the next begins without a space ("... zu Ende.Am ..."): an end mark between a lower-case letter or a closing mark and
+    a capital with a lower-case letter. Not behind an abbreviation or a single letter, also as the last part of a word with a hyphen, and not in addresses, paths and queries.
+    """
+    cuts = r"(?<=[\p{Ll}\p{N})»\"][.!?])(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)(?<!\b\p{L}\.)(?=[\p{Lu}][\p{Ll}])"
+    token = lambda t: F.when(t.rlike(_ADDRESS), F.array(t)).otherwise(F.split(t, cuts, -1))
+    marked = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\S+|\s+"), F.lit(0)), lambda t: F.array_join(token(t), "\x1e"))
+    return F.filter(F.transform(F.split(F.array_join(marked, ""), "\x1e", -1), F.trim), lambda x: x != "")
+
+
 def snippet(c: Column, start: Column, stop: Column, width: int = 120) -> Column:
     """At most ``width`` characters around a span (code points, stop exclusive), with marks where text is left out."""
     room = F.greatest(F.lit(width) - (stop - start), F.lit(0))
@@ -261,9 +304,12 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf(StringType())
-def percent_encode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else quote(t, safe="-._~"))
+def percent_encode(c: Column | str) -> Column:
+    """All but letters, digits and -._~ as percent-encoded UTF-8."""
+    form = F.url_encode(c)
+    for made, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        form = F.replace(form, F.lit(made), F.lit(wanted))
+    return form
 
 
 def join_hyphenated(lines: Iterator[str] | list[str], vocabulary: set[str]) -> str:

@@ -12,13 +12,22 @@ from gatherum.functions import text as T
 def text_classes(df: DataFrame, text_col: str, repeats: int = 20, short: int = 5000) -> DataFrame:
     """Adds text_key and text_class: kein_feld (null), leer, platzhalter (a key that often occurs and is short somewhere), text.
 
-    Counts come from one aggregate by key that is joined back: partial sums keep a hot key from gathering in one task.
+    Counts come from one aggregate by key: partial sums keep a hot key from gathering in one task. A key that often occurs is in
+    at least ``repeats`` rows, and only such keys are joined back; those in over a thousandth of all rows, a thousand at most, are sent
+    to the executors, so that rows that share a key aren't gathered, whatever their texts.
     """
-    keyed = df.withColumns({"text_key": T.text_key(F.col(text_col)), "_len": F.length(text_col)})
+    state = F.when(F.col(text_col).isNull(), "kein_feld").when(F.trim(text_col) == "", "leer")  # before the joins, so that they needn't carry texts
+    keyed = df.withColumns({"text_key": T.text_key(F.col(text_col)), "_len": F.length(text_col), "_state": state})
     often = keyed.groupBy("text_key").agg(F.count("*").alias("_n"), F.min("_len").alias("_least")).where((F.col("_n") >= repeats) & (F.col("_least") < short))
-    out = keyed.join(often.select("text_key", F.lit(True).alias("_often")), "text_key", "left")
-    kind = F.when(F.col(text_col).isNull(), "kein_feld").when(F.trim(text_col) == "", "leer").when(F.col("_often"), "platzhalter").otherwise("text")
-    return out.withColumn("text_class", kind).drop("_len", "_often")
+    total = df.agg(F.count("*").alias("_total"))
+    marked = often.join(F.broadcast(total)).select("text_key", (F.col("_n") * 1000 > F.col("_total")).alias("_hot"))  # one row
+    hot = marked.where("_hot").select("text_key", F.lit(True).alias("_often"))
+    rare = marked.where("NOT _hot").select("text_key", F.lit(True).alias("_rarer"))
+    # Rows with a hot key are settled by the broadcast; they don't take part in the second join, as their key is null there.
+    first = keyed.join(F.broadcast(hot), "text_key", "left").withColumn("_key", F.when(F.col("_often").isNull(), F.col("text_key")))
+    out = first.join(rare.withColumnRenamed("text_key", "_key"), "_key", "left")
+    kind = F.coalesce(F.col("_state"), F.when(F.coalesce("_often", "_rarer"), "platzhalter"), F.lit("text"))
+    return out.withColumn("text_class", kind).select(*df.columns, "text_key", "text_class")
 
 
 def coverage_matrix(features: DataFrame, base: DataFrame, group: str, item: str, feature: str = "feature", least_base: int = 20) -> DataFrame:
@@ -151,3 +160,8 @@ def split_violations(split: DataFrame, group: str, role: str, level: str, needed
     want = split.sparkSession.createDataFrame([(r, x) for r in roles for x in needed], f"{role} string, {level} string")
     lacking = want.join(known.select(role, level).distinct(), [role, level], "left_anti").select(F.lit("R4_level_missing").alias("rule"), F.concat_ws(":", role, level).alias("what"))
     return no_role.unionByName(two).unionByName(lacking)
+
+
+def set_state(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, kinds): the distinct values of each key, sorted; for columns of few values."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("kinds"))

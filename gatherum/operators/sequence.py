@@ -7,17 +7,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatherum.functions import text as T
+
 
 def _order(doc: str, pos: str):
     return Window.partitionBy(doc).orderBy(pos)
 
 
+_RUN = 512
+
+
+def starts_of(lengths: Column) -> Column:
+    """Running sums before each element, from 0. Works in two levels, so that a text of many lines doesn't cost the square of their number."""
+    sums = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda k: F.slice(lengths, k * _RUN + 1, F.lit(_RUN)))
+    whole = T.let(runs, lambda rs: T.let(sums(F.transform(rs, total)), lambda base: F.flatten(F.transform(rs, lambda r, k: F.transform(sums(r), lambda x: x + F.get(base, k))))))
+    return F.when(F.size(lengths) > _RUN, whole).otherwise(sums(lengths))
+
+
 def lines(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, line, text, start, stop): lines of each text with their places in it (code points; the line feed counts one)."""
-    cut = df.select(doc, F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
-    w = _order(doc, "line").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    return cut.withColumn("start", before.cast("long")).withColumn("stop", F.col("start") + F.length("text"))
+    """(doc, line, text, start, stop): lines of each text with their places in it (code points; the line feed counts one). No shuffle."""
+    cut = df.select(doc, F.split(text, "\n", -1).alias("_l"))
+    placed = cut.select(doc, F.posexplode(F.arrays_zip(F.col("_l"), starts_of(F.transform("_l", lambda x: F.length(x).cast("long") + 1)).alias("_s"))).alias("line", "x"))
+    return placed.select(doc, "line", F.col("x._l").alias("text"), F.col("x._s").alias("start"), (F.col("x._s") + F.length("x._l")).alias("stop"))
 
 
 def block_offsets(df: DataFrame, doc: str, pos: str, text: str, separator: int = 2) -> DataFrame:
@@ -186,3 +199,9 @@ def decode(df: DataFrame, doc: str, pos: str, probabilities: str, start: list[fl
     kind = lambda c: df.schema[c].dataType.simpleString()
     return df.select(doc, pos, probabilities).groupBy(doc).applyInPandas(run, f"{doc} {kind(doc)}, {pos} {kind(pos)}, state long, p_change double")
 
+
+def next_numbers(lines: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """Lines whose leading number is one more than that of the last line before that has one."""
+    n = F.regexp_extract(text, r"^\s*(\d{1,3})", 1).try_cast("int")
+    rows = lines.withColumn("_n", n).where("_n is not null")
+    return rows.withColumn("_p", F.lag("_n").over(_order(doc, pos))).where("_n = _p + 1").drop("_n", "_p")

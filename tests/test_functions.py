@@ -40,9 +40,63 @@ def test_search_form_offsets(s):
     ("Am 9. September 2013", ["2013-09-09"]), ("1er mars 2021", ["2021-03-01"]), ("20 dicembre 2019", ["2019-12-20"]), ("12.3.98", ["1998-03-12"]), ("12.3.39", ["2039-03-12"]),
     ("12-3-98", []), ("2020-02-30", []), ("2020-02-29", ["2020-02-29"]), ("1.1.1700", []), ("31.12.2099", ["2099-12-31"]), ("", []),
 ])
-def test_find_dates(text, days):
-    assert [h[0] for h in D.find_in(text)] == days
-    assert all(text[h[1] : h[2]] for h in D.find_in(text))
+def test_find_dates(spark, text, days):
+    hits = one(spark, D.find_dates(F.lit(text)))
+    assert [h["day"] for h in hits] == days
+    assert all(text[h["start"] : h["stop"]] for h in hits)
+
+
+def test_places_of_dates(spark):
+    text = "ä 1. März 2020; 3/4/21, fe\u0301vrier 12 f\u00e9vrier 2019, 5.\u00a0Ja\u00adnuar 1999 und 2001-02-30, 2001-02-28; 12.13.2020, 10.11.12.2020, 1er\nao\u00fbt 2018 7 Mai2000"
+    hits = one(spark, D.find_dates(F.lit(text)))
+    assert [(h["day"], text[h["start"] : h["stop"]], h["form"]) for h in hits] == [
+        ("2020-03-01", "1. März 2020", "month_name"), ("2021-04-03", "3/4/21", "numeric"), ("2019-02-12", "12 février 2019", "month_name"), ("1999-01-05", "5.\u00a0Ja\u00adnuar 1999", "month_name"),
+        ("2001-02-28", "2001-02-28", "iso"), ("2018-08-01", "1er\naoût 2018", "month_name"),
+    ]
+
+
+def test_search_forms_character_by_character():
+    def plain(s):
+        out, at = [], []
+        for i, c in enumerate(s):
+            for x in map(chr, T._searched_as(ord(c))):
+                if x != " " or not out or out[-1] != " ":
+                    out.append(x)
+                    at.append(i)
+        return "".join(out), at
+
+    texts = ["", "Über  die\n\tStraße", "e\u0301\u00ad x", "\u00ad\u00ad", "ﬁn  ½ “a”", "𝔘 \u2009 b"]
+    for t, (form, at) in zip(texts, T.search_forms(texts)):
+        assert (form, at.tolist()) == plain(t)
+    assert T.search_form("Über  die Straße") == ("uber die strasse", [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 14, 15])
+
+
+def test_percent_encode(spark):
+    from urllib.parse import quote
+
+    for t in ("a b+c*d~e-_.", "ä/?&=%", "日本 \n", ""):
+        assert one(spark, T.percent_encode(F.lit(t))) == quote(t, safe="-._~")
+
+
+def test_sentences_without_space(spark):
+    cut = lambda t: one(spark, T.sentences_without_space(F.lit(t)))
+    assert cut("Es ist zu Ende.Am Tag danach. Es ging") == ["Es ist zu Ende.", "Am Tag danach. Es ging"]
+    assert cut("Name-St.Gallen und www.Seite.Am/x, Dr.Muster") == ["Name-St.Gallen und www.Seite.Am/x, Dr.Muster"]
+    assert cut("Frage?Antwort!Ja") == ["Frage?", "Antwort!", "Ja"] and cut("") == []
+
+
+def test_lines_of_long_texts(spark):
+    from gatherum.operators import sequence as S
+
+    for n in (1, 3, 511, 512, 513, 1025, 3000):
+        text = "\n".join("x" * (k % 7) for k in range(n))
+        got = [(r["line"], r["text"], r["start"], r["stop"]) for r in S.lines(spark.createDataFrame([(1, text)], "d int, t string"), "d", "t").collect()]
+        want, at = [], 0
+        for k, line in enumerate(text.split("\n")):
+            want.append((k, line, at, at + len(line)))
+            at += len(line) + 1
+        assert sorted(got) == want
+    assert "Exchange" not in S.lines(spark.createDataFrame([(1, "a")], "d int, t string"), "d", "t")._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("value,day,reason", [("2020-01-05T10:00", "2020-01-05", None), ("1900-01-01", None, "day_1900"), ("", None, "empty"), (None, None, "empty"), ("2020-02-30", None, "bad_form"), ("5.1.2020", None, "bad_form")])
@@ -121,3 +175,48 @@ def test_mixture_picks_the_component_that_fits():
     emissions = np.array([[0.9, 0.1], [0.1, 0.9]] * 4)
     best, posterior, path = L.mixture_decode(emissions, [np.full(2, 0.5)] * 2, [stay, move], np.full(2, 0.5))
     assert best == 1 and posterior[1] > 0.99 and path.tolist() == [0, 1] * 4
+
+
+def test_chain_crf_gradient_and_decoding():
+    rng = np.random.default_rng(0)
+    m = L.ChainCrf(3, 2)
+    m.emit, m.step, m.start = rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    x, y = rng.normal(size=(6, 3)), np.array([0, 1, 1, 0, 1, 0])
+    _, grads = m.loss(x, y)
+    for w, g in zip((m.emit, m.step, m.start), grads):
+        for i in np.ndindex(w.shape):
+            old, h = w[i], 1e-6
+            w[i] = old + h
+            up = m.loss(x, y)[0]
+            w[i] = old - h
+            down = m.loss(x, y)[0]
+            w[i] = old
+            assert abs((up - down) / (2 * h) - g[i]) < 1e-4
+
+
+def test_hidden_layer_gradient():
+    rng = np.random.default_rng(1)
+    head, x, y = L.MlpHead(4, 5, 3, seed=2), rng.normal(size=(7, 4)), np.array([0, 1, 2, 0, 1, 2, 1])
+    weight = np.array([1.0, 2.0, 0.5])
+    _, grads = head.loss(x, y, weight, 0.01)
+    for w, g in zip(head.weights, grads):
+        for i in np.ndindex(w.shape):
+            old, h = w[i], 1e-6
+            w[i] = old + h
+            up = head.loss(x, y, weight, 0.01)[0]
+            w[i] = old - h
+            down = head.loss(x, y, weight, 0.01)[0]
+            w[i] = old
+            if w.ndim == 2:
+                assert abs((up - down) / (2 * h) - g[i]) < 1e-4
+
+
+def test_scaling_with_weights_is_scaling_of_rows():
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(500), 2)
+    correct = rng.random(500) < p**2
+    values, inverse = np.unique(np.stack([p, correct], axis=1), axis=0, return_inverse=True)
+    weight = np.bincount(inverse.ravel()).astype(float)
+    assert np.allclose(L.weighted_platt(values[:, 0], values[:, 1], weight), L.platt(p, correct), atol=1e-6)
+    q = np.clip(p, 1e-6, 1 - 1e-6)
+    assert abs(L.weighted_temperature(values[:, 0], values[:, 1], weight) - L.temperature(np.stack([np.log(q), np.log(1 - q)], axis=1), (~correct).astype(int))) < 1e-4
