@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
@@ -91,3 +94,28 @@ def checksums(files: DataFrame, name: str, content: str) -> DataFrame:
 def write_lines(df: DataFrame, path: str) -> None:
     """Rows of one text column as lines (N-Quads, JSON)."""
     df.write.text(path)
+
+
+def write_csv(df: DataFrame, path: str, names: list[str]) -> None:
+    """Gzipped CSV files whose header has the given names, which may repeat; all cells as text. Each file has the header as its first line."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(F.col(f"`{c}`")) for c in df.columns])
+    head = ",".join('"' + n.replace('"', '""') + '"' for n in names)
+    _with_head(df.select(line.alias("value")), head, path)
+
+
+def _with_head(lines: DataFrame, head: str, path: str) -> None:
+    """Lines in files that each begin with a head line: the head is a row of every partition, written first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+
+
+def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Gzipped tab-separated lines, sorted over all files: ranges of keys are parts, and each part is sorted. Read in the order of their names the files are one sorted file."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(line.alias("value")).write.option("compression", "gzip").text(path)
