@@ -134,3 +134,22 @@ def key_values(lines: DataFrame, text: str) -> DataFrame:
     """Adds key and value of lines of the form "key: value" (a key has at most five words and starts with a letter)."""
     form = r"^\s*(\p{L}[\p{L}\p{N}./-]*(?: [\p{L}\p{N}./-]+){0,4})\s*:\s+(\S.*?)\s*$"
     return lines.withColumns({"key": T.blank_to_null(F.regexp_extract(text, form, 1)), "value": T.blank_to_null(F.regexp_extract(text, form, 2))})
+
+
+def form_fields(cells: DataFrame, form: str, pos: str, x: str, y: str, text: str, labels: list[str], row: float = 6.0, below: float = 30.0) -> DataFrame:
+    """(form, pos, key, value) of the cells that are a known label: the value stands behind a colon, else next to the right on the same row, else next below.
+
+    Cells of one row differ in height by at most ``row``; a value below starts at the same place and no more than ``below`` further down. Joins stay within a form.
+    """
+    solid = cells.where(T.present(F.col(text)))
+    inline = key_values(solid, text).where("key is not null")
+    name = F.regexp_replace(F.trim(text), r"\s*:\s*$", "")
+    known = F.lower(name).isin(*labels)
+    split = inline.where(F.lower("key").isin(*labels)).select(form, pos, "key", "value")
+    label = solid.where(known).select(form, F.col(pos).alias("_pos"), name.alias("key"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    other = solid.where(~known).join(split.select(form, pos), [form, pos], "left_anti").select(form, F.col(x).alias("_x2"), F.col(y).alias("_y2"), F.trim(text).alias("_text"))
+    right = (F.abs(F.col("_y2") - F.col("_y")) <= row) & (F.col("_x2") > F.col("_x"))
+    under = (F.abs(F.col("_x2") - F.col("_x")) <= row) & (F.col("_y2") > F.col("_y") + row) & (F.col("_y2") <= F.col("_y") + below)
+    near = F.when(right, F.struct(F.lit(0).alias("way"), (F.col("_x2") - F.col("_x")).alias("far"), F.col("_text").alias("t"))).when(under, F.struct(F.lit(1).alias("way"), (F.col("_y2") - F.col("_y")).alias("far"), F.col("_text").alias("t")))
+    paired = label.join(other, form).groupBy(form, "_pos", "key").agg(F.min(near).alias("b")).where("b is not null").select(form, F.col("_pos").alias(pos), "key", F.col("b.t").alias("value"))
+    return split.unionByName(paired)

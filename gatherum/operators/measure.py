@@ -149,3 +149,17 @@ def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     p = df.groupBy(F.col(predicted).alias("label")).agg(F.count("*").alias("n_pred"))
     both = t.join(p, "label", "full_outer").fillna(0, ["tp", "n_true", "n_pred"])
     return both.select("label", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"), F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).alias("precision"), F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).alias("recall"))
+
+
+def decision(rule: Column, model: Column, held_out: Column) -> list[Column]:
+    """decided_by (rule, model, none or refused) and value: a certain rule's value goes first; nothing is decided for what is held out."""
+    refused = F.coalesce(held_out, F.lit(True))
+    by = F.when(refused, "refused").when(rule.isNotNull(), "rule").when(model.isNotNull(), "model").otherwise("none")
+    return [by.alias("decided_by"), F.when(~refused, F.coalesce(rule, model)).alias("value")]
+
+
+def tier_calibration(df: DataFrame, keys: list[str], correct: str, least: int = 20, certain: float = 0.9) -> DataFrame:
+    """(keys, k, n, p, certain): the mean share correct of each tier by Jeffreys' prior, within bounds, and whether it is certain: enough rows and a share of ``certain`` or more."""
+    sums = df.groupBy(*keys).agg(F.count_if(F.col(correct)).alias("k"), F.count("*").alias("n"))
+    mean = (F.col("k") + 0.5) / (F.col("n") + 1.0)
+    return sums.select(*keys, "k", "n", N.clip(mean, 0.005, 0.995).alias("p"), ((F.col("n") >= least) & (mean >= certain)).alias("certain"))

@@ -5,6 +5,8 @@ A reader takes (blocks or lines of documents) and returns candidates: doc_id, fi
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -50,6 +52,11 @@ class Tier:
     above: str | None = None
     below: str | None = None
 
+    @property
+    def evidence(self) -> int:
+        """How many lines below the value its evidence stands: the line above or below that the tier asks for, or its own."""
+        return 1 if self.below else -1 if self.above else 0
+
     def value(self) -> Column:
         line, rest = F.col("line"), F.col("n_lines") - F.col("line")
         scopes = {"all": None, "first6": line < 6, "head": line < 15, "head25": line < 25, "late_head": (line >= 15) & (line < 40), "page1": line < 60, "tail": rest <= 15, "last3": rest <= 3}
@@ -66,14 +73,32 @@ class Tier:
 
 
 _TIERS: dict[str, list[Tier]] = {}
+#: Fields in which the first line with a candidate decides, and only then the tier.
+_LINE_FIRST: set[str] = set()
+#: For a field, why a candidate is refused: a function of (line, value, place of the value in the line) that gives a cause or null.
+_REFUSALS: dict[str, Callable[[Column, Column, Column], Column]] = {}
 
 
-def register_tiers(field: str, tiers: list[Tier]) -> None:
+def register_tiers(field: str, tiers: list[Tier], line_first: bool = False) -> None:
     """A field whose reader is a ranked list of tiers."""
     _TIERS[field] = tiers
+    if line_first:
+        _LINE_FIRST.add(field)
     register(field)(lambda lines: tier_candidates(lines, field, tiers))
 
 
+def register_refusals(field: str, cause: Callable[[Column, Column, Column], Column]) -> None:
+    _REFUSALS[field] = cause
+
+
+def discover(package: str, prefix: str = "tiers") -> list[str]:
+    """Import all modules of a package whose names begin so; their readers register themselves. Gives their names."""
+    found = sorted(m.name for m in pkgutil.iter_modules(importlib.import_module(package).__path__) if m.name.startswith(prefix))
+    for name in found:
+        importlib.import_module(f"{package}.{name}")
+    return found
+
+
 def tier_table(spark: SparkSession) -> DataFrame:
     """(field, tier_rank, tier, scope, roles, pattern): the registered tiers as rows."""
     rows = [(f, k, t.name, t.scope, t.roles, t.pattern) for f, ts in sorted(_TIERS.items()) for k, t in enumerate(ts, 1)]
@@ -96,24 +121,53 @@ def reader_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def tier_candidates(lines: DataFrame, field: str, tiers: list[Tier]) -> DataFrame:
-    """One row per tier and line with a match; offsets are those of the value in the document.
+    """One row per tier and line with a match; offsets are those of the value in the document, ``line`` is that of its evidence, ``refused`` is the cause if it may not be used.
 
     A line is read once for all tiers, and only tiers with a value become rows.
     """
-    found = F.filter(F.array(*[F.struct(F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), t.value().alias("value")) for k, t in enumerate(tiers, 1)]), lambda x: x["value"].isNotNull())
-    rows = lines.select("doc_id", "text", "start", F.explode(found).alias("x"))
-    begin = F.col("start") + F.expr("locate(x.value, text)") - 1
-    return rows.select("doc_id", F.lit(field).alias("field"), "x.tier", "x.tier_rank", "x.value", begin.cast("long").alias("start"), (begin + F.length("x.value")).cast("long").alias("stop"))
+    found = F.filter(F.array(*[F.struct(F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), t.value().alias("value"), F.lit(t.evidence).alias("evidence")) for k, t in enumerate(tiers, 1)]), lambda x: x["value"].isNotNull())
+    rows = lines.select("doc_id", "line", "text", "start", F.explode(found).alias("x")).withColumn("at", F.expr("locate(x.value, text)") - 1)
+    begin = F.col("start") + F.col("at")
+    cause = _REFUSALS[field](F.col("text"), F.col("x.value"), F.col("at")) if field in _REFUSALS else F.lit(None).cast("string")
+    return rows.select("doc_id", F.lit(field).alias("field"), "x.tier", "x.tier_rank", "x.value", begin.cast("long").alias("start"), (begin + F.length("x.value")).cast("long").alias("stop"), (F.col("line") + F.col("x.evidence")).cast("int").alias("line"), cause.alias("refused"))
+
 
+_FULL = (*CANDIDATE, "line", "refused")
 
-def read(lines: DataFrame, wanted: list[str] | None = None, documents: DataFrame | None = None) -> DataFrame:
-    """The first candidate of each document and field; with ``documents`` (doc_id) also rows with found = false."""
-    parts = [_READERS[f](lines).select(*CANDIDATE) for f in wanted or fields()]
-    best = first_candidate(reduce(DataFrame.unionByName, parts), ["doc_id", "field"]).withColumn("found", F.lit(True))
+
+def _read_field(lines: DataFrame, field: str, strict: bool) -> DataFrame:
+    """Candidates of one field; where the reader can't be built, an error, or without ``strict`` one row with the cause reader_error for each document."""
+    try:
+        rows = _READERS[field](lines)
+    except Exception:
+        if strict:
+            raise
+        rows = lines.select("doc_id").distinct().withColumns({"field": F.lit(field), "refused": F.lit("reader_error")})
+    missing = {c: F.lit(None).cast("long" if c in ("start", "stop") else "int" if c in ("tier_rank", "line") else "string") for c in _FULL if c not in rows.columns}
+    return rows.withColumns(missing).select(*_FULL)
+
+
+def read(lines: DataFrame, wanted: list[str] | None = None, documents: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """The first candidate of each document and field that isn't refused; with ``documents`` (doc_id) also rows with found = false and the reason.
+
+    Reasons are no_text (only blank lines), no_reader, reader_error, the cause why the first candidate was refused, or no_candidate.
+    """
+    fields_wanted = wanted or fields()
+    known = [f for f in fields_wanted if f in _READERS]
+    if strict and len(known) < len(fields_wanted):
+        raise KeyError(f"no reader for {sorted(set(fields_wanted) - set(known))}")
+    parts = [_read_field(lines, f, strict) for f in known]
+    candidates = reduce(DataFrame.unionByName, parts).withColumn("_by_line", F.when(F.col("field").isin(*_LINE_FIRST), F.col("line")).otherwise(0) if _LINE_FIRST else F.lit(0))
+    usable = candidates.where("refused is null").withColumn("_rank", F.struct(F.coalesce("_by_line", F.lit(0)).alias("l"), F.col("tier_rank").alias("t")))
+    best = first_candidate(usable, ["doc_id", "field"], "_rank").select(*CANDIDATE, "n_others").withColumn("found", F.lit(True))
     if documents is None:
         return best
-    grid = documents.select("doc_id").distinct().withColumn("field", F.explode(F.array(*map(F.lit, wanted or fields()))))
-    return grid.join(best, ["doc_id", "field"], "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("reason", F.when(~F.col("found"), "no_candidate"))
+    causes = candidates.where("refused is not null").groupBy("doc_id", "field").agg(F.min_by("refused", F.struct(F.coalesce("_by_line", F.lit(0)).alias("l"), F.col("tier_rank").alias("t"), F.col("start").alias("s"))).alias("cause"))
+    silent = lines.groupBy("doc_id").agg(F.coalesce(F.bool_or(F.trim("text") != ""), F.lit(False)).alias("_says"))
+    grid = documents.select("doc_id").distinct().join(silent, "doc_id", "left").withColumn("field", F.explode(F.array(*map(F.lit, fields_wanted))))
+    joined = grid.join(best, ["doc_id", "field"], "left").join(causes, ["doc_id", "field"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    reason = F.when(~F.col("field").isin(*known) if known else F.lit(True), "no_reader").when(~F.coalesce("_says", F.lit(False)), "no_text").otherwise(F.coalesce("cause", F.lit("no_candidate")))
+    return joined.withColumn("reason", F.when(~F.col("found"), reason)).drop("cause", "_says")
 
 
 def combine(rules: DataFrame, model: DataFrame, entered: DataFrame, weak: list[str]) -> DataFrame:

@@ -131,3 +131,27 @@ def round_robin_groups(groups: DataFrame, group: str, stratum: str, n: int, seed
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(group)).cast("binary"), 256)
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(order, group))
     return groups.select(group, stratum).distinct().withColumn("turn", turn).orderBy("turn", stratum).limit(n)
+
+
+def record_gaps(rows: DataFrame, item: str, of_register: list[str], of_document: list[str]) -> DataFrame:
+    """(item, kind, gaps, problems): slots without a value. An item none of whose register slots has a value has no entry there, and those are recorded gaps; all others missing are problems."""
+    missing = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    no_entry = F.lit(True)
+    for c in of_register:
+        no_entry = no_entry & missing(c)
+    gaps = F.array_compact(F.array(*[F.when(missing(c), F.lit(c)) for c in (*of_register, *of_document)]))
+    counted = sum([F.when(missing(c), 1).otherwise(0) for c in of_document], F.lit(0)) + sum([F.when(missing(c) & ~no_entry, 1).otherwise(0) for c in of_register], F.lit(0))
+    return rows.select(item, F.when(no_entry, "document_only").otherwise("register").alias("kind"), gaps.alias("gaps"), counted.cast("long").alias("problems"))
+
+
+def read_choice(answer: Column, choices: list[str]) -> Column:
+    """(choice, state) of a model's answer to a question with few choices: exact, json, loose (one choice is named), ambiguous, unreadable or empty."""
+    solid = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?m)^```\w*[ \t]*$", ""), r"^\s+|\s+$", "")
+    stated = F.upper(F.get_json_object(F.when(solid.startswith("{"), solid), "$.choice"))
+    listed = "|".join(choices)
+    named = F.array_distinct(F.transform(F.regexp_extract_all(solid, F.lit(rf"(?:^|(?<=[\s(\"']))({listed}|{listed.lower()})(?=[\s).,:;\"']|$)"), F.lit(1)), F.upper))
+    pair = lambda choice, state: F.struct(choice.cast("string").alias("choice"), F.lit(state).alias("state"))
+    return (
+        F.when(solid == "", pair(F.lit(None), "empty")).when(solid.isin(*choices), pair(solid, "exact")).when(stated.isin(*choices), pair(stated, "json"))
+        .when(F.size(named) == 1, pair(F.get(named, F.lit(0)), "loose")).when(F.size(named) > 1, pair(F.lit(None), "ambiguous")).otherwise(pair(F.lit(None), "unreadable"))
+    )

@@ -8,7 +8,11 @@ the line above or below instead.
 
 from __future__ import annotations
 
-from gatherum.operators.readers import Tier, register_tiers
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from gatherum.functions.dates import find_dates
+from gatherum.operators.readers import Tier, register_refusals, register_tiers
 
 # Words of instruments, answers, bodies, months and roles in three languages.
 TYPE = r"(?:motion|postulat|interpellation|(?:schriftliche |kleine |dringliche )?anfrage|auftrag|question|parlamentarische initiative|initiative parlementaire|iniziativa parlamentare|mozione|postulato|interpellanza|interrogazione)"
@@ -113,7 +117,7 @@ register_tiers("title", [
     Tier("after_kind_heading", r"^\s*(\p{Lu}.{4,})$", "page1", above=r"(?iu)^\s*(?:bericht und antrag|botschaft|messaggio)\b[^.]{0,60}$"),
     Tier("sentence_titled_quote", r"(?iu)(?:mit dem titel|intitul[ée]e?|dal titolo)\s+[«\"„“]([^«»\"„“”]{3,})", "page1"),
     Tier("sentence_type_quote", rf"{i}\b{TYPE}\b[^«»\"„“”]{{0,80}}[«\"„“]([^«»\"„“”]{{3,}})[»\"“”]", "page1"),
-])
+], line_first=True)
 
 _SUBMIT = r"(?:eingereicht(?: am)?|eingang|eingegangen|d[ée]pos[ée]e?(?: le)?|date du d[ée]p[ôo]t|presentat[oa](?: il)?)"
 register_tiers("submission_date", [
@@ -193,3 +197,29 @@ register_tiers("first_author", [
     Tier("type_in_sentence", rf"(?iu:\b(?:das|die|le|la|il)\s+{TYPE}\s+(?:von|de|di)\s+){NAME}"),
     Tier("signature_untyped", rf"^\s*{NAME}\s*$", "last3"),
 ])
+
+# What stands before or behind numbers that are no numbers of affairs, and causes.
+_LAW_BEFORE = r"(?iu)(?:\b(?:SR|RS|LS|BGS|RSF|Art\.?|Ziff\.?|Abs\.?)|§)\s*$"
+_AMOUNT_BEFORE, _AMOUNT_AFTER = r"(?iu)(?:CHF|Fr\.|Franken|€)\s*$", r"(?iu)^\s*(?:CHF|Franken|Fr\.|%|Mio|Mrd)"
+_PAGE_BEFORE = r"(?iu)(?:\bS\.|Seite|page|pagina)\s*$"
+_CUE_BEFORE = rf"(?iu)(?:{AFFAIR_LABEL}|vorstoss-?\s?(?:nr\.?|nummer))\s*:?\s*(?:nr\.?\s*)?$"
+_DECISION_BEFORE = r"(?iu)(?:beschluss|d[ée]cision|decisione|RRB|SRB|GRB)\b[^0-9]*$"
+
+
+def number_refusal(line: Column, value: Column, at: Column) -> Column:
+    """Why a number isn't that of an affair: date, phone, law_number, amount, page_number, postal_code, year, decision_number; null if it may be.
+
+    Right behind a word that announces a number, short dates, page numbers, postal codes and years count as numbers.
+    """
+    before, after = F.substring(line, F.lit(1), at), F.substr(line, at + F.length(value) + 1)
+    solid = F.trim(value)
+    told = before.rlike(_CUE_BEFORE)
+    is_date = F.exists(find_dates(line), lambda h: (h["start"] < at + F.length(value)) & (h["stop"] > at) & (~told | F.substr(line, h["start"] + 1, h["stop"] - h["start"]).rlike(r"\d{4}")))
+    return (
+        F.when(is_date, "date").when(solid.rlike(r"^(?:0\d{2} ?\d{3} ?\d{2} ?\d{2}|\d{3} \d{2} \d{2})$"), "phone").when(before.rlike(_LAW_BEFORE), "law_number")
+        .when(before.rlike(_AMOUNT_BEFORE) | after.rlike(_AMOUNT_AFTER), "amount").when(before.rlike(_PAGE_BEFORE) | (solid.rlike(r"^\d{1,3}\s?/\s?\d{1,3}$") & ~told), "page_number")
+        .when(~told & solid.rlike(r"^\d{4}$") & after.rlike(r"^\s+\p{Lu}\p{Ll}{2,}"), "postal_code").when(~told & solid.rlike(r"^(?:19|20)\d{2}(?:\s?[-/]\s?(?:19|20)\d{2})?$"), "year").when(F.right(before, F.lit(40)).rlike(_DECISION_BEFORE), "decision_number")
+    )
+
+
+register_refusals("affair_number", number_refusal)

@@ -94,13 +94,6 @@ def w11(spark, d):
     return Q.border_matches(borders("ref", "ref").unionByName(borders("hyp", "hyp")), "user_id", "pos", "side", 1)
 
 
-@query("w12_next_number", f"SELECT doc_id, line FROM (SELECT doc_id, line, n, lag(n) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM (SELECT doc_id, line, try_cast(regexp_extract(text, '^\\s*(\\d{{1,3}})', 1) AS INTEGER) AS n FROM {LINES_SQL}) WHERE n IS NOT NULL) WHERE n = p + 1")
-def w12(spark, d):
-    n = F.regexp_extract("text", r"^\s*(\d{1,3})", 1).try_cast("int")
-    rows = _lines(spark, d).select("doc_id", "line", n.alias("n")).where("n is not null")
-    return rows.withColumn("p", F.lag("n").over(Window.partitionBy("doc_id").orderBy("line"))).where("n = p + 1").select("doc_id", "line")
-
-
 @query("w13_order_defects", "SELECT l_orderkey, l_linenumber FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM lineitem) WHERE l_shipdate < p")
 def w13(spark, d):
     p = F.lag("l_shipdate").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
@@ -173,16 +166,6 @@ def j12_similar(spark, d):
     return J.similar_lines(lines.select("doc_id", "page", "line", "text", "top"), "doc_id", "page", "line", "text", "top").select("doc_id", "line")
 
 
-@query("j16_word_alignment")
-def j16(spark, d):
-    return J.aligned_rows(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", "p_name", "p_type")
-
-
-@query("j17_key_values", rf"SELECT doc_id, line, k AS key, v AS value FROM (SELECT doc_id, line, nullif(regexp_extract(text, '{(p := r'^\s*(\p{L}[\p{L}\p{N}./-]*(?: [\p{L}\p{N}./-]+){0,4})\s*:\s+(\S.*?)\s*$')}', 1), '') AS k, nullif(regexp_extract(text, '{p}', 2), '') AS v FROM {LINES_SQL}) WHERE k IS NOT NULL")
-def j17(spark, d):
-    return J.key_values(_lines(spark, d), "text").where("key is not null").select("doc_id", "line", "key", "value")
-
-
 @query("j20_gap_free_part", "SELECT user_id, contains(seq, ',click,view,') AS has_part FROM (SELECT user_id, ',' || string_agg(event_type, ',' ORDER BY event_id) || ',' AS seq FROM events GROUP BY user_id)")
 def j20(spark, d):
     seq = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("seq"))
@@ -197,14 +180,7 @@ def d3(spark, d):
     return _lines(spark, d).where(F.trim("text") != "").select("doc_id", "line", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("d4_cover_proof", "SELECT doc_id, 0::BIGINT AS overlaps FROM documents WHERE false")
-def d4(spark, d):
-    """Documents whose lines fail to cover the text once: none."""
-    docs = table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace("text", "\n", "")).cast("long").alias("expected"))
-    return Q.cover_defects(_lines(spark, d), "doc_id", "start", "stop", docs, "expected").select("doc_id", "overlaps")
-
-
-@query("d5_fixed_roles", f"SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)^\\s*(?:seite|page|pagina|p\\.|s\\.)?\\s*\\d{{1,4}}(?:\\s*(?:/|von|de|di|of)\\s*\\d{{1,4}})?\\s*$') THEN 'R1' WHEN regexp_matches(text, '^\\s*\\d{{1,2}}\\)?\\s+(?i:vgl|siehe|cf|voir|cfr)\\b') THEN 'R2' WHEN regexp_matches(text, '(?i)\\.(?:docx?|pdf|xlsx?)\\s*$|^[a-z]:\\\\|^/[\\w./-]+$') THEN 'R5' ELSE '-' END AS role FROM {LINES_SQL}) GROUP BY role")
+@query("d5_roles_of_lines", f"SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)^\\s*(?:seite|page|pagina|p\\.|s\\.)?\\s*\\d{{1,4}}(?:\\s*(?:/|von|de|di|of)\\s*\\d{{1,4}})?\\s*$') THEN 'R1' WHEN regexp_matches(text, '^\\s*\\d{{1,2}}\\)?\\s+(?i:vgl|siehe|cf|voir|cfr)\\b') THEN 'R2' WHEN regexp_matches(text, '(?i)\\.(?:docx?|pdf|xlsx?)\\s*$|^[a-z]:\\\\|^/[\\w./-]+$') THEN 'R5' ELSE '-' END AS role FROM {LINES_SQL}) GROUP BY role")
 def d5(spark, d):
     role = O.fixed_role(F.col("text"), F.lit("text"), F.lit(False))
     return _lines(spark, d).select(F.coalesce(role, F.lit("-")).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
@@ -215,7 +191,7 @@ def d6(spark, d):
     return table(spark, d, "part").select("p_partkey", O.zone(F.col("p_size"), F.lit(50)).alias("zone"))
 
 
-@query("d7_document_roles", f"""SELECT doc_id, CASE WHEN att THEN 'other' WHEN prot THEN 'minutes' WHEN ans IS NOT NULL AND (dem >= 1 OR ans * 4 >= n) THEN 'combined' WHEN ans IS NOT NULL THEN 'response' WHEN spo >= 1 OR pro >= 1 THEN 'proposal' ELSE 'other' END AS role,
+@query("d7_roles_of_documents", f"""SELECT doc_id, CASE WHEN att THEN 'other' WHEN prot THEN 'minutes' WHEN ans IS NOT NULL AND (dem >= 1 OR ans * 4 >= n) THEN 'combined' WHEN ans IS NOT NULL THEN 'response' WHEN spo >= 1 OR pro >= 1 THEN 'proposal' ELSE 'other' END AS role,
   CASE WHEN att THEN 'O2' WHEN prot THEN 'M1' WHEN ans IS NOT NULL AND (dem >= 1 OR ans * 4 >= n) THEN 'A1' WHEN ans IS NOT NULL THEN 'A2' WHEN spo >= 1 THEN 'P1' WHEN pro >= 1 THEN 'P2' ELSE 'D0' END AS reason
   FROM (SELECT doc_id, count(*) AS n, min(CASE WHEN regexp_matches(text, '{O.ANSWER.replace("(?iu)", "(?i)")}') THEN line END) AS ans, bool_or(line < 15 AND regexp_matches(text, '{O.ATTACHMENT.replace("(?iu)", "(?i)")}')) AS att, bool_or(line < 15 AND regexp_matches(text, '{O.PROTOCOL.replace("(?iu)", "(?i)")}')) AS prot,
   count(*) FILTER (regexp_matches(text, '{O.DEMAND.replace("(?iu)", "(?i)")}')) AS dem, count(*) FILTER (regexp_matches(text, '{O.SPONSOR.replace("(?iu)", "(?i)")}')) AS spo, count(*) FILTER (regexp_matches(text, '{O.PROPOSAL.replace("(?iu)", "(?i)")}')) AS pro FROM {LINES_SQL} GROUP BY doc_id)""")

@@ -27,9 +27,9 @@ def _docs(spark, d):
 @query("a3_text_class_profile", f"""SELECT source, lang, count(*) AS n_docs, avg(CASE WHEN text_class = 'text' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_text,
   median(length(text))::DOUBLE AS median_chars, count(DISTINCT text_key) AS n_keys, grouping(source, lang)::BIGINT AS total_level FROM {_CLASSED} GROUP BY ROLLUP (source, lang)""")
 def a3(spark, d):
-    rows = P.text_classes(_docs(spark, d), "text", _REPEATS)
+    rows = P.text_classes(_docs(spark, d).withColumn("chars", F.length("text")), "text", _REPEATS)
     return rows.rollup("source", "lang").agg(
-        F.count("*").alias("n_docs"), F.avg((F.col("text_class") == "text").cast("double")).alias("share_text"), F.median(F.length("text")).alias("median_chars"),
+        F.count("*").alias("n_docs"), F.avg((F.col("text_class") == "text").cast("double")).alias("share_text"), F.median("chars").alias("median_chars"),
         F.count_distinct("text_key").alias("n_keys"), F.grouping_id().alias("total_level"),
     )
 
@@ -46,14 +46,6 @@ def p2(spark, d):
     return keys.select("key", R.level_of(F.col("key")).alias("level"))
 
 
-_NAME_SQL = R.as_sql("text", R.NAME_CLASSES, "leer", "andere")
-
-
-@query("p3_name_class", f"SELECT name_class, count(*) AS n FROM (SELECT {_NAME_SQL} AS name_class FROM documents) GROUP BY name_class")
-def p3(spark, d):
-    return _docs(spark, d).select(R.classify(F.col("text"), R.NAME_CLASSES, "leer", "andere").alias("name_class")).groupBy("name_class").agg(F.count("*").alias("n"))
-
-
 _PART_RULES = [R.Rule("brass_like", "brass|copper"), R.Rule("steel_like", "steel|nickel|tin"), R.Rule("promo", "^promo")]
 
 
@@ -86,13 +78,6 @@ def p13(spark, d):
     return table(spark, d, "pages").select("page_id", R.url_extension(F.col("url")).alias("ext"), mime.alias("mime")).select("page_id", "ext", R.format_group(F.col("mime"), F.col("ext")).alias("format_group"))
 
 
-@query("p14_role_by_organ", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'nope') THEN 'andere' WHEN len(list_filter(['1', '7'], lambda x: contains(lower(p_name), x))) > 0 THEN 'organ' ELSE 'andere' END AS role FROM part")
-def p14(spark, d):
-    low = F.lower("p_name")
-    organ = F.exists(F.array(F.lit("1"), F.lit("7")), lambda x: F.contains(low, x))
-    return table(spark, d, "part").select("p_partkey", F.when(low.contains("nope"), "andere").when(organ, "organ").otherwise("andere").alias("role"))
-
-
 @query("p16_masked_category", "SELECT page_id, CASE WHEN regexp_matches(url, '(?i)\\.(pdf|docx?|xlsx?|html?|zip)$') OR length(url) > 80 THEN '(freitext)' ELSE url END AS category FROM pages")
 def p16(spark, d):
     return table(spark, d, "pages").select("page_id", R.masked_category(F.col("url")).alias("category"))
@@ -143,12 +128,6 @@ def j2(spark, d):
     return e.join(c, e.user_id == c.c_custkey, "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("j3_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def j3(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
-
-
 @query("j4_two_hops", "SELECT n_name, count(*) AS n, count(c_custkey) AS with_customer FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def j4(spark, d):
     o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
@@ -309,11 +288,6 @@ def a16(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"))
 
 
-@query("a17_set_features", "SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'error') AS failed, list_sort(list(DISTINCT event_type)) AS kinds, count(DISTINCT event_type) AS n_kinds FROM events GROUP BY user_id".replace("list_sort(list(DISTINCT event_type)) AS kinds", "array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds"))
-def a17(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("bought"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"), F.count_distinct("event_type").alias("n_kinds"))
-
-
 @query("a18_distinct_members", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
 def a18(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", "l_returnflag").distinct()

@@ -18,12 +18,6 @@ def _lines(spark, d):
     return Q.lines(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("d8_author_switch_rule", f"SELECT doc_id, line, previous, family FROM (SELECT doc_id, line, family, last_value(family IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM (SELECT doc_id, line, CASE WHEN regexp_matches(text, '^(The|Der|Le) ') THEN 'sponsor' WHEN regexp_matches(text, '^(An|Die|La) ') THEN 'body' END AS family FROM {LINES_SQL})) WHERE family <> previous")
-def d8(spark, d):
-    family = F.when(F.col("text").rlike("^(The|Der|Le) "), "sponsor").when(F.col("text").rlike("^(An|Die|La) "), "body")
-    return Q.switches(_lines(spark, d).withColumn("family", family), "doc_id", "line", "family")
-
-
 @query("d10_composed_answers", f"SELECT doc_id, line, coalesce(CASE WHEN regexp_matches(text, '^\\d+$') THEN 'furniture' END, last_value(family IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'other') AS answer FROM (SELECT *, CASE WHEN regexp_matches(text, '^(The|Der|Le) ') THEN 'sponsor' WHEN regexp_matches(text, '^(An|Die|La) ') THEN 'body' END AS family FROM {LINES_SQL})")
 def d10(spark, d):
     family = F.when(F.col("text").rlike("^(The|Der|Le) "), "sponsor").when(F.col("text").rlike("^(An|Die|La) "), "body")
@@ -46,11 +40,6 @@ def d18(spark, d):
     return C.odd_mark(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag").select("l_orderkey", "l_partkey")
 
 
-@query("d24_form_predicates", f"SELECT doc_id, bool_or(line < 15 AND contains(text, 'the')) AS executive, bool_or(line < 15 AND contains(text, 'der')) AS letter FROM {LINES_SQL} GROUP BY doc_id")
-def d24(spark, d):
-    return C.form_predicates(_lines(spark, d), {"executive": "the", "letter": "der"})
-
-
 @query("d26_kind_decision", "SELECT doc_id, CASE WHEN a AND b THEN 'combined' WHEN a OR lang = 'de' THEN 'response' WHEN b OR lang = 'fr' THEN 'proposal' ELSE 'other' END AS kind FROM (SELECT doc_id, lang, doc_id % 3 = 0 AS a, doc_id % 5 = 0 AS b FROM documents)")
 def d26(spark, d):
     role = F.when(F.col("lang") == "de", "response").when(F.col("lang") == "fr", "proposal").otherwise("other")
@@ -134,47 +123,6 @@ def o7(spark, d):
     return C.round_robin_groups(g, "c_nation", "region", 12, "5").select("c_nation", "region")
 
 
-@query("p10_type_dependent_correction", "SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_type = 'view' THEN 'open' ELSE event_type END AS class FROM events")
-def p10(spark, d):
-    return table(spark, d, "events").select("event_id", F.when((F.col("user_id") % 3 == 0) & (F.col("event_type") == "view"), "open").otherwise(F.col("event_type")).alias("class"))
-
-
-# Step, status and recommendation words of registers.
-STATUS_RULES = [R.Rule("closed", "erledigt|abgeschrieben|liquid|class[ée]|evaso"), R.Rule("accepted", "angenommen|[üu]berwiesen|accept|adopt|accolt"), R.Rule("rejected", "abgelehnt|rejet|respint"), R.Rule("open", "h[äa]ngig|pendent|en suspens|in corso")]
-RECOMMENDATION_RULES = [R.Rule("reject", "ablehn|rejet|respinger"), R.Rule("accept_as_postulate", "als postulat"), R.Rule("accept", "annahme|annehmen|entgegen|accept|adopt|accoglier")]
-
-
-@query("p11_status_rules", f"SELECT doc_id, {R.as_sql('text', STATUS_RULES, 'leer', 'unknown')} AS status, {R.as_sql('text', RECOMMENDATION_RULES, 'leer', 'none')} AS recommendation FROM documents")
-def p11(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", R.classify(t, STATUS_RULES, "leer", "unknown").alias("status"), R.classify(t, RECOMMENDATION_RULES, "leer", "none").alias("recommendation"))
-
-
-@query("e2_units_and_lines", "SELECT user_id AS doc_id, 0::BIGINT AS lost FROM events GROUP BY user_id")
-def e2(spark, d):
-    """Lines to segments and back: nothing is lost."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.row_number().over(w) - 1).alias("line"), F.col("event_type").alias("answer"))
-    back = C.units_to_lines(C.lines_to_units(rows, "answer").withColumn("unit", F.col("answer"))).withColumnRenamed("unit", "answer2")
-    both = rows.join(back, ["doc_id", "line"], "left")
-    return both.groupBy("doc_id").agg(F.count_if(~F.col("answer").eqNullSafe(F.col("answer2"))).alias("lost"))
-
-
-@query("e3_fixed_answers", f"SELECT CASE r WHEN 'R1' THEN 'furniture' WHEN 'R5' THEN 'furniture' ELSE 'text' END AS answer, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^\\s*\\d{{1,4}}\\s*$') THEN 'R1' WHEN regexp_matches(text, '(?i)\\.(?:docx?|pdf|xlsx?)\\s*$') THEN 'R5' END AS r FROM {LINES_SQL}) GROUP BY 1")
-def e3(spark, d):
-    role = O.fixed_role(F.col("text"), F.lit("text"), F.lit(False))
-    return _lines(spark, d).select(F.when(role.isin("R1", "R4", "R5"), "furniture").when(role == "R3", "none").otherwise("text").alias("answer")).groupBy("answer").agg(F.count("*").alias("n"))
-
-
-@query("e4_title_anchor", "SELECT doc_id, count(*) AS n_lines FROM " + LINES_SQL + " GROUP BY doc_id HAVING count(*) > 100000")
-def e4(spark, d):
-    """Documents of which over a hundred thousand lines are like the first: none; shares of content words decide."""
-    lines = _lines(spark, d)
-    first = lines.where("line = 0").select("doc_id", F.col("text").alias("title"))
-    alike = lines.join(first, "doc_id").where(T.share_of_words(F.col("text"), F.col("title")) >= 0.75)
-    return alike.groupBy("doc_id").agg(F.count("*").alias("n_lines")).where("n_lines > 100000")
-
-
 @query("e5_error_causes", "SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars > 5000 THEN 'long' ELSE 'normal' END AS form, count(*) AS n, count(*) FILTER (quality = 0) AS errors FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def e5(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
@@ -209,9 +157,3 @@ def e21(spark, d):
 @query("e25_keyword_counts", "SELECT lang, count(*) FILTER (contains(text, ' the ')) AS hits, count(*) AS n FROM documents GROUP BY lang")
 def e25(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.contains("text", F.lit(" the "))).alias("hits"), F.count("*").alias("n"))
-
-
-@query("e26_schema_pin", "SELECT n_nationkey, sha256(n_name) = sha256(upper(n_name)) AS pinned FROM nation")
-def e26(spark, d):
-    h = lambda c: F.sha2(c.cast("binary"), 256)
-    return table(spark, d, "nation").select("n_nationkey", (h(F.col("n_name")) == h(F.upper("n_name"))).alias("pinned"))

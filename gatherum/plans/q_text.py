@@ -24,14 +24,8 @@ def f1(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.fold_latin(F.col("text")).cast("binary")).alias("folded"))
 
 
-@query("f1_fold_any_script", f"SELECT doc_id, {_FOLD.format('left(text, 200)')} AS folded FROM documents")
+@query("f1_fold_any_script", f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents")
 def f1_any(spark, d):
-    return _docs(spark, d).select("doc_id", T.fold(F.left("text", F.lit(200))).alias("folded"))
-
-
-@query("f1_fold_any_script_whole", f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents")
-def f1_any_whole(spark, d):
-    """As f1_fold_any_script, over all of the text."""
     return _docs(spark, d).select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
@@ -40,14 +34,6 @@ def f2(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.norm(F.col("text")).cast("binary")).alias("normal"))
 
 
-@query("f3_search_map", "SELECT doc_id, true AS offsets_fit FROM documents")
-def f3(spark, d):
-    """Folded forms with offsets: there is one per character, they rise, and they stay inside the text."""
-    rows = _docs(spark, d).select("doc_id", "text", T.search_map("text").alias("m"))
-    fit = (F.length("m.text") == F.size("m.offsets")) & (F.size("m.offsets") == 0) | (F.length("m.text") == F.size("m.offsets")) & (F.array_max("m.offsets") < F.length("text")) & (F.sort_array("m.offsets") == F.col("m.offsets"))
-    return rows.select("doc_id", fit.alias("offsets_fit"))
-
-
 @query("f4_content_words", f"SELECT doc_id, len(list_filter({_WORDS.format('text')}, lambda x: NOT list_contains({T.STOP_WORDS!r}, x)))::BIGINT AS n_content FROM documents")
 def f4(spark, d):
     return _docs(spark, d).select("doc_id", F.size(T.content_words(F.col("text"))).cast("long").alias("n_content"))
@@ -80,11 +66,6 @@ def f8(spark, d):
     return _docs(spark, d).select("doc_id", F.get(hits, F.lit(0))["w"].alias("key"))
 
 
-@query("f9_part_of_list", f"SELECT p_partkey, list_has_any([1], [1]) AND (contains(' ' || {_FOLD.format('p_type')} || ' ', ' ' || {_FOLD.format('split_part(p_type, chr(32), 2)')} || ' ') AND {_FOLD.format('split_part(p_type, chr(32), 2)')} <> '') AS part FROM part")
-def f9(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.is_part(T.words_of(F.split_part("p_type", F.lit(" "), F.lit(2))), T.words_of(F.col("p_type"))).alias("part"))
-
-
 @query("f10_text_key", r"SELECT doc_id, left(md5(trim(regexp_replace(text, '\s+', ' ', 'g'))), 16) AS text_key FROM documents")
 def f10(spark, d):
     return _docs(spark, d).select("doc_id", T.text_key(F.col("text")).alias("text_key"))
@@ -100,11 +81,6 @@ def f12(spark, d):
     return _docs(spark, d).select("doc_id", T.head_has(F.col("text"), "licen[cs]e|copyright").alias("licence_mark"), T.head_has(F.col("text"), "@").alias("mail_mark"))
 
 
-@query("f13_sentences")
-def f13(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
-
-
 @query("f15_spaced_words", "SELECT n_nationkey, n_name AS word FROM nation")
 def f15(spark, d):
     spaced = F.array_join(F.filter(F.split("n_name", ""), lambda c: c != ""), " ")
@@ -123,18 +99,6 @@ def f20(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.without_tags(F.col("html")).cast("binary")).alias("visible"))
 
 
-@query("f21_verbatim_proof", "SELECT doc_id, true AS verbatim FROM documents")
-def f21(spark, d):
-    shown = F.concat(F.lit("<p>"), F.regexp_replace(F.regexp_replace("text", "[<>]", ""), "\n", "<br>"), F.lit("</p>"))
-    return _docs(spark, d).select("doc_id", T.is_verbatim(shown, F.regexp_replace("text", "[<>]", "")).alias("verbatim"))
-
-
-@query("f22_word_completeness", f"SELECT c_custkey, greatest(len({_WORDS.format('c_name')}) - 1, 0)::BIGINT AS missing FROM customer")
-def f22(spark, d):
-    first = F.get(T.words_of(F.col("c_name")), F.lit(0))
-    return table(spark, d, "customer").select("c_custkey", T.word_multiset_missing(F.col("c_name"), first).cast("long").alias("missing"))
-
-
 @query("f23_snippets", "SELECT doc_id, CASE WHEN f > 0 THEN '…' ELSE '' END || substr(text, f + 1, 120) || CASE WHEN f + 120 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, greatest(least(s - 58, length(text) - 120), 0) AS f FROM (SELECT doc_id, text, length(text) // 2 AS s FROM documents))")
 def f23(spark, d):
     s = F.floor(F.length("text") / 2)
@@ -157,11 +121,6 @@ def f26(spark, d):
     return table(spark, d, "pages").select("page_id", T.percent_encode("url").alias("encoded"))
 
 
-@query("f27_forbidden_characters", r"SELECT doc_id, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]'))::BIGINT AS n_forbidden FROM documents")
-def f27(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.forbidden_in_xml(F.col("text"))).cast("long").alias("n_forbidden"))
-
-
 @query("f28_canonical_hash", """SELECT n_nationkey, sha256('{"name":"' || n_name || '","region":"' || n_regionkey || '"}') AS hash FROM nation""")
 def f28(spark, d):
     return table(spark, d, "nation").select("n_nationkey", S.canonical_json_hash(F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("name"), F.col("n_name"))).alias("hash"))

@@ -55,11 +55,11 @@ def test_entry_imports(spark):
 
 def test_fold_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(k, "Éa " * 300 + end) for k, end in enumerate("xy")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert len({r["folded"] for r in QUERIES["f1_fold_any_script_whole"](spark, str(tmp_path)).collect()}) == 2
+    assert len({r["folded"] for r in QUERIES["f1_fold_any_script"](spark, str(tmp_path)).collect()}) == 2
 
 
 def test_block_text_is_whole(spark, tmp_path):
     spark.createDataFrame([(k, "Éa " * 300 + end) for k, end in enumerate("xy")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.read.parquet(f"{FOLDER}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
-    assert len({r["text"] for r in QUERIES["g11_block_text_whole"](spark, str(tmp_path)).collect()}) == 2
+    assert len({r["text"] for r in QUERIES["g11_block_text"](spark, str(tmp_path)).collect()}) == 2

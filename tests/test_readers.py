@@ -29,7 +29,7 @@ def test_tiers(values, doc, field, tier, value):
 
 
 def test_not_found(values):
-    assert values[1][(3, "title")]["reason"] == "no_candidate" and not values[1][(4, "responder")]["found"]
+    assert values[1][(3, "title")]["reason"] == "no_text" and values[1][(2, "submission_date")]["found"] and not values[1][(4, "responder")]["found"]
 
 
 def test_tier_names_are_unique(spark):
