@@ -69,16 +69,16 @@ _bounds = f"t.n * {200 - THRESHOLD} >= u.n * {THRESHOLD} AND u.n * {200 - THRESH
 _quoted = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES)
 _grams = lambda words: f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
 OP6 = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©)[^\n]*', '', 'g'), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:[0-9]{{1,2}}|[a-z])[.)][ \t]+', '', 'g')), 'licenc', 'licens') AS text FROM documents),
 lines AS (SELECT rid, doc_id, 'line' AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no, unnest(string_split(text, chr(10))) AS passage FROM d),
 paragraphs AS (SELECT rid, doc_id, 'paragraph' AS unit, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) - 1 AS unit_no, unnest(regexp_split_to_array(text, '\n\s*\n')) AS passage FROM d),
 units AS (
   SELECT * FROM lines UNION ALL SELECT * FROM paragraphs WHERE contains(trim(passage, ' '), chr(10))
   UNION ALL SELECT rid, doc_id, 'text', 0, text FROM d WHERE regexp_matches(text, '\S\s*\n\s*\n\s*\S')),
-w AS (SELECT row_number() OVER () AS uid, doc_id, unit, unit_no::BIGINT AS unit_no, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}]+') AS words FROM units),
+w AS (SELECT row_number() OVER () AS uid, doc_id, unit, unit_no::BIGINT AS unit_no, regexp_extract_all(passage, '[\p{{L}}\p{{N}}]+') AS words FROM units),
 u AS (SELECT *, len(b)::BIGINT AS n FROM (SELECT uid, doc_id, unit, unit_no, {_grams("words")} AS b FROM w)),
 t0(template, licence, body) AS (VALUES {_quoted}),
-tw AS (SELECT template, licence, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS words FROM t0),
+tw AS (SELECT template, licence, regexp_extract_all(replace(lower(body), 'licenc', 'licens'), '[\p{{L}}\p{{N}}]+') AS words FROM t0),
 t AS (SELECT *, len(b)::BIGINT AS n FROM (SELECT template, licence, {_grams("words")} AS b FROM tw)),
 c AS (SELECT uid, doc_id, unit, unit_no, template, licence, u.n AS n_bigrams, len(list_intersect(u.b, t.b))::BIGINT AS n_common, t.n FROM u JOIN t ON {_bounds}),
 h AS (SELECT *, round(n_common * 2.0::DOUBLE / (n_bigrams + n), 6) AS dice FROM c WHERE n_common * 200 >= (n_bigrams + n) * {THRESHOLD})

@@ -292,6 +292,28 @@ def test_licences_inside_texts(spark, none):
     assert licences.embedded_notices(none).count() == 0
 
 
+def test_licences_in_other_forms(spark):
+    by_name = {name: text for name, _, text in licences.TEMPLATES}
+    bsd = by_name["bsd-3-full"]
+    cut = [bsd.index("Redistributions of source"), bsd.index("Redistributions in binary"), bsd.index("Neither the name"), bsd.index("This software is provided")]
+    parts = [bsd[a:b].strip() for a, b in zip([0, *cut], [*cut, None])]
+    listed = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + "\n".join([parts[0], *(f"{k}. {x}" for k, x in enumerate(parts[1:4], 1)), "", parts[4]])
+    rows = [(1, listed), (2, "Released under the MIT Licence."), (3, "(c) 1999 by me\n" + by_name["mit-full"].upper()), (4, "# " + by_name["unlicense"].replace(". ", ".\n# ")), (5, "a licence to print money, that is all"), (6, by_name["lgpl-2.1-header"])]
+    got = {(r["doc_id"], r["licence"]): r["dice"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).where("unit <> 'line' or doc_id in (2, 3, 6)").collect()}
+    assert got[1, "BSD-3-Clause"] > 0.95 and got[2, "MIT"] == 1.0 and got[3, "MIT"] == 1.0 and got[4, "Unlicense"] > 0.95 and got[6, "LGPL-2.1-or-later"] == 1.0 and not any(d == 5 for d, _ in got)
+
+
+def test_marks_lose_nothing():
+    known = [licences.template_bigrams(t) for _, _, t in licences.TEMPLATES]
+    marks, rng = licences.marks(known, licences.THRESHOLD), random.Random(5)
+    assert len(marks) < 80
+    for bigrams in known:
+        for _ in range(300):
+            kept = rng.sample(bigrams, rng.randrange(1, len(bigrams) + 1))
+            if 200 * len(kept) >= licences.THRESHOLD * (len(kept) + len(bigrams)):
+                assert any(m in b for b in kept for m in marks)
+
+
 # ---- near-duplicates
 
 
