@@ -34,12 +34,22 @@ def interval_overlap(a: DataFrame, b: DataFrame, doc: str, a_span: tuple[str, st
 def nearest_day(events: DataFrame, candidates: DataFrame, key: str, event_id: str, day: str, candidate_id: str, candidate_day: str, close: int = 7) -> DataFrame:
     """For each event the candidate of the same key: those at most ``close`` days after first, then the nearest, then the smallest id.
 
-    The best candidate is an aggregate, so no group is sorted or gathered.
+    Only the last candidate up to an event's day and the first one behind it can be that: both are windows over the days of a key, with one row for all candidates of
+    a day, so a busy key costs a sort and not the product of its rows. Rows without a day take no part; events of a key without candidates give no row.
     """
-    diff = F.date_diff(F.col(candidate_day), F.col(day))
-    order = F.struct(F.when(diff <= close, 0).otherwise(1).alias("class"), F.abs(diff).alias("abs"), F.col(candidate_id).alias("id"), diff.alias("diff"))
-    best = events.join(candidates, key).groupBy(key, event_id).agg(F.min(order).alias("b"))
-    return best.select(key, event_id, F.col("b.id").alias(candidate_id), F.col("b.diff").alias("days"))
+    days = candidates.where(F.col(candidate_day).isNotNull()).groupBy(key, F.col(candidate_day).alias("_day")).agg(F.min(candidate_id).alias("_id"))
+    marks = days.select(key, "_day", F.struct("_day", "_id").alias("_mark"), F.lit(None).cast(events.schema[event_id].dataType).alias("_event"))
+    asked = events.where(F.col(day).isNotNull()).select(key, F.col(day).alias("_day"), F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"), F.col(event_id).alias("_event"), F.lit(True).alias("_asks"))
+    w = Window.partitionBy(key).orderBy("_day", F.col("_asks").asc_nulls_first())
+    both = marks.withColumn("_asks", F.lit(None).cast("boolean")).unionByName(asked)
+    placed = both.withColumns({"_back": F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_ahead": F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("_asks")
+
+    def order(mark: Column) -> Column:
+        diff = F.date_diff(mark["_day"], F.col("_day"))
+        return F.when(mark.isNotNull(), F.struct(F.when(diff <= close, 0).otherwise(1).alias("class"), F.abs(diff).alias("abs"), mark["_id"].alias("id"), diff.alias("diff")))
+
+    best = placed.select(key, F.col("_event").alias(event_id), F.least(order(F.col("_back")), order(F.col("_ahead"))).alias("b")).where("b is not null")
+    return best.groupBy(key, event_id).agg(F.min("b").alias("b")).select(key, event_id, F.col("b.id").alias(candidate_id), F.col("b.diff").alias("days"))
 
 
 def zip_mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
