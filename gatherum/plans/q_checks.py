@@ -69,7 +69,7 @@ def s6(spark, d):
     return between.agg(F.sum("n").alias("n"), F.sum("bad").alias("defects"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.expr("bit_xor(mark)").alias("mark"))
 
 
-@query("s11_yaml_records", """SELECT c_custkey, c_name AS name, ['a: ' || c_mktsegment, '', '- x'] AS tags, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END::BIGINT AS nation, c_custkey % 3 = 0 AS flag FROM customer""")
+@query("s11_yaml_records", """SELECT c_custkey, c_name AS name, 'a: ' || c_mktsegment || '||- x' AS tags, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END::BIGINT AS nation, c_custkey % 3 = 0 AS flag FROM customer""")
 def s11(spark, d):
     """Nested records as YAML text and back."""
     c = table(spark, d, "customer")
@@ -78,7 +78,7 @@ def s11(spark, d):
     rows = c.select("c_custkey", record.alias("r"))
     texts = rows.select("c_custkey", yaml_records.to_yaml(F.col("r"), rows.schema["r"].dataType).alias("text"))
     back = yaml_records.from_yaml(texts, "c_custkey", "text", rows.schema["r"].dataType)
-    return back.select("c_custkey", "record.name", "record.tags", "record.place.nation", "record.place.flag")
+    return back.select("c_custkey", "record.name", F.array_join("record.tags", "|").alias("tags"), "record.place.nation", "record.place.flag")
 
 
 @query("s12_trig_round_trip", f"SELECT p, o_kind, count(*) AS n FROM (SELECT unnest(['{G.RDF_TYPE}', '{V}name', '{V}region']) AS p, unnest(['iri', 'literal', 'iri']) AS o_kind FROM nation UNION ALL SELECT unnest(['{G.RDF_TYPE}', '{V}name']), unnest(['iri', 'literal']) FROM region UNION ALL SELECT unnest(['{G.RDF_TYPE}', '{V}name', '{V}nation']), unnest(['iri', 'literal', 'iri']) FROM (SELECT 1 FROM supplier UNION ALL SELECT 1 FROM supplier) UNION ALL SELECT unnest(['{G.RDF_TYPE}', '{V}name', '{V}size']), unnest(['iri', 'literal', 'literal']) FROM part) GROUP BY ALL")
@@ -488,12 +488,12 @@ def e16(spark, d):
     return runs.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["t"]), " ").alias("record"))
 
 
-@query("e22_record_without_register", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'document_only' ELSE 'register' END AS kind, list_filter([CASE WHEN l.doc_id IS NULL THEN 'affair_id' END, CASE WHEN l.doc_id IS NULL THEN 'state' END, CASE WHEN d.doc_id % 4 = 0 THEN 'title' END], lambda x: x IS NOT NULL) AS gaps, (CASE WHEN d.doc_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS problems FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("e22_record_without_register", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'document_only' ELSE 'register' END AS kind, concat_ws(',', CASE WHEN l.doc_id IS NULL THEN 'affair_id,state' END, CASE WHEN d.doc_id % 4 = 0 THEN 'title' END) AS gaps, (CASE WHEN d.doc_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS problems FROM documents d LEFT JOIN labels l USING (doc_id)")
 def e22(spark, d):
     """Records of documents with and without an entry in the register: without one its slots are recorded gaps, and only other missing slots are problems."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     rows = rows.select("doc_id", F.col("quality").cast("string").alias("affair_id"), F.col("toxic").cast("string").alias("state"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("title"))
-    return C.record_gaps(rows, "doc_id", ["affair_id", "state"], ["title"])
+    return C.record_gaps(rows, "doc_id", ["affair_id", "state"], ["title"]).withColumn("gaps", F.array_join("gaps", ","))
 
 
 _READ_OUT = Samples("answer string", ("choice", "state"), [

@@ -14,7 +14,9 @@ def quoted(value: object) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
-    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+    if isinstance(value, float):
+        return f"{value!r}::DOUBLE"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
 
 
 def values_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
