@@ -218,7 +218,8 @@ def without_tags(c: Column) -> Column:
 
 def furniture_key(c: Column) -> tuple[Column, Column]:
     """(letters, digits) of a line without page-number parts: what repeats in headers and footers."""
-    bare = F.regexp_replace(F.lower(c), r"(?:seite|page|pagina|p\.)?\s*\d+\s*(?:/|von|de|di|of)\s*\d+", "")
+    numbered = F.regexp_replace(F.lower(c), r"(?:seite|page|pagina|p\.)?\s*\d+\s*(?:/|von|de|di|of)\s*\d+", "")
+    bare = F.when(c.rlike("[0-9]"), numbered).otherwise(F.lower(c))  # few lines have a digit, and the pattern tries each place
     return F.regexp_replace(bare, r"[^\p{L}]+", ""), F.regexp_replace(bare, r"[^0-9]+", "")
 
 
