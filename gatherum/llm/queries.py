@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import bpe, decontaminate, langid, licences, oracles, pii, quality, secrets, sharding, simhash, warc
+from gatherum.llm import bpe, decontaminate, langid, licences, oracles, pii, quality, resampling, secrets, sharding, simhash, warc, whitening
 from gatherum.llm.common import scratch_path, table
 
 
@@ -62,6 +62,14 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_quality": op1_adaptive_quality,
     "op2_warc_transactions": op2_warc_transactions,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_whitened_embeddings": op11_whitened_embeddings,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_adaptive_quality": oracles.OP1,
