@@ -48,9 +48,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    keep_in_scope(path)
+    return out
+
+
+def keep_in_scope(path: str) -> None:
+    """The folder goes at the end of the innermost open scope, if there is one."""
     for held in _scopes[-1:]:
         held.append(path)
-    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import bpe, decontaminate, langid, licences, oracles, pii, quality, resampling, secrets, sharding, simhash, warc, whitening
+from gatherum.llm import bpe, decontaminate, langid, licences, oracles, pii, quality, resampling, secrets, sharding, simhash, suffixes, warc, whitening
 from gatherum.llm.common import scratch_path, table
 
 
@@ -66,6 +66,10 @@ def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_whitened_embeddings": op11_whitened_embeddings,
+    "op12_repeat_removal": op12_repeat_removal,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
