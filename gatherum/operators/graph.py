@@ -5,8 +5,16 @@ quad(g, s, p, o, o_kind, o_datatype, o_lang); o_kind is iri, blank or literal, a
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gatherum.sources.scratch import shared_path
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -76,28 +84,178 @@ def reconcile(counted: DataFrame, recorded: DataFrame, key: str, n: str) -> Data
     return a.join(b, key, "full_outer").where(~F.col("counted").eqNullSafe(F.col("recorded"))).withColumn("state", F.when(F.col("recorded").isNull(), "not_recorded").when(F.col("counted").isNull(), "not_found").otherwise("different"))
 
 
-def canonical_blanks(quads: DataFrame, rounds: int = 8) -> DataFrame:
-    """Quads whose blank nodes are named by a hash of what they state, for blank nodes that form trees of up to ``rounds`` levels.
+def stored(df: DataFrame, label: str = "quads") -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(src, dst), each pair once: nodes that one step or more of ``edges`` (src, dst) lead to; from the nodes of ``start`` (src) only, if given.
+
+    Semi-naive: a round joins only the pairs that are new since the last, and ends the search when there are none, so cycles end
+    too. From fixed starts a round adds one step; between all nodes new pairs are joined with all known ones on both sides,
+    so the lengths double and there are as many rounds as the longest path has binary digits.
+    """
+    edges = stored(edges.select("src", "dst").distinct(), "closure-edges")
+    known = edges if start is None else stored(edges.join(start.select("src").distinct(), "src", "left_semi"), "closure-pairs")
+    fresh = known
+    step = lambda a, b: a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    while True:
+        longer = step(fresh, edges) if start is not None else step(fresh, known).unionByName(step(known, fresh))
+        fresh = stored(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure-new")
+        if fresh.isEmpty():
+            return known
+        known = stored(known.unionByName(fresh), "closure-pairs")
+
+
+def connected_parts(links: DataFrame) -> DataFrame:
+    """(node, part) of nodes in links (src, dst), in any direction; ``part`` is the smallest node that can be reached.
+
+    Each round every node takes the smallest part among its neighbours, and then the part of that part, so long chains shorten quickly.
+    """
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    both = stored(both, "parts-links")
+    parts = stored(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("part")).withColumnRenamed("src", "node"), "parts")
+    while True:
+        near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("near"))
+        moved = parts.join(near, "node").select("node", F.least("part", "near").alias("part"))
+        jump = moved.select(F.col("node").alias("part"), F.col("part").alias("next"))
+        after = stored(moved.join(jump, "part").select("node", F.least("part", "next").alias("part")), "parts")
+        if after.join(parts, ["node", "part"], "left_anti").isEmpty():
+            return after
+        parts = after
+
+
+#: Blank nodes of one connected part that are named within one task; larger parts are refused unless what each states tells all apart.
+PART_NODES = 20_000
+#: Individualisations that one part may take before it is refused.
+MOST_TRIES = 2_000
 
-    Two graphs of this kind are isomorphic if their canonical quads are the same bag. A level names the nodes whose objects
-    have all been named; it is one join and one aggregate.
+
+class NotNamed(ValueError):
+    """A part of the graph that the bounds don't suffice for."""
+
+
+def _digest(*parts: object) -> str:
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+
+def canonical_form(nodes: dict[str, str], links: list[tuple[str, str, str]], most: int = MOST_TRIES) -> tuple[str, list[str]]:
+    """(form, nodes in canonical order) of a part: ``nodes`` by what they state in terms that aren't blank, links (node, predicate, node).
+
+    Colours are refined by those of the neighbours until their number stays; of nodes that still look alike one after the other is
+    singled out, and the smallest form counts. Forms are equal just for isomorphic parts. A node that looks like one tried before and
+    swaps with it in a refined colouring of one form needs no try of its own, which keeps rings and stars cheap.
+    """
+    out: dict[str, list] = {n: [] for n in nodes}
+    into: dict[str, list] = {n: [] for n in nodes}
+    for s, p, o in links:
+        out[s].append((p, o))
+        into[o].append((p, s))
+    tries = 0
+
+    def refined(colour: dict[str, str]) -> dict[str, str]:
+        kinds = len(set(colour.values()))
+        while True:
+            colour = {n: _digest(c, *sorted(f"{p}>{colour[o]}" for p, o in out[n]), "|", *sorted(f"{p}<{colour[s]}" for p, s in into[n])) for n, c in colour.items()}
+            now = len(set(colour.values()))
+            if now == kinds:
+                return colour
+            kinds = now
+
+    def solved(colour: dict[str, str]) -> tuple[str, list[str]]:
+        nonlocal tries
+        groups: dict[str, list[str]] = {}
+        for n, c in colour.items():
+            groups.setdefault(c, []).append(n)
+        tied = min((c for c, g in groups.items() if len(g) > 1), key=lambda c: (len(groups[c]), c), default=None)
+        if tied is None:
+            order = sorted(colour, key=colour.__getitem__)
+            at = {n: k for k, n in enumerate(order)}
+            return _digest(*[nodes[n] for n in order], *sorted(f"{at[s]:09d} {p} {at[o]:09d}" for s, p, o in links)), order
+        best: tuple[str, list[str]] | None = None
+        alike: set[str] = set()
+        for n in groups[tied]:
+            if n in alike:
+                continue
+            tries += 1
+            if tries > most:
+                raise NotNamed(f"over {most} tries for a part of {len(nodes)} blank nodes")
+            found = solved(refined({**colour, n: _digest(colour[n], "singled out")}))
+            if best is None or found[0] < best[0]:
+                best, alike = found, {n}
+            if found[0] == best[0]:  # an automorphism: what it maps onto nodes that were tried need not be tried
+                step = dict(zip(best[1], found[1]))
+                grown = True
+                while grown:
+                    grown = {m for m in map(step.get, alike) if colour[m] == tied} - alike
+                    alike |= grown
+        return best
+
+    return solved(refined(dict(nodes)))
+
+
+def _named_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, form, node, place) of rows (part, s, own, links) that are sorted by part. No more than a batch and one part are held."""
+
+    def named(parts: list[list[dict]]) -> pa.RecordBatch:
+        out = []
+        for rows in parts:
+            links = [(r["s"], said, o) for r in rows for o, _, said in (link.partition(" ") for link in r["links"])]
+            form, order = canonical_form({r["s"]: _digest(r["own"]) for r in rows}, links)
+            out += [(rows[0]["part"], form, node, place) for place, node in enumerate(order)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["part", "form", "node", "place"])
+
+    held: list[dict] = []
+    for batch in batches:
+        parts = [list(g) for _, g in groupby(held + batch.to_pylist(), key=lambda r: r["part"])]
+        held = parts.pop() if parts else []
+        yield named(parts)
+    if held:
+        yield named([held])
+
+
+def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
+    """Quads whose blank nodes are named by what they state: two graphs are isomorphic if and only if these quads are the same bag.
+
+    Blank nodes that name each other form a part. Parts of up to ``most`` nodes get a canonical form, each in a task of its own; nodes
+    of parts with one form are told apart by a number of the copy, in any order, as such parts can be swapped. A part that is larger,
+    or whose nodes look so much alike that the search would take too long, raises ``NotNamed``; nothing is named by guess.
     """
-    named = quads.where(F.col("s").startswith("_:")).select("s").distinct().withColumn("h", F.lit(None).cast("string"))
-    for _ in range(rounds):
-        inner = named.select(F.col("s").alias("_o"), F.col("h").alias("_h"))
-        facts = quads.where(F.col("s").startswith("_:")).join(inner, (F.col("o_kind") == "blank") & (F.col("o") == F.col("_o")), "left")
-        said = F.when(F.col("o_kind") == "blank", F.col("_h")).otherwise(F.concat_ws("|", "o_kind", "o", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit(""))))
-        named = facts.groupBy("s").agg(F.when(F.count_if(said.isNull()) == 0, F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(" ", "p", said)))).cast("binary"), 256)).alias("h"))
-    lookup = named.select("s", F.concat(F.lit("_:"), F.coalesce("h", F.lit("cycle"))).alias("n"))
+    terms = F.concat_ws("|", "o_kind", "o", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit("")), F.coalesce("g", F.lit("")))
+    blank = quads.where(F.col("s").startswith("_:"))
+    inner = quads.where(F.col("s").startswith("_:") & (F.col("o_kind") == "blank")).select(F.col("s").alias("src"), F.col("o").alias("dst"), F.concat_ws(" ", "o", "p", F.coalesce("g", F.lit(""))).alias("link"))
+    told = blank.where("o_kind <> 'blank'").groupBy("s").agg(F.collect_list(F.concat_ws(" ", "p", terms)).alias("said"))
+    named_by = quads.where(~F.col("s").startswith("_:") & (F.col("o_kind") == "blank")).groupBy(F.col("o").alias("s")).agg(F.collect_list(F.concat_ws(" ", "s", "p", F.coalesce("g", F.lit("")))).alias("of"))
+    loops = inner.groupBy(F.col("src").alias("s")).agg(F.collect_list("link").alias("links"))
+    every = blank.select("s").unionByName(quads.where("o_kind = 'blank'").select(F.col("o").alias("s"))).distinct()
+    none = F.array().cast("array<string>")
+    facts = every.join(told, "s", "left").join(named_by, "s", "left").join(loops, "s", "left")
+    own = F.concat_ws("\n", F.sort_array(F.coalesce("said", none)), F.lit("of"), F.sort_array(F.coalesce("of", none)))
+    parts = connected_parts(inner.select("src", "dst"))
+    rows = facts.join(parts.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("part", "s").alias("part"), "s", own.alias("own"), F.coalesce("links", none).alias("links"))
+    rows = stored(rows, "blank-nodes")
+    largest = rows.groupBy("part").count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > most:
+        raise NotNamed(f"a part of {largest} blank nodes; {most} at most are named")
+    forms = stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_named_parts, "part string, form string, node string, place int"), "blank-forms")
+    copies = forms.where("place = 0").select("part", F.row_number().over(Window.partitionBy("form").orderBy("part")).alias("copy"))
+    lookup = forms.join(copies, "part").select(F.col("node").alias("s"), F.concat(F.lit("_:"), F.sha2(F.concat_ws(" ", "form", "copy", "place").cast("binary"), 256)).alias("n"))
     out = quads.join(lookup.withColumnsRenamed({"s": "_s", "n": "_sn"}), F.col("s") == F.col("_s"), "left")
     out = out.join(lookup.withColumnsRenamed({"s": "_o", "n": "_on"}), (F.col("o_kind") == "blank") & (F.col("o") == F.col("_o")), "left")
     return out.select("g", F.coalesce("_sn", "s").alias("s"), "p", F.coalesce("_on", "o").alias("o"), "o_kind", "o_datatype", "o_lang")
 
 
+def same_quads(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two tables of quads are the same bag; for graphs with blank nodes, of their canonical quads."""
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("isomorphic"))
+
+
 def isomorphic(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether two graphs of tree-shaped blank nodes are the same."""
-    x, y = canonical_blanks(a), canonical_blanks(b)
-    return x.exceptAll(y).unionByName(y.exceptAll(x)).agg((F.count("*") == 0).alias("isomorphic"))
+    """One row: whether two graphs are the same but for the names of blank nodes."""
+    return same_quads(canonical_blanks(a), canonical_blanks(b))
 
 
 def missing_leaves(leaves: DataFrame, quads: DataFrame, subject: str, predicate: str, value: str) -> DataFrame:

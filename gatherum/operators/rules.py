@@ -58,21 +58,24 @@ def level_of(key: Column) -> Column:
     return F.when(key == "CHE", "bund").when(key == "LIE", "ausland_li").when(key.rlike("^[0-9]+$"), "gemeinde").otherwise("kanton")
 
 
+# Groups of formats, by the whole MIME type or by words in it.
+FORMATS = {
+    "pdf": ("application/pdf", "pdf"), "bild": ("jpg", "jpeg", "png", "webp", "gif", "tif", "tiff"), "audio_video": ("vimeo",), "link": ("link",),
+}
+FORMAT_WORDS = [("html", "html"), ("^image", "bild"), ("^video", "audio_video"), ("^audio", "audio_video"), ("word", "office"), ("spreadsheet", "office"), ("excel", "office"), ("rtf", "office"), ("presentation", "office"), ("opendocument", "office"), ("zip", "zip")]
+# Types that say nothing; there the extension may.
+FORMAT_UNKNOWN = {"": "unbekannt", "application/octet-stream": "andere"}
+
+
 def format_group(mime: Column, extension: Column) -> Column:
-    """Nine groups of formats from a MIME type and the extension of the URL."""
-    f = F.lower(F.coalesce(mime, F.lit("")))
-    return (
-        F.when(f.isin("application/pdf", "pdf"), "pdf")
-        .when(f.isin("", "application/octet-stream") & (extension == "pdf"), "pdf_laut_url")
-        .when(f == "", "unbekannt")
-        .when(f.contains("html"), "html")
-        .when(f.startswith("image") | f.isin("jpg", "jpeg", "png", "webp", "gif", "tif", "tiff"), "bild")
-        .when(f.startswith("video") | f.startswith("audio") | (f == "vimeo"), "audio_video")
-        .when(f.rlike("word|spreadsheet|excel|rtf|presentation|opendocument"), "office")
-        .when(f.contains("zip"), "zip")
-        .when(f == "link", "link")
-        .otherwise("andere")
-    )
+    """Nine groups of formats from a MIME type and the extension of the URL: a look-up of the type, then of words in it."""
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    pairs = [(name, group) for group, names in FORMATS.items() for name in names]
+    by_name = F.get(F.array(F.create_map(*[F.lit(x) for pair in pairs for x in pair])), F.lit(0))[kind]
+    words = F.transform(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(g).alias("group")) for w, g in FORMAT_WORDS]), lambda x: F.when(F.rlike(kind, x["word"]), x["group"]))
+    silent = F.get(F.array(F.create_map(*[F.lit(x) for pair in FORMAT_UNKNOWN.items() for x in pair])), F.lit(0))[kind]
+    by_extension = F.when(silent.isNotNull(), F.when(extension == "pdf", "pdf_laut_url").otherwise(silent))
+    return F.coalesce(by_extension, by_name, F.get(F.array_compact(words), F.lit(0)), F.lit("andere"))
 
 
 def url_extension(url: Column) -> Column:

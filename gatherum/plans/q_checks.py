@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -351,15 +353,69 @@ def g3(spark, d):
         cells = F.array(cell(root, "has", leaf, "blank", None), cell(leaf, "price", price.cast("string"), "literal", G.XSD + "double"), cell(root, "key", F.col("o_orderkey").cast("string"), "literal", G.XSD + "integer"))
         return o.select(F.lit(None).cast("string").alias("g"), F.explode(cells).alias("x")).select("g", "x.*", F.lit(None).cast("string").alias("o_lang")).distinct()
 
-    base = tree("a")
+    base = G.stored(G.canonical_blanks(tree("a")))
     cases = {"other_names": tree("zz"), "other_value": tree("b", F.when(F.col("o_orderkey") == 1, 0.0).otherwise(F.col("o_totalprice"))), "one_less": tree("b", where="o_orderkey <> 1"), "shared_child": tree("b", child=F.when(F.col("o_orderkey") <= 7, F.lit(1)).otherwise(F.col("o_orderkey")))}
-    parts = [G.isomorphic(base, other).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()]
+    parts = [G.same_quads(base, G.canonical_blanks(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+@query("g3_rings", "SELECT * FROM (VALUES ('renamed', true), ('turned_round', true), ('split', false)) v(case_name, isomorphic)")
+def g3_rings(spark, d):
+    """Each conversation of six turns or more as a ring of blank nodes, all of them alike: under other names, the other way round, and with each ring cut into two."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    last = Window.partitionBy("conv_id")
+    turns = turns.withColumn("n", F.count("*").over(last)).withColumn("k", F.row_number().over(last.orderBy("turn")) - 1).where("n >= 6")
+
+    def rings(tag, half=False, back=False):
+        size = F.floor(F.col("n") / 2)
+        start, length = (F.when(F.col("k") < size, 0).otherwise(size), F.when(F.col("k") < size, size).otherwise(F.col("n") - size)) if half else (F.lit(0), F.col("n"))
+        node = lambda k: F.concat_ws("", F.lit(f"_:{tag}"), "conv_id", F.lit("x"), k.cast("long"))
+        here, after = node(F.col("k")), node(start + F.pmod(F.col("k") - start + 1, length))
+        none = F.lit(None).cast("string")
+        return turns.select(none.alias("g"), (after if back else here).alias("s"), F.lit(V + "next").alias("p"), (here if back else after).alias("o"), F.lit("blank").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+
+    base = G.stored(G.canonical_blanks(rings("a")))
+    cases = {"renamed": rings("zz"), "turned_round": rings("b", back=True), "split": rings("c", half=True)}
+    return reduce(DataFrame.unionByName, [G.same_quads(base, G.canonical_blanks(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()])
+
+
+@query("g10_compared_variables", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_quantity <= l_linenumber GROUP BY 1")
+def g10_compared(spark, d):
+    """Two variables, one a double, the other a whole number: by value, not by letter."""
+    lines = G.stored(table(spark, d, "lineitem").select("l_quantity", "l_linenumber", "l_returnflag", F.monotonically_increasing_id().cast("string").alias("row")))
+    q = G.to_quads(lines, V + "g/lines", F.concat_ws("/", F.lit(V + "line"), "row"), V + "Line", {V + "quantity": "l_quantity", V + "number": "l_linenumber", V + "flag": "l_returnflag"})
+    text = _PREFIX + "SELECT ?flag (COUNT(?l) AS ?n) WHERE { ?l v:quantity ?q ; v:number ?k ; v:flag ?flag FILTER(?q <= ?k) } GROUP BY ?flag"
+    return sparql.flat(sparql.run(G.stored(q), text))
+
+
+_NEXT_SQL = "e AS (SELECT conv_id, turn AS s, turn + 1 AS d FROM (SELECT DISTINCT conv_id, turn FROM conversations) SEMI JOIN (SELECT conv_id AS c, turn AS t FROM conversations) ON c = conv_id AND t = turn + 1 UNION SELECT conv_id, max(turn), 0 FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id)"
+
+
+@query("g10_path_closure", f"WITH RECURSIVE {_NEXT_SQL}, r AS (SELECT * FROM e UNION SELECT r.conv_id, r.s, e.d FROM r JOIN e ON e.conv_id = r.conv_id AND e.s = r.d) SELECT '{V}turn/' || conv_id || '/' || s AS x, count(*) AS n FROM r GROUP BY 1")
+def g10_closure(spark, d):
+    """Turns that come after a turn, however late; every fifth conversation starts again at its end, so all its turns do."""
+    text = _PREFIX + "SELECT ?x (COUNT(?y) AS ?n) WHERE { ?x v:next+ ?y } GROUP BY ?x"
+    return sparql.flat(sparql.run(_following(spark, d), text))
+
+
+@query("g10_paths_from_a_node", f"WITH RECURSIVE {_NEXT_SQL}, r AS (SELECT conv_id, turn AS s, turn AS d FROM conversations WHERE conv_id = 7 UNION SELECT r.conv_id, r.s, e.d FROM r JOIN e ON e.conv_id = r.conv_id AND e.s = r.d) SELECT '{V}turn/' || conv_id || '/' || d AS y FROM r WHERE s = 1")
+def g10_from(spark, d):
+    """What one turn leads to, itself included: the search starts there and doesn't look at the rest."""
+    return sparql.flat(sparql.run(_following(spark, d), _PREFIX + f"SELECT ?y WHERE {{ <{V}turn/7/1> (v:next|v:nothing)* ?y }}"))
+
+
+def _following(spark, d):
+    """Quads: the next turn of each turn of a conversation."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_semi").select("conv_id", "turn", (F.col("turn") + 1).alias("after"))
+    pairs = pairs.unionByName(turns.where("conv_id % 5 = 0").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.lit(0).cast("long").alias("after"))).distinct()
+    iri = lambda c: F.concat_ws("/", F.lit(V + "turn"), "conv_id", c)
+    return G.stored(G.to_quads(pairs, V + "g/talk", iri("turn"), V + "Turn", {}, {V + "next": iri("after")}))
+
+
 @query("g10_ask", "SELECT * FROM (VALUES ('names', true), ('long_names', false), ('typed', true), ('other_type', false)) v(question, result)")
 def g10(spark, d):
     asked = {"names": "?s v:name ?x FILTER(STRLEN(STR(?x)) > 1)", "long_names": "?s v:name ?x FILTER(STRLEN(STR(?x)) > 500)", "typed": '?s v:size "5"^^<http://www.w3.org/2001/XMLSchema#integer>', "other_type": '?s v:size "5"'}

@@ -1,6 +1,6 @@
 """A subset of SPARQL as DataFrame plans over a table of quads.
 
-SELECT and ASK with basic graph patterns, paths of single steps (/, ^, |), OPTIONAL, UNION, MINUS, GRAPH, VALUES, BIND, sub-selects,
+SELECT and ASK with basic graph patterns, paths (/, ^, |, and +, *, ? by ``graph.closure``), OPTIONAL, UNION, MINUS, GRAPH, VALUES, BIND, sub-selects,
 FILTER (comparisons, &&, ||, !, STR, STRLEN, STRENDS, STRSTARTS, CONTAINS, DATATYPE, LANG, isLiteral, isIRI, BOUND), DISTINCT, COUNT
 with GROUP BY and HAVING, ORDER BY and LIMIT. The default graph is the union of all graphs, as a bag: a triple in two graphs gives two
 rows. Updates and the other forms are refused by name. A pattern becomes a filter on the quads, and patterns join on their common
@@ -22,6 +22,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatherum.operators.graph import closure
+
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -34,7 +36,7 @@ class Refused(ValueError):
         self.code = code
 
 
-_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)|(?P<num>[+-]?\d+(?:\.\d+)?)|(?P<pname>[A-Za-z][\w-]*)?:(?P<local>[\w-]*)|(?P<word>[A-Za-z]+)|(?P<op>&&|\|\||!=|<=|>=|\^\^|@[A-Za-z-]+|[{}().;,=<>!*/^|])""")
+_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)|(?P<num>[+-]?\d+(?:\.\d+)?)|(?P<pname>[A-Za-z][\w-]*)?:(?P<local>[\w-]*)|(?P<word>[A-Za-z]+)|(?P<op>&&|\|\||!=|<=|>=|\^\^|@[A-Za-z-]+|[{}().;,=<>!*/^|?+])""")
 
 
 @dataclass
@@ -232,13 +234,12 @@ class _Parser:
         if self.has("^"):
             return ("inverse", self.step())
         if self.has("("):
-            inner = self.path()
+            step = self.path()
             self.take(")")
-            return inner
-        step = ("iri", RDF_TYPE) if self.has("a") else self.term()
-        if self.peek()[1] in ("*", "+", "?"):
-            raise Refused("evaluation", "paths of any length")
-        return step
+        else:
+            step = ("iri", RDF_TYPE) if self.has("a") else self.term()
+        mark = self.take()[1] if self.peek() in (("op", "*"), ("op", "+"), ("op", "?")) else None
+        return ("closure", step, mark) if mark else step
 
     def expand(self, out: list, s: tuple, path: tuple, o: tuple) -> None:
         """A path as plain patterns; places between steps get variables that no query can name."""
@@ -255,6 +256,11 @@ class _Parser:
                 parts.append([])
                 self.expand(parts[-1], s, option, o)
             out.append(("union", parts))
+        elif path[0] == "closure":
+            a, b = (("var", f" {next(self.fresh)}") for _ in range(2))
+            inner: list = []
+            self.expand(inner, a, path[1], b)
+            out.append(("closure", s, o, path[2], inner, a[1], b[1]))
         else:
             out.append(("triple", s, path, o))
 
@@ -345,6 +351,8 @@ def _variables(item: tuple) -> set[str]:
     """Variables that an item of a group can bind."""
     if item[0] == "triple":
         return {t[1] for t in item[1:] if t[0] == "var"}
+    if item[0] == "closure":
+        return {t[1] for t in item[1:3] if t[0] == "var"}
     if item[0] == "graph":
         return ({item[1][1]} if item[1][0] == "var" else set()).union(*map(_variables, item[2]))
     if item[0] == "union":
@@ -356,7 +364,7 @@ def _variables(item: tuple) -> set[str]:
     return {item[2]} if item[0] == "bind" else set()
 
 
-_JOINED = ("triple", "graph", "union", "values", "select")
+_JOINED = ("triple", "closure", "graph", "union", "values", "select")
 
 
 def _connected(items: list, bound: set[str]) -> Iterator[tuple]:
@@ -474,6 +482,8 @@ class _Planner:
     def item(self, item: tuple, graph: tuple | None) -> _Rows:
         if item[0] == "triple":
             return self.triple(item[1:], graph)
+        if item[0] == "closure":
+            return self.closure(*item[1:], graph)
         if item[0] == "graph":
             return self.group(item[2], item[1])
         if item[0] == "union":
@@ -486,6 +496,34 @@ class _Planner:
         table = self.quads.sparkSession.range(1).select(F.explode(F.array(*map(row, values))).alias("r")).select("r.*") if values else self.quads.sparkSession.createDataFrame([], ", ".join(f"`{n}` {_CELL}" for n in names))
         return _Rows(table, {n for k, n in enumerate(names) if any(r[k] is None for r in values)})
 
+    def closure(self, s: tuple, o: tuple, mark: str, inner: list, a: str, b: str, graph: tuple | None) -> _Rows:
+        """Pairs of nodes that a path joins in one step (?) or any number of them (+, *); ? and * join each node with itself, too. Pairs count once."""
+        if graph and graph[0] == "var":
+            raise Refused("evaluation", "paths of any length in a graph that isn't named")
+        edges = self.group(inner, graph).df.select(F.col(f"`{a}`").alias("src"), F.col(f"`{b}`").alias("dst")).distinct()
+        fixed = [None if t[0] == "var" else _constant(t) for t in (s, o)]
+        one = self.quads.sparkSession.range(1)
+        if mark == "?":
+            pairs = edges
+        elif fixed[0] is None and fixed[1] is not None:  # walk back from the end
+            pairs = closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), one.select(fixed[1].alias("src"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        else:
+            pairs = closure(edges, one.select(fixed[0].alias("src")) if fixed[0] is not None else None)
+        if mark != "+":
+            rows = self.quads if graph is None else self.quads.where(F.col("g") == graph[1])
+            nodes = rows.select(F.explode(F.array(_cell("s"), _cell("o"))).alias("n"))
+            for end in fixed:
+                if end is not None:
+                    nodes = one.select(end.alias("n"))
+            pairs = pairs.unionByName(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"))).distinct()
+        for place, end in zip(("src", "dst"), fixed):
+            if end is not None:
+                pairs = pairs.where(F.col(place) == end)
+        if s == o:
+            pairs = pairs.where("src = dst")
+        names = {t[1]: place for place, t in (("src", s), ("dst", o)) if t[0] == "var"}
+        return _Rows(pairs.select(*[F.col(place).alias(n) for n, place in names.items()] or [F.lit(True).alias("_")]))
+
     def triple(self, terms: tuple, graph: tuple | None) -> _Rows:
         rows, out, seen = self.quads, [], {}
         parts = [("s", terms[0]), ("p", terms[1]), ("o", terms[2])] + ([("g", graph)] if graph else [])
@@ -516,8 +554,8 @@ class _Planner:
             return _constant(e)
         if e[0] == "number" or e[:2] == ("call", "STRLEN"):
             return _number_cell(self.string(e, columns))
-        value = self.string(e, columns)
-        return F.when(value.isNotNull(), F.struct(F.lit("literal").alias("type"), value.alias("value"), F.lit(XSD + "string").alias("datatype"), F.lit(None).cast("string").alias("lang")))
+        value, typed = self.string(e, columns), e[:2] == ("call", "DATATYPE")
+        return F.when(value.isNotNull(), F.struct(F.lit("iri" if typed else "literal").alias("type"), value.alias("value"), F.lit(None if typed else XSD + "string").cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang")))
 
     def string(self, e: tuple, columns: list[str]) -> Column:
         if e[0] == "var":
@@ -540,10 +578,7 @@ class _Planner:
         if e[0] == "not":
             return ~self.truth(e[1], columns)
         if e[0] == "cmp":
-            a, b = self.string(e[2], columns), self.string(e[3], columns)
-            if {"number"} & {e[2][0], e[3][0]} or ("call", "STRLEN") in (e[2][:2], e[3][:2]):
-                a, b = a.try_cast("double"), b.try_cast("double")
-            return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[e[1]]
+            return _compared(e[1], self.cell(e[2], columns), self.cell(e[3], columns))
         if e[0] == "call":
             name, args = e[1], e[2]
             if name in ("STRENDS", "STRSTARTS", "CONTAINS"):
@@ -556,6 +591,31 @@ class _Planner:
         raise Refused("evaluation", f"expression {e[:2]}")
 
 
+_NUMBERS = [XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")]
+_TIMES = [XSD + t for t in ("date", "dateTime")]
+
+
+def _compared(op: str, a: Column, b: Column) -> Column:
+    """A comparison of two cells by what they are: numbers by value, whole ones exactly; times, truth values and plain texts each among themselves.
+
+    Other terms are only equal or not, and two unlike literals that can't be compared are an error, as is an order of theirs; an error
+    and an unbound variable give null.
+    """
+    by = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
+    literal = lambda c: c["type"] == "literal"
+    kind = lambda c: F.when(literal(c), F.when(c["lang"].isNotNull(), "lang").otherwise(F.coalesce(c["datatype"], F.lit(XSD + "string"))))
+    ka, kb = kind(a), kind(b)
+    both = lambda kinds: ka.isin(kinds) & kb.isin(kinds)
+    cast = lambda t: by(a["value"].try_cast(t), b["value"].try_cast(t))
+    known = F.when(both(_NUMBERS), F.coalesce(F.when(a["value"].rlike(r"^[+-]?\d{1,38}$") & b["value"].rlike(r"^[+-]?\d{1,38}$"), cast("decimal(38,0)")), cast("double")))
+    known = known.when(both(_TIMES) & (ka == kb), cast("timestamp")).when(both([XSD + "boolean"]), cast("boolean")).when(both([XSD + "string"]), by(a["value"], b["value"]))
+    if op not in ("=", "!="):
+        return known
+    term = lambda c: F.struct(c["type"], c["value"], F.coalesce(kind(c), F.lit("")), F.lower(F.coalesce(c["lang"], F.lit(""))))
+    same = F.when(a.isNotNull() & b.isNotNull(), F.when(term(a) == term(b), F.lit(op == "=")).when(~literal(a) | ~literal(b), F.lit(op == "!=")))
+    return F.when(ka.isNotNull() & kb.isNotNull() & (both(_NUMBERS) | (both(_TIMES) & (ka == kb)) | both([XSD + "boolean"]) | both([XSD + "string"])), known).otherwise(same)
+
+
 def _number_cell(number: Column) -> Column:
     return F.struct(F.lit("literal").alias("type"), number.cast("string").alias("value"), F.lit(XSD + "integer").alias("datatype"), F.lit(None).cast("string").alias("lang"))
 
