@@ -39,6 +39,7 @@ HEAD = 16
 BATCHES = 4
 #: Windows of a run that are looked up by what they have in common.
 GROUP = 7
+_CODEC = "zstd"
 _SPAN = LENGTH - HEAD + 1
 _BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
@@ -138,8 +139,13 @@ def _own_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
     with _own_shuffles(df.sparkSession):
-        return materialise(df, label)
+        df.write.option("compression", _CODEC).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    keep_in_scope(path)
+    return out
 
 
 class _Tables:
@@ -153,7 +159,7 @@ class _Tables:
         """``df``, which is dealt out by ``keys`` already or is small, in buckets by them and sorted within."""
         path, name = scratch_path(self.spark, label), f"gatherum_{uuid.uuid4().hex}"
         with _own_shuffles(self.spark):
-            df.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+            df.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).option("compression", _CODEC).saveAsTable(name)
         self.names.append(name)
         out = self.spark.table(name)
         out._scratch, out._name = path, name
@@ -247,29 +253,31 @@ def _digest(raw: Column) -> Column:
     return F.unhex(F.md5(raw))
 
 
-def _matches(runs: DataFrame) -> DataFrame:
+def _matches(runs: DataFrame, tables: _Tables) -> DataFrame:
     """(doc, nth, s0, n, mask) of the runs with windows that a smaller document has, too; of the windows those whose bit is set in ``mask``, or all where it is null."""
-    classes = runs.groupBy("bytes").agg(F.min("doc").alias("first"), F.max("doc").alias("final"), F.max("n").alias("n"), F.max("a").alias("a"), F.count("*").alias("size"))
-    classes = _written(classes.withColumn("class", F.monotonically_increasing_id()), "suffix-classes")
-    # Groups of windows, by the bytes that all seven have in common.
-    groups = classes.select("class", "first", "a", "bytes", F.explode(F.sequence(F.floor((F.col("a") - F.col("n") + 1) / GROUP), F.floor(F.col("a") / GROUP))).alias("g"))
-    core = F.concat(F.substring("bytes", (F.col("a") - GROUP * F.col("g") + 1).cast("int"), F.lit(LENGTH - GROUP + 1)), F.unhex(F.lpad(F.hex("g"), 2, "0")))
-    groups = _written(groups.select(_digest(core).alias("core"), "class", "first", "g"), "suffix-groups")
+    keyed = runs.withColumn("key", _digest(F.col("bytes")))
+    classes = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("final"), F.max("n").alias("n"), F.max("a").alias("a"), F.count("*").alias("size"), F.first("bytes").alias("bytes"))
+    classes = tables.write(classes.withColumn("class", F.monotonically_increasing_id()), "suffix-classes", "key")
+    # Groups of windows, by a hash of the bytes that all seven have in common; a wrong hit costs some work, as windows are compared exactly.
+    groups = classes.select("key", "first", "a", "bytes", F.explode(F.sequence(*[F.floor(x / GROUP).cast("int") for x in (F.col("a") - F.col("n") + 1, F.col("a"))])).alias("g"))
+    groups = _written(groups.select(F.xxhash64(F.substring("bytes", (F.col("a") - GROUP * F.col("g") + 1).cast("int"), F.lit(LENGTH - GROUP + 1)), "g").alias("core"), "key", "first", "g"), "suffix-groups")
     cores = groups.groupBy("core").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("size"))
     cores = _written(cores.where("least < most").select("core", "size"), "suffix-cores")
-    live = join_facts(groups, cores, "core", "size", groups.count()).groupBy("class").agg(F.collect_list("g").alias("gs"))
+    live = join_facts(groups, cores, "core", "size", groups.count()).groupBy("key").agg(F.collect_list("g").alias("gs"))
     # Their windows, one by one.
-    number = F.flatten(F.transform("gs", lambda g: F.sequence(F.greatest(F.lit(0), F.col("a") - GROUP * g - GROUP + 1).cast("int"), F.least(F.col("n") - 1, F.col("a") - GROUP * g).cast("int"))))
-    windows = classes.join(live, "class").select("class", "first", "bytes", F.explode(number).alias("j"))
+    number = F.flatten(F.transform("gs", lambda g: F.sequence(F.greatest(F.lit(0), F.col("a") - GROUP * g - GROUP + 1), F.least(F.col("n") - 1, F.col("a") - GROUP * g))))
+    windows = classes.join(live.hint("merge"), "key").select("class", "first", "bytes", F.explode(number).alias("j"))
     windows = _written(windows.select(_digest(F.substring("bytes", F.col("j") + 1, F.lit(LENGTH))).alias("window"), "class", "first", "j"), "suffix-windows")
+    discard(groups, cores)
     firsts = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("size"))
     firsts = _written(firsts.where("least < most").select("window", "least", "size"), "suffix-firsts")
     taken = join_facts(windows, firsts, "window", "size", windows.count()).where("first > least")
-    masks = taken.groupBy("class").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask"))
-    ends = classes.join(masks, "class", "left").where("final > first or mask is not null").select(_digest(F.col("bytes")).alias("key"), "first", "mask", "size")
-    ends = _written(ends, "suffix-ends")
-    narrow = runs.select(_digest(F.col("bytes")).alias("key"), "doc", "nth", "s0", "n")
-    found = join_facts(narrow, ends, "key", "size", runs.count())
+    masks = _written(taken.groupBy("class").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")), "suffix-masks")
+    discard(windows, firsts)
+    ends = _written(classes.select("class", "key", "first", "final", "size").join(masks, "class", "left").where("final > first or mask is not null").select("key", "first", "mask", "size"), "suffix-ends")
+    tables.drop(classes)
+    discard(masks)
+    found = join_facts(keyed.select("key", "doc", "nth", "s0", "n"), ends, "key", "size", runs.count())
     return found.where("doc > first or mask is not null").select("doc", "nth", "s0", "n", F.when(F.col("doc") == F.col("first"), F.col("mask")).alias("mask"))
 
 
@@ -353,7 +361,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             tables.drop(*[level for _, level in family.levels])
             heads = every.groupBy("doc").agg(F.collect_set(F.struct("hi", "lo")).alias("heads"))
             runs = _written(texts.join(heads.hint("merge"), "doc").select("doc", "nth", "text", "heads").mapInArrow(_marked, "doc long, nth int, s0 long, n int, a int, bytes binary"), "suffix-runs")
-            spans = _matches(runs).groupBy("doc").agg(F.collect_list(F.struct("nth", "s0", "n", "mask")).alias("spans"))
+            discard(*hits)
+            spans = _matches(runs, tables).groupBy("doc").agg(F.collect_list(F.struct("nth", "s0", "n", "mask")).alias("spans"))
             cut = texts.join(spans.hint("merge"), "doc").select("doc", "nth", "sha", "text", "spans").mapInArrow(_cut, "doc long, sha binary, n_removed long, n_spans long, kept string")
             cut = _written(cut.dropDuplicates(["doc", "sha"]), "suffix-cut")
             own = join_facts(facts.where(compared), classes, "sha", "size", facts.count()).join(cut, ["doc", "sha"], "left")
