@@ -234,24 +234,38 @@ def bullet(c: Column) -> tuple[Column, Column]:
     return blank_to_null(F.regexp_extract(c, form, 1)), F.coalesce(blank_to_null(F.regexp_extract(c, form, 2)), c)
 
 
+#: Where a sentence ends: an end mark, not behind an initial, an ordinal or a known abbreviation.
+_ENDS = r"(?<=[.!?])(?<!\b\p{Lu}\.)(?<!\d\.)(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)"
+
+
 def sentences(c: Column) -> Column:
     """Sentences: an end mark and white space before a capital; not behind an initial, an ordinal or a known abbreviation."""
-    ends = r"(?<=[.!?])(?<!\b\p{Lu}\.)(?<!\d\.)(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)\s+(?=[\p{Lu}«\"])"
-    return F.filter(F.split(c, ends), lambda s: F.trim(s) != "")
+    return F.filter(F.split(c, _ENDS + r"\s+(?=[\p{Lu}«\"])"), lambda s: F.trim(s) != "")
+
+
+def sentence_pieces(c: Column) -> Column:
+    """The text cut at the same places; joined, the pieces are the text. White space goes with what follows it."""
+    return F.split(c, _ENDS + r"(?=\s+[\p{Lu}«\"])", -1)
 
 
 #: A token that is an address, a path, a file or a query, in which an end mark before a capital ends no sentence.
 _ADDRESS = r"@|://|www\.|/\w+/|\.(?:ch|com|de|fr|it|org|net|pdf|docx?)\b|[?&]\w+="
 
 
-def sentences_without_space(c: Column) -> Column:
+def unspaced_pieces(c: Column) -> Column:
     """A text cut where a sentence ends and the next begins without a space ("... zu Ende.Am ..."): an end mark between a lower-case letter or a closing mark and
     a capital with a lower-case letter. Not behind an abbreviation or a single letter, also as the last part of a word with a hyphen, and not in addresses, paths and queries.
+    Joined, the pieces are the text.
     """
     cuts = r"(?<=[\p{Ll}\p{N})»\"][.!?])(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)(?<!\b\p{L}\.)(?=[\p{Lu}][\p{Ll}])"
     token = lambda t: F.when(t.rlike(_ADDRESS), F.array(t)).otherwise(F.split(t, cuts, -1))
     marked = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\S+|\s+"), F.lit(0)), lambda t: F.array_join(token(t), "\x1e"))
-    return F.filter(F.transform(F.split(F.array_join(marked, ""), "\x1e", -1), F.trim), lambda x: x != "")
+    return F.when(c.rlike(r"[.!?]\p{Lu}"), F.split(F.array_join(marked, ""), "\x1e", -1)).otherwise(F.array(c))
+
+
+def sentences_without_space(c: Column) -> Column:
+    """The pieces of ``unspaced_pieces`` without white space around them, and without empty ones."""
+    return F.filter(F.transform(unspaced_pieces(c), F.trim), lambda x: x != "")
 
 
 def snippet(c: Column, start: Column, stop: Column, width: int = 120) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatherum.functions import text as T
+from gatherum.operators import atoms as A
 from gatherum.operators import documents as O
 from gatherum.operators import joins as J
 from gatherum.operators import readers as R
@@ -180,6 +181,45 @@ def d3(spark, d):
     return _lines(spark, d).where(F.trim("text") != "").select("doc_id", "line", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Words of lines: cut at spaces, six points a character; before a word whose length is divisible by five there is a gap of thirty points more.
+_WORDS_SQL = f"(SELECT doc_id, line, start AS at, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS k FROM {LINES_SQL} WHERE trim(text) <> '')"
+_GAPS_SQL = f"(SELECT doc_id, line, list(CASE WHEN length(word) % 5 = 0 AND length(word) > 0 THEN 36.0 ELSE 6.0 END ORDER BY k) AS gaps, list(word ORDER BY k) AS words FROM {_WORDS_SQL} GROUP BY ALL)"
+_CUTS_SQL = f"(SELECT doc_id, line, len(list_filter(range(2, len(gaps) + 1), lambda k: gaps[k] > 18 AND (len(gaps) = 2 OR gaps[k] > 3 * list_aggregate(list_concat(gaps[2:k-1], gaps[k+1:]), 'median')) AND NOT regexp_matches(list_aggregate(words[1:k-1], 'string_agg', ' '), '^\\s*(\\d+|[-–—•·*])[.):]*\\s*$'))) AS cuts FROM {_GAPS_SQL})"
+
+
+def _placed_blocks(spark, d):
+    """Each document as one block with the words of its lines laid out across the page."""
+    one = lambda at, word, x: F.struct(word.alias("text"), at.cast("int").alias("start"), x.alias("x0"), (x + 6.0 * F.length(word)).alias("x1"))
+
+    def laid(line, at):
+        words = F.split(line, " ", -1)
+        starts = Q.starts_of(F.transform(words, lambda w: F.length(w).cast("long") + 1))
+        wide = Q.starts_of(F.transform(words, lambda w, k: F.when((k + 1 < F.size(words)) & (F.length(F.get(words, k + 1)) % 5 == 0) & (F.length(F.get(words, k + 1)) > 0), 1).otherwise(0).cast("long")))
+        return F.transform(F.arrays_zip(words.alias("w"), starts.alias("s"), wide.alias("g")), lambda z: one(at + z["s"], z["w"], 6.0 * z["s"] + 30.0 * z["g"]))
+
+    rows = table(spark, d, "documents").where("text is not null")
+    lines = F.split("text", "\n", -1)
+    placed = F.arrays_zip(lines.alias("t"), Q.starts_of(F.transform(lines, lambda s: F.length(s).cast("long") + 1)).alias("at"))
+    return rows.select("doc_id", "text", F.lit(0).alias("block"), F.transform(placed, lambda p: laid(p["t"], p["at"])).alias("words"))
+
+
+@query("d3_atoms_of_columns", f"SELECT doc_id, sum(cuts + 1)::BIGINT AS pieces, count(*) FILTER (cuts > 0) AS lines_with_columns FROM {_CUTS_SQL} GROUP BY doc_id")
+def d3_columns(spark, d):
+    """Lines of documents laid out as words with gaps, some as wide as between columns, cut there and nowhere else."""
+    found = A.atoms(_placed_blocks(spark, d), "doc_id", "block", "text", words="words", long=1 << 30, unspaced=False).where("text <> ''")
+    return found.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_distinct(F.when(F.col("cut") == "column", F.col("line"))).alias("lines_with_columns"))
+
+
+@query("d3_cover_of_atoms", "SELECT doc_id, 0 AS n_overlaps, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS covered FROM documents WHERE regexp_matches(text, '\\S')")
+def d3_cover(spark, d):
+    """All cuts together, with a frame at a third of the text: atoms don't overlap, and hold each letter of the text once."""
+    blocks = _placed_blocks(spark, d).withColumn("frames", F.array(F.lit(0), F.floor(F.length("text") / 3).cast("int")))
+    found = A.atoms(blocks, "doc_id", "block", "text", words="words", frames="frames")
+    spans = found.withColumn("_bad", F.coalesce(F.lag("stop").over(Window.partitionBy("doc_id").orderBy("start")) > F.col("start"), F.lit(False)))
+    covered = F.sum(F.length(F.regexp_replace("text", r"\s", "")).cast("long"))
+    return spans.where("text <> ''").groupBy("doc_id").agg(F.count_if("_bad").cast("int").alias("n_overlaps"), covered.alias("covered"))
+
+
 @query("d5_roles_of_lines", f"SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)^\\s*(?:seite|page|pagina|p\\.|s\\.)?\\s*\\d{{1,4}}(?:\\s*(?:/|von|de|di|of)\\s*\\d{{1,4}})?\\s*$') THEN 'R1' WHEN regexp_matches(text, '^\\s*\\d{{1,2}}\\)?\\s+(?i:vgl|siehe|cf|voir|cfr)\\b') THEN 'R2' WHEN regexp_matches(text, '(?i)\\.(?:docx?|pdf|xlsx?)\\s*$|^[a-z]:\\\\|^/[\\w./-]+$') THEN 'R5' ELSE '-' END AS role FROM {LINES_SQL}) GROUP BY role")
 def d5(spark, d):
     role = O.fixed_role(F.col("text"), F.lit("text"), F.lit(False))
