@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 
 from gatherum.functions import text as T
 from gatherum.operators import documents as O
+from gatherum.operators import authors as N
 from gatherum.operators import records as C
 from gatherum.operators import rules as R
 from gatherum.operators import sequence as Q
@@ -157,3 +158,30 @@ def e21(spark, d):
 @query("e25_keyword_counts", "SELECT lang, count(*) FILTER (contains(text, ' the ')) AS hits, count(*) AS n FROM documents GROUP BY lang")
 def e25(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.contains("text", F.lit(" the "))).alias("hits"), F.count("*").alias("n"))
+
+
+# ---- authors
+
+_PEOPLE_SQL = "(SELECT doc_id, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS e, doc_id % 6 AS form FROM (SELECT doc_id, list_distinct_in_order AS w FROM (SELECT doc_id, list_filter(words, lambda x, i: list_position(words, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}')) AS words FROM documents))) WHERE len(w) >= 4)"
+
+
+def _author_lines(spark, d):
+    """Lines that name people, whose names are the first four capitalised words of a document; and a dictionary that has the first and the third."""
+    words = F.array_distinct(F.filter(F.split("text", r"[ \n]+"), lambda x: x.rlike(r"\A[A-Z][a-z]{3,}\z")))
+    docs = table(spark, d, "documents").select("doc_id", words.alias("w"), F.pmod("doc_id", F.lit(6)).alias("form")).where(F.size("w") >= 4)
+    a, b, c, e = (F.col("w")[k] for k in range(4))
+    line = (
+        F.when(F.col("form") == 0, F.concat(F.lit("Von X"), a, F.lit(" Y"), b, F.lit(" (SP)"))).when(F.col("form") == 1, F.concat(F.lit("X"), a, F.lit(" Y"), b, F.lit(" und X"), c, F.lit(" von Y"), e, F.lit(", FDP")))
+        .when(F.col("form") == 2, F.concat(F.lit("SP-Fraktion (Sprecher: X"), a, F.lit(" Y"), b, F.lit(")"))).when(F.col("form") == 3, F.concat(F.lit("Y"), b, F.lit(" X"), a, F.lit(", Y"), e))
+        .when(F.col("form") == 4, F.concat(F.lit("X"), a, F.lit(" Y"), b, F.lit(" X"), c, F.lit(" Y"), e)).otherwise(F.concat(F.lit("Frau X"), a, F.lit(" X"), c, F.lit(" Y"), b, F.lit(" und "), F.length(b).cast("string"), F.lit(" Mitunterzeichnende")))
+    )
+    names = docs.select(F.explode(F.array(F.concat(F.lit("X"), a), F.concat(F.lit("X"), c))).alias("name"))
+    return docs.select("doc_id", line.alias("line")), names
+
+
+@query("d23_author_grammar", f"SELECT doc_id, CASE form WHEN 0 THEN 'X' || a || '|Y' || b || '|SP|-' WHEN 1 THEN 'X' || a || '|Y' || b || '|-|-;X' || c || '|von Y' || e || '|FDP|-' WHEN 3 THEN 'X' || a || '|Y' || b || '|-|Y' || e WHEN 4 THEN 'X' || a || '|Y' || b || '|-|-;X' || c || '|Y' || e || '|-|-' WHEN 5 THEN 'X' || a || ' X' || c || '|Y' || b || '|-|-' ELSE 'X' || a || '|Y' || b || '|-|-' END AS authors, CASE WHEN form = 2 THEN 'SP-Fraktion' ELSE '' END AS groups, CASE WHEN form = 5 THEN length(b) END AS others FROM {_PEOPLE_SQL}")
+def d23_grammar(spark, d):
+    lines, names = _author_lines(spark, d)
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    flat = F.array_join(F.transform("authors", lambda a: F.concat_ws("|", a["first"], a["family"], dash(a["party"]), dash(a["place"]))), ";")
+    return N.read_authors(lines, ["doc_id"], "line", names).select("doc_id", flat.alias("authors"), F.array_join("groups", ";").alias("groups"), F.col("others").cast("long").alias("others"))
