@@ -152,7 +152,7 @@ def _alphabet(point: Column) -> Column:
     return out
 
 
-def shift_characters(text: Column, tweak: str, key: str) -> Column:
+def shift_characters(text: Column, tweak: str | Column, key: str) -> Column:
     """A permutation of the texts with the same alphabets at each place: TURNS times, each character moves on in its alphabet by a keyed function of all others."""
     points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), _code_point)
     cells = F.transform(points, lambda p: let(_alphabet(p), lambda a: F.struct((p - a["first"]).alias("at"), a["first"].alias("first"), a["size"].alias("size"))))
@@ -160,7 +160,7 @@ def shift_characters(text: Column, tweak: str, key: str) -> Column:
     def step(now: Column, k: Column) -> Column:
         place = F.pmod(k, F.size(now))
         others = F.array_join(F.transform(now, lambda x, i: F.when(i == place, F.lit("*")).otherwise((x["first"] + x["at"]).cast("string"))), ",")
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k.cast("string"), others).cast("binary"), 256)
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, k.cast("string"), others).cast("binary"), 256)
         by = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
         moved = lambda x, d: F.struct(F.pmod(x["at"] + d, x["size"]).alias("at"), x["first"].alias("first"), x["size"].alias("size"))
         return let(by, lambda d: F.transform(now, lambda x, i: F.when(i == place, moved(x, d)).otherwise(x)))
@@ -229,22 +229,15 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
-
-    def block(s: Column) -> Column:
-        """Twelve or fewer characters of a-z and 0-9 as a number of base 36; the length goes into the tweak through the radices."""
-        out = F.lit("")
-        for n in range(1, 13):
-            half = n // 2
-            new = feistel(F.conv(s, 36, 10).cast("long"), 36 ** (n - half), 36**half, f"email{n}", key)
-            out = F.when(F.length(s) == n, F.lower(F.lpad(F.conv(new.cast("string"), 10, 36), n, "0"))).otherwise(out)
-        return out
-
-    plain = F.regexp_replace(local, "[^a-z0-9]", "")
-    fresh = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(".{1,12}"), F.lit(0)), block), "")
+    """The local part's letters and digits are permuted as one, each within its alphabet, by a permutation of the domain; the domain stays.
+
+    A local part of one ASCII character is permuted among the 36 of them, as a shift would keep their order.
+    """
+    local, domain = F.lower(F.substring_index(m, "@", 1)), F.lower(F.substring_index(m, "@", -1))
     letters = F.regexp_replace(local, r"[^\p{L}\p{N}]", "")
-    shifted = lambda: let(shift_characters(letters, "email", key), lambda f: _refill(local, f, r"[\p{L}\p{N}]"))
-    return F.concat(F.when(local.rlike(r"^[\x00-\x7f]*$"), let(fresh, lambda f: _refill(local, f, "[a-z0-9]"))).otherwise(shifted()), F.lit("@"), domain)
+    single = lambda c: F.lower(F.conv(feistel(F.conv(c, 36, 10).cast("long"), 6, 6, "email1", key).cast("string"), 10, 36))
+    fresh = lambda c: F.when(c.rlike("^[a-z0-9]$"), single(c)).otherwise(shift_characters(c, F.concat(F.lit("email|"), domain), key))
+    return F.concat(let(letters, lambda c: let(fresh(c), lambda f: _refill(local, f, r"[\p{L}\p{N}]"))), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def kind_of(m: Column) -> Column:

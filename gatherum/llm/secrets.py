@@ -27,12 +27,38 @@ except ImportError:  # pragma: no cover - older Python
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds matches; those are kept whose group ``group`` has ``least`` characters."""
+    """``pattern`` finds matches; those are kept whose group ``group`` has ``least`` characters.
+
+    A match goes on to the end of the next ``until``, if there is one before the next ``unless``. It begins as far before as the
+    characters of ``before`` go, at the first lower-case letter among them; then there must be two of them at least. Both
+    ways are walked once, so that no length is bounded and long runs cost no more than their length.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    until: str = ""
+    unless: str = ""
+    before: str = ""
+
+    def span(self, m: re.Match) -> tuple[int, int] | None:
+        """The whole match; None if it is none."""
+        text, start, end = m.string, m.start(), m.end()
+        if self.until:
+            stop = text.find(self.unless, end)
+            last = re.compile(self.until).search(text, end, len(text) if stop < 0 else stop)
+            end = last.end() if last else end
+        if self.before:
+            at = start
+            while at and text[at - 1] in self.before:
+                at -= 1
+            while at < start and not "a" <= text[at] <= "z":
+                at += 1
+            if start - at < 2:
+                return None
+            start = at
+        return start, end
 
 
 def _either_case(word: str) -> str:
@@ -52,8 +78,8 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S]){0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", until=r"-----END [A-Z ]*PRIVATE KEY-----", unless="-----BEGIN"),
+    Rule("url_login", r"://[^\s/:@]+:[^\s/:@]{3,}@", before="abcdefghijklmnopqrstuvwxyz0123456789+.-"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -207,8 +233,9 @@ class Scanner:
             for i in range(len(texts)) if query is None else index.candidates(query).tolist():
                 for m in expression.finditer(texts[i]):
                     start, end = m.span(rule.group)
-                    if end - start >= rule.least:
-                        found[i].append((m.start(), k, m.end()))
+                    span = rule.span(m) if end - start >= rule.least else None
+                    if span:
+                        found[i].append((span[0], k, span[1]))
         return [[(s, e, self.rules[k][0].kind) for s, k, e in sorted(x)] for x in found]
 
 

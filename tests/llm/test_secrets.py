@@ -55,6 +55,19 @@ def test_private_keys_are_marked_whole():
     assert scanner.scan([KEY[:40]]) == [[(0, 31, "private_key")]]
 
 
+def test_nothing_is_too_long():
+    scanner = secrets.Scanner()
+    only = lambda text: [x for x in scanner.scan([text])[0] if x[2] in ("private_key", "url_login")]
+    body = "+/Ab9=\n" * 20_000
+    key = f"-----BEGIN {'VERY ' * 20}LONG PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+    assert only(f"x {key} y {key}") == [(2, 2 + len(key), "private_key"), (5 + len(key), 5 + 2 * len(key), "private_key")]
+    assert [e - s for s, e, _ in only(f"{KEY[:60]}\n{KEY}")] == [31, len(KEY)] and only("-----BEGIN CERTIFICATE-----\nabc") == []
+    for login in ("https://u:" + "p" * 5_000 + "@h", "ftp://" + "u" * 500 + ":secret@h", "a" * 300 + "b+c.d-e://us:pass@h", "x1://é:日本語@h"):
+        assert only(f"see {login}ost") == [(4, 4 + len(login) - 1, "url_login")]
+    assert only("see 9http://u:pass@h") == [(5, 19, "url_login")] and only("a://u:pass@h 1://u:pass@h http://u:pa@h http://u:pa ss@h ://u:pass@h") == []
+    assert only("a" * 200_000 + "b" * 200_000) == [] and only("://" * 50_000) == [] and len(only("-----BEGIN PRIVATE KEY-----" * 5_000)) == 5_000
+
+
 def test_many_rules():
     rng = random.Random(3)
     rules = tuple(secrets.Rule(f"r{k}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) + "[0-9]{4}") for k in range(400))
