@@ -1,10 +1,11 @@
 """Removal of long repeats across documents by a logarithmic family of suffix arrays.
 
 The arrays are sparse: of all suffixes of the texts they hold those that start at sampled places. Every window of ``LENGTH`` bytes
-samples the place in it whose next ``HEAD`` bytes have the smallest hash (the leftmost of equal ones), so two equal windows sample
-the same place, and one suffix in about eighteen is kept. An array is a table of the first ``HEAD`` bytes of its suffixes, as two
-longs whose order is that of the bytes, in buckets by hash and sorted within each; for suffixes that begin alike it names the
-smallest document.
+samples the place in it whose next ``SEED`` bytes have the smallest hash (the leftmost of equal ones), so two equal windows sample
+the same place. Windows that begin less than ``HALF`` bytes before their place are found by the suffix at the place, the others by
+the suffix ``HALF`` bytes before it; so ``HEAD`` bytes of the suffix lie in the window in both cases, and one suffix in about thirteen is
+kept. An array is a table of suffixes, in buckets and sorted within each, by their first eight bytes as a long in the order of the bytes and a
+hash of the rest of the head; for suffixes that begin alike it names the smallest document.
 
 A ``SuffixFamily`` takes batches of documents. The suffix array of a batch is merge-scanned against each level that is there: both are
 bucketed by the same columns, so these joins move no rows. What comes out are the places in the batch, and in older documents, at
@@ -33,14 +34,14 @@ from pyspark.sql import functions as F
 from gatherum.llm.common import discard, join_facts, keep_in_scope, materialise, scratch_path, scratch_scope
 
 LENGTH = 50
-#: Bytes of a suffix that an array orders by.
-HEAD = 16
+#: Bytes whose hash samples places, bytes of a suffix that must agree before anything is compared, and how far windows may begin before a place to be found by its own suffix.
+SEED, HEAD, HALF = 16, 32, 18
 #: Batches that a whole table is dealt to.
 BATCHES = 4
 #: Windows of a run that are looked up by what they have in common.
 GROUP = 7
 _CODEC = "zstd"
-_SPAN = LENGTH - HEAD + 1
+_SPAN = LENGTH - SEED + 1
 _BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -69,17 +70,18 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarr
     """Runs of windows that lie in one text and share a sampled place, in blocks of a bounded number of bytes.
 
     Text k is data[bounds[k]:bounds[k + 1]]. Arrays: first window, number of windows (``_SPAN`` at most), sampled place, text, and
-    the head at the place as two longs in the order of the bytes.
+    the heads (hi, lo) of the suffixes at the place and ``HALF`` bytes before it, which lie in the windows that need them.
     """
     for low in range(int(bounds[0]), int(bounds[-1]), _BLOCK):
         high = min(low + _BLOCK, int(bounds[-1]))
         m = high - low
-        size = m + _SPAN - 1 + HEAD
+        size = m + _SPAN + HEAD + SEED
         part = np.zeros(size, dtype=np.uint8)
         own = data[low : low + size]
         part[: len(own)] = own
         words = np.lib.stride_tricks.as_strided(part, (size - 7, 8), (1, 1)).copy().view("<u8").ravel()
-        h = _mixed(_mixed(words[:-8]) * _MULTIPLIERS[1] + words[8:])[: m + _SPAN - 1]
+        mixed = _mixed(words)
+        h = _mixed(mixed[: m + _SPAN - 1] * _MULTIPLIERS[1] + words[8 : m + _SPAN + 7])
         place = (_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), _SPAN) & _PLACE).astype(np.int64)
         inner = bounds[np.searchsorted(bounds, low, "right") : np.searchsorted(bounds, high + LENGTH, "right")] - low
         breaks = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(place[1:] != place[:-1]) + 1, inner, inner - LENGTH + 1])
@@ -89,8 +91,16 @@ def window_runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarr
         ok = start + low + LENGTH <= bounds[text + 1]
         start, count, text = start[ok], count[ok], text[ok]
         at = place[start]
-        hi, lo = ((w.byteswap() ^ _SIGN).view(np.int64) for w in (words[at], words[at + 8]))
-        yield start + low, count, at + low, text, hi, lo
+        heads = []
+        for k in (at, np.maximum(at - HALF, 0)):
+            heads.append((words[k].byteswap() ^ _SIGN).view(np.int64))
+            heads.append(_mixed(mixed[k + 8] * _MULTIPLIERS[2] + _mixed(mixed[k + 16] * _MULTIPLIERS[1] + words[k + 24])).view(np.int64))
+        yield start + low, count, at + low, text, *heads
+
+
+def _near_and_far(start: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have windows that begin less than ``HALF`` bytes before their place, and which have others."""
+    return at - start - count + 1 < HALF, at - start >= HALF
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +118,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = list(window_runs(*_bytes_of(batch.column(1))))
         if not runs:
             continue
-        hi, lo = (np.concatenate([r[k] for r in runs]) for k in (4, 5))
-        doc = ids[np.concatenate([r[3] for r in runs])]
+        start, count, at, text, *heads = (np.concatenate(x) for x in zip(*runs))
+        near, far = _near_and_far(start, count, at)
+        hi, lo = (np.r_[heads[k][near], heads[k + 2][far]] for k in (0, 1))
+        doc = ids[np.r_[text[near], text[far]]]
         order = np.lexsort((doc, lo, hi))
         hi, lo, doc = hi[order], lo[order], doc[order]
         same = (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
@@ -213,15 +225,17 @@ class SuffixFamily:
         return hits
 
     def _push(self, level: DataFrame) -> None:
-        size, merged = 1, []
+        """The array of a batch becomes a level; while the last level is of the same size, both are merged, bucket by bucket."""
+        size, read = 1, []
         while self.levels and self.levels[-1][0] == size:
-            merged.append(self.levels.pop()[1])
-            level = level.unionByName(merged[-1])
-            size *= 2
-        if merged:
-            level = level.groupBy("hi", "lo").agg(F.min("first").alias("least"), (F.max("shared") | (F.min("first") < F.max("first"))).alias("shared")).withColumnRenamed("least", "first")
-        self.levels.append((size, self.tables.write(level, "suffix-level", "hi", "lo")))
-        self.tables.drop(*merged)
+            other = self.levels.pop()[1]
+            a, b = level.alias("a"), other.alias("b")
+            seen = lambda c: F.coalesce(c, F.lit(False))
+            shared = (F.col("a.first").isNotNull() & F.col("b.first").isNotNull()) | seen("a.shared") | seen("b.shared")
+            level = self.tables.write(a.join(b, ["hi", "lo"], "full_outer").select("hi", "lo", F.least("a.first", "b.first").alias("first"), shared.alias("shared")), "suffix-level", "hi", "lo")
+            self.tables.drop(other, *read)
+            size, read = 2 * size, [level]
+        self.levels.append((size, level if read else self.tables.write(level, "suffix-level", "hi", "lo")))
 
 
 # ---- exact matches
@@ -236,9 +250,14 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = lambda hi, lo, k: _mixed(_mixed(hi.view(np.uint64)) * _MULTIPLIERS[1] + _mixed(lo.view(np.uint64) + k.astype(np.uint64) * _MULTIPLIERS[2]))
         wanted = code(mine.field(0).to_numpy(), mine.field(1).to_numpy(), row)
         data, bounds = _bytes_of(batch.column(2))
-        for start, count, at, text, hi, lo in window_runs(data, bounds):
-            on = np.isin(code(hi, lo, text), wanted)
-            start, count, at, text = start[on], count[on], at[on], text[on]
+        for start, count, at, text, hi, lo, far_hi, far_lo in window_runs(data, bounds):
+            near, far = _near_and_far(start, count, at)
+            near &= np.isin(code(hi, lo, text), wanted)
+            far &= np.isin(code(far_hi, far_lo, text), wanted)
+            first = np.where(far, start, np.maximum(start, at - HALF + 1))
+            count = np.where(near, start + count, np.minimum(start + count, at - HALF + 1)) - first
+            on = near | far
+            start, count, at, text = first[on], count[on], at[on], text[on]
             length = count + LENGTH - 1
             ends = np.cumsum(length)
             inside = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)

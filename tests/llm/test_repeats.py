@@ -95,7 +95,7 @@ def test_blocks_don_t_cut_matches(spark, monkeypatch):
     texts = [t.encode() for _, t in corpus(5, 40)]
     data, bounds = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0] + [len(t) for t in texts])
     windows = set()
-    for start, count, at, text, hi, lo in suffixes.window_runs(data, bounds):
+    for start, count, at, text, *_ in suffixes.window_runs(data, bounds):
         for s, n, p, k in zip(start.tolist(), count.tolist(), at.tolist(), text.tolist()):
             assert all(s + j <= p <= s + j + 34 for j in range(n))
             windows |= {(k, s + j - bounds[k]) for j in range(n)}
