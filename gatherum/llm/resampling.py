@@ -9,6 +9,7 @@ ids decide. CRC-32 is linear, so that of a run of words is combined from those o
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,6 @@ SHARE = 5
 SEED = 42
 #: A word, once A-Z are lower-cased: digits, letters and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Scores are summed in two steps, by their quotient with this number and then within it.
-_STEP = 1 << 16
 #: Words whose CRC a worker remembers, and the longest that it does.
 _MEMO, _MEMO_WORD = 1 << 18, 64
 _TAKE = 1 << 18
@@ -190,12 +189,13 @@ def numbered(rows: DataFrame, draw: int) -> tuple[DataFrame, int | None]:
     """(rows from the cutoff score on, with their ``rank`` from the top, and that score); no score if nothing is drawn.
 
     The cutoff is the score that holds the row of rank ``draw``. Rows of one score go by doc_id (a null id last). The histogram has a
-    row for each score that occurs. It is summed from the top in two steps, over blocks of ``_STEP`` scores and within each block, so
-    no window spans more than the range of scores divided by that, or that. The rows of one score are few: the noise spreads even
-    equal weights so that none has over 0.04 % of them.
+    row for each score that occurs. It is summed from the top in two steps, over blocks of scores and within each block; a block is as
+    wide as the square root of the range of scores, so no window spans more rows than that. The rows of one score are few: the noise
+    spreads even equal weights so that none has over 0.04 % of them.
     """
-    histogram = rows.groupBy("score").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("score") / _STEP))
-    histogram = materialise(histogram, "resampling-histogram")
+    histogram = materialise(rows.groupBy("score").agg(F.count("*").alias("n")), "resampling-histogram")
+    low, high = histogram.agg(F.min("score"), F.max("score")).first()
+    histogram = histogram.withColumn("block", F.floor((F.col("score") - (low or 0)) / (1 + math.isqrt((high or 0) - (low or 0)))))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = histogram.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy(F.desc("block"))).alias("start"))
     offsets = histogram.join(blocks.where(F.col("start") < draw), "block").select("score", (F.col("start") + before(Window.partitionBy("block").orderBy(F.desc("score")))).alias("above"))
