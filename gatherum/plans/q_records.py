@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,7 +14,10 @@ from gatherum.operators import authors as N
 from gatherum.operators import records as C
 from gatherum.operators import rules as R
 from gatherum.operators import sequence as Q
+from gatherum.operators import writer as W
+from gatherum.operators import graph as G
 from gatherum.plans.registry import LINES_SQL, query, table
+from gatherum.sources.scratch import shared_path
 
 
 def _lines(spark, d):
@@ -185,3 +190,62 @@ def d23_grammar(spark, d):
     dash = lambda c: F.coalesce(c, F.lit("-"))
     flat = F.array_join(F.transform("authors", lambda a: F.concat_ws("|", a["first"], a["family"], dash(a["party"]), dash(a["place"]))), ";")
     return N.read_authors(lines, ["doc_id"], "line", names).select("doc_id", flat.alias("authors"), F.array_join("groups", ";").alias("groups"), F.col("others").cast("long").alias("others"))
+
+
+# ---- records by a slot table
+
+_ORDER_SLOTS = W.Schema([
+    W.Slot("Order", "key", "integer", required=True, column="o_orderkey"), W.Slot("Order", "status", "string", required=True, column="status", source="'orders'"), W.Slot("Order", "customer", "Customer", required=True), W.Slot("Order", "lines", "Line", many=True, required=True),
+    W.Slot("Customer", "name", "string", column="c_name", source="'customer'"), W.Slot("Customer", "segment", "string", required=True, column="segment", source="'customer'"),
+    W.Slot("Line", "number", "integer", column="l_linenumber", source="concat('line ', l_linenumber)"), W.Slot("Line", "quantity", "integer", column="quantity"), W.Slot("Line", "flag", "string", column="l_returnflag"),
+])
+
+
+def _order_records(spark, d):
+    """Orders with their customer and lines; every seventh customer has no segment, every eleventh order no status."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("quantity"), F.max("l_returnflag").alias("l_returnflag"))
+    orders = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.col("o_orderstatus")))
+    people = table(spark, d, "customer").withColumn("segment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
+    return W.records(_ORDER_SLOTS, "Order", {
+        "Order": W.Source(orders, "o_orderkey"), "Customer": W.Source(orders.select("o_orderkey", "o_custkey").join(people, F.col("o_custkey") == F.col("c_custkey")), "c_custkey", "o_orderkey"),
+        "Line": W.Source(lines, "l_linenumber", "l_orderkey", "l_linenumber"),
+    })
+
+
+_ORDER_SQL = """(SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status, c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, coalesce(n, 0) AS n, lines
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(flag || quantity || '/' || l_linenumber, ' ' ORDER BY l_linenumber) AS lines FROM (SELECT l_orderkey, l_linenumber, max(l_quantity)::BIGINT AS quantity, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
+@query("d34_records", f"SELECT o_orderkey, status, segment, coalesce(lines, '') AS lines, (1 + (status IS NOT NULL)::INT + (c_name IS NOT NULL)::INT + (segment IS NOT NULL)::INT + 3 * n)::INT AS origins, array_to_string(list_sort(list_filter([CASE WHEN status IS NULL THEN 'status' END, CASE WHEN c_custkey IS NULL THEN 'customer' WHEN segment IS NULL THEN 'customer.segment' END, CASE WHEN n = 0 THEN 'lines' END], lambda x: x IS NOT NULL)), ',') AS missing, CASE WHEN c_custkey IS NOT NULL THEN 'customer-' || left(sha256('{{\"name\":\"' || c_name || '\"' || coalesce(',\"segment\":\"' || segment || '\"', '') || '}}'), 16) END AS customer_id FROM {_ORDER_SQL}")
+def d34_records(spark, d):
+    """Each order as a nested record: its values, in order; how many leaves have an origin; what is missing; and the id of the customer by content."""
+    r = _order_records(spark, d)
+    lines = F.array_join(F.transform("record.lines", lambda x: F.concat(x["flag"], x["quantity"].cast("string"), F.lit("/"), x["number"].cast("string"))), " ")
+    return r.select("o_orderkey", "record.status", "record.customer.segment", lines.alias("lines"), F.size("origins").alias("origins"), F.array_join(F.array_sort("missing"), ",").alias("missing"), F.col("record.customer.id").alias("customer_id"))
+
+
+@query("d34_round_trip", f"SELECT count(*) AS n, count(*) AS same, 0 AS unlike_parts, sum(1 + (status IS NOT NULL)::INT + (c_name IS NOT NULL)::INT + (segment IS NOT NULL)::INT + 3 * n)::BIGINT AS leaves, 0 AS uncovered FROM {_ORDER_SQL}")
+def d34_round_trip(spark, d):
+    """Records written as JSON in four parts with a manifest, read back and compared: with the records, with the manifest, and each leaf with the recorded origins and with a graph of them."""
+    rows = G.stored(_order_records(spark, d), "records")
+    path = shared_path(spark, "records-json")
+    manifest = G.stored(W.write_json(rows, path, "o_orderkey", 4), "manifest")
+    back, found = W.read_json(spark, path, "o_orderkey", "bigint", _ORDER_SLOTS, "Order")
+    same = rows.select("o_orderkey", "record").join(back.withColumnRenamed("record", "again"), "o_orderkey").where("record = again")
+    leaves = W.leaf_rows(back, "o_orderkey", "record")
+    told = rows.select(F.col("o_orderkey").cast("string").alias("s"), F.explode("origins").alias("x")).select("s", F.col("x.path").alias("p"), F.col("x.value").alias("o"), F.lit("literal").alias("o_kind"))
+    uncovered = G.missing_leaves(leaves.select(F.col("o_orderkey").cast("string").alias("s"), F.col("path").alias("p"), F.col("value").alias("o")), told, "s", "p", "o")
+    unlike = G.reconcile(found, manifest, "part", "n").unionByName(G.reconcile(found, manifest, "part", "digest"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [count(rows, "n"), count(same, "same"), count(unlike, "unlike_parts"), count(leaves, "leaves"), count(uncovered, "uncovered")]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # one row each
+
+
+_PLACE_SLOTS = W.Schema([W.Slot("Region", "name", "string", column="r_name"), W.Slot("Region", "nations", "Nation", many=True), W.Slot("Nation", "name", "string", column="n_name"), W.Slot("Nation", "suppliers", "Supplier", many=True), W.Slot("Supplier", "name", "string", column="s_name")])
+
+
+@query("d36_view_of_places", """SELECT r_regionkey, '{"name":"' || r_name || '","nations":[' || string_agg('{"name":"' || n_name || '","suppliers":[' || coalesce(s, '') || ']}', ',' ORDER BY n_nationkey) || ']}' AS view FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, string_agg('{"name":"' || s_name || '"}', ',' ORDER BY s_suppkey) AS s FROM supplier GROUP BY s_nationkey) ON s_nationkey = n_nationkey GROUP BY r_regionkey, r_name""")
+def d36_places(spark, d):
+    """A view of three levels, without the ids."""
+    made = W.records(_PLACE_SLOTS, "Region", {"Region": W.Source(table(spark, d, "region"), "r_regionkey"), "Nation": W.Source(table(spark, d, "nation"), "n_nationkey", "n_regionkey", "n_nationkey"), "Supplier": W.Source(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_suppkey")})
+    return made.select("r_regionkey", F.regexp_replace(F.to_json("record"), r'"id":"[^"]*",', "").alias("view"))
