@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gatherum.functions import paths as X
 from gatherum.functions import text as T
 from gatherum.operators import documents as O
 from gatherum.operators import authors as N
@@ -249,3 +250,17 @@ def d36_places(spark, d):
     """A view of three levels, without the ids."""
     made = W.records(_PLACE_SLOTS, "Region", {"Region": W.Source(table(spark, d, "region"), "r_regionkey"), "Nation": W.Source(table(spark, d, "nation"), "n_nationkey", "n_regionkey", "n_nationkey"), "Supplier": W.Source(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_suppkey")})
     return made.select("r_regionkey", F.regexp_replace(F.to_json("record"), r'"id":"[^"]*",', "").alias("view"))
+
+
+@query("m8_set_path", "SELECT l_orderkey, sum(l_linenumber)::BIGINT AS numbers, 'set-' || (l_orderkey % 5) AS first_flag, greatest(len(list(l_linenumber)), 3) AS size, max(l_quantity) * 2 AS twice, CASE WHEN l_orderkey % 2 = 0 THEN 'even' END AS parity FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) OVER (PARTITION BY l_orderkey) AS l_quantity FROM lineitem) GROUP BY l_orderkey")
+def m8_set(spark, d):
+    """Nested orders with values set at four paths: in a list, behind its end, in a struct and in a map; all else is as it was."""
+    lines = table(spark, d, "lineitem")
+    v = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.struct(F.col("l_linenumber").alias("n"), F.lit("old").alias("flag")))).alias("lines"), F.max("l_quantity").alias("most"))
+    v = v.select("l_orderkey", F.struct("lines", F.struct("most", F.lit(None).cast("double").alias("twice")).alias("sums"), F.create_map(F.lit("kept"), F.lit("yes")).alias("tags")).alias("v"))
+    kind = v.schema["v"].dataType
+    key = F.col("l_orderkey")
+    for path, new in (("lines[0].flag", F.concat(F.lit("set-"), (key % 5).cast("string"))), ("sums.twice", F.col("v.sums.most") * 2), ("tags.parity", F.when(key % 2 == 0, "even")), ("lines[2].flag", F.lit("third"))):
+        v = v.withColumn("v", X.set_path(F.col("v"), kind, path, new))
+    got = lambda path: X.get_path(F.col("v"), kind, path)
+    return v.where((got("tags.kept") == "yes") & (got("lines[2].flag") == "third")).select("l_orderkey", F.aggregate("v.lines", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n"], F.lit(0))).alias("numbers"), got("lines[0].flag").alias("first_flag"), F.size("v.lines").cast("long").alias("size"), got("sums.twice").alias("twice"), got("tags.parity").alias("parity"))
