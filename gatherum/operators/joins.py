@@ -111,8 +111,25 @@ def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, score: s
     return ordered.mapInPandas(match, chosen.schema)
 
 
-def align_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common word sequence (dynamic programming over one document's lines)."""
+#: Cells of a table that is filled in directly; larger problems are halved first.
+_TABLE_CELLS = 1 << 14
+
+
+def _common_counts(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of a longest common sequence of each a[:k] (k from 0) with all of b. One integer holds a bit for each word of a; a word of b costs a few operations on it."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    state = whole
+    for y in b:
+        hit = state & places.get(y, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(-(-len(a) // 8) or 1, "little"), dtype=np.uint8), bitorder="little")[: len(a)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _filled(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -129,6 +146,38 @@ def align_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def align_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common word sequence, in memory that grows with the number of words.
+
+    Equal ends are cut off. Of what is left, b is halved, and a where the counts of the two halves together are largest (the second counted
+    from behind); both parts are aligned alone, until a table of them is small. The time is that of all cells divided by the bits of a word.
+    """
+    numbers: dict[str, int] = {}
+    x, y = ([numbers.setdefault(w, len(numbers)) for w in words] for words in (a, b))
+    out, parts = [], [(0, len(x), 0, len(y))]
+    while parts:
+        i, k, j, l = parts.pop()
+        while i < k and j < l and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < l and x[k - 1] == y[l - 1]:
+            k, l = k - 1, l - 1
+            out.append((k, l))
+        if i == k or j == l:
+            continue
+        if (k - i) * (l - j) <= _TABLE_CELLS:
+            out += [(i + p, j + q) for p, q in _filled(x[i:k], y[j:l])]
+            continue
+        if l - j == 1:
+            out += [(p, j) for p in range(i, k) if x[p] == y[j]][:1]
+            continue
+        half = (j + l) // 2
+        front, back = _common_counts(x[i:k], y[j:half]), _common_counts(x[i:k][::-1], y[half:l][::-1])
+        cut = i + int((front + back[::-1]).argmax())
+        parts += [(i, cut, j, half), (cut, k, half, l)]
+    return sorted(out)
+
+
 def aligned_rows(lines: DataFrame, doc: str, a: str, b: str) -> DataFrame:
     """(doc, a_word, b_word): aligned word places of two versions of each document's text."""
 
