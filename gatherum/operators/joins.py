@@ -69,14 +69,43 @@ def repeated_lines(lines: DataFrame, doc: str, page: str, text: str) -> DataFram
     return keyed.join(often, [doc, "_letters"], "left_semi").drop("_letters")
 
 
+def similar_texts(texts: DataFrame, group: list[str], text: str, least: float = 0.9, q: int = 2) -> DataFrame:
+    """Pairs (group, text, other) of texts, each once in a group, whose ratio of matching blocks is ``least`` or more; also each text with itself.
+
+    A prefix filter over q-grams finds the candidates. With a ratio r a text of m letters and its partner have at most (1 - r) * 2 * m / r
+    letters without a match, and each spoils q grams at most; so they share all but that many of their grams, and in any fixed order
+    of grams they share one among the first few. Rare grams go first, so that few texts meet; repeats of a gram are numbered. Only
+    candidates of a fitting length are compared, and no text meets all others of its group.
+    """
+    if least < 0.9 or q != 2:
+        raise ValueError("the filter is sure for ratios of 0.9 and more, with grams of two letters")
+    length = F.length(text)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(length - q + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(q)))
+    base = texts.select(*group, text, length.alias("_n")).distinct()
+    each = base.select(*group, text, "_n", F.explode(grams).alias("_gram")).groupBy(*group, text, "_n", "_gram").agg(F.count("*").alias("_c"))
+    numbered = each.select(*group, text, "_n", F.explode(F.transform(F.sequence(F.lit(1), "_c"), lambda k: F.concat_ws("#", "_gram", k.cast("string")))).alias("_gram"))
+    ranked = numbered.join(numbered.groupBy("_gram").agg(F.count("*").alias("_often")), "_gram").withColumn("_at", F.row_number().over(Window.partitionBy(*group, text).orderBy("_often", "_gram")))
+    spoilt = q * F.floor((1 - least) * 2 / least * F.col("_n") + 1e-9)
+    first = ranked.where(F.col("_at") <= spoilt + 1).select(*group, text, "_n", "_gram")
+    other = first.select(*group, "_gram", F.col(text).alias("other"), F.col("_n").alias("_m"))
+    fits = (2 * F.least("_n", "_m") >= least * (F.col("_n") + F.col("_m")) - 1e-9) & (F.col(text) != F.col("other"))
+    candidates = first.join(other, [*group, "_gram"]).where(fits).select(*group, text, "other").distinct()
+    return candidates.where(T.similarity(text, "other") >= least).unionByName(base.select(*group, text, F.col(text).alias("other")))
+
+
 def similar_lines(lines: DataFrame, doc: str, page: str, line: str, text: str, top: str, least: float = 0.9, distance: float = 30.0) -> DataFrame:
-    """Lines with a similar line (ratio of matching blocks) on another page at about the same height; pairs within one document."""
+    """Lines with a similar line on another page of the document at about the same height: letters with a ratio of matching blocks of ``least``, as many digits.
+
+    Texts are compared, not lines: each once in a document, however often it stands there. Then heights are looked up by band; of lines
+    with one text and height only the first and the last page count.
+    """
     letters, digits = T.furniture_key(F.col(text))
     keyed = lines.withColumns({"_letters": letters, "_digits": F.length(digits), "_band": F.floor(F.col(top) / distance)}).where("_letters <> ''")
-    other = keyed.select(F.col(doc), F.col(page).alias("_page"), F.col("_letters").alias("_other"), F.col("_digits"), F.col(top).alias("_top"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band")).distinct()
-    pairs = keyed.join(other, [doc, "_digits", "_band"]).where((F.col(page) != F.col("_page")) & (F.abs(F.col(top) - F.col("_top")) <= distance))
-    bound = F.abs(F.length("_letters") - F.length("_other")) * 10 <= F.greatest(F.length("_letters"), F.length("_other")) * 2
-    return pairs.where(bound).where(T.similarity("_letters", "_other") >= least).select(*lines.columns).distinct()
+    pairs = similar_texts(keyed.select(doc, "_digits", "_letters"), [doc, "_digits"], "_letters", least)
+    places = keyed.groupBy(doc, "_digits", F.col("_letters").alias("other"), "_band", F.col(top).alias("_top")).agg(F.min(page).alias("_first"), F.max(page).alias("_last"))
+    near = places.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+    met = keyed.join(pairs, [doc, "_digits", "_letters"]).join(near, [doc, "_digits", "other", "_band"])
+    return met.where((F.abs(F.col(top) - F.col("_top")) <= distance) & ((F.col("_first") != F.col(page)) | (F.col("_last") != F.col(page)))).select(*lines.columns).distinct()
 
 
 def best_box(boxes: DataFrame, clusters: DataFrame, page: list[str], box: str, cluster_box: str, iou: Column, box_id: str, least: float = 0.5) -> DataFrame:
