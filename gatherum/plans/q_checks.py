@@ -485,6 +485,30 @@ def g7(spark, d):
     return check("relaxed", K.relaxed_schema(schema, gaps, "Affair")).unionByName(check("changed", other))
 
 
+@query("g7_relaxed_records", "SELECT schema_name, slot, count(*) AS missing FROM (SELECT unnest(['strict', 'strict', 'relaxed']) AS schema_name, unnest(['status', 'priority', 'priority']) AS slot, unnest([o_orderkey % 11 = 0, o_orderkey % 13 = 0, o_orderkey % 13 = 0]) AS gone FROM orders) WHERE gone GROUP BY ALL")
+def g7_records(spark, d):
+    """Orders without some status or priority: what the schema misses, and what it misses once the recorded gap, the status, is relaxed."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority")).alias("priority"))
+    schema = spark.createDataFrame([("Order", "status", True, False), ("Order", "priority", True, False)], "class string, slot string, required boolean, nullable boolean")
+    relaxed = K.relaxed_schema(schema, spark.createDataFrame([("status",)], "slot string"), "Order")
+    missing = G.missing_slots(o, "o_orderkey", ["status", "priority"])
+    under = lambda name, s: missing.join(F.broadcast(s.where("required").select("slot")), "slot").groupBy("slot").agg(F.count("*").alias("missing")).select(F.lit(name).alias("schema_name"), "slot", "missing")  # a row for each slot
+    return under("strict", schema).unionByName(under("relaxed", relaxed))
+
+
+_RULE_SQL = "CASE WHEN p = '1-URGENT' THEN 'now' WHEN e IN ('error', 'purchase') THEN 'soon' ELSE 'later' END"
+
+
+@query("e20_rules_over_values", f"SELECT 'spelt_otherwise' AS case_name, count(*) AS combinations, 0::BIGINT AS differences FROM (SELECT DISTINCT event_type AS e FROM events), (SELECT DISTINCT o_orderpriority AS p FROM orders) UNION ALL SELECT 'other_order', count(*), count(*) FILTER ({_RULE_SQL} <> CASE WHEN e IN ('error', 'purchase') THEN 'soon' WHEN p = '1-URGENT' THEN 'now' ELSE 'later' END) FROM (SELECT DISTINCT event_type AS e FROM events), (SELECT DISTINCT o_orderpriority AS p FROM orders)")
+def e20_values(spark, d):
+    """Rules over all combinations of the values that two tables hold: spelt otherwise, and in another order."""
+    e, p = table(spark, d, "events").select(F.col("event_type").alias("e")).distinct(), table(spark, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct()
+    soon, urgent = F.col("e").isin("error", "purchase"), F.col("p") == "1-URGENT"
+    rule = F.when(urgent, "now").when(soon, "soon").otherwise("later")
+    cases = {"spelt_otherwise": F.when(~urgent, F.when(soon, "soon").otherwise("later")).otherwise("now"), "other_order": F.when(soon, "soon").when(urgent, "now").otherwise("later")}
+    return reduce(DataFrame.unionByName, [K.equal_over_all([e, p], rule, other).select(F.lit(name).alias("case_name"), "combinations", "differences") for name, other in cases.items()])
+
+
 @query("g9_shapes", f"SELECT s, path, reason FROM (SELECT '{V}part/' || p_partkey AS s, '{V}size' AS path, 'pattern' AS reason FROM part WHERE p_size >= 10 UNION ALL SELECT '{V}part/' || p_partkey, '{V}weight', 'too_few' FROM part UNION ALL SELECT '{V}nation/' || n_nationkey, '{V}region', 'node_kind' FROM nation UNION ALL SELECT '{V}nation/' || n_nationkey, '{V}region', 'datatype' FROM nation UNION ALL SELECT '{V}region/' || r_regionkey, '{V}name', 'too_many' FROM region)")
 def g9(spark, d):
     """Shapes of which some hold and some don't: sizes of one digit, a weight, regions as texts, no names."""
