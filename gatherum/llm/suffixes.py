@@ -241,6 +241,11 @@ class SuffixFamily:
 # ---- exact matches
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an array that is sorted and not empty."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (doc, nth, s0, n, a, bytes) of rows (doc, nth, text, heads) at one of the row's heads; ``a`` is how far the place is from the first window."""
     for batch in batches:
@@ -248,12 +253,14 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(batch.num_rows), heads.value_lengths().to_numpy(zero_copy_only=False))
         mine = heads.flatten()
         code = lambda hi, lo, k: _mixed(_mixed(hi.view(np.uint64)) * _MULTIPLIERS[1] + _mixed(lo.view(np.uint64) + k.astype(np.uint64) * _MULTIPLIERS[2]))
-        wanted = code(mine.field(0).to_numpy(), mine.field(1).to_numpy(), row)
+        wanted = np.sort(code(mine.field(0).to_numpy(), mine.field(1).to_numpy(), row))
+        if not len(wanted):
+            continue
         data, bounds = _bytes_of(batch.column(2))
         for start, count, at, text, hi, lo, far_hi, far_lo in window_runs(data, bounds):
             near, far = _near_and_far(start, count, at)
-            near &= np.isin(code(hi, lo, text), wanted)
-            far &= np.isin(code(far_hi, far_lo, text), wanted)
+            near &= _among(code(hi, lo, text), wanted)
+            far &= _among(code(far_hi, far_lo, text), wanted)
             first = np.where(far, start, np.maximum(start, at - HALF + 1))
             count = np.where(near, start + count, np.minimum(start + count, at - HALF + 1)) - first
             on = near | far
