@@ -37,12 +37,12 @@ LENGTH = 50
 #: Bytes whose hash samples places, bytes of a suffix that must agree before anything is compared, and how far windows may begin before a place to be found by its own suffix.
 SEED, HEAD, HALF = 16, 32, 18
 #: Batches that a whole table is dealt to.
-BATCHES = 4
+BATCHES = 3
 #: Windows of a run that are looked up by what they have in common.
 GROUP = 7
 _CODEC = "zstd"
 _SPAN = LENGTH - SEED + 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _PLACE = np.uint64((1 << 21) - 1)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
