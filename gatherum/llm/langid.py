@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatherum.llm.common import slices
+
 DIMENSIONS = 1024
 SEED = 20240229
 #: Documents that the prototypes are learnt from at most: for each language the same share of this, taken by a hash of the id.
@@ -112,7 +114,7 @@ def _bundles(rows: DataFrame) -> DataFrame:
             sums.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             grams: dict[str, list] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams.setdefault(lang, []).append(trigram_counts(text))
@@ -196,7 +198,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     one = Predictor(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [one(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -225,7 +227,7 @@ def learn_floor(rows: DataFrame, prototypes: dict[str, np.ndarray], id_col: str
     one = Predictor(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = []
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, cosine = one.cosines(text)
@@ -258,7 +260,7 @@ def drop_unknown(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: s
         return name != UNKNOWN and score >= max(least, floor(n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
