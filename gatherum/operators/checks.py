@@ -18,7 +18,7 @@ def shape_violations(quads: DataFrame, shapes: DataFrame) -> DataFrame:
     nodes = quads.where((F.col("p") == rdf_type) & (F.col("o_kind") == "iri")).select("s", F.col("o").alias("target")).distinct()
     wanted = nodes.join(F.broadcast(shapes), "target")  # shapes are a schema: rows of a class and a path
     values = quads.select("s", F.col("p").alias("path"), "o", "o_kind", F.when(F.col("o_kind") == "literal", F.coalesce("o_datatype", F.lit("http://www.w3.org/2001/XMLSchema#string"))).alias("o_datatype")).distinct()
-    counted = wanted.join(values, ["s", "path"], "left")
+    counted = wanted.join(values.hint("merge"), ["s", "path"], "left")  # files say little of the size of the quads that they become, and a broadcast isn't taken back
     bad = lambda c: F.count_if(F.col("o").isNotNull() & F.coalesce(c, F.lit(False)))
     of = ["s", "target", "path", "least", "most"]
     sums = counted.groupBy(*of).agg(F.count("o").alias("n"), bad(F.col("o_kind") != F.col("kind")).alias("k"), bad(~F.col("o_datatype").eqNullSafe(F.col("datatype")) & F.col("datatype").isNotNull()).alias("t"), bad(~F.expr("o rlike pattern")).alias("f"))
