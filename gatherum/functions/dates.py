@@ -69,6 +69,7 @@ def find_dates(text: Column) -> Column:
     """The dates of a text in reading order: an array of (day, start, stop, form), offsets in code points. JVM only.
 
     A text is cut at everything that has one of the forms; the lengths of the pieces give the places. What is no real day is no date.
+    The cut goes by a mark that no form holds and that no text has by then: ``split`` would compile the long pattern anew for each text.
     """
     def placed(pieces: Column, matches: Column) -> Column:
         first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("out"))
@@ -82,7 +83,7 @@ def find_dates(text: Column) -> Column:
         return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string>>"))
 
     source = F.coalesce(text, F.lit(""))
-    found = F.when(source.rlike(r"\d"), let(F.regexp_extract_all(source, F.lit(_ANY_FORM), F.lit(0)), lambda m: placed(F.split(source, _ANY_FORM, -1), m))).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string>>"))
+    found = F.when(source.rlike(r"\d"), let(F.regexp_extract_all(source, F.lit(_ANY_FORM), F.lit(0)), lambda m: let(F.split(F.regexp_replace(F.replace(source, F.lit("\0"), F.lit("\1")), _ANY_FORM, "\0"), "\0", -1), lambda p: placed(p, m)))).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string>>"))
     read = F.transform(found, lambda x: let(_read(x["match"]), lambda r: F.struct(r["day"].alias("day"), x["start"].alias("start"), x["stop"].alias("stop"), r["form"].alias("form"))))
     return F.filter(read, lambda x: x["day"].isNotNull())
 

@@ -20,7 +20,7 @@ from gatherum.operators import records as C
 from gatherum.operators import sequence as Q
 from gatherum.plans import sparql
 from gatherum.plans.q_measures import V, _PREFIX, _scored, quads
-from gatherum.plans.registry import query, table
+from gatherum.plans.registry import dealt, query, table
 from gatherum.plans.samples import Samples
 from gatherum.sources import records as S
 from gatherum.sources import trig, yaml_records

@@ -13,7 +13,7 @@ from gatherum.operators import profile as P
 from gatherum.operators import readers as R
 from gatherum.operators import tiers  # noqa: F401  registers the readers
 from gatherum.plans import sparql
-from gatherum.plans.registry import query, table
+from gatherum.plans.registry import dealt, query, table
 from gatherum.streaming import jobs
 
 _GRID = [round(0.5 + 0.05 * i, 2) for i in range(10)]

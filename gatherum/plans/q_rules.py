@@ -11,7 +11,7 @@ from gatherum.operators import documents as O
 from gatherum.operators import parts as A
 from gatherum.operators import register as G
 from gatherum.operators import rules as R
-from gatherum.plans.registry import query, table
+from gatherum.plans.registry import dealt, query, table
 from gatherum.plans.samples import Samples
 
 _CLASSES = Samples("name string", ("name_class",), [
@@ -222,7 +222,7 @@ def f27(spark, d):
 @query("t4_dates_of_lines", """SELECT o_orderkey, line, strftime(o_orderdate + to_days(line * 40), '%Y-%m-%d') AS day, CASE line WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 7 END + o_orderkey % 5 AS start, CASE line WHEN 0 THEN 'numeric' WHEN 1 THEN 'iso' ELSE 'month_name' END AS form FROM orders, range(3) r(line)""")
 def t4(spark, d):
     """Dates of all lines with their places: three lines for each order, with a date in each of the forms."""
-    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.repeat(F.lit(" "), F.pmod("o_orderkey", F.lit(5)).cast("int")).alias("pad"))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.repeat(F.lit(" "), F.pmod("o_orderkey", F.lit(5)).cast("int")).alias("pad"))
     months = F.array(*[F.lit(m.split()[0]) for m in D.MONTHS])
     later = lambda n: F.date_add("day", n)
     named = F.concat(F.lit("Bern am"), "pad", F.date_format(later(80), "d"), F.lit(". "), F.get(months, F.month(later(80)) - 1), F.lit(" "), F.date_format(later(80), "yyyy"))

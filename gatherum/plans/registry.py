@@ -26,5 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """The rows of a table, dealt by a key without many repeats to tasks of about so many rows.
+
+    A file with few and narrow columns is small, so one task reads very many rows of it; what a row is made into has to be spread first.
+    """
+    tasks = -(-df.count() // rows)
+    return df if tasks < 2 else df.repartition(tasks, key)
+
+
 #: SQL of lines of documents with their places.
 LINES_SQL = "(SELECT doc_id, line, text, start, start + length(text) AS stop FROM (SELECT doc_id, line, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents)))"

@@ -1,6 +1,12 @@
 """Steps whose cost must not grow faster than their input."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from gatherum.functions import dates as D
 from gatherum.operators import checks as K
+from gatherum.plans.registry import dealt, table
 
 V = "http://v/"
 
@@ -18,3 +24,17 @@ def test_shapes_send_no_quads_to_the_driver(spark):
     assert {r["s"] for r in found.collect()} == {"s%d" % k for k in range(1, 20, 2)}
     plan = executed(found)
     assert "SortMergeJoin [s" in plan and plan.split("Initial Plan")[0].count("BroadcastHashJoin") == 1
+
+
+def test_dates_are_cut_by_a_mark_not_by_their_pattern(spark):
+    text = "\0 1.2.2020\0 und 3. mars 1999, 30.2.2020 2021-05-06"
+    df = spark.createDataFrame([(text,)], "t string").select(D.find_dates(F.col("t")).alias("h"))
+    assert [(h["day"], text[h["start"] : h["stop"]]) for h in df.first()["h"]] == [("2020-02-01", "1.2.2020"), ("1999-03-03", "3. mars 1999"), ("2021-05-06", "2021-05-06")]
+    assert not re.search(r"split\((?:[^()]|\([^()]*\))*, \(\?iu\)", df._jdf.queryExecution().analyzed().toString())  # it would be compiled for each text
+
+
+def test_rows_of_small_files_are_dealt(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    df = dealt(table(spark, str(tmp_path), "t"), "id", 100)
+    assert df.rdd.getNumPartitions() == 10 and df.count() == 1000
+    assert dealt(table(spark, str(tmp_path), "t"), "id").rdd.getNumPartitions() == 1
