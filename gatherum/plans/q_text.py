@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gatherum.functions import dates as D
 from gatherum.functions import numbers as N
 from gatherum.functions import text as T
-from gatherum.plans.registry import query, table
+from gatherum.plans.registry import dealt, query, table
 from gatherum.sources import records as S
 
 
@@ -140,7 +140,7 @@ def p19(spark, d):
 @query("t1_find_dates", r"SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day, 'numeric' AS form, 4 AS start FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderdate::DATE::VARCHAR, 'iso', 4 FROM orders WHERE o_orderkey % 2 = 1")
 def t1(spark, d):
     text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "'vom 'd.M.yyyy' an'")).otherwise(F.date_format("o_orderdate", "'vom 'yyyy-MM-dd' an'"))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(D.find_dates(text)).alias("h")).select("o_orderkey", "h.day", "h.form", "h.start")
+    return dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", F.explode(D.find_dates(text)).alias("h")).select("o_orderkey", "h.day", "h.form", "h.start")
 
 
 @query("t2_register_day", "SELECT o_orderkey, CASE WHEN v = '' THEN 'empty' WHEN v LIKE '1900%' THEN 'day_1900' WHEN try_cast(left(v, 10) AS DATE) IS NULL OR NOT regexp_full_match(left(v, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'bad_form' END AS reason, CASE WHEN v NOT LIKE '1900%' AND regexp_full_match(left(v, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(left(v, 10) AS DATE)::VARCHAR END AS day FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '1900-01-01' WHEN 2 THEN '2020-02-30' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:00:00' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS v FROM orders)")
