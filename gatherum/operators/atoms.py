@@ -23,6 +23,9 @@ PARTS = ("art", "art.", "§", "annexe", "anhang", "allegato", "partie", "teil",
 #: What stands before a hanging indent: a number, a letter or a Roman number with its mark, a numbered part, or a bullet.
 _INDENT = r"(?iu)^\s*(?:[(\[]?\d{1,3}(?:\.\d{1,3}){0,3}[.):\]]*|[(\[]?\p{L}[.)\]]+|[ivx]{1,5}[.)]+|(?:" + "|".join(p.replace(".", r"\.") for p in PARTS) + r")\s*[\divx]+\p{L}*(?:\s+(?:bis|ter|quater))?[.):]*|[-–—•·*▪■□○◦►>]+)\s*$"
 
+#: At the start of a text, at least as much as any beginning of it that is an indent.
+_INDENT_STARTS = (r"(?iu)^\s*(?:" + "|".join(p.replace(".", r"\.") for p in PARTS) + r")\s*[\divx]+\p{L}*\s*(?:bis|ter|quater)?[.):\s]*", r"(?iu)^\s*[(\[]?\p{L}?[\d.():\[\]\sivx\-–—•·*▪■□○◦►>]*")
+
 
 def _piece(x: Column, y: Column, cut: Column | str | None) -> Column:
     cut = F.lit(cut).cast("string") if cut is None or isinstance(cut, str) else cut
@@ -31,10 +34,9 @@ def _piece(x: Column, y: Column, cut: Column | str | None) -> Column:
 
 def _trimmed(text: Column, piece: Column) -> Column:
     """The piece without white space at its ends."""
-    own = F.substr(text, piece["x"] + 1, piece["y"] - piece["x"])
-    lead = F.length(own) - F.length(F.regexp_replace(own, r"^\s+", ""))
-    tail = F.length(own) - F.length(F.regexp_replace(own, r"\s+$", ""))
-    return F.when(lead < piece["y"] - piece["x"], _piece(piece["x"] + lead, piece["y"] - tail, piece["cut"]))
+    size = piece["y"] - piece["x"]
+    ends = T.let(F.substr(text, piece["x"] + 1, size), lambda own: F.struct(F.length(F.regexp_extract(own, r"^\s*", 0)).alias("lead"), F.length(F.regexp_replace(own, r"(?<!\s)\s+$", "")).alias("stop")))
+    return T.let(ends, lambda e: F.when(e["lead"] < size, _piece(piece["x"] + e["lead"], piece["x"] + e["stop"], piece["cut"])))
 
 
 def _some(text: Column, pieces: Column) -> Column:
@@ -44,24 +46,37 @@ def _some(text: Column, pieces: Column) -> Column:
 def median_of_others(sorted_values: Column, value: Column) -> Column:
     """The median of an array that is sorted, without one element of this value; null if there is no other."""
     n = F.size(sorted_values) - 1
-    own = F.array_position(sorted_values, value) - 1
-    at = lambda k: F.get(sorted_values, (k + F.when(k >= own, 1).otherwise(0)).cast("int"))
+    at = lambda k: T.let(F.get(sorted_values, k.cast("int")), lambda x: F.when(x < value, x).otherwise(F.get(sorted_values, k.cast("int") + 1)))  # noqa: E731 - the value stands at k or before it unless what stands there is smaller
     return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
 
 
-def column_cuts(words: Column, gap: float = GAP, medians: float = GAP_MEDIANS) -> Column:
-    """Places of words (text, start, x0, x1, in reading order, all of one line) before which a column begins."""
+def column_cuts(words: Column, gap: float = GAP, medians: float = GAP_MEDIANS, indent: str | None = None) -> Column:
+    """Places of words (text, start, x0, x1, in reading order, all of one line) before which a column begins.
+
+    ``indent``: another pattern of the mark before a hanging indent, one without white space.
+    """
     follow = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), follow.alias("b"))
     with_gaps = F.transform(pairs, lambda p: F.struct(p["b"]["start"].alias("start"), (p["b"]["x0"] - p["a"]["x1"]).alias("gap")))
 
+    # An indent is at most as long as what the wider patterns find, so only gaps between so many first words are looked at.
+    texts = F.transform(words, lambda w: w["text"])
+    longest = lambda t, *patterns: F.greatest(F.lit(0), *[F.length(F.regexp_extract(t, p, 0)) for p in patterns])
+    if indent:
+        first = longest(F.array_join(texts, " "), r"^\s*\S*\s*") + 1
+    else:
+        first = F.greatest(longest(F.array_join(texts, " "), *_INDENT_STARTS), longest(F.array_join(texts, ""), *_INDENT_STARTS) + F.size(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) == ""))) + 1
+
     def chosen(gaps: Column) -> Column:
-        ordered = F.array_sort(F.transform(gaps, lambda g: g["gap"]))
+        sizes = F.transform(gaps, lambda g: g["gap"])
+        ordered = F.concat(F.sort_array(F.filter(sizes, lambda x: x.isNotNull())), F.filter(sizes, lambda x: x.isNull()))
         others = lambda g, o: F.coalesce(median_of_others(o, g["gap"]) * medians, F.lit(float("-inf")))
         left = lambda g: F.filter(words, lambda w: w["start"] < g["start"])
-        hangs = lambda g: F.array_join(F.transform(left(g), lambda w: w["text"]), " ").rlike(_INDENT) | F.array_join(F.transform(left(g), lambda w: w["text"]), "").rlike(_INDENT)
+        told = lambda t: F.array_join(t, " ").rlike(rf"^\s*(?:{indent})\s*\z") if indent else F.array_join(t, " ").rlike(_INDENT) | F.array_join(t, "").rlike(_INDENT)
+        hangs = lambda g: T.let(F.transform(left(g), lambda w: w["text"]), told)
         wide = T.let(ordered, lambda o: F.filter(gaps, lambda g: (g["gap"] > gap) & (g["gap"] > others(g, o))))
-        return F.transform(F.filter(wide, lambda g: ~hangs(g)), lambda g: g["start"])
+        far = lambda n: F.coalesce(F.get(words, n)["start"], F.lit((1 << 31) - 1))
+        return T.let(far(first), lambda stop: F.transform(F.filter(wide, lambda g: (g["start"] >= stop) | ~hangs(g)), lambda g: g["start"]))
 
     return F.when(F.size(words) > 1, T.let(with_gaps, chosen)).otherwise(F.array().cast("array<int>"))
 
@@ -88,32 +103,32 @@ def _parts_of_line(text: Column, x: Column, y: Column, cuts: Column, table: Colu
     return spaced if not unspaced else F.flatten(F.transform(spaced, lambda p: F.when(~table, _spread(text, p, T.unspaced_pieces(own(p)), "sentence_no_space")).otherwise(F.array(p))))
 
 
-def atoms(blocks: DataFrame, doc: str, block: str, text: str, label: str | None = None, frames: str | None = None, words: str | None = None, long: int = LONG, unspaced: bool = True) -> DataFrame:
+def atoms(blocks: DataFrame, doc: str, block: str, text: str, label: str | None = None, frames: str | None = None, words: str | None = None, long: int = LONG, unspaced: bool = True, indent: str | None = None) -> DataFrame:
     """(doc, block, id, line, part, cut, start, stop, text, frame, cells) of the blocks of documents; ``start`` and ``stop`` are places in the block's text (code points).
 
     ``frames``: array of the places at which a frame begins (0 may be left out); ``words``: for each line the array of its
     words (text, start, x0, x1), with their places in the block's text and across the page. ``part`` numbers the pieces of a line that has several,
     ``cut`` says what they were cut by. Rows of tables are cut by frames and columns only; ``cells`` has the places of their cells
-    between tabulators. ``long`` and ``unspaced`` say whether sentences are cut apart. A block without text is one empty atom; a null text is none.
+    between tabulators. ``long`` and ``unspaced`` say whether sentences are cut apart, ``indent`` what mark stands before a hanging indent (a pattern) instead of those that are listed. A block without text is one empty atom; a null text is none.
     """
     none = F.array().cast("array<int>")
     t = F.coalesce(F.col(text), F.lit(""))
     table = F.coalesce(F.col(label).isin(*TABLES), F.lit(False)) if label else F.lit(False)
     framed = F.transform(F.coalesce(F.col(frames), none), lambda a: a.cast("int")) if frames else none
     raw = F.split(t, "\n", -1)
-    lined = blocks.select(doc, block, table.alias("_table"), framed.alias("_frames"), F.coalesce(F.col(words), F.array().cast(blocks.schema[words].dataType)).alias("_words") if words else F.lit(None).alias("_words"), F.trim(F.regexp_replace(t, r"\s+", "")).alias("_ink"), F.arrays_zip(raw.alias("raw"), starts_of(F.transform(raw, lambda s: F.length(s).cast("long") + 1)).alias("at")).alias("_lines"))
+    none_of = F.array().cast(blocks.schema[words].dataType.elementType) if words else None
+    by_line = {"words": F.coalesce(F.col(words), F.array().cast(blocks.schema[words].dataType))} if words else {}
+    placed = F.arrays_zip(raw.alias("raw"), starts_of(F.transform(raw, lambda s: F.length(s).cast("long") + 1)).alias("at"), *[c.alias(n) for n, c in by_line.items()])
+    lined = blocks.select(doc, block, table.alias("_table"), framed.alias("_frames"), placed.alias("_lines"))
     mark = lambda a, kind: F.transform(a, lambda p: F.struct(p.cast("int").alias("at"), F.lit(kind).alias("kind")))
-
-    def parts(line: Column, k: Column) -> Column:
-        """Pieces of a line, with places within it."""
-        base = line["at"].cast("int")
-        columns = F.array_except(T.let(F.coalesce(F.get(F.col("_words"), k), F.array().cast(blocks.schema[words].dataType.elementType)), lambda w: column_cuts(w)), F.col("_frames")) if words else none
-        here = F.filter(F.concat(mark(F.col("_frames"), "frame"), mark(columns, "column")), lambda c: (c["at"] > base) & (c["at"] < base + F.length(line["raw"])))
-        cuts = F.transform(here, lambda c: F.struct((c["at"] - base).alias("at"), c["kind"].alias("kind")))
-        found = T.let(cuts, lambda c: _parts_of_line(line["raw"], F.lit(0), F.length(line["raw"]), c, F.col("_table"), long, unspaced))
-        return F.struct((k + 1).cast("int").alias("line"), base.alias("at"), line["raw"].alias("raw"), found.alias("parts"))
-
-    rows = lined.select(doc, block, "_table", "_frames", F.explode(F.transform("_lines", parts)).alias("l"))
+    # Rows of lines first: within one expression the arrays of the whole text would be made anew for each line. What stands in ``l`` is exploded, so it is made once.
+    each_line = lined.select(doc, block, "_table", "_frames", F.posexplode("_lines").alias("_row", "_line")).where("_line.raw is not null")
+    base, line = F.col("_line.at").cast("int"), F.col("_line.raw")
+    columns = F.array_except(column_cuts(F.coalesce(F.col("_line.words"), none_of), indent=indent), F.col("_frames")) if words else none
+    here = F.filter(F.concat(mark(F.col("_frames"), "frame"), mark(columns, "column")), lambda c: (c["at"] > base) & (c["at"] < base + F.length(line)))
+    cuts = F.transform(here, lambda c: F.struct((c["at"] - base).alias("at"), c["kind"].alias("kind")))
+    found = T.let(cuts, lambda c: _parts_of_line(line, F.lit(0), F.length(line), c, F.col("_table"), long, unspaced))
+    rows = each_line.select(doc, block, "_table", "_frames", F.explode(F.array(F.struct((F.col("_row") + 1).cast("int").alias("line"), base.alias("at"), line.alias("raw"), found.alias("parts")))).alias("l"))
     each = rows.select(doc, block, "_table", "_frames", F.col("l.line").alias("line"), F.col("l.at").alias("_at"), F.col("l.raw").alias("_raw"), F.size("l.parts").alias("_n"), F.posexplode("l.parts").alias("_k", "p"))
     part = F.when(F.col("_n") > 1, F.col("_k") + 1)
     own = F.substr(F.col("_raw"), F.col("p.x") + 1, F.col("p.y") - F.col("p.x"))
@@ -124,7 +139,7 @@ def atoms(blocks: DataFrame, doc: str, block: str, text: str, label: str | None
         (F.col("_at") + F.col("p.x")).alias("start"), (F.col("_at") + F.col("p.y")).alias("stop"), own.alias("text"), F.size(F.filter("_frames", lambda a: (a > 0) & (a <= F.col("_at") + F.col("p.x")))).alias("frame"),
         F.when(F.col("_table"), F.transform(_some(F.col("_raw"), cells), lambda q: F.struct((F.col("_at") + q["x"]).alias("start"), (F.col("_at") + q["y"]).alias("stop")))).alias("cells"),
     )
-    empty = lined.where("_ink = ''").select(
+    empty = blocks.where(F.trim(F.regexp_replace(t, r"\s+", "")) == "").select(
         doc, block, F.concat_ws(".", F.col(block).cast("string"), F.lit("1")).alias("id"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("cut"),
         F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("text"), F.lit(0).alias("frame"), F.lit(None).cast("array<struct<start: int, stop: int>>").alias("cells"),
     )

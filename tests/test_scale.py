@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gatherum.functions import dates as D
+from gatherum.operators import atoms as A
 from gatherum.operators import checks as K
+from gatherum.plans.catalogue import ORACLE_SQL, QUERIES
 from gatherum.plans.registry import dealt, table
 
 V = "http://v/"
@@ -38,3 +41,34 @@ def test_rows_of_small_files_are_dealt(spark, tmp_path):
     df = dealt(table(spark, str(tmp_path), "t"), "id", 100)
     assert df.rdd.getNumPartitions() == 10 and df.count() == 1000
     assert dealt(table(spark, str(tmp_path), "t"), "id").rdd.getNumPartitions() == 1
+
+
+def test_indents_of_columns_are_those_of_the_sql(spark, tmp_path):
+    words = "aaa " * 6
+    texts = ["Y. abcde " + words, "7100234916554344 abcde " + words, "- abcde " + words, "12 34 abcde " + words, "", "x " + "bb abcde " * 900, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet') {ORACLE_SQL['d3_atoms_of_columns']}").fetchall()
+    got = QUERIES["d3_atoms_of_columns"](spark, str(tmp_path)).select("doc_id", "pieces", "lines_with_columns").collect()
+    assert sorted(map(tuple, got)) == sorted(sql)
+
+
+def test_indents_by_first_words_are_those_of_all(spark):
+    """Gaps behind marks of all kinds: the same cuts as by the pattern on all that stands before them."""
+    lines = ["art. 12 bis : word", "art 1abc def ghi", "( 1 ) word", "1 . 2 . 3 word", "xv. word", "- - word", "  3) word", "a b c d", "Teil IV word", "§ 7 word more", "(a) word", "1 2 3 4 word", "é. word"]
+    rows = []
+    for text in lines:
+        at, x, words = 0, 0.0, []
+        for w in text.split(" "):
+            words.append((w, at, x, x + 1.0))
+            at, x = at + len(w) + 1, x + 101.0
+        for cut in range(1, len(words)):  # one gap is a hundred points, the others are one
+            moved, x = [], 0.0
+            for k, (w, p, _, _) in enumerate(words):
+                x += 100.0 if k == cut else 1.0
+                moved.append((w, p, x, x))
+            left = [w for w, *_ in words[:cut]]
+            rows.append((moved, left, words[cut][1]))
+    df = spark.createDataFrame(rows, "w array<struct<text: string, start: int, x0: double, x1: double>>, l array<string>, at int")
+    hangs = F.array_join("l", " ").rlike(A._INDENT) | F.array_join("l", "").rlike(A._INDENT)
+    assert df.where(F.when(hangs, F.array().cast("array<int>")).otherwise(F.array("at")) != A.column_cuts(F.col("w"))).collect() == []
+    assert 0 < df.where(hangs).count() < df.count()
