@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatherum.functions import dates as D
 from gatherum.operators import atoms as A
 from gatherum.operators import checks as K
+from gatherum.plans import q_documents
 from gatherum.plans.catalogue import ORACLE_SQL, QUERIES
 from gatherum.plans.registry import dealt, table
 
@@ -72,3 +73,10 @@ def test_indents_by_first_words_are_those_of_all(spark):
     hangs = F.array_join("l", " ").rlike(A._INDENT) | F.array_join("l", "").rlike(A._INDENT)
     assert df.where(F.when(hangs, F.array().cast("array<int>")).otherwise(F.array("at")) != A.column_cuts(F.col("w"))).collect() == []
     assert 0 < df.where(hangs).count() < df.count()
+
+
+def test_words_of_lines_are_split_once(spark, tmp_path):
+    """Within a lambda an expression of its surroundings is made anew for each element."""
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = q_documents._placed_blocks(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"split\([^()]*,  , -1\)", plan)) == 1
