@@ -75,3 +75,18 @@ def test_runs_leave_nothing_but_the_last_table(spark, tmp_path):
     result = cp.run(spark, str(tmp_path))
     left = set(root.iterdir()) - before
     assert len(left) == 1 and next(iter(left)).name.startswith("pipeline-pii") and result.count() == pytest.approx(64, abs=3)
+
+
+def test_simhash_links_documents_of_the_second_stage(spark):
+    """Fingerprints within three bits link texts whose five-word shingles are too unlike."""
+    import corpus_pipeline as cp
+    from gatherum.llm import resemblance, simhash
+
+    phrase = "one two three four five six seven eight nine ten eleven"
+    rows = [(5, phrase), (2, " ".join(["w" + str(k) for k in range(80)])), (9, " ".join([phrase] * 3000) + " and a tail of words"), (7, " ".join([phrase] * 3001))]
+    bits = lambda a, b: bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1")
+    assert bits(rows[2][1], rows[3][1]) <= 3 < min(bits(rows[1][1], t) for k, t in rows if k != 2)
+    a, b = resemblance.shingles(rows[2][1]), resemblance.shingles(rows[3][1])
+    assert len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b))
+    got = cp.near_duplicate_stage(spark, spark.createDataFrame(rows[1:], "doc_id long, text string"), "").collect()
+    assert {r["doc_id"] for r in got} == {2, 7}
