@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,26 +51,45 @@ def nearest_gaps(ref: DataFrame, got: DataFrame, doc: str, at: str) -> DataFrame
     A gap is used once. Extra gaps of the method have a null ``ref``, missed ones a null ``got``. A group is the gaps of one document.
     """
     both = ref.select(doc, F.col(at).cast("long").alias("_at"), F.lit(True).alias("_is_ref")).unionByName(got.select(doc, F.col(at).cast("long").alias("_at"), F.lit(False).alias("_is_ref")))
+    both = both.where("_at is not null").distinct()
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        wanted = sorted(rows.loc[rows["_is_ref"], "_at"].tolist())
-        free = pd.Index(sorted(rows.loc[~rows["_is_ref"], "_at"].tolist()))
-        exact = [x for x in wanted if x in free]
-        free, pairs = free.drop(exact), dict(zip(exact, exact))
+    def matched(wanted: list[int], free: list[int]) -> list[tuple[int | None, int | None]]:
+        known = set(wanted)
+        pairs = {x: x for x in free if x in known}
+        free = [x for x in free if x not in known]
         for x in wanted:
-            if x not in pairs and len(free):
-                k = int(free.get_indexer([x], method="nearest")[0])
-                if k and abs(free[k - 1] - x) <= abs(free[k] - x):
-                    k -= 1
-                pairs[x] = int(free[k])
-                free = free.delete(k)
-        out = [(x, pairs.get(x)) for x in wanted] + [(None, int(g)) for g in free]
-        frame = pd.DataFrame(out, columns=["ref", "got"], dtype="Int64")
-        frame["offset"] = frame["got"] - frame["ref"]
-        frame.insert(0, doc, rows[doc].iloc[0])
-        return frame
-
-    return both.dropDuplicates([doc, "_at", "_is_ref"]).groupBy(doc).applyInPandas(match, f"{doc} {ref.schema[doc].dataType.simpleString()}, ref long, got long, offset long")
+            if x not in pairs and free:
+                k = bisect_left(free, x)
+                k -= k == len(free) or (k > 0 and x - free[k - 1] <= free[k] - x)
+                pairs[x] = free.pop(k)
+        return [(x, pairs.get(x)) for x in wanted] + [(None, g) for g in free]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that are sorted by document and place; what is held is a batch and the gaps of one document."""
+        first = next(batches, None)
+        if first is None:
+            return
+        kind = first.schema.field(0).type
+        rows = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()))], names=[doc, "ref", "got", "offset"])
+
+        for name, gaps in groupby(rows, key=lambda r: r[0]):
+            sides: tuple[list[int], list[int]] = ([], [])
+            for _, place, is_ref in gaps:
+                sides[not is_ref].append(place)
+            out += [(name, x, y, None if x is None or y is None else y - x) for x, y in matched(*sides)]
+            if len(out) > 10_000:
+                yield made()
+        if out:
+            yield made()
+
+    ordered = both.repartition(doc).sortWithinPartitions(doc, "_at")
+    return ordered.mapInArrow(run, f"{doc} {ref.schema[doc].dataType.simpleString()}, ref long, got long, offset long")
 
 
 # ---- types within a family of authors
