@@ -159,9 +159,9 @@ def quads(spark, d):
     iri = lambda kind, c: F.concat(F.lit(f"{V}{kind}/"), F.col(c).cast("string"))
     n = G.to_quads(table(spark, d, "nation"), f"{V}g/geo", iri("nation", "n_nationkey"), f"{V}Nation", {f"{V}name": "n_name"}, {f"{V}region": iri("region", "n_regionkey")})
     r = G.to_quads(table(spark, d, "region"), f"{V}g/geo", iri("region", "r_regionkey"), f"{V}Region", {f"{V}name": "r_name"})
-    s = table(spark, d, "supplier")
+    s = dealt(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
     both = [G.to_quads(s, f"{V}g/{g}", iri("supplier", "s_suppkey"), f"{V}Supplier", {f"{V}name": "s_name"}, {f"{V}nation": iri("nation", "s_nationkey")}) for g in ("a", "b")]
-    p = G.to_quads(table(spark, d, "part"), f"{V}g/parts", iri("part", "p_partkey"), f"{V}Part", {f"{V}name": "p_name", f"{V}size": "p_size"})
+    p = G.to_quads(dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey"), f"{V}g/parts", iri("part", "p_partkey"), f"{V}Part", {f"{V}name": "p_name", f"{V}size": "p_size"})
     return n.unionByName(r).unionByName(both[0]).unionByName(both[1]).unionByName(p)
 
 

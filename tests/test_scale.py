@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatherum.functions import dates as D
 from gatherum.operators import atoms as A
 from gatherum.operators import checks as K
+from gatherum.operators import parts as P
 from gatherum.plans import q_documents
 from gatherum.plans.catalogue import ORACLE_SQL, QUERIES
 from gatherum.plans.registry import dealt, table
@@ -80,3 +81,20 @@ def test_words_of_lines_are_split_once(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = q_documents._placed_blocks(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert len(re.findall(r"split\([^()]*,  , -1\)", plan)) == 1
+
+
+def test_equal_boxes_are_compared_once(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["j13_box_iou"](spark, str(tmp_path))
+    tables = "".join(f"{t} AS (FROM '{tmp_path}/{t}.parquet/*.parquet'), " for t in ("part", "supplier"))
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(f"WITH {tables[:-2]} {ORACLE_SQL['j13_box_iou']}").fetchall()) != []
+    assert executed(got).count("SortMergeJoin") >= 2
+
+
+def test_gaps_are_matched_in_a_stream(spark):
+    """No call of pandas for each document; nearest free gaps, of equally near ones the first, in documents with and without a name."""
+    one = lambda rows: spark.createDataFrame(rows, "d string, at long")
+    found = P.nearest_gaps(one([("a", 5), ("a", 10), ("a", 12), (None, 4), ("c", 1), ("c", None)]), one([("a", 5), ("a", 9), ("a", 11), (None, 3), (None, 5), ("b", 2)]), "d", "at")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", 5, 5, 0), ("a", 10, 9, -1), ("a", 12, 11, -1), (None, 4, 3, -1), (None, None, 5, None), ("b", None, 2, None), ("c", 1, None, None)]))
+    assert "FlatMapGroups" not in executed(found)
