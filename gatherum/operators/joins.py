@@ -69,43 +69,64 @@ def repeated_lines(lines: DataFrame, doc: str, page: str, text: str) -> DataFram
     return keyed.join(often, [doc, "_letters"], "left_semi").drop("_letters")
 
 
-def similar_texts(texts: DataFrame, group: list[str], text: str, least: float = 0.9, q: int = 2) -> DataFrame:
+#: Distinct texts of a group up to which each is compared with each.
+_PAIRED = 1000
+
+
+def similar_texts(texts: DataFrame, group: list[str], text: str, least: float = 0.9, q: int = 2, paired: int = _PAIRED) -> DataFrame:
     """Pairs (group, text, other) of texts, each once in a group, whose ratio of matching blocks is ``least`` or more; also each text with itself.
 
-    A prefix filter over q-grams finds the candidates. With a ratio r a text of m letters and its partner have at most (1 - r) * 2 * m / r
+    In groups of up to ``paired`` texts each meets each of a fitting length. What has no match costs an edit at most, so only pairs with so few edits go to Python.
+
+    In larger groups a prefix filter over q-grams finds the candidates. With a ratio r a text of m letters and its partner have at most (1 - r) * 2 * m / r
     letters without a match, and each spoils q grams at most; so they share all but that many of their grams, and in any fixed order
     of grams they share one among the first few. Rare grams go first, so that few texts meet; repeats of a gram are numbered. Only
-    candidates of a fitting length are compared, and no text meets all others of its group.
+    candidates of a fitting length are compared, and no text meets all others of its group. Grams carry the digest of their text, not the text.
     """
     if least < 0.9 or q != 2:
         raise ValueError("the filter is sure for ratios of 0.9 and more, with grams of two letters")
-    length = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(length - q + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(q)))
-    base = texts.select(*group, text, length.alias("_n")).distinct()
-    each = base.select(*group, text, "_n", F.explode(grams).alias("_gram")).groupBy(*group, text, "_n", "_gram").agg(F.count("*").alias("_c"))
-    numbered = each.select(*group, text, "_n", F.explode(F.transform(F.sequence(F.lit(1), "_c"), lambda k: F.concat_ws("#", "_gram", k.cast("string")))).alias("_gram"))
-    ranked = numbered.join(numbered.groupBy("_gram").agg(F.count("*").alias("_often")), "_gram").withColumn("_at", F.row_number().over(Window.partitionBy(*group, text).orderBy("_often", "_gram")))
+    fits = lambda n, m: 2 * F.least(n, m) >= least * (n + m) - 1e-9
+    base = texts.repartition(*group).select(*group, F.col(text).alias("_t"), F.length(text).alias("_n")).distinct()
+    sized = base.withColumn("_many", F.count("*").over(Window.partitionBy(*group)))
+
+    near_by = lambda a, b, n, m: fits(n, m) & (F.call_function("levenshtein", a, b, F.floor((1 - least) * (n + m) + 1e-9).cast("int")) >= 0)
+    both = lambda x, y: F.array(F.struct(x["_t"].alias("a"), y["_t"].alias("b")), F.struct(y["_t"].alias("a"), x["_t"].alias("b")))
+    packed = sized.where((F.col("_many") > 1) & (F.col("_many") <= paired)).groupBy(*group).agg(F.collect_list(F.struct("_t", "_n")).alias("_all"))
+    behind = lambda i: F.slice("_all", i + 2, F.size("_all"))
+    near = F.transform("_all", lambda x, i: F.flatten(F.transform(F.filter(behind(i), lambda y: near_by(x["_t"], y["_t"], x["_n"], y["_n"])), lambda y: both(x, y))))
+    few = packed.select(*group, F.explode(F.flatten(near)).alias("_p")).select(*group, F.col("_p.a").alias(text), F.col("_p.b").alias("other"))
+
+    many = sized.where(F.col("_many") > paired).select(*group, "_t", "_n", F.unhex(F.md5(F.col("_t").cast("binary"))).alias("_id"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - q + 1, F.lit(1))), lambda i: F.substr(F.col("_t"), i, F.lit(q)))
+    each = many.select(*group, "_id", "_n", F.explode(grams).alias("_gram")).groupBy(*group, "_id", "_n", "_gram").agg(F.count("*").alias("_c"))
+    numbered = each.select(*group, "_id", "_n", F.explode(F.transform(F.sequence(F.lit(1), "_c"), lambda k: F.concat_ws("#", "_gram", k.cast("string")))).alias("_gram"))
+    ranked = numbered.join(numbered.groupBy("_gram").agg(F.count("*").alias("_often")), "_gram").withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_id").orderBy("_often", "_gram")))
     spoilt = q * F.floor((1 - least) * 2 / least * F.col("_n") + 1e-9)
-    first = ranked.where(F.col("_at") <= spoilt + 1).select(*group, text, "_n", "_gram")
-    other = first.select(*group, "_gram", F.col(text).alias("other"), F.col("_n").alias("_m"))
-    fits = (2 * F.least("_n", "_m") >= least * (F.col("_n") + F.col("_m")) - 1e-9) & (F.col(text) != F.col("other"))
-    candidates = first.join(other, [*group, "_gram"]).where(fits).select(*group, text, "other").distinct()
-    return candidates.where(T.similarity(text, "other") >= least).unionByName(base.select(*group, text, F.col(text).alias("other")))
+    first = ranked.where(F.col("_at") <= spoilt + 1).select(*group, "_id", "_n", "_gram")
+    other = first.select(*group, "_gram", F.col("_id").alias("_other"), F.col("_n").alias("_m"))
+    met = first.join(other, [*group, "_gram"]).where(fits(F.col("_n"), F.col("_m")) & (F.col("_id") != F.col("_other"))).select(*group, "_id", "_other").distinct()
+    told = lambda id, name: many.select(*group, F.col("_id").alias(id), F.col("_t").alias(name))
+    rest = met.join(told("_id", text), [*group, "_id"]).join(told("_other", "other"), [*group, "_other"]).select(*group, text, "other")
+    rest = rest.where(near_by(F.col(text), F.col("other"), F.length(text), F.length("other")))
+    return few.unionByName(rest).where(T.similarity(text, "other") >= least).unionByName(base.select(*group, F.col("_t").alias(text), F.col("_t").alias("other")))
 
 
 def similar_lines(lines: DataFrame, doc: str, page: str, line: str, text: str, top: str, least: float = 0.9, distance: float = 30.0) -> DataFrame:
     """Lines with a similar line on another page of the document at about the same height: letters with a ratio of matching blocks of ``least``, as many digits.
 
     Texts are compared, not lines: each once in a document, however often it stands there. Then heights are looked up by band; of lines
-    with one text and height only the first and the last page count.
+    with one text and height only the first and the last page count. What is joined holds digests of the letters.
     """
     letters, digits = T.furniture_key(F.col(text))
-    keyed = lines.withColumns({"_letters": letters, "_digits": F.length(digits), "_band": F.floor(F.col(top) / distance)}).where("_letters <> ''")
-    pairs = similar_texts(keyed.select(doc, "_digits", "_letters"), [doc, "_digits"], "_letters", least)
-    places = keyed.groupBy(doc, "_digits", F.col("_letters").alias("other"), "_band", F.col(top).alias("_top")).agg(F.min(page).alias("_first"), F.max(page).alias("_last"))
-    near = places.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
-    met = keyed.join(pairs, [doc, "_digits", "_letters"]).join(near, [doc, "_digits", "other", "_band"])
-    return met.where((F.abs(F.col(top) - F.col("_top")) <= distance) & ((F.col("_first") != F.col(page)) | (F.col("_last") != F.col(page)))).select(*lines.columns).distinct()
+    key = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    keyed = lines.withColumns({"_letters": letters, "_digits": F.length(digits), "_band": F.floor(F.col(top) / distance)}).where("_letters <> ''").withColumn("_key", key("_letters"))
+    pairs = similar_texts(keyed.select(doc, "_digits", "_letters"), [doc, "_digits"], "_letters", least).select(doc, "_digits", key("_letters").alias("_key"), key("other").alias("_other"))
+    places = keyed.groupBy(doc, "_digits", F.col("_key").alias("_other"), "_band", F.col(top).alias("_top")).agg(F.min(page).alias("_first"), F.max(page).alias("_last"))
+    near = pairs.join(places, [doc, "_digits", "_other"]).withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+    a, b = keyed.alias("a"), near.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (doc, "_digits", "_key", "_band")]
+    meets = (F.abs(F.col(f"a.{top}") - F.col("b._top")) <= distance) & ((F.col("b._first") != F.col(f"a.{page}")) | (F.col("b._last") != F.col(f"a.{page}")))
+    return a.join(b, [*same, meets], "left_semi").select(*lines.columns)
 
 
 def best_box(boxes: DataFrame, clusters: DataFrame, page: list[str], box: str, cluster_box: str, iou: Column, box_id: str, least: float = 0.5) -> DataFrame:

@@ -30,3 +30,17 @@ def test_lines_are_those_of_exhaustive_comparison(spark):
 def test_a_filter_that_is_not_sure_is_refused(spark):
     with pytest.raises(ValueError):
         J.similar_texts(spark.createDataFrame([("a", "b")], "g string, t string"), ["g"], "t", least=0.5)
+
+
+def test_large_and_small_groups_give_the_same_pairs(spark):
+    """Both ways equal the comparison of all; no exchange by gram holds a text."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 50))) for _ in range(6)]
+    texts = {(g, t[:k] + x + t[k + cut :]) for g in range(3) for t in base for k in (0, len(t) // 2, len(t)) for x, cut in (("", 0), ("z", 0), ("q", 1))}
+    df = spark.createDataFrame(sorted(texts), "g int, t string")
+    want = {(g, a, b) for g, a in texts for h, b in texts if g == h and SequenceMatcher(None, a, b).ratio() >= 0.9}
+    for paired in (0, 20, 100):
+        found = J.similar_texts(df, ["g"], "t", paired=paired)
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > len(texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [row for row in plan.splitlines() if "Aggregate" in row and "_gram" in row and "_t#" in row]
