@@ -64,31 +64,34 @@ def _is_mark(c: str) -> bool:
     return unicodedata.category(c) == "Mn"
 
 
-def _folded(texts: pd.Series) -> pd.Series:
-    """The comparison form of texts in any script, a whole batch at a time: compatibility composition, then as ``fold_latin`` for all marks."""
-    low = texts.fillna("").str.normalize("NFKC").str.replace("\u00ad", "", regex=False).str.replace("ß", "ss", regex=False).str.lower()
-    bare = low.where(low.map(str.isascii), low.str.normalize("NFD").map(lambda t: "".join(itertools.filterfalse(_is_mark, t))))
-    return bare.str.findall("[a-z0-9]+").str.join(" ")
+def fold_value(s: str | None) -> str:
+    """The comparison form of a text in any script: compatibility composition, then as ``fold_latin`` for all marks."""
+    low = unicodedata.normalize("NFKC", s or "").replace("\u00ad", "").replace("ß", "ss").lower()
+    bare = low if low.isascii() else "".join(itertools.filterfalse(_is_mark, unicodedata.normalize("NFD", low)))
+    return " ".join(re.findall("[a-z0-9]+", bare))
 
 
-def fold_value(s: str | None) -> str:
-    return _folded(pd.Series([s], dtype="object")).iloc[0]
+def norm_value(s: str | None) -> str:
+    """Compatibility composition, plain quotes and dashes, words joined over line ends, single spaces; case and marks stay."""
+    plain = unicodedata.normalize("NFKC", s or "").translate(_PLAIN_TABLE)
+    return " ".join(_BROKEN.sub(r"\1\2", plain).split())
 
 
+# Text by text, not by functions on the whole batch: those hold each step, and the words, of all texts of a batch at a time.
 @F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
-    return _folded(texts)
+    return texts.map(fold_value)
 
 
 _PLAIN_TABLE = str.maketrans(PLAIN | dict.fromkeys(NO_WIDTH))
 
 
+_BROKEN = re.compile(r"([^\W\d_])-[ \t]*\n[ \t]*([a-zà-ÿ])")
+
+
 @F.pandas_udf(StringType())
 def norm(texts: pd.Series) -> pd.Series:
-    """Compatibility composition, plain quotes and dashes, words joined over line ends, single spaces; case and marks stay."""
-    plain = texts.fillna("").str.normalize("NFKC").str.translate(_PLAIN_TABLE)
-    joined = plain.str.replace(r"([^\W\d_])-[ \t]*\n[ \t]*([a-zà-ÿ])", r"\1\2", regex=True)
-    return joined.str.split().str.join(" ")
+    return texts.map(norm_value)
 
 
 @lru_cache(maxsize=1 << 16)

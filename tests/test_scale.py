@@ -1,11 +1,16 @@
 """Steps whose cost must not grow faster than their input."""
 
 import re
+import time
+import tracemalloc
 
 import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gatherum.functions import dates as D
+from gatherum.functions import text as T
 from gatherum.operators import atoms as A
 from gatherum.operators import checks as K
 from gatherum.operators import parts as P
@@ -98,3 +103,16 @@ def test_gaps_are_matched_in_a_stream(spark):
     found = P.nearest_gaps(one([("a", 5), ("a", 10), ("a", 12), (None, 4), ("c", 1), ("c", None)]), one([("a", 5), ("a", 9), ("a", 11), (None, 3), (None, 5), ("b", 2)]), "d", "at")
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", 5, 5, 0), ("a", 10, 9, -1), ("a", 12, 11, -1), (None, 4, 3, -1), (None, None, 5, None), ("b", None, 2, None), ("c", 1, None, None)]))
     assert "FlatMapGroups" not in executed(found)
+
+
+@pytest.mark.parametrize("function", [T.fold, T.norm])
+def test_texts_of_a_batch_are_not_all_held_as_words(function):
+    texts = pd.Series([f"Ein Wörtchen{k} à la caf\u0065\u0301 " * 200 for k in range(400)] + [None], dtype="object")
+    size = int(texts.fillna("").str.len().sum())
+    tracemalloc.start()
+    try:
+        out = function.func(texts)
+        assert tracemalloc.get_traced_memory()[1] < 2 * size
+    finally:
+        tracemalloc.stop()
+    assert out.iloc[-1] == "" and out.iloc[0].split()[:2] == (["ein", "wortchen0"] if function is T.fold else ["Ein", "Wörtchen0"])
