@@ -330,15 +330,34 @@ def percent_encode(c: Column | str) -> Column:
     return form
 
 
+_WORD_LETTER = re.compile(r"\w")
+
+
+def _last_word(line: str) -> str:
+    """The word before a hyphen at the end of a line; nothing else of the line is looked at."""
+    k = len(line) - 1
+    while k > 0 and _WORD_LETTER.match(line[k - 1]):
+        k -= 1
+    return line[k:-1]
+
+
 def join_hyphenated(lines: Iterator[str] | list[str], vocabulary: set[str]) -> str:
-    """Lines as running text; a hyphen at a line end goes if the joined word is known, else it stays."""
-    out = ""
+    """Lines as running text; a hyphen at a line end goes if the joined word is known, else it stays. Each line is looked at once, not all text before it."""
+    out: list[str] = []
+    open_word = ""  # what stands before the hyphen at the end of the text so far
     for line in lines:
         line = line.strip()
-        m = re.search(r"(\w+)-$", out)
+        if not line:
+            continue
         n = re.match(r"(\w+)", line)
-        if m and n and line[:1].islower():
-            out = out[:-1] + line if (m.group(1) + n.group(1)).lower() in vocabulary else out + line
-        else:
-            out = f"{out} {line}".strip()
-    return out
+        held = ""
+        if open_word and n and line[:1].islower():
+            if (open_word + n.group(1)).lower() in vocabulary:
+                out[-1] = out[-1][:-1]
+                held = open_word
+        elif out:
+            out.append(" ")
+        out.append(line)
+        word = _last_word(line) if line[-1] == "-" else ""
+        open_word = held + word if word and len(word) == len(line) - 1 else word
+    return "".join(out)

@@ -116,3 +116,9 @@ def test_texts_of_a_batch_are_not_all_held_as_words(function):
     finally:
         tracemalloc.stop()
     assert out.iloc[-1] == "" and out.iloc[0].split()[:2] == (["ein", "wortchen0"] if function is T.fold else ["Ein", "Wörtchen0"])
+
+
+def test_joining_lines_does_not_search_all_text_before_each():
+    began = time.perf_counter()
+    joined = T.join_hyphenated(["Gemein-", "derat und Kirchen-", "gemeinde", ""] * 10_000, {"gemeinderat"})
+    assert time.perf_counter() - began < 5 and joined == " ".join(["Gemeinderat und Kirchen-gemeinde"] * 10_000)
