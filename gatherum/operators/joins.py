@@ -136,11 +136,11 @@ def best_box(boxes: DataFrame, clusters: DataFrame, page: list[str], box: str, c
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float = 0.0) -> DataFrame:
+def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float = 0.0, tasks: int | None = None) -> DataFrame:
     """One-to-one matches within each group: pairs by falling score (ties by left, right), each side once.
 
     ``pairs`` holds scored candidate pairs within documents. Rows come sorted by group and stream through one task, which
-    holds the used sides of one group at a time.
+    holds the used sides of one group at a time. ``tasks``: how many tasks groups are dealt to, else as many as the session has partitions.
     """
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,7 @@ def greedy_matches(pairs: DataFrame, group: str, left: str, right: str, score: s
             yield batch.iloc[keep]
 
     chosen = pairs.select(group, left, right, score).where(F.col(score) > least)
-    ordered = chosen.repartition(group).sortWithinPartitions(group, F.desc(score), left, right)
+    ordered = (chosen.repartition(tasks, group) if tasks else chosen.repartition(group)).sortWithinPartitions(group, F.desc(score), left, right)
     return ordered.mapInPandas(match, chosen.schema)
 
 

@@ -26,12 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tasks_of(df: DataFrame, rows: int = 100_000) -> int:
+    """How many tasks of about so many rows a table makes."""
+    return max(1, -(-df.count() // rows))
+
+
 def dealt(df: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
     """The rows of a table, dealt by a key without many repeats to tasks of about so many rows.
 
     A file with few and narrow columns is small, so one task reads very many rows of it; what a row is made into has to be spread first.
     """
-    tasks = -(-df.count() // rows)
+    tasks = tasks_of(df, rows)
     return df if tasks < 2 else df.repartition(tasks, key)
 
 

@@ -134,3 +134,9 @@ def test_read_records_are_compared_without_a_row_per_leaf(spark):
     found = W.compared(back, rows, "key")
     assert found.collect() == [(2, 7, 3)]
     assert "Generate" not in executed(found)
+
+
+def test_matches_are_dealt_to_tasks_by_the_size_of_the_table(spark, tmp_path):
+    spark.range(250_000).select((F.col("id") % 100_000).alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), (F.col("id") % 7).cast("double").alias("l_quantity")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["j14_greedy_matches"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\([^,]*, (\d+)\)", plan) and set(re.findall(r"hashpartitioning\([^,]*, (\d+)\)", plan)) == {"3"}
