@@ -643,7 +643,8 @@ def solutions(quads: DataFrame, q: Query, graph: tuple | None = None) -> DataFra
                 k = F.col(f"`{v}`") if v in counted else F.col(f"`{v}`")["value"]
                 number = k.try_cast("double") if v not in counted else k
                 keys += [number.asc_nulls_first() if up else number.desc_nulls_last(), k.asc_nulls_first() if up else k.desc_nulls_last()]
-        return df.orderBy(*keys) if keys else df
+        # Rows with equal keys are dealt to tasks by what else they hold; else each value of a key would be one task.
+        return df.orderBy(*keys, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) if keys else df
 
     chosen = [F.col(f"`{n}`") if n in rows.columns else F.lit(None).cast(_CELL).alias(n) for n in names]
     rows = ordered(rows.select(*chosen).distinct()) if q.distinct else ordered(rows).select(*chosen)

@@ -16,7 +16,7 @@ from gatherum.operators import checks as K
 from gatherum.operators import joins as J
 from gatherum.operators import parts as P
 from gatherum.operators import writer as W
-from gatherum.plans import q_documents
+from gatherum.plans import q_documents, sparql
 from gatherum.plans.catalogue import ORACLE_SQL, QUERIES
 from gatherum.plans.registry import dealt, table
 
@@ -140,3 +140,10 @@ def test_matches_are_dealt_to_tasks_by_the_size_of_the_table(spark, tmp_path):
     spark.range(250_000).select((F.col("id") % 100_000).alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), (F.col("id") % 7).cast("double").alias("l_quantity")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = QUERIES["j14_greedy_matches"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\([^,]*, (\d+)\)", plan) and set(re.findall(r"hashpartitioning\([^,]*, (\d+)\)", plan)) == {"3"}
+
+
+def test_rows_with_equal_keys_are_sorted_in_several_tasks(spark):
+    rows = [("s%d" % k, V + "p", "1", "literal", "http://www.w3.org/2001/XMLSchema#integer") for k in range(9)]
+    quads = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string").select(F.lit(None).cast("string").alias("g"), "*", F.lit(None).cast("string").alias("o_lang"))
+    found = sparql.run(quads, f"SELECT ?s ?o {{ ?s <{V}p> ?o }} ORDER BY ?o")
+    assert found.count() == 9 and re.search(r"rangepartitioning\(.*xxhash64", executed(found))
