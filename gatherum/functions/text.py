@@ -241,6 +241,12 @@ def bullet(c: Column) -> tuple[Column, Column]:
 _ENDS = r"(?<=[.!?])(?<!\b\p{Lu}\.)(?<!\d\.)(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)"
 
 
+def split_after(c: Column, mark: str, place: str) -> Column:
+    """The text cut at each place without width that stands behind a mark of one character; places don't follow each other directly. ``split`` would compile the pattern anew for each text."""
+    at_once = F.split(F.regexp_replace(c, f"({mark}){place}", "$1\0"), "\0", -1)
+    return F.when(F.contains(c, F.lit("\0")), F.split(c, place, -1)).otherwise(at_once)
+
+
 def sentences(c: Column) -> Column:
     """Sentences: an end mark and white space before a capital; not behind an initial, an ordinal or a known abbreviation."""
     return F.filter(F.split(c, _ENDS + r"\s+(?=[\p{Lu}«\"])"), lambda s: F.trim(s) != "")
@@ -248,22 +254,27 @@ def sentences(c: Column) -> Column:
 
 def sentence_pieces(c: Column) -> Column:
     """The text cut at the same places; joined, the pieces are the text. White space goes with what follows it."""
-    return F.split(c, _ENDS + r"(?=\s+[\p{Lu}«\"])", -1)
+    return split_after(c, r"[.!?]", _ENDS + r"(?=\s+[\p{Lu}«\"])")
 
 
 #: A token that is an address, a path, a file or a query, in which an end mark before a capital ends no sentence.
 _ADDRESS = r"@|://|www\.|/\w+/|\.(?:ch|com|de|fr|it|org|net|pdf|docx?)\b|[?&]\w+="
 
 
+def has_unspaced(c: Column) -> Column:
+    """Whether a capital stands right behind an end mark, without which ``unspaced_pieces`` cuts nothing."""
+    return c.rlike(r"[.!?]\p{Lu}")
+
+
 def unspaced_pieces(c: Column) -> Column:
     """A text cut where a sentence ends and the next begins without a space ("... zu Ende.Am ..."): an end mark between a lower-case letter or a closing mark and
     a capital with a lower-case letter. Not behind an abbreviation or a single letter, also as the last part of a word with a hyphen, and not in addresses, paths and queries.
     Joined, the pieces are the text.
     """
-    cuts = r"(?<=[\p{Ll}\p{N})»\"][.!?])(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)(?<!\b\p{L}\.)(?=[\p{Lu}][\p{Ll}])"
-    token = lambda t: F.when(t.rlike(_ADDRESS), F.array(t)).otherwise(F.split(t, cuts, -1))
-    marked = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\S+|\s+"), F.lit(0)), lambda t: F.array_join(token(t), "\x1e"))
-    return F.when(c.rlike(r"[.!?]\p{Lu}"), F.split(F.array_join(marked, ""), "\x1e", -1)).otherwise(F.array(c))
+    place = r"(?<=[\p{Ll}\p{N})»\"][.!?])(?<!\b(?:Dr|Nr|Art|Abs|bzw|ca|St|Mr|Mme|etc)\.)(?<!\b\p{L}\.)(?=[\p{Lu}][\p{Ll}])"
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)\S+|\s+"), F.lit(0))
+    marked = F.transform(tokens, lambda t: F.when(t.rlike(_ADDRESS), t).otherwise(F.regexp_replace(t, r"([.!?])" + place, "$1\x1e")))
+    return F.when(has_unspaced(c), F.split(F.array_join(marked, ""), "\x1e", -1)).otherwise(F.array(c))
 
 
 def sentences_without_space(c: Column) -> Column:

@@ -27,20 +27,20 @@ _INDENT = r"(?iu)^\s*(?:[(\[]?\d{1,3}(?:\.\d{1,3}){0,3}[.):\]]*|[(\[]?\p{L}[.)\]
 _INDENT_STARTS = (r"(?iu)^\s*(?:" + "|".join(p.replace(".", r"\.") for p in PARTS) + r")\s*[\divx]+\p{L}*\s*(?:bis|ter|quater)?[.):\s]*", r"(?iu)^\s*[(\[]?\p{L}?[\d.():\[\]\sivx\-–—•·*▪■□○◦►>]*")
 
 
-def _piece(x: Column, y: Column, cut: Column | str | None) -> Column:
+def _piece(x: Column, y: Column, cut: Column | str | None, own: Column) -> Column:
     cut = F.lit(cut).cast("string") if cut is None or isinstance(cut, str) else cut
-    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), cut.alias("cut"))
+    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), cut.alias("cut"), own.alias("own"))
 
 
-def _trimmed(text: Column, piece: Column) -> Column:
-    """The piece without white space at its ends."""
-    size = piece["y"] - piece["x"]
-    ends = T.let(F.substr(text, piece["x"] + 1, size), lambda own: F.struct(F.length(F.regexp_extract(own, r"^\s*", 0)).alias("lead"), F.length(F.regexp_replace(own, r"(?<!\s)\s+$", "")).alias("stop")))
-    return T.let(ends, lambda e: F.when(e["lead"] < size, _piece(piece["x"] + e["lead"], piece["x"] + e["stop"], piece["cut"])))
+def _trimmed(own: Column, at: Column, cut: Column | str | None) -> Column:
+    """The piece of a text, of which ``own`` stands at ``at``, without white space at its ends; null if nothing is left. It carries its text, as cutting that out anew reads all that stands before it."""
+    stop = F.when(F.right(own, F.lit(1)).rlike(r"\s"), F.length(F.regexp_replace(own, r"(?<!\s)\s+$", ""))).otherwise(F.length(own))
+    ends = F.struct(F.length(F.regexp_extract(own, r"^\s*", 0)).alias("lead"), stop.alias("stop"))
+    return T.let(ends, lambda e: F.when(e["lead"] < F.length(own), _piece(at + e["lead"], at + e["stop"], cut, F.substr(own, e["lead"] + 1, e["stop"] - e["lead"]))))
 
 
-def _some(text: Column, pieces: Column) -> Column:
-    return F.filter(F.transform(pieces, lambda p: _trimmed(text, p)), lambda p: p.isNotNull())
+def _some(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p: p.isNotNull())
 
 
 def median_of_others(sorted_values: Column, value: Column) -> Column:
@@ -65,7 +65,8 @@ def column_cuts(words: Column, gap: float = GAP, medians: float = GAP_MEDIANS, i
     if indent:
         first = longest(F.array_join(texts, " "), r"^\s*\S*\s*") + 1
     else:
-        first = F.greatest(longest(F.array_join(texts, " "), *_INDENT_STARTS), longest(F.array_join(texts, ""), *_INDENT_STARTS) + F.size(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) == ""))) + 1
+        either = lambda t: T.let(t, lambda one: longest(one, *_INDENT_STARTS))
+        first = F.greatest(either(F.array_join(texts, " ")), either(F.array_join(texts, "")) + F.size(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) == ""))) + 1
 
     def chosen(gaps: Column) -> Column:
         sizes = F.transform(gaps, lambda g: g["gap"])
@@ -76,31 +77,32 @@ def column_cuts(words: Column, gap: float = GAP, medians: float = GAP_MEDIANS, i
         hangs = lambda g: T.let(F.transform(left(g), lambda w: w["text"]), told)
         wide = T.let(ordered, lambda o: F.filter(gaps, lambda g: (g["gap"] > gap) & (g["gap"] > others(g, o))))
         far = lambda n: F.coalesce(F.get(words, n)["start"], F.lit((1 << 31) - 1))
-        return T.let(far(first), lambda stop: F.transform(F.filter(wide, lambda g: (g["start"] >= stop) | ~hangs(g)), lambda g: g["start"]))
+        told_apart = lambda found: T.let(far(first), lambda stop: F.filter(found, lambda g: (g["start"] >= stop) | ~hangs(g)))
+        return F.transform(T.let(wide, lambda found: F.when(F.size(found) > 0, told_apart(found)).otherwise(found)), lambda g: g["start"])
 
     return F.when(F.size(words) > 1, T.let(with_gaps, chosen)).otherwise(F.array().cast("array<int>"))
 
 
-def _spread(text: Column, piece: Column, cut_up: Column, name: str) -> Column:
+def _spread(piece: Column, cut_up: Column, name: str) -> Column:
     """A piece as those that its own text is cut into, if there are several; ``cut_up`` joined is that text."""
-    placed = T.let(cut_up, lambda c: F.zip_with(c, starts_of(F.transform(c, lambda s: F.length(s).cast("long"))), lambda s, at: _piece(piece["x"] + at, piece["x"] + at + F.length(s), name)))
-    return T.let(_some(text, placed), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(piece)))
+    placed = T.let(cut_up, lambda c: _some(F.zip_with(c, starts_of(F.transform(c, lambda s: F.length(s).cast("long"))), lambda s, at: _trimmed(s, piece["x"] + at, name))))
+    return T.let(placed, lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(piece)))
 
 
-def _parts_of_line(text: Column, x: Column, y: Column, cuts: Column, table: Column, long: int, unspaced: bool) -> Column:
-    """Pieces of text[x:y] between ``cuts`` (at, kind), and their sentences."""
-    own = lambda p: F.substr(text, p["x"] + 1, p["y"] - p["x"])
-
+def _parts_of_line(line: Column, cuts: Column, table: Column, long: int, unspaced: bool) -> Column:
+    """Pieces of a line between ``cuts`` (at, kind), and their sentences."""
     def cut(inside: Column) -> Column:
         kinds = F.array_sort(F.array_distinct(F.transform(inside, lambda c: c["kind"])))
         kind = F.when(F.size(kinds) == 0, F.lit(None).cast("string")).when(F.size(kinds) == 2, "frame_column").otherwise(F.get(kinds, F.lit(0)))
         places = F.transform(inside, lambda c: c["at"])
-        bounds = F.zip_with(F.concat(F.array(x), places), F.concat(places, F.array(y)), lambda a, b: _piece(a, b, kind))
-        return _some(text, bounds)
+        bounds = lambda k: F.zip_with(F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(F.length(line))), lambda a, b: _trimmed(F.substr(line, a + 1, b - a), a, k))
+        return _some(T.let(kind, bounds))
 
-    pieces = T.let(F.array_sort(F.filter(cuts, lambda c: (c["at"] > x) & (c["at"] < y))), cut)
-    spaced = F.flatten(F.transform(pieces, lambda p: F.when(~table & (p["y"] - p["x"] > long), _spread(text, p, T.sentence_pieces(own(p)), "sentence")).otherwise(F.array(p))))
-    return spaced if not unspaced else F.flatten(F.transform(spaced, lambda p: F.when(~table, _spread(text, p, T.unspaced_pieces(own(p)), "sentence_no_space")).otherwise(F.array(p))))
+    inside = T.let(F.length(line), lambda end: F.filter(cuts, lambda c: (c["at"] > 0) & (c["at"] < end)))
+    pieces = T.let(F.array_sort(inside), cut)
+    spaced = F.flatten(F.transform(pieces, lambda p: F.when(~table & (p["y"] - p["x"] > long), _spread(p, T.sentence_pieces(p["own"]), "sentence")).otherwise(F.array(p))))
+    apart = lambda p: F.when(~table & T.has_unspaced(p["own"]), _spread(p, T.unspaced_pieces(p["own"]), "sentence_no_space")).otherwise(F.array(p))
+    return spaced if not unspaced else F.flatten(F.transform(spaced, apart))
 
 
 def atoms(blocks: DataFrame, doc: str, block: str, text: str, label: str | None = None, frames: str | None = None, words: str | None = None, long: int = LONG, unspaced: bool = True, indent: str | None = None) -> DataFrame:
@@ -122,22 +124,23 @@ def atoms(blocks: DataFrame, doc: str, block: str, text: str, label: str | None
     lined = blocks.select(doc, block, table.alias("_table"), framed.alias("_frames"), placed.alias("_lines"))
     mark = lambda a, kind: F.transform(a, lambda p: F.struct(p.cast("int").alias("at"), F.lit(kind).alias("kind")))
     # Rows of lines first: within one expression the arrays of the whole text would be made anew for each line. What stands in ``l`` is exploded, so it is made once.
-    each_line = lined.select(doc, block, "_table", "_frames", F.posexplode("_lines").alias("_row", "_line")).where("_line.raw is not null")
+    # An explode that isn't outer would be given a filter on the array's size, for which the array with all words is made a second time.
+    each_line = lined.select(doc, block, "_table", "_frames", F.posexplode_outer("_lines").alias("_row", "_line")).where("_line.raw is not null")
     base, line = F.col("_line.at").cast("int"), F.col("_line.raw")
     columns = F.array_except(column_cuts(F.coalesce(F.col("_line.words"), none_of), indent=indent), F.col("_frames")) if words else none
-    here = F.filter(F.concat(mark(F.col("_frames"), "frame"), mark(columns, "column")), lambda c: (c["at"] > base) & (c["at"] < base + F.length(line)))
+    here = T.let(base + F.length(line), lambda end: F.filter(F.concat(mark(F.col("_frames"), "frame"), mark(columns, "column")), lambda c: (c["at"] > base) & (c["at"] < end)))
     cuts = F.transform(here, lambda c: F.struct((c["at"] - base).alias("at"), c["kind"].alias("kind")))
-    found = T.let(cuts, lambda c: _parts_of_line(line, F.lit(0), F.length(line), c, F.col("_table"), long, unspaced))
-    rows = each_line.select(doc, block, "_table", "_frames", F.explode(F.array(F.struct((F.col("_row") + 1).cast("int").alias("line"), base.alias("at"), line.alias("raw"), found.alias("parts")))).alias("l"))
-    each = rows.select(doc, block, "_table", "_frames", F.col("l.line").alias("line"), F.col("l.at").alias("_at"), F.col("l.raw").alias("_raw"), F.size("l.parts").alias("_n"), F.posexplode("l.parts").alias("_k", "p"))
+    found = T.let(cuts, lambda c: _parts_of_line(line, c, F.col("_table"), long, unspaced))
+    rows = each_line.select(doc, block, "_table", "_frames", F.explode(F.array(F.struct((F.col("_row") + 1).cast("int").alias("line"), base.alias("at"), found.alias("parts")))).alias("l"))
+    each = rows.select(doc, block, "_table", "_frames", F.col("l.line").alias("line"), F.col("l.at").alias("_at"), F.size("l.parts").alias("_n"), F.posexplode("l.parts").alias("_k", "p"))
     part = F.when(F.col("_n") > 1, F.col("_k") + 1)
-    own = F.substr(F.col("_raw"), F.col("p.x") + 1, F.col("p.y") - F.col("p.x"))
+    own = F.col("p.own")
     tabbed = F.split(own, "\t", -1)
-    cells = F.zip_with(tabbed, starts_of(F.transform(tabbed, lambda s: F.length(s).cast("long") + 1)), lambda s, at: _piece(F.col("p.x") + at, F.col("p.x") + at + F.length(s), None))
+    cells = F.zip_with(tabbed, starts_of(F.transform(tabbed, lambda s: F.length(s).cast("long") + 1)), lambda s, at: _trimmed(s, F.col("p.x") + at, None))
     found = each.select(
         doc, block, F.concat_ws(".", F.col(block).cast("string"), F.col("line").cast("string"), part.cast("string")).alias("id"), "line", part.alias("part"), F.when(part.isNotNull(), F.col("p.cut")).alias("cut"),
         (F.col("_at") + F.col("p.x")).alias("start"), (F.col("_at") + F.col("p.y")).alias("stop"), own.alias("text"), F.size(F.filter("_frames", lambda a: (a > 0) & (a <= F.col("_at") + F.col("p.x")))).alias("frame"),
-        F.when(F.col("_table"), F.transform(_some(F.col("_raw"), cells), lambda q: F.struct((F.col("_at") + q["x"]).alias("start"), (F.col("_at") + q["y"]).alias("stop")))).alias("cells"),
+        F.when(F.col("_table"), F.transform(_some(cells), lambda q: F.struct((F.col("_at") + q["x"]).alias("start"), (F.col("_at") + q["y"]).alias("stop")))).alias("cells"),
     )
     empty = blocks.where(F.trim(F.regexp_replace(t, r"\s+", "")) == "").select(
         doc, block, F.concat_ws(".", F.col(block).cast("string"), F.lit("1")).alias("id"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("string").alias("cut"),

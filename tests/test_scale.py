@@ -147,3 +147,22 @@ def test_rows_with_equal_keys_are_sorted_in_several_tasks(spark):
     quads = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string").select(F.lit(None).cast("string").alias("g"), "*", F.lit(None).cast("string").alias("o_lang"))
     found = sparql.run(quads, f"SELECT ?s ?o {{ ?s <{V}p> ?o }} ORDER BY ?o")
     assert found.count() == 9 and re.search(r"rangepartitioning\(.*xxhash64", executed(found))
+
+
+def test_words_of_blocks_are_laid_out_once(spark, tmp_path):
+    """A filter on the size of an exploded array makes the array a second time."""
+    spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["d3_cover_of_atoms"](spark, str(tmp_path))
+    assert got.collect() == [(1, 0, 2)]
+    assert "size(arrays_zip(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_cut_by_a_mark_not_by_their_pattern(spark):
+    """``split`` would compile the pattern for each text and token."""
+    told = [("Eins. Zwei?! Drei", ["Eins.", " Zwei?!", " Drei"]), ("a\0b. C", ["a\0b.", " C"]), ("Nr. Eins.", ["Nr. Eins."]), ("", [""]), (None, None)]
+    df = spark.createDataFrame(told, "t string, e array<string>")
+    assert df.where(~T.sentence_pieces(F.col("t")).eqNullSafe(F.col("e"))).collect() == []
+    unspaced = [("zu Ende.Am Tag", ["zu Ende.", "Am Tag"]), ("siehe www.Ort.Am zu Ende!Am", ["siehe www.Ort.Am zu Ende!", "Am"]), ("Nr.Eins x.Am", ["Nr.Eins x.Am"]), ("", [""])]
+    df = spark.createDataFrame(unspaced, "t string, e array<string>").withColumn("got", T.unspaced_pieces(F.col("t")))
+    assert df.where("got <> e").collect() == []
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
