@@ -120,16 +120,18 @@ def connected_parts(links: DataFrame) -> DataFrame:
     parts = stored(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("part")).withColumnRenamed("src", "node"), "parts")
     while True:
         near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("near"))
-        moved = parts.join(near, "node").select("node", F.least("part", "near").alias("part"))
+        moved = parts.join(near, "node").select("node", F.col("part").alias("was"), F.least("part", "near").alias("part"))
         jump = moved.select(F.col("node").alias("part"), F.col("part").alias("next"))
-        after = stored(moved.join(jump, "part").select("node", F.least("part", "next").alias("part")), "parts")
-        if after.join(parts, ["node", "part"], "left_anti").isEmpty():
-            return after
-        parts = after
+        after = stored(moved.join(jump, "part").select("node", F.least("part", "next").alias("part"), (F.least("part", "next") < F.col("was")).alias("moved")), "parts")
+        parts = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return parts
 
 
 #: Blank nodes of one connected part that are named within one task; larger parts are refused unless what each states tells all apart.
 PART_NODES = 20_000
+#: Blank nodes of one part that may be told apart by expressions, if what each states differs from node to node; parts with nodes alike, or larger, are searched in Python.
+SMALL_PART = 32
 #: Individualisations that one part may take before it is refused.
 MOST_TRIES = 2_000
 
@@ -203,8 +205,8 @@ def _named_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def named(parts: list[list[dict]]) -> pa.RecordBatch:
         out = []
         for rows in parts:
-            links = [(r["s"], said, o) for r in rows for o, _, said in (link.partition(" ") for link in r["links"])]
-            form, order = canonical_form({r["s"]: _digest(r["own"]) for r in rows}, links)
+            links = [(r["s"], link["said"], link["o"]) for r in rows for link in r["links"]]
+            form, order = canonical_form({r["s"]: r["own"] for r in rows}, links)
             out += [(rows[0]["part"], form, node, place) for place, node in enumerate(order)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["part", "form", "node", "place"])
 
@@ -217,6 +219,40 @@ def _named_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named([held])
 
 
+def _blank_forms(quads: DataFrame, most: int) -> DataFrame:
+    """(part, form, node, place) of the blank nodes: the form of the part that a node is in, equal just for isomorphic parts, and its place there.
+
+    What a node states is gathered in one shuffle. Where that tells all nodes of a small part apart, their order needs no search.
+    """
+    graph = F.coalesce("g", F.lit(""))
+    terms = F.concat_ws("|", "o_kind", "o", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit("")), graph)
+    from_blank, to_blank = F.col("s").startswith("_:"), F.col("o_kind") == "blank"
+    fact = lambda node, said=None, of=None, o=None: F.struct(node.alias("s"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in (("said", said), ("of", of), ("o", o))])
+    facts = F.array(
+        F.when(from_blank, F.when(to_blank, fact(F.col("s"), F.concat_ws(" ", "p", graph), o=F.col("o"))).otherwise(fact(F.col("s"), F.concat_ws(" ", "p", terms)))),
+        F.when(to_blank, fact(F.col("o"), of=F.when(~from_blank, F.concat_ws(" ", "s", "p", graph)))),
+    )
+    each = quads.where(from_blank | to_blank).select(F.explode(facts).alias("x")).where("x is not null").select("x.*")
+    own = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.when(F.col("o").isNull(), F.col("said")))), F.lit("of"), F.sort_array(F.collect_list("of"))), 256)
+    nodes = each.groupBy("s").agg(own.alias("own"), F.collect_list(F.when(F.col("o").isNotNull(), F.struct("o", "said"))).alias("links"))
+    parts = connected_parts(quads.where(from_blank & to_blank).select(F.col("s").alias("src"), F.col("o").alias("dst")))
+    rows = nodes.join(parts.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("part", "s").alias("part"), "s", "own", "links")
+    rows = stored(rows, "blank-nodes")
+    largest = rows.groupBy("part").count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > most:
+        raise NotNamed(f"a part of {largest} blank nodes; {most} at most are named")
+    whole = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("own", "s", "links"))).alias("nodes"))
+    apart = F.when(F.size("nodes") <= SMALL_PART, F.size(F.array_distinct("nodes.own")) == F.size("nodes")).otherwise(False)
+    whole = stored(whole.withColumn("apart", apart), "blank-parts")
+    own_of = lambda s: F.get(F.filter("nodes", lambda n: n["s"] == s), F.lit(0))["own"]
+    said = F.sort_array(F.flatten(F.transform("nodes", lambda n: F.transform(n["links"], lambda x: F.concat_ws(" ", n["own"], x["said"], own_of(x["o"]))))))
+    form = F.sha2(F.concat_ws("\n", F.lit("apart"), "nodes.own", said), 256)
+    easy = whole.where("apart").select("part", form.alias("form"), F.posexplode("nodes.s").alias("place", "node")).select("part", "form", "node", "place")
+    hard = whole.where("not apart").select("part", F.explode("nodes").alias("n")).select("part", "n.s", "n.own", "n.links")
+    searched = hard.repartition("part").sortWithinPartitions("part").mapInArrow(_named_parts, "part string, form string, node string, place int")
+    return easy.unionByName(searched)
+
+
 def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
     """Quads whose blank nodes are named by what they state: two graphs are isomorphic if and only if these quads are the same bag.
 
@@ -224,23 +260,7 @@ def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
     of parts with one form are told apart by a number of the copy, in any order, as such parts can be swapped. A part that is larger,
     or whose nodes look so much alike that the search would take too long, raises ``NotNamed``; nothing is named by guess.
     """
-    terms = F.concat_ws("|", "o_kind", "o", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit("")), F.coalesce("g", F.lit("")))
-    blank = quads.where(F.col("s").startswith("_:"))
-    inner = quads.where(F.col("s").startswith("_:") & (F.col("o_kind") == "blank")).select(F.col("s").alias("src"), F.col("o").alias("dst"), F.concat_ws(" ", "o", "p", F.coalesce("g", F.lit(""))).alias("link"))
-    told = blank.where("o_kind <> 'blank'").groupBy("s").agg(F.collect_list(F.concat_ws(" ", "p", terms)).alias("said"))
-    named_by = quads.where(~F.col("s").startswith("_:") & (F.col("o_kind") == "blank")).groupBy(F.col("o").alias("s")).agg(F.collect_list(F.concat_ws(" ", "s", "p", F.coalesce("g", F.lit("")))).alias("of"))
-    loops = inner.groupBy(F.col("src").alias("s")).agg(F.collect_list("link").alias("links"))
-    every = blank.select("s").unionByName(quads.where("o_kind = 'blank'").select(F.col("o").alias("s"))).distinct()
-    none = F.array().cast("array<string>")
-    facts = every.join(told, "s", "left").join(named_by, "s", "left").join(loops, "s", "left")
-    own = F.concat_ws("\n", F.sort_array(F.coalesce("said", none)), F.lit("of"), F.sort_array(F.coalesce("of", none)))
-    parts = connected_parts(inner.select("src", "dst"))
-    rows = facts.join(parts.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("part", "s").alias("part"), "s", own.alias("own"), F.coalesce("links", none).alias("links"))
-    rows = stored(rows, "blank-nodes")
-    largest = rows.groupBy("part").count().agg(F.max("count")).first()[0]
-    if largest is not None and largest > most:
-        raise NotNamed(f"a part of {largest} blank nodes; {most} at most are named")
-    forms = stored(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_named_parts, "part string, form string, node string, place int"), "blank-forms")
+    forms = stored(_blank_forms(quads, most), "blank-forms")
     copies = forms.where("place = 0").select("part", F.row_number().over(Window.partitionBy("form").orderBy("part")).alias("copy"))
     lookup = forms.join(copies, "part").select(F.col("node").alias("s"), F.concat(F.lit("_:"), F.sha2(F.concat_ws(" ", "form", "copy", "place").cast("binary"), 256)).alias("n"))
     out = quads.join(lookup.withColumnsRenamed({"s": "_s", "n": "_sn"}), F.col("s") == F.col("_s"), "left")
@@ -249,13 +269,25 @@ def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
 
 
 def same_quads(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether two tables of quads are the same bag; for graphs with blank nodes, of their canonical quads."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("isomorphic"))
+    """One row: whether two tables of quads are the same bag; for graphs with blank nodes, of their canonical quads or their statements."""
+    keys = a.columns
+    both = a.select(*keys, F.lit(1).alias("_n")).unionByName(b.select(*keys, F.lit(-1).alias("_n")))
+    return both.groupBy(*keys).agg(F.sum("_n").alias("_n")).agg((F.count_if(F.col("_n") != 0) == 0).alias("isomorphic"))
+
+
+def statements(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
+    """Quads without blank nodes as they are, and a row (its form as s, p null) for each part of blank nodes: two graphs are isomorphic if and only if these rows are the same bag.
+
+    A form holds all quads that name a node of its part, so nothing has to be renamed and joined; the bounds are those of ``canonical_blanks``.
+    """
+    ground = quads.where(~F.col("s").startswith("_:") & (F.col("o_kind") != "blank")).select(*_FIELDS)
+    none = F.lit(None).cast("string")
+    return ground.unionByName(_blank_forms(quads, most).where("place = 0").select(F.concat(F.lit("_:"), "form").alias("s"), *[none.alias(c) for c in _FIELDS if c != "s"]))
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two graphs are the same but for the names of blank nodes."""
-    return same_quads(canonical_blanks(a), canonical_blanks(b))
+    return same_quads(statements(a), statements(b))
 
 
 def missing_leaves(leaves: DataFrame, quads: DataFrame, subject: str, predicate: str, value: str) -> DataFrame:

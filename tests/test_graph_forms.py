@@ -107,3 +107,14 @@ def test_comparisons_by_type(spark):
     same = quads_of(spark, [("u:a", "u:x", "u:k"), ("u:a", "u:y", "u:k"), ("u:b", "u:x", "u:k"), ("u:b", "u:y", "u:l")])
     assert ask(same, "SELECT ?s WHERE { ?s <u:x> ?x ; <u:y> ?y FILTER(?x = ?y) }") == [("u:a",)]
     assert ask(same, "SELECT ?s WHERE { ?s <u:x> ?x OPTIONAL { ?s <u:z> ?z } FILTER(!(?x = ?z)) }") == []
+
+
+def test_parts_whose_nodes_differ_are_told_by_what_they_state(spark):
+    """Neither a search nor a renaming of the quads; forms tell where a value stands and how often a tree occurs."""
+    tree = lambda tag, values: [(None, f"_:{tag}{k}", "has", f"_:{tag}c{k}", "blank", None, None) for k in range(len(values))] + [(None, f"_:{tag}{n}{k}", n + "v", v, "literal", None, None) for k, pair in enumerate(values) for n, v in zip(("", "c"), pair)]
+    graph_of = lambda tag, values: spark.createDataFrame(tree(tag, values), "g string, s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    base = graph_of("a", [("1", "2"), ("1", "2"), ("3", "4")])
+    for values, same in (([("3", "4"), ("1", "2"), ("1", "2")], True), ([("3", "4"), ("3", "4"), ("1", "2")], False), ([("1", "4"), ("1", "2"), ("3", "2")], False)):
+        found = G.same_quads(G.statements(base), G.statements(graph_of("b", values)))
+        assert found.first()[0] == same and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert G.same_quads(G.canonical_blanks(base), G.canonical_blanks(graph_of("b", values))).first()[0] == same
