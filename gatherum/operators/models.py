@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, step
     n, d = x.shape
     w, b = np.zeros((d, classes)), np.zeros(classes)
     target = np.eye(classes)[y]
-    rate = 1.0 / (0.5 * np.linalg.norm(np.c_[x, np.ones(n)], 2) ** 2 / n + 1.0 / (c * n))
+    sums = x.sum(axis=0)
+    gram = np.block([[x.T @ x, sums[:, None]], [sums[None, :], np.array([[float(n)]])]])  # of the rows and a one: no second table of them
+    rate = 1.0 / (0.5 * np.linalg.eigvalsh(gram)[-1] / n + 1.0 / (c * n))
     vw, vb, pw, pb = w.copy(), b.copy(), w, b
     for t in range(1, steps + 1):
         g = (softmax_rows(x @ vw + vb) - target) / n
@@ -28,6 +31,15 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, step
     return w, b
 
 
+def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of vectors of one length as a matrix of doubles; no object is made for a row."""
+    out, at = np.empty((len(column), len(column[0]) if len(column) else 0)), 0
+    for chunk in column.chunks:
+        out[at : at + len(chunk)] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1)
+        at += len(chunk)
+    return out
+
+
 def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
 
@@ -147,20 +159,33 @@ def oof_logits(df: DataFrame, key: str, layers: list[str], label: str, fold: str
     """
     folds = F.array_sort(F.collect_set(fold))
     wide = df.crossJoin(F.broadcast(df.agg(folds.alias("_folds"))))  # one row
-    cells = wide.select(key, F.col(label).alias("_y"), F.col(fold).alias("_f"), F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.col(v).cast("array<double>").alias("x")) for k, v in enumerate(layers)])).alias("v"), "_folds")
+    narrow = all(df.schema[v].dataType.simpleString() == "array<float>" for v in layers)
+    vector = lambda v: F.col(v).cast("array<float>" if narrow else "array<double>")
+    cells = wide.select(key, F.col(label).alias("_y"), F.col(fold).alias("_f"), F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), vector(v).alias("x")) for k, v in enumerate(layers)])).alias("v"), "_folds")
     cells = cells.select(key, "_y", "_f", "v.layer", "v.x", F.explode("_folds").alias("_out")).select("*", F.explode(F.array(*map(F.lit, grid))).alias("c"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y, out = np.array(rows["x"].tolist(), dtype=float), rows["_y"].to_numpy(dtype=int), (rows["_f"] == rows["_out"]).to_numpy()
-        empty = pd.DataFrame({"layer": [], "c": [], key: [], "label": [], "logits": []})
+    def run(rows: pa.Table) -> pa.Table:
+        plain = lambda name: rows.column(name).to_numpy()
+        y, out = plain("_y").astype(int), plain("_f") == plain("_out")
+        layer, c = rows.column("layer")[0].as_py(), float(rows.column("c")[0].as_py())
         if out.all() or not out.any():
-            return empty
-        mean, spread = standardise(x[~out])
-        w, b = fit_softmax((x[~out] - mean) / spread, y[~out], classes, float(rows["c"].iloc[0]))
-        logits = (x[out] - mean) / spread @ w + b
-        return pd.DataFrame({"layer": int(rows["layer"].iloc[0]), "c": float(rows["c"].iloc[0]), key: rows[key][out].to_numpy(), "label": y[out], "logits": list(logits)})
-
-    return cells.groupBy("layer", "c", "_out").applyInPandas(run, f"layer int, c double, {key} {df.schema[key].dataType.simpleString()}, label int, logits array<double>")
+            return pa.table({n: pa.array([], t) for n, t in (("layer", pa.int32()), ("c", pa.float64()), (key, rows.schema.field(key).type), ("label", pa.int32()), ("logits", pa.list_(pa.float64())))})
+        x = vectors_of(rows.column("x"))
+        train, test = x[~out], x[out]
+        del x
+        mean, spread = standardise(train)
+        for part in (train, test):
+            part -= mean
+            part /= spread
+        w, b = fit_softmax(train, y[~out], classes, c)
+        logits = test @ w + b
+        n = len(test)
+        return pa.table({
+            "layer": pa.array(np.full(n, layer, dtype=np.int32)), "c": pa.array(np.full(n, c)), key: rows.column(key).filter(pa.array(out)), "label": pa.array(y[out].astype(np.int32)),
+            "logits": pa.ListArray.from_arrays(pa.array(np.arange(0, n * classes + 1, classes, dtype=np.int32)), pa.array(logits.ravel())),
+        })
+
+    return cells.groupBy("layer", "c", "_out").applyInArrow(run, f"layer int, c double, {key} {df.schema[key].dataType.simpleString()}, label int, logits array<double>")
 
 
 def chosen_cell(logits: DataFrame, tie: float = 0.001) -> DataFrame:

@@ -6,6 +6,7 @@ import tracemalloc
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from gatherum.functions import text as T
 from gatherum.operators import atoms as A
 from gatherum.operators import checks as K
 from gatherum.operators import joins as J
+from gatherum.operators import models as L
 from gatherum.operators import parts as P
 from gatherum.operators import writer as W
 from gatherum.plans import q_documents, sparql
@@ -166,3 +168,16 @@ def test_sentences_are_cut_by_a_mark_not_by_their_pattern(spark):
     df = spark.createDataFrame(unspaced, "t string, e array<string>").withColumn("got", T.unspaced_pieces(F.col("t")))
     assert df.where("got <> e").collect() == []
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_vectors_of_a_cell_are_no_objects():
+    """Rows become one matrix, over chunks, without a list or an array for each."""
+    values = pa.array(range(64 * 5000), pa.float32())
+    column = pa.chunked_array([pa.ListArray.from_arrays(pa.array(range(0, 64 * 5001, 64), pa.int32()), values)] * 2).slice(1)
+    tracemalloc.start()
+    try:
+        x = L.vectors_of(column)
+        assert tracemalloc.get_traced_memory()[1] < 2 * x.nbytes
+    finally:
+        tracemalloc.stop()
+    assert x.shape == (9999, 64) and x[0, 0] == 64 and x[4999, 1] == 1 and x[-1, -1] == 64 * 5000 - 1
