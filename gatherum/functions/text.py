@@ -7,7 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,18 @@ LANGUAGE_WORDS = {
 }
 
 
+def folded(text: Column) -> Column:
+    """Small letters; also of the four odd letters that patterns take for i, s and k where case doesn't count."""
+    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words is in the text, anywhere. Far cheaper than a pattern, so it may go before one that can't match without them."""
+    return reduce(Column.__or__, [text.contains(w) for w in words])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -52,17 +52,27 @@ SPONSOR = r"(?iu)eingereicht von|unterzeichnende|d[ée]pos[ée]e? par|soussign|p
 PROPOSAL = r"(?iu)motion|postulat|interpellation|anfrage|mozione|interpellanza|interrogazione"
 
 
+# Words without one of which a pattern of those above matches nothing, in small letters.
+_HINTS = {
+    PROTOCOL: ("protokoll", "verbal"),
+    DEMAND: ("beauftragt", "charg", "incaricato", "begründung", "begrundung", "veloppement", "motivazione"),
+    SPONSOR: ("eingereicht von", "unterzeichnende", "dépos", "depos", "soussign", "presentat", "firmatari"),
+    PROPOSAL: ("motion", "postulat", "interpella", "anfrage", "mozione", "interrogazione"),
+}
+
+
 def role_features(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One row of features per document from its lines (line, text): aggregates only."""
     head, text = F.col("line") < 15, F.col("text")
-    return lines.groupBy(doc).agg(
+    says = lambda pattern: T.holds_any(F.col("_folded"), _HINTS[pattern]) & text.rlike(pattern)
+    return lines.withColumn("_folded", T.folded(text)).groupBy(doc).agg(
         F.count("*").alias("n_lines"),
         F.min(F.when(text.rlike(ANSWER), F.col("line"))).alias("answer_at"),
         F.coalesce(F.bool_or(head & text.rlike(ATTACHMENT)), F.lit(False)).alias("attachment_head"),
-        F.coalesce(F.bool_or(head & text.rlike(PROTOCOL)), F.lit(False)).alias("protocol_head"),
-        F.count_if(text.rlike(DEMAND)).alias("demand_marks"),
-        F.count_if(text.rlike(SPONSOR)).alias("sponsor_marks"),
-        F.count_if(text.rlike(PROPOSAL)).alias("proposal_words"),
+        F.coalesce(F.bool_or(head & says(PROTOCOL)), F.lit(False)).alias("protocol_head"),
+        F.count_if(says(DEMAND)).alias("demand_marks"),
+        F.count_if(says(SPONSOR)).alias("sponsor_marks"),
+        F.count_if(says(PROPOSAL)).alias("proposal_words"),
     )
 
 

@@ -9,12 +9,13 @@ import importlib
 import pkgutil
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatherum.functions import text as T
 from gatherum.operators.rules import first_candidate
 
 CANDIDATE = ("doc_id", "field", "tier", "tier_rank", "value", "start", "stop")
@@ -37,10 +38,21 @@ def fields() -> list[str]:
     return sorted(_READERS)
 
 
+#: By name, words in small letters, and the parts of patterns that match only in a line that has one of them.
+_MARKS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
+
+
+def register_mark(name: str, words: tuple[str, ...], *parts: str) -> None:
+    """Tiers whose pattern has one of the parts look only at lines with one of the words."""
+    _MARKS[name] = (words, parts)
+
+
 @dataclass(frozen=True)
 class Tier:
     """``pattern`` finds a value (its first group that took part) in lines that the scope, the roles and the neighbours admit.
 
+    Lines without the marks of its parts are passed over; ``loose`` names marks whose part the pattern can do without, ``needs`` further marks.
+
     Scopes: all, first6, head (15 lines), head25, late_head (16 to 40), page1 (60), tail (15), last3. Roles: all, proposal,
     response, other, not_proposal, not_response. ``above`` and ``below`` are patterns of the next lines that aren't blank.
     """
@@ -51,6 +63,12 @@ class Tier:
     roles: str = "all"
     above: str | None = None
     below: str | None = None
+    loose: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
+
+    @property
+    def marks(self) -> list[str]:
+        return [m for m, (_, parts) in _MARKS.items() if m in self.needs or (m not in self.loose and any(p in self.pattern for p in parts))]
 
     @property
     def evidence(self) -> int:
@@ -58,16 +76,17 @@ class Tier:
         return 1 if self.below else -1 if self.above else 0
 
     def value(self) -> Column:
+        """The value in a line with a column ``_has`` for the marks; what is cheap is asked first."""
         line, rest = F.col("line"), F.col("n_lines") - F.col("line")
         scopes = {"all": None, "first6": line < 6, "head": line < 15, "head25": line < 25, "late_head": (line >= 15) & (line < 40), "page1": line < 60, "tail": rest <= 15, "last3": rest <= 3}
-        conditions = [scopes[self.scope]]
+        conditions = [*[F.col(f"_has.{m}") for m in self.marks], scopes[self.scope]]
         if self.roles != "all":
             wanted = F.col("role") == self.roles.removeprefix("not_")
             conditions.append(~wanted if self.roles.startswith("not_") else wanted)
         conditions += [F.col(c).rlike(p) for c, p in (("above", self.above), ("below", self.below)) if p is not None]
         groups = re.compile(re.sub(r"\\p\{L[ul]?\}", "x", self.pattern).replace("++", "+")).groups
         out = F.coalesce(*[F.nullif(F.regexp_extract("text", self.pattern, g), F.lit("")) for g in range(1, groups + 1)])
-        for c in conditions:
+        for c in reversed(conditions):
             out = out if c is None else F.when(c, out)
         return out
 
@@ -79,8 +98,9 @@ _LINE_FIRST: set[str] = set()
 _REFUSALS: dict[str, Callable[[Column, Column, Column], Column]] = {}
 
 
-def register_tiers(field: str, tiers: list[Tier], line_first: bool = False) -> None:
-    """A field whose reader is a ranked list of tiers."""
+def register_tiers(field: str, tiers: list[Tier], line_first: bool = False, needs: tuple[str, ...] = ()) -> None:
+    """A field whose reader is a ranked list of tiers; ``needs`` are marks that all of them want."""
+    tiers = [replace(t, needs=t.needs + needs) for t in tiers]
     _TIERS[field] = tiers
     if line_first:
         _LINE_FIRST.add(field)
@@ -121,15 +141,25 @@ def reader_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def tier_candidates(lines: DataFrame, field: str, tiers: list[Tier]) -> DataFrame:
-    """One row per tier and line with a match; offsets are those of the value in the document, ``line`` is that of its evidence, ``refused`` is the cause if it may not be used.
-
-    A line is read once for all tiers, and only tiers with a value become rows.
-    """
-    found = F.filter(F.array(*[F.struct(F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), t.value().alias("value"), F.lit(t.evidence).alias("evidence")) for k, t in enumerate(tiers, 1)]), lambda x: x["value"].isNotNull())
-    rows = lines.select("doc_id", "line", "text", "start", F.explode(found).alias("x")).withColumn("at", F.expr("locate(x.value, text)") - 1)
+    """One row per tier and line with a match; offsets are those of the value in the document, ``line`` is that of its evidence, ``refused`` is the cause if it may not be used."""
+    return _tier_rows(lines, {field: tiers})
+
+
+def _tier_rows(lines: DataFrame, tiers: dict[str, list[Tier]]) -> DataFrame:
+    """``tier_candidates`` of several fields. A line is read once for all tiers of all fields, and only tiers with a value become rows."""
+    ranked = [(f, k, t) for f, ts in tiers.items() for k, t in enumerate(ts, 1)]
+    marks = sorted({m for *_, t in ranked for m in t.marks})
+    marked = lines.withColumn("_folded", T.folded(F.col("text")))
+    if marks:
+        marked = marked.withColumn("_has", F.struct(*[T.holds_any(F.col("_folded"), _MARKS[m][0]).alias(m) for m in marks]))
+    found = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t.name).alias("tier"), F.lit(k).alias("tier_rank"), t.value().alias("value"), F.lit(t.evidence).alias("evidence")) for f, k, t in ranked]), lambda x: x["value"].isNotNull())
+    rows = marked.select("doc_id", "line", "text", "start", F.explode(found).alias("x")).withColumn("at", F.expr("locate(x.value, text)") - 1)
     begin = F.col("start") + F.col("at")
-    cause = _REFUSALS[field](F.col("text"), F.col("x.value"), F.col("at")) if field in _REFUSALS else F.lit(None).cast("string")
-    return rows.select("doc_id", F.lit(field).alias("field"), "x.tier", "x.tier_rank", "x.value", begin.cast("long").alias("start"), (begin + F.length("x.value")).cast("long").alias("stop"), (F.col("line") + F.col("x.evidence")).cast("int").alias("line"), cause.alias("refused"))
+    cause = F.lit(None).cast("string")
+    for f in tiers:
+        if f in _REFUSALS:
+            cause = F.when(F.col("x.field") == f, _REFUSALS[f](F.col("text"), F.col("x.value"), F.col("at"))).otherwise(cause)
+    return rows.select("doc_id", "x.field", "x.tier", "x.tier_rank", "x.value", begin.cast("long").alias("start"), (begin + F.length("x.value")).cast("long").alias("stop"), (F.col("line") + F.col("x.evidence")).cast("int").alias("line"), cause.alias("refused"))
 
 
 _FULL = (*CANDIDATE, "line", "refused")
@@ -147,6 +177,13 @@ def _read_field(lines: DataFrame, field: str, strict: bool) -> DataFrame:
     return rows.withColumns(missing).select(*_FULL)
 
 
+def _can_be_built(tiers: list[Tier]) -> bool:
+    try:
+        return all(t.value() is not None for t in tiers)
+    except Exception:
+        return False
+
+
 def read(lines: DataFrame, wanted: list[str] | None = None, documents: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """The first candidate of each document and field that isn't refused; with ``documents`` (doc_id) also rows with found = false and the reason.
 
@@ -156,7 +193,8 @@ def read(lines: DataFrame, wanted: list[str] | None = None, documents: DataFrame
     known = [f for f in fields_wanted if f in _READERS]
     if strict and len(known) < len(fields_wanted):
         raise KeyError(f"no reader for {sorted(set(fields_wanted) - set(known))}")
-    parts = [_read_field(lines, f, strict) for f in known]
+    listed = {f: _TIERS[f] for f in known if f in _TIERS and (strict or _can_be_built(_TIERS[f]))}
+    parts = ([_tier_rows(lines, listed).select(*_FULL)] if listed else []) + [_read_field(lines, f, strict) for f in known if f not in listed]
     candidates = reduce(DataFrame.unionByName, parts).withColumn("_by_line", F.when(F.col("field").isin(*_LINE_FIRST), F.col("line")).otherwise(0) if _LINE_FIRST else F.lit(0))
     usable = candidates.where("refused is null").withColumn("_rank", F.struct(F.coalesce("_by_line", F.lit(0)).alias("l"), F.col("tier_rank").alias("t")))
     best = first_candidate(usable, ["doc_id", "field"], "_rank").select(*CANDIDATE, "n_others").withColumn("found", F.lit(True))
@@ -208,7 +246,9 @@ def searched_slots(documents: DataFrame, cascade: DataFrame) -> DataFrame:
     return fit.groupBy("doc_id", "slot").agg(best.alias("rule_id"))
 
 
+register_mark("at", ("@",))
+register_mark("plus", ("+",))
 register_tiers("contact", [
-    Tier("e_mail", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
-    Tier("phone", r"(\+\d(?:[ .()-]{0,2}\d){7,14})"),
+    Tier("e_mail", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", needs=("at",)),
+    Tier("phone", r"(\+\d(?:[ .()-]{0,2}\d){7,14})", needs=("plus",)),
 ])

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gatherum.functions.dates import find_dates
-from gatherum.operators.readers import Tier, register_refusals, register_tiers
+from gatherum.operators.readers import Tier, register_mark, register_refusals, register_tiers
 
 # Words of instruments, answers, bodies, months and roles in three languages.
 TYPE = r"(?:motion|postulat|interpellation|(?:schriftliche |kleine |dringliche )?anfrage|auftrag|question|parlamentarische initiative|initiative parlementaire|iniziativa parlamentare|mozione|postulato|interpellanza|interrogazione)"
@@ -29,8 +29,28 @@ AFFAIR_LABEL = r"(?:gesch[äa]fts?(?:-?\s?nr\.?|nummer)?|vorlage(?:n?-?nr\.?)?|n
 PLACE_DAY = rf"^\s*\p{{Lu}}[\p{{L}}. -]{{2,25}},\s*(?:den |le |il )?{DAY}\s*\.?\s*$"
 ONLY_DAY = rf"^\s*{DAY}\s*$"
 SIGN = r"im namen des|au nom du|per il"
+_LABEL = r"(?:titel|titre|titolo|bezeichnung)"
+_CUE = r"(?:betreffend|betr\.|concernant|intitul[ée]e?|riguardante)"
+_SUBMIT = r"(?:eingereicht(?: am)?|eingang|eingegangen|d[ée]pos[ée]e?(?: le)?|date du d[ée]p[ôo]t|presentat[oa](?: il)?)"
+_BY = r"(?:eingereicht von|erstunterzeichner(?:/?-?in)?|urheber(?:/?-?in)?|d[ée]pos[ée]e? par|auteur(?:e)?|presentat[oa] da|primo firmatario)"
 i = "(?iu)"
 
+# Words without one of which a part of a pattern matches nothing, in small letters.
+register_mark("type", ("motion", "postulat", "interpella", "anfrage", "auftrag", "question", "iniziativa", "initiative", "mozione", "interrogazione"), TYPE)
+register_mark("answer", ("antwort", "stellungnahme", "ponse", "risposta", "presa di"), ANSWER)
+register_mark("body", ("regierungsrat", "gemeinderat", "stadtrat", "bundesrat", "staatsrat", "conseil ", "consiglio ", "municipio"), BODY)
+register_mark("affair", ("gesch", "vorlage", "objet", "affaire", "oggetto", "traktandum"), AFFAIR_LABEL)
+register_mark("label", ("titel", "titre", "titolo", "bezeichnung"), _LABEL)
+register_mark("cue", ("betr", "concernant", "intitul", "riguardante"), _CUE)
+register_mark("submit", ("eing", "dépos", "depos", "date du d", "presentat"), _SUBMIT)
+register_mark("by", ("eingereicht von", "erstunterzeichner", "urheber", "dépos", "depos", "auteur", "presentat", "primo firmatario"), _BY)
+register_mark("sign", ("im namen des", "au nom du", "per il"), SIGN)
+register_mark("speaker", ("sprecher", "porte-parole"))
+register_mark("handed", ("reichte",))
+register_mark("request", ("antrag an den",))
+register_mark("titled", ("titel", "intitul", "titolo"))
+register_mark("digit", tuple("0123456789"))
+
 register_tiers("affair_type", [
     Tier("type_cue_label", rf"{i}^\s*(?:vorstossart|art des vorstosses|type d.intervention|cat[ée]gorie|tipo di atto)\s*:?\s*({TYPE})\b"),
     Tier("type_checkbox", rf"{i}^\s*(?:\[?x\]?|☒|☑)\s*({TYPE})\b"),
@@ -39,14 +59,14 @@ register_tiers("affair_type", [
     Tier("type_response_phrase", rf"{i}{ANSWER}[^.]{{0,60}}?\b({TYPE})\b", "head"),
     Tier("type_line_start_late", rf"{i}^\s*({TYPE})\b.{{0,80}}$", "late_head"),
     Tier("type_response_phrase_late", rf"{i}^\s*{ANSWER}[^.]{{0,60}}?\b({TYPE})\b", "late_head"),
-    Tier("type_line_word", rf"{i}^\s*(anfrage|auftrag|question)\b", "page1"),
+    Tier("type_line_word", rf"{i}^\s*(anfrage|auftrag|question)\b", "page1", needs=("type",)),
     Tier("type_head_inline", rf"{i}^[^.]{{0,60}}?(?::|nr\.?\s\S+)\s*({TYPE})\b", "head"),
     Tier("type_line_start_gov", rf"{i}^\s*({TYPE})\b", "head", above=rf"{i}bericht|botschaft|messaggio|rapport"),
     Tier("type_head_inline_gov", rf"{i}(?:bericht|botschaft|messaggio|rapport)[^.]{{0,80}}?({TYPE})\b", "head"),
     Tier("type_submission_phrase", rf"{i}(?:folgende[nrs]?|a d[ée]pos[ée] (?:une?|la)|presenta la)\s+({TYPE})\b", "page1"),
     Tier("type_head_inline_text", rf"{i}\b({TYPE})\b", "head"),
     Tier("type_government_head", rf"{i}^\s*(botschaft|bericht und antrag|messaggio|beschlussantrag|d[ée]cret)\b(?!\s+du\s+\d)", "head"),
-    Tier("type_government_phrase", rf"{i}\b(antrag an den)\s+(?:grossen rat|landrat|kantonsrat|gemeinderat)", "head"),
+    Tier("type_government_phrase", rf"{i}\b(antrag an den)\s+(?:grossen rat|landrat|kantonsrat|gemeinderat)", "head", needs=("request",)),
 ])
 
 register_tiers("affair_number", [
@@ -93,18 +113,16 @@ register_tiers("affair_number", [
     Tier("number_form_year_serial6", r"\b(\d{2}\.\d{6})\b", "head"),
     Tier("number_cue_bare_label", r"^\s*(\d{2,6})\s*$", "head", above=rf"{i}^\s*(?:numero|nummer)\s*:?\s*$"),
     Tier("number_line_registry_code", r"\s([A-Z]?\s?\d\.\d\.\d)\s*$", "head"),
-])
+], needs=("digit",))
 
-_LABEL = r"(?:titel|titre|titolo|bezeichnung)"
-_CUE = r"(?:betreffend|betr\.|concernant|intitul[ée]e?|riguardante)"
 register_tiers("title", [
     Tier("label_cue", rf"{i}^\s*{_LABEL}\s*:\s*(\S.{{2,}})$"),
     Tier("label_no_colon", rf"{i}^\s*{_LABEL}\s+(\p{{Lu}}.{{4,}})$", "page1"),
     Tier("label_stack_last", r"^\s*(\S.{4,})$", "page1", above=rf"{i}^\s*{_LABEL}\s*:?\s*$"),
     Tier("label_affair_cell", r"(?iu)^\s*(?:gesch[äa]ft|vorlage|vorstoss|traktandum)(?:\t|\s{2,})(\S.{4,})$"),
     Tier("cue_line", rf"{i}^\s*{_CUE}\s+(\S.{{3,}})$", "page1"),
-    Tier("cue_in_line", rf"{i}^.{{0,80}}\b(?:betreffend|betr\.)\s+(\S.{{3,}})$", "head"),
-    Tier("number_line_title", r"^\s*\d{2}\.\d{3,4}\s+(\p{L}.{4,})$", "head25"),
+    Tier("cue_in_line", rf"{i}^.{{0,80}}\b(?:betreffend|betr\.)\s+(\S.{{3,}})$", "head", needs=("cue",)),
+    Tier("number_line_title", r"^\s*\d{2}\.\d{3,4}\s+(\p{L}.{4,})$", "head25", needs=("digit",)),
     Tier("type_semicolon", rf"{i}^\s*{TYPE}[^;]*;\s*([^;]{{5,}})(?:;|$)", "head"),
     Tier("type_list_item", rf"{i}^\s*[-•–]\s*{TYPE}\s+(\S.{{4,}})$", "head"),
     Tier("type_quoted", rf"{i}^\s*{TYPE}\b[^«»\"„“”]{{0,80}}[«\"„“]([^«»\"„“”]{{3,}})[»\"“”]", "page1"),
@@ -115,17 +133,16 @@ register_tiers("title", [
     Tier("before_type_line", r"^\s*(\p{L}.{8,})$", "head", below=rf"{i}^\s*{TYPE}\s+\p{{L}}"),
     Tier("after_type_heading", r"^\s*(\p{Lu}.{4,})$", "page1", above=rf"{i}^\s*{TYPE}\s*$"),
     Tier("after_kind_heading", r"^\s*(\p{Lu}.{4,})$", "page1", above=r"(?iu)^\s*(?:bericht und antrag|botschaft|messaggio)\b[^.]{0,60}$"),
-    Tier("sentence_titled_quote", r"(?iu)(?:mit dem titel|intitul[ée]e?|dal titolo)\s+[«\"„“]([^«»\"„“”]{3,})", "page1"),
+    Tier("sentence_titled_quote", r"(?iu)(?:mit dem titel|intitul[ée]e?|dal titolo)\s+[«\"„“]([^«»\"„“”]{3,})", "page1", needs=("titled",)),
     Tier("sentence_type_quote", rf"{i}\b{TYPE}\b[^«»\"„“”]{{0,80}}[«\"„“]([^«»\"„“”]{{3,}})[»\"“”]", "page1"),
 ], line_first=True)
 
-_SUBMIT = r"(?:eingereicht(?: am)?|eingang|eingegangen|d[ée]pos[ée]e?(?: le)?|date du d[ée]p[ôo]t|presentat[oa](?: il)?)"
 register_tiers("submission_date", [
     Tier("sub_label_cue", rf"{i}^\s*{_SUBMIT}\s*(?:am|le|il)?\s*:?\s*{DAY}", roles="not_response"),
     Tier("sub_label_table", ONLY_DAY, above=rf"{i}^\s*{_SUBMIT}\s*:?\s*$"),
     Tier("sub_label_cue_resp", rf"{i}^\s*{_SUBMIT}\s*(?:am|le|il)?\s*:?\s*{DAY}", roles="response"),
     Tier("sub_type_date_near", rf"{i}^\s*{TYPE}\b[^.]{{0,40}}\b{VOM}\s+{DAY}", roles="not_response"),
-    Tier("sub_resp_head_near", rf"{i}^\s*(?:{ANSWER}\b[^.]{{0,40}})?{TYPE}\b[^.]{{0,40}}\b{VOM}\s+{DAY}", "head", roles="response"),
+    Tier("sub_resp_head_near", rf"{i}^\s*(?:{ANSWER}\b[^.]{{0,40}})?{TYPE}\b[^.]{{0,40}}\b{VOM}\s+{DAY}", "head", roles="response", loose=("answer",)),
     Tier("sub_signers_date", PLACE_DAY, below=r"(?iu)^\s*(?:die unterzeichnenden|erstunterzeichn|les soussign|firmatari)"),
     Tier("sub_resp_head_far", rf"{i}^\s*{TYPE}\b.{{0,250}}\b{VOM}\s+{DAY}", "head", roles="response"),
     Tier("sub_sentence_cue", rf"{i}\bam\s+{DAY}\s.{{0,120}}\b(?:reichte|reichten|eingereicht)", "head25", roles="not_proposal"),
@@ -140,7 +157,7 @@ register_tiers("submission_date", [
     Tier("sub_sentence_other", rf"{i}\bam\s+{DAY}\s.{{0,120}}\b(?:reichte|eingereicht)", roles="proposal"),
     Tier("sub_dispatch_date", rf"{i}^\s*(?:bericht und antrag|weisung|messaggio n\.\s*\d+)\b[^.]{{0,40}}\b(?:vom|del)\s+{DAY}"),
     Tier("sub_dispatch_letter", PLACE_DAY, "first6", roles="other"),
-])
+], needs=("digit",))
 
 register_tiers("response_date", [
     Tier("resp_cue_date", rf"{i}^\s*{ANSWER}\s+(?:des|du|del|der)\s+{BODY}\w*[^.]{{0,40}}\b{VOM}\s+{DAY}", "head"),
@@ -155,14 +172,14 @@ register_tiers("response_date", [
     Tier("resp_page1_date_line", ONLY_DAY, "page1", roles="response"),
     Tier("resp_tail_date_line", ONLY_DAY, "tail", roles="response"),
     Tier("resp_cited_date", rf"{i}stellungnahme\b[^.]{{0,60}}\b{VOM}\s+{DAY}", roles="not_response"),
-])
+], needs=("digit",))
 
 register_tiers("responder", [
-    Tier("rsp_response_cue", rf"{i}{ANSWER}\s+(?:des|du|del|der)\s+({BODY})|der\s+({BODY})\s+antwortet", roles="not_proposal"),
+    Tier("rsp_response_cue", rf"{i}{ANSWER}\s+(?:des|du|del|der)\s+({BODY})|der\s+({BODY})\s+antwortet", roles="not_proposal", loose=("answer",)),
     Tier("rsp_signature", rf"{i}(?:{SIGN})\s+({BODY})"),
     Tier("rsp_signature_place", rf"{i}^\s*(?:der |le |il )?({BODY})\w*\s*$", above=PLACE_DAY),
     Tier("rsp_minute_cue", rf"{i}^\s*(?:auszug aus dem protokoll|estratto dal protocollo|extrait du proc[èe]s-verbal)\s+(?:des|du|del)\s+({BODY})", "page1"),
-    Tier("rsp_decision_body", r"(?iu)^\s*(regierungsrat|gemeinderat|stadtrat)s?beschluss", "first6"),
+    Tier("rsp_decision_body", r"(?iu)^\s*(regierungsrat|gemeinderat|stadtrat)s?beschluss", "first6", needs=("body",)),
     Tier("rsp_letter_head", rf"{i}^\s*(?:der |le |il )?({BODY})\w*(?:\s\p{{Lu}}\p{{L}}+)?\s*$", "head", roles="response"),
     Tier("rsp_tail_line", rf"{i}^\s*(?:der |le |il )?({BODY})\w*(?:\s\p{{Lu}}\p{{L}}+)?\s*$", "tail", roles="response"),
     Tier("rsp_sender_block", rf"{i}^\s*({BODY})\w*\s*$", "page1", below=r"(?iu)strasse|platz|rue|via|tel\.|@", roles="response"),
@@ -172,23 +189,22 @@ register_tiers("responder", [
     Tier("rsp_response_text", rf"{i}{ANSWER}\s+(?:des|du|del|der)\s+({BODY})"),
 ])
 
-_BY = r"(?:eingereicht von|erstunterzeichner(?:/?-?in)?|urheber(?:/?-?in)?|d[ée]pos[ée]e? par|auteur(?:e)?|presentat[oa] da|primo firmatario)"
 register_tiers("first_author", [
     Tier("label_same_line", rf"(?iu:^\s*{_BY}\s*:?\s*){NAME}"),
     Tier("type_prep_name", rf"(?iu:^\s*{TYPE}\s+(?:von|de|di|der)\s+){NAME}", "head25"),
     Tier("response_head_prep_name", rf"(?iu:^\s*{ANSWER}\b.{{0,60}}\b{TYPE}\s+(?:von|de|di)\s+){NAME}", "head25"),
     Tier("type_group_bracket", rf"(?iu:^\s*{TYPE}\b)[^()]{{0,60}}\({NAME}", "head25"),
     Tier("type_separator_name", rf"(?iu:^\s*{TYPE}\b)[^;]{{0,30}};\s*{NAME}\s*(?:;|$)", "head"),
-    Tier("spokesperson_entry", rf"{ONE_NAME}\s\([^()]{{2,40}}\)\s*\((?:Sprecher|porte-parole)"),
+    Tier("spokesperson_entry", rf"{ONE_NAME}\s\([^()]{{2,40}}\)\s*\((?:Sprecher|porte-parole)", needs=("speaker",)),
     Tier("addressee_member", rf"^\s*{NAME}\s*$", "head25", above=r"(?iu)^\s*(?:herr(?:n)?|frau|madame|monsieur|signora?)\s*$"),
     Tier("label_next_lines", rf"^\s*{NAME}", above=rf"(?iu)^\s*{_BY}\s*:?\s*$"),
     Tier("label_form_fields", rf"^\s*{ONE_NAME}\s*$", above=r"(?iu)^\s*(?:name|nom|cognome)\s*:?\s*$"),
     Tier("sender_signature", rf"^\s*{NAME}\s*$", "first6", roles="proposal"),
     Tier("type_entry_name", rf"(?iu:^\s*{TYPE}\s+){ONE_NAME}\s\([^()]{{2,40}}\)", "head25"),
     Tier("type_full_name", rf"(?iu:^\s*{TYPE}\s+){NAME}", "head25"),
-    Tier("response_head_full_name", rf"(?iu:^\s*(?:bericht|{ANSWER})\b.{{0,60}}\b{TYPE}\s+){NAME}", "head25"),
+    Tier("response_head_full_name", rf"(?iu:^\s*(?:bericht|{ANSWER})\b.{{0,60}}\b{TYPE}\s+){NAME}", "head25", loose=("answer",)),
     Tier("addressee_reply", rf"^\s*(?:Herr(?:n)?|Frau|Madame|Monsieur|Signora?)\s+{NAME}\s*$", "head25"),
-    Tier("narrative_submit", rf"(?iu:reichte\s+(?:\p{{L}}+r[äa]t(?:in)?\s+)?){NAME}", "page1"),
+    Tier("narrative_submit", rf"(?iu:reichte\s+(?:\p{{L}}+r[äa]t(?:in)?\s+)?){NAME}", "page1", needs=("handed",)),
     Tier("head_sender_marked", rf"^\s*{NAME},?\s*(?:\(?(?:SP|SVP|FDP|CVP|GLP|Die Mitte|Grüne|PLR|PS|UDC|PPD)\)?)\s*$", "head"),
     Tier("signature_marked", rf"^\s*{NAME},?\s*(?:\(?(?:SP|SVP|FDP|CVP|GLP|Die Mitte|Grüne|PLR|PS|UDC|PPD)\)?)\s*$", "tail"),
     Tier("type_prep_cosigners", rf"(?iu:\b{TYPE}\s+(?:von|de|di)\s+){NAME}(?=\s+(?:und|et|e)\s+(?:Mitunterz|consorts|cofirm))", "page1"),
