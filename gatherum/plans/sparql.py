@@ -16,7 +16,7 @@ import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -376,11 +376,23 @@ def _connected(items: list, bound: set[str]) -> Iterator[tuple]:
         items = items[:at] + items[at + 1 :]
 
 
+#: Quads to a task of a join on subjects. Quads pack well, so the size of a shuffle says little about the memory that its rows take.
+_QUADS_A_TASK = 1_000_000
+
+
 class _Rows:
-    """Solutions: a table with a column for each variable, and which of them may be unbound."""
+    """Solutions: a table with a column for each variable, and which of them may be unbound.
+
+    ``keys`` are variables with few rows to a value, as subjects have; ``dealt`` is how the rows are dealt to tasks: (tasks, variables).
+    """
 
-    def __init__(self, df: DataFrame, maybe: set[str] = frozenset()):
+    def __init__(self, df: DataFrame, maybe: set[str] = frozenset(), planner: _Planner | None = None, keys: set[str] = frozenset(), dealt: tuple = ()):
         self.df, self.maybe = df, set(maybe) & set(df.columns)
+        self.planner, self.keys, self.dealt = planner, set(keys) & set(df.columns), dealt
+
+    def kept(self, df: DataFrame) -> _Rows:
+        """Some of the rows, with the same columns or with more."""
+        return _Rows(df, self.maybe, self.planner, self.keys, self.dealt)
 
     @property
     def names(self) -> list[str]:
@@ -391,7 +403,7 @@ class _Rows:
         return _Rows(self.df.where(F.col(f"`{name}`").isNull()).drop(name), self.maybe - {name})
 
     def certain(self, name: str) -> _Rows:
-        return _Rows(self.df.where(F.col(f"`{name}`").isNotNull()), self.maybe - {name})
+        return _Rows(self.df.where(F.col(f"`{name}`").isNotNull()), self.maybe - {name}, self.planner, self.keys, self.dealt)
 
 
 def _union(parts: list[_Rows]) -> _Rows:
@@ -401,6 +413,21 @@ def _union(parts: list[_Rows]) -> _Rows:
     return _Rows(reduce(DataFrame.unionAll, map(cells, parts)), maybe)
 
 
+def _dealt(a: _Rows, b: _Rows, common: list[str]) -> tuple[_Rows, _Rows]:
+    """Both sides of a join. On a variable that is a key of both they are dealt to tasks by the number of quads; other joins, in which a value may have any number of rows, are left to Spark."""
+    tasks = a.planner.tasks if a.planner and a.keys & b.keys & set(common) else 1
+    if tasks < 2:
+        return a, b
+    by = (tasks, *common)
+    deal = lambda r: r if r.dealt == by else _Rows(r.df.repartition(tasks, *[F.col(f"`{n}`") for n in common]), r.maybe, r.planner, r.keys, by)
+    return deal(a), deal(b)
+
+
+def _keys(a: _Rows, b: _Rows, common: list[str]) -> set[str]:
+    """Keys of the join: those of a side of which each row meets few of the other."""
+    return (a.keys if b.keys & set(common) else set()) | (b.keys if a.keys & set(common) else set())
+
+
 def _join(a: _Rows | None, b: _Rows) -> _Rows:
     """Compatible rows of both. Rows in which a common variable is unbound join on the variables that are left."""
     if a is None:
@@ -411,9 +438,10 @@ def _join(a: _Rows | None, b: _Rows) -> _Rows:
             return _union([_join(a.certain(name), b), _join(a.without(name), b)])
         if name in b.maybe:
             return _union([_join(a, b.certain(name)), _join(a, b.without(name))])
-    left, right = a.df.drop("_"), b.df.drop("_")
     if common:
-        return _Rows(left.join(right, common), a.maybe | b.maybe)
+        a, b = _dealt(a, b, common)
+        return _Rows(a.df.drop("_").join(b.df.drop("_"), common), a.maybe | b.maybe, a.planner or b.planner, _keys(a, b, common), a.dealt if a.dealt == b.dealt else ())
+    left, right = a.df.drop("_"), b.df.drop("_")
     if not left.columns or not right.columns:  # a pattern without variables only says whether, and how often
         left, right = a.df.withColumnRenamed("_", "_a"), b.df.withColumnRenamed("_", "_b")
     else:
@@ -429,11 +457,13 @@ def _optional(a: _Rows, b: _Rows) -> _Rows:
         if name in a.maybe:
             return _union([_optional(a.certain(name), b), _optional(a.without(name), b)])
     fresh = [n for n in b.names if n not in common]
+    if not b.maybe & set(common):
+        a, b = _dealt(a, b, common)
     right = b.df.select(*[F.col(f"`{n}`").alias(f"_r {n}") for n in b.names])
     same = [(F.col(f"`{n}`") == F.col(f"`_r {n}`")) | (F.col(f"`_r {n}`").isNull() if n in b.maybe else F.lit(False)) for n in common]
     joined = a.df.join(right, reduce(lambda x, y: x & y, same) if same else F.lit(True), "left")
     kept = [F.col(f"`{n}`") for n in a.df.columns] + [F.col(f"`_r {n}`").alias(n) for n in fresh]
-    return _Rows(joined.select(*kept), a.maybe | set(fresh))
+    return _Rows(joined.select(*kept), a.maybe | set(fresh), a.planner, a.keys & _keys(a, b, common), a.dealt if a.dealt == b.dealt else ())
 
 
 def _minus(a: _Rows, b: _Rows) -> _Rows:
@@ -446,13 +476,19 @@ def _minus(a: _Rows, b: _Rows) -> _Rows:
             return _union([_minus(a.certain(name), b), _minus(a.without(name), b)])
         if name in b.maybe:
             return _minus(_minus(a, b.certain(name)), b.without(name))
-    return _Rows(a.df.join(b.df.select(*[f"`{n}`" for n in common]).distinct(), common, "left_anti"), a.maybe)
+    a, b = _dealt(a, b, common)
+    return a.kept(a.df.join(b.df.select(*[f"`{n}`" for n in common]).distinct(), common, "left_anti"))
 
 
 class _Planner:
     def __init__(self, quads: DataFrame):
         self.quads = quads
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks that joins on subjects are dealt to."""
+        return -(-self.quads.count() // _QUADS_A_TASK)
+
     def group(self, items: list, graph: tuple | None = None) -> _Rows:
         rows: _Rows | None = None
         rest = [x for x in items if x[0] != "filter"]
@@ -476,7 +512,7 @@ class _Planner:
             raise Refused("evaluation", "an empty pattern")
         for item in items:  # filters hold for the whole group
             if item[0] == "filter":
-                rows = _Rows(rows.df.where(self.truth(item[1], rows.names)), rows.maybe)
+                rows = rows.kept(rows.df.where(self.truth(item[1], rows.names)))
         return rows
 
     def item(self, item: tuple, graph: tuple | None) -> _Rows:
@@ -544,7 +580,7 @@ class _Planner:
                         rows = rows.where(F.lower("o_lang") == term[3] if term[3] else F.col("o_lang").isNull() & (F.coalesce("o_datatype", F.lit(XSD + "string")) == term[2]))
                 elif term[0] == "literal":
                     rows = rows.where(F.lit(False))
-        return _Rows(rows.select(*out) if out else rows.select(F.lit(True).alias("_")))
+        return _Rows(rows.select(*out) if out else rows.select(F.lit(True).alias("_")), planner=self, keys={t[1] for t in terms[:1] if t[0] == "var"})
 
     def cell(self, e: tuple, columns: list[str]) -> Column:
         """An expression as a cell."""

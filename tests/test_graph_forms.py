@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatherum.operators import graph as G
 from gatherum.plans import sparql
@@ -118,3 +119,20 @@ def test_parts_whose_nodes_differ_are_told_by_what_they_state(spark):
         found = G.same_quads(G.statements(base), G.statements(graph_of("b", values)))
         assert found.first()[0] == same and "Join" not in found._jdf.queryExecution().executedPlan().toString()
         assert G.same_quads(G.canonical_blanks(base), G.canonical_blanks(graph_of("b", values))).first()[0] == same
+
+
+def test_joins_on_subjects_are_dealt_by_the_number_of_quads(spark, monkeypatch):
+    rows = [(f"u:{k}", p, o, "iri" if p == "u:next" else "literal") for k in range(12) for p, o in (("u:a", str(k % 5)), ("u:b", str(k % 3)), ("u:c", "x"), ("u:next", f"u:{k % 4}")) if (k + ord(p[-1])) % 7]
+    q = spark.createDataFrame(rows, "s string, p string, o string, o_kind string").select(F.lit(None).cast("string").alias("g"), "*", *[F.lit(None).cast("string").alias(c) for c in ("o_datatype", "o_lang")])
+    texts = {
+        "SELECT ?s ?x ?y ?z WHERE { ?s <u:a> ?x ; <u:b> ?y ; <u:c> ?z FILTER(?x <= ?y) }": 3, "SELECT ?s ?x ?y WHERE { ?s <u:a> ?x OPTIONAL { ?s <u:b> ?y } }": 2, "SELECT ?s ?x WHERE { ?s <u:a> ?x MINUS { ?s <u:b> ?y } }": 2,
+        "SELECT ?s ?n ?x ?y WHERE { ?s <u:next> ?n . ?n <u:a> ?x . ?n <u:b> ?y }": 0, "SELECT ?s ?x ?t WHERE { ?s <u:a> ?x . ?t <u:b> ?x }": 0, "SELECT ?s ?x WHERE { ?s <u:a> ?x VALUES ?s { <u:1> <u:2> } }": 0,
+    }
+    before = {t: sorted(map(str, sparql.flat(sparql.run(q, t)).collect())) for t in texts}
+    monkeypatch.setattr(sparql, "_QUADS_A_TASK", 2)
+    tasks = -(-len(rows) // 2)
+    for text, dealt in texts.items():
+        found = sparql.flat(sparql.run(q, text))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f", {tasks}") == plan.count("RepartitionByExpression") == dealt, text
+        assert before[text] == sorted(map(str, found.collect())) and before[text]
