@@ -140,14 +140,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @contextmanager
 def _own_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a write go once its table is there, not whenever the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Shuffle files of a write go once its table is there, not whenever the driver collects its garbage. Buckets of one file are taken as sorted, as they were written: what joins or groups them by their columns sorts and hashes nothing."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    before = {key: spark.conf.get(key, "false") for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:

@@ -105,3 +105,17 @@ def test_blocks_don_t_cut_matches(spark, monkeypatch):
 def test_spans_touch_and_overlap():
     a, b = suffixes.kept_spans(np.array([0, 50, 101, 120, 300]), 400)
     assert a.tolist() == [0, 101, 300] and b.tolist() == [100, 170, 350]
+
+
+def test_buckets_are_joined_and_grouped_as_they_were_sorted(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("hi"), (F.col("id") % 7).alias("lo"), F.col("id").alias("doc"))
+    tables = suffixes._Tables(spark)
+    try:
+        a, b = (tables.write(rows.repartition(tables.buckets, "hi", "lo"), "test-buckets", "hi", "lo") for _ in range(2))
+        with suffixes._own_shuffles(spark):
+            got = a.groupBy("hi", "lo").agg(F.min("doc").alias("first")).join(b.hint("merge"), ["hi", "lo"])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Sort [" not in plan and "HashAggregate" not in plan and "Exchange" not in plan
+        assert got.where("first = doc").count() == 1000
+    finally:
+        tables.close()
