@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatherum.sources.scratch import shared_path
+from gatherum.sources.scratch import own_shuffles, remove, shared_path
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -87,8 +87,22 @@ def reconcile(counted: DataFrame, recorded: DataFrame, key: str, n: str) -> Data
 def stored(df: DataFrame, label: str = "quads") -> DataFrame:
     """Written to the shared folder and read back."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with own_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return _over(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def _over(df: DataFrame, *paths: str) -> DataFrame:
+    """Marks a table as one that reads these folders."""
+    df._scratch = paths
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what tables of ``stored``, ``connected_parts`` and ``statements`` read and nothing will read again."""
+    for df in tables:
+        for path in df._scratch:
+            remove(df.sparkSession, path)
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -118,18 +132,22 @@ def connected_parts(links: DataFrame) -> DataFrame:
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     both = stored(both, "parts-links")
     parts = stored(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("part")).withColumnRenamed("src", "node"), "parts")
-    while True:
+    while True:  # a round's table goes once the next one is there
         near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("part").alias("near"))
         moved = parts.join(near, "node").select("node", F.col("part").alias("was"), F.least("part", "near").alias("part"))
         jump = moved.select(F.col("node").alias("part"), F.col("part").alias("next"))
         after = stored(moved.join(jump, "part").select("node", F.least("part", "next").alias("part"), (F.least("part", "next") < F.col("was")).alias("moved")), "parts")
-        parts = after.drop("moved")
+        discard(parts)
+        parts = _over(after.drop("moved"), *after._scratch)
         if after.where("moved").isEmpty():
+            discard(both)
             return parts
 
 
 #: Blank nodes of one connected part that are named within one task; larger parts are refused unless what each states tells all apart.
 PART_NODES = 20_000
+#: Quads to a task in which nodes are gathered. Quads pack well, so the size of a shuffle says little about the memory that its rows take.
+QUADS_A_TASK = 500_000
 #: Blank nodes of one part that may be told apart by expressions, if what each states differs from node to node; parts with nodes alike, or larger, are searched in Python.
 SMALL_PART = 32
 #: Individualisations that one part may take before it is refused.
@@ -219,38 +237,88 @@ def _named_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named([held])
 
 
-def _blank_forms(quads: DataFrame, most: int) -> DataFrame:
-    """(part, form, node, place) of the blank nodes: the form of the part that a node is in, equal just for isomorphic parts, and its place there.
+def _bag(texts: Column) -> Column:
+    """One text of a list of texts, whatever their order; different lists give different ones."""
+    return F.array_join(F.sort_array(F.transform(texts, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))), "")
+
+
+def _short(text: Column) -> Column:
+    """Texts that are shorter than a digest stay, as they pack better; others are digested."""
+    return F.when(F.length(text) <= 100, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
 
-    What a node states is gathered in one shuffle. Where that tells all nodes of a small part apart, their order needs no search.
+
+def _blank_nodes(quads: DataFrame, tasks: int, gather=F.collect_list) -> DataFrame:
+    """(s, own, links, into) of the blank nodes: what a node states and is said of in terms that aren't blank, links to blank nodes (o, said) and from them.
+
+    All of it is gathered in one shuffle.
     """
     graph = F.coalesce("g", F.lit(""))
     terms = F.concat_ws("|", "o_kind", "o", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit("")), graph)
     from_blank, to_blank = F.col("s").startswith("_:"), F.col("o_kind") == "blank"
-    fact = lambda node, said=None, of=None, o=None: F.struct(node.alias("s"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in (("said", said), ("of", of), ("o", o))])
+    none = F.lit(None).cast("string")
+    fact = lambda node, way, said, o=none: F.struct(F.col(node).alias("s"), F.struct(F.lit(way).alias("way"), said.alias("said"), o.alias("o")).alias("x"))
     facts = F.array(
-        F.when(from_blank, F.when(to_blank, fact(F.col("s"), F.concat_ws(" ", "p", graph), o=F.col("o"))).otherwise(fact(F.col("s"), F.concat_ws(" ", "p", terms)))),
-        F.when(to_blank, fact(F.col("o"), of=F.when(~from_blank, F.concat_ws(" ", "s", "p", graph)))),
+        F.when(from_blank, F.when(to_blank, fact("s", "to", F.concat_ws(" ", "p", graph), F.col("o"))).otherwise(fact("s", "states", F.concat_ws(" ", "p", terms)))),
+        F.when(to_blank, F.when(from_blank, fact("o", "from", F.concat_ws(" ", "p", graph), F.col("s"))).otherwise(fact("o", "of", F.concat_ws(" ", "s", "p", graph)))),
+    )
+    each = quads.where(from_blank | to_blank).select(F.explode(facts).alias("f")).where("f is not null").select("f.*")
+    some = lambda way: F.filter("facts", lambda x: x["way"] == way)
+    said = lambda way: F.transform(some(way), lambda x: x["said"])
+    ends = lambda way: F.transform(some(way), lambda x: F.struct(x["o"].alias("o"), x["said"].alias("said")))
+    own = _short(F.concat(_bag(said("states")), F.lit("of"), _bag(said("of"))))
+    return each.repartition(tasks, "s").groupBy("s").agg(gather("x").alias("facts")).select("s", own.alias("own"), ends("to").alias("links"), ends("from").alias("into"))
+
+
+def _folded(nodes: DataFrame, tasks: int) -> DataFrame:
+    """(form, s, own, links): blank nodes that one link leads to and none from are made a part of what the node before them states.
+
+    A node that has no links left is a part by itself and only its ``form`` is given; the others have no form yet.
+    """
+    leaf = (F.size("links") == 0) & (F.size("into") == 1)
+    before = F.get("into", F.lit(0))
+    sent = nodes.select(
+        F.when(leaf, before["o"]).otherwise(F.col("s")).alias("s"), F.when(leaf, F.struct(F.col("s").alias("o"), before["said"].alias("said"), "own")).alias("leaf"),
+        F.when(~leaf, F.struct("own", "links", (F.size("into") > 0).alias("held"))).alias("node"),
     )
-    each = quads.where(from_blank | to_blank).select(F.explode(facts).alias("x")).where("x is not null").select("x.*")
-    own = F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.when(F.col("o").isNull(), F.col("said")))), F.lit("of"), F.sort_array(F.collect_list("of"))), 256)
-    nodes = each.groupBy("s").agg(own.alias("own"), F.collect_list(F.when(F.col("o").isNotNull(), F.struct("o", "said"))).alias("links"))
-    parts = connected_parts(quads.where(from_blank & to_blank).select(F.col("s").alias("src"), F.col("o").alias("dst")))
-    rows = nodes.join(parts.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("part", "s").alias("part"), "s", "own", "links")
+    rows = sent.repartition(tasks, "s").groupBy("s").agg(F.collect_list("leaf").alias("leaves"), F.first("node", ignorenulls=True).alias("node"))
+    rows = rows.select("s", "leaves", "node.own", "node.links", "node.held")
+    name = lambda x: F.concat_ws("\x1f", x["o"], x["said"])
+    part = lambda x, k: F.get(F.split(x, "\x1f"), F.lit(k))
+    kept = F.transform(F.array_except(F.transform("links", name), F.transform("leaves", name)), lambda x: F.struct(part(x, 0).alias("o"), part(x, 1).alias("said")))
+    links = F.when(F.size("leaves") == 0, F.col("links")).when(F.size("leaves") == F.size("links"), F.slice("links", 1, 0)).otherwise(kept)
+    own = F.concat(F.col("own"), F.lit("with"), _bag(F.transform("leaves", lambda x: F.concat(F.length(x["said"]).cast("string"), F.lit(":"), x["said"], x["own"]))))
+    rows = rows.select("s", own.alias("own"), links.alias("links"), "held")
+    alone = (F.size("links") == 0) & ~F.col("held")
+    return rows.select(F.when(alone, F.unhex(F.sha2(F.concat(F.lit("alone "), "own"), 256))).alias("form"), *[F.when(~alone, F.col(c)).alias(c) for c in ("s", "own", "links")])
+
+
+def _blank_forms(nodes: DataFrame, most: int) -> DataFrame:
+    """(part, form, node, place) of blank nodes (s, own, links): the form of the part that a node is in, equal just for isomorphic parts, and its place there.
+
+    Where what they state tells all nodes of a small part apart, their order needs no search.
+    """
+    parts = connected_parts(nodes.select(F.col("s").alias("src"), F.explode("links.o").alias("dst")))
+    rows = nodes.join(parts.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("part", "s").alias("part"), "s", F.sha2("own", 256).alias("own"), "links")
     rows = stored(rows, "blank-nodes")
+    discard(parts)
     largest = rows.groupBy("part").count().agg(F.max("count")).first()[0]
     if largest is not None and largest > most:
         raise NotNamed(f"a part of {largest} blank nodes; {most} at most are named")
     whole = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("own", "s", "links"))).alias("nodes"))
     apart = F.when(F.size("nodes") <= SMALL_PART, F.size(F.array_distinct("nodes.own")) == F.size("nodes")).otherwise(False)
     whole = stored(whole.withColumn("apart", apart), "blank-parts")
+    discard(rows)
     own_of = lambda s: F.get(F.filter("nodes", lambda n: n["s"] == s), F.lit(0))["own"]
     said = F.sort_array(F.flatten(F.transform("nodes", lambda n: F.transform(n["links"], lambda x: F.concat_ws(" ", n["own"], x["said"], own_of(x["o"]))))))
     form = F.sha2(F.concat_ws("\n", F.lit("apart"), "nodes.own", said), 256)
     easy = whole.where("apart").select("part", form.alias("form"), F.posexplode("nodes.s").alias("place", "node")).select("part", "form", "node", "place")
     hard = whole.where("not apart").select("part", F.explode("nodes").alias("n")).select("part", "n.s", "n.own", "n.links")
     searched = hard.repartition("part").sortWithinPartitions("part").mapInArrow(_named_parts, "part string, form string, node string, place int")
-    return easy.unionByName(searched)
+    return _over(easy.unionByName(searched), *whole._scratch)
+
+
+def _tasks(quads: DataFrame) -> int:
+    return max(1, -(-quads.count() // QUADS_A_TASK))
 
 
 def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
@@ -260,7 +328,10 @@ def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
     of parts with one form are told apart by a number of the copy, in any order, as such parts can be swapped. A part that is larger,
     or whose nodes look so much alike that the search would take too long, raises ``NotNamed``; nothing is named by guess.
     """
-    forms = stored(_blank_forms(quads, most), "blank-forms")
+    nodes = stored(_blank_nodes(quads, _tasks(quads)), "blank-links")
+    found = _blank_forms(nodes, most)
+    forms = stored(found, "blank-forms")
+    discard(nodes, found)
     copies = forms.where("place = 0").select("part", F.row_number().over(Window.partitionBy("form").orderBy("part")).alias("copy"))
     lookup = forms.join(copies, "part").select(F.col("node").alias("s"), F.concat(F.lit("_:"), F.sha2(F.concat_ws(" ", "form", "copy", "place").cast("binary"), 256)).alias("n"))
     out = quads.join(lookup.withColumnsRenamed({"s": "_s", "n": "_sn"}), F.col("s") == F.col("_s"), "left")
@@ -268,26 +339,58 @@ def canonical_blanks(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
     return out.select("g", F.coalesce("_sn", "s").alias("s"), "p", F.coalesce("_on", "o").alias("o"), "o_kind", "o_datatype", "o_lang")
 
 
+#: Hex digits of a row's digest that are summed together: sums of 28 bits fit a long for 68 billion rows.
+_SUMMED = 7
+
+
+def bag_digest(df: DataFrame) -> DataFrame:
+    """One row: how many rows a table of texts has, and sums of the pieces of their SHA-256, which are equal just for equal bags as far as digests tell. Nothing but sums is shuffled."""
+    text = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in df.columns])
+    piece = lambda k: F.conv(F.substring("h", 1 + k, _SUMMED), 16, 10).cast("long")
+    return df.select(F.sha2(text, 256).alias("h")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(piece(k)), F.lit(0)).alias(f"sum_{k}") for k in range(0, 64 - _SUMMED + 1, _SUMMED)])
+
+
+def same_digests(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two rows of ``bag_digest`` are of the same bag."""
+    return a.unionByName(b).agg((F.count_distinct(*a.columns) == 1).alias("isomorphic"))
+
+
 def same_quads(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two tables of quads are the same bag; for graphs with blank nodes, of their canonical quads or their statements."""
-    keys = a.columns
-    both = a.select(*keys, F.lit(1).alias("_n")).unionByName(b.select(*keys, F.lit(-1).alias("_n")))
-    return both.groupBy(*keys).agg(F.sum("_n").alias("_n")).agg((F.count_if(F.col("_n") != 0) == 0).alias("isomorphic"))
+    return same_digests(bag_digest(a), bag_digest(b.select(*a.columns)))
 
 
 def statements(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
-    """Quads without blank nodes as they are, and a row (its form as s, p null) for each part of blank nodes: two graphs are isomorphic if and only if these rows are the same bag.
+    """Quads without blank nodes, and a row (its form as s, p null) for each part of blank nodes: two graphs are isomorphic if and only if these rows are the same bag. A quad that is there twice counts once.
 
-    A form holds all quads that name a node of its part, so nothing has to be renamed and joined; the bounds are those of ``canonical_blanks``.
+    A form holds all quads that name a node of its part, so nothing has to be renamed and joined. Ends of trees are folded into the nodes before
+    them; nodes that have no links then are parts by themselves. Only the others are searched for parts, within the bounds of ``canonical_blanks``.
     """
-    ground = quads.where(~F.col("s").startswith("_:") & (F.col("o_kind") != "blank")).select(*_FIELDS)
+    ground = quads.where(~F.col("s").startswith("_:") & (F.col("o_kind") != "blank")).select(*_FIELDS).distinct()
+    tasks = _tasks(quads)
+    folded = stored(_folded(_blank_nodes(quads, tasks, F.collect_set), tasks), "blank-folded")
+    forms, read = folded.where("form is not null").select("form"), folded._scratch
+    linked = folded.where("form is null").select("s", "own", "links")
+    if not linked.isEmpty():
+        found = _blank_forms(linked, most)
+        rest = stored(found.where("place = 0").select(F.unhex("form").alias("form")), "blank-forms")
+        discard(found)
+        forms, read = forms.unionByName(rest), read + rest._scratch
     none = F.lit(None).cast("string")
-    return ground.unionByName(_blank_forms(quads, most).where("place = 0").select(F.concat(F.lit("_:"), "form").alias("s"), *[none.alias(c) for c in _FIELDS if c != "s"]))
+    return _over(ground.unionByName(forms.select(F.concat(F.lit("_:"), F.lower(F.hex("form"))).alias("s"), *[none.alias(c) for c in _FIELDS if c != "s"])), *read)
+
+
+def graph_digest(quads: DataFrame, most: int = PART_NODES) -> DataFrame:
+    """One row, the same just for isomorphic graphs: ``bag_digest`` of a graph's statements. Nothing else that was written on the way is kept."""
+    found = statements(quads, most)
+    out = stored(bag_digest(found), "graph-digest")
+    discard(found)
+    return out
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two graphs are the same but for the names of blank nodes."""
-    return same_quads(statements(a), statements(b))
+    return same_digests(graph_digest(a), graph_digest(b))
 
 
 def missing_leaves(leaves: DataFrame, quads: DataFrame, subject: str, predicate: str, value: str) -> DataFrame:

@@ -351,11 +351,11 @@ def g3(spark, d):
         root, leaf = F.concat(F.lit(f"_:{tag}r"), "o_orderkey"), F.concat(F.lit(f"_:{tag}c"), child.cast("string"))
         cell = lambda s, p, v, kind, t: F.struct(s.alias("s"), F.lit(V + p).alias("p"), v.alias("o"), F.lit(kind).alias("o_kind"), F.lit(t).cast("string").alias("o_datatype"))
         cells = F.array(cell(root, "has", leaf, "blank", None), cell(leaf, "price", price.cast("string"), "literal", G.XSD + "double"), cell(root, "key", F.col("o_orderkey").cast("string"), "literal", G.XSD + "integer"))
-        return G.stored(o.select(F.lit(None).cast("string").alias("g"), F.explode(cells).alias("x")).select("g", "x.*", F.lit(None).cast("string").alias("o_lang")).distinct())
+        return o.select(F.lit(None).cast("string").alias("g"), F.explode(cells).alias("x")).select("g", "x.*", F.lit(None).cast("string").alias("o_lang"))
 
-    base = G.stored(G.statements(tree("a")))
+    base = G.graph_digest(tree("a"))
     cases = {"other_names": tree("zz"), "other_value": tree("b", F.when(F.col("o_orderkey") == 1, 0.0).otherwise(F.col("o_totalprice"))), "one_less": tree("b", where="o_orderkey <> 1"), "shared_child": tree("b", child=F.when(F.col("o_orderkey") <= 7, F.lit(1)).otherwise(F.col("o_orderkey")))}
-    parts = [G.same_quads(base, G.statements(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()]
+    parts = [G.same_digests(base, G.graph_digest(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -377,9 +377,9 @@ def g3_rings(spark, d):
         none = F.lit(None).cast("string")
         return turns.select(none.alias("g"), (after if back else here).alias("s"), F.lit(V + "next").alias("p"), (here if back else after).alias("o"), F.lit("blank").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
 
-    base = G.stored(G.statements(rings("a")))
+    base = G.graph_digest(rings("a"))
     cases = {"renamed": rings("zz"), "turned_round": rings("b", back=True), "split": rings("c", half=True)}
-    return reduce(DataFrame.unionByName, [G.same_quads(base, G.statements(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()])
+    return reduce(DataFrame.unionByName, [G.same_digests(base, G.graph_digest(other)).select(F.lit(name).alias("case_name"), "isomorphic") for name, other in cases.items()])
 
 
 @query("g10_compared_variables", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_quantity <= l_linenumber GROUP BY 1")

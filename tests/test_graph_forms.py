@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,45 @@ def test_parts_whose_nodes_differ_are_told_by_what_they_state(spark):
         assert G.same_quads(G.canonical_blanks(base), G.canonical_blanks(graph_of("b", values))).first()[0] == same
 
 
+def test_a_comparison_leaves_two_rows_and_searches_no_trees(spark, tmp_path, monkeypatch):
+    """Ends of trees are folded into the nodes before them, and what was written on the way is gone at the end."""
+    monkeypatch.setattr(G, "shared_path", lambda _, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    tree = lambda tag, n: graph(spark, [(f"{tag}{k}", f"{tag}{k}c") for k in range(n)], [(f"{tag}{k}c", k) for k in range(n)])
+    with monkeypatch.context() as m:
+        m.setattr(G, "connected_parts", None)
+        assert G.isomorphic(tree("a", 9), tree("b", 9)).first()[0] and not G.isomorphic(tree("a", 9), tree("b", 8)).first()[0]
+    assert len(list(tmp_path.iterdir())) == 4 and all(p.name.startswith("graph-digest") for p in tmp_path.iterdir())
+    assert G.isomorphic(graph(spark, ring(*"abc")), graph(spark, ring(*"xyz"))).first()[0]
+    assert len(list(tmp_path.iterdir())) == 6 and all(p.name.startswith("graph-digest") for p in tmp_path.iterdir())
+
+
+def test_folded_forms_are_those_of_exhaustive_search(spark):
+    """Small connected graphs with loops, shared ends, two links between nodes and quads that are there twice: as many forms, each as often, as there are classes."""
+    rng = random.Random(7)
+    triples, classes, key = [], Counter(), itertools.count()
+    while len(classes) < 120:
+        n = rng.randrange(1, 5)
+        links = {(rng.randrange(k), rng.choice("pq"), k)[:: rng.choice((1, -1))] for k in range(1, n)} | {(rng.randrange(n), rng.choice("pq"), rng.randrange(n)) for _ in range(rng.choice((0, 0, 1, 2)))}
+        facts = {(rng.randrange(n), rng.choice("12")) for _ in range(rng.randrange(0, n + 2))}
+        if not links and not facts:
+            continue
+        classes[min((sorted((m[a], p, m[b]) for a, p, b in links), sorted((m[a], v) for a, v in facts)).__repr__() + str(n) for m in itertools.permutations(range(n)))] += 1
+        tag = next(key)
+        mine = [(None, f"_:{tag}n{a}", p, f"_:{tag}n{b}", "blank", None, None) for a, p, b in links] + [(None, f"_:{tag}n{a}", "v", v, "literal", None, None) for a, v in facts]
+        triples += mine + mine[:1]
+    found = Counter(r["s"] for r in G.statements(spark.createDataFrame(triples, SCHEMA)).collect())
+    assert sorted(found.values()) == sorted(classes.values())
+
+
+def test_bags_are_told_by_their_digests(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "s string, p string")
+    same = lambda a, b: G.same_quads(a, b).first()[0]
+    assert same(table(("a", "b"), ("c", None)), table(("c", None), ("a", "b")))
+    for other in ([("a", "b")], [("a", "b")] * 3, [("a", "b"), ("ab", "")], [("a", "b"), ("a", None)], [("a", "b"), ("b", "a")]):
+        assert not same(table(("a", "b"), ("a", "b")), table(*other))
+    assert same(table(("a", "b")).limit(0), table(("a", "b")).limit(0))
+
+
 def test_joins_on_subjects_are_dealt_by_the_number_of_quads(spark, monkeypatch):
     rows = [(f"u:{k}", p, o, "iri" if p == "u:next" else "literal") for k in range(12) for p, o in (("u:a", str(k % 5)), ("u:b", str(k % 3)), ("u:c", "x"), ("u:next", f"u:{k % 4}")) if (k + ord(p[-1])) % 7]
     q = spark.createDataFrame(rows, "s string, p string, o string, o_kind string").select(F.lit(None).cast("string").alias("g"), "*", *[F.lit(None).cast("string").alias(c) for c in ("o_datatype", "o_lang")])
